@@ -66,6 +66,4 @@ def with_schedule(df: DataFrame, run_ts: str, seq_col: str = "seq", step: int =
     """``delay_s = seq * step``; ``deliver_at = run_ts + delay_s`` (the Nth message is due N*15 s later)."""
     delay = (F.col(seq_col) * F.lit(step)).cast("long")
     run = F.to_timestamp_ntz(F.lit(run_ts))
-    return df.withColumn("delay_s", delay).withColumn(
-        "deliver_at", run + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), delay.cast("decimal(18,6)"))
-    )
+    return df.withColumn("delay_s", delay).withColumn("deliver_at", F.timestamp_add("SECOND", delay, run))
