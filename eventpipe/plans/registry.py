@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("pages", "extraction")
+GROUPS = ("pages", "extraction", "messages")
 
 
 def _load():

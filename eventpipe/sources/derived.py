@@ -112,3 +112,48 @@ def part_documents(part: DataFrame) -> DataFrame:
         jsontext.encode(ev).alias("body"),
         F.when(F.col("p_size") % 17 == 0, F.lit("not-a-time")).otherwise(uploaded).alias("uploaded_at"),
     )
+
+
+def event_messages(events: DataFrame) -> DataFrame:
+    """Queue messages from ``events``: ``message_id, event_id, ts, sent_venue, body``.
+
+    venue = ``event_type``; the URL carries the user and ``props.k``. Every 97th
+    body is cut short (malformed), every 89th uses the key ``name`` in place of
+    ``venue`` (the key-drift bug the reference's contract test guards), every
+    83rd has an empty URL.
+    """
+    venue = F.col("event_type")
+    url = F.concat(
+        F.lit("https://"), venue, F.lit(".example.com/e/"), F.col("user_id").cast("string"), F.lit("?k="),
+        F.coalesce(F.get_json_object(F.col("props"), "$.k"), F.lit("")),
+    )
+    good = F.concat(F.lit('{"venue":"'), venue, F.lit('","url":"'), url, F.lit('"}'))
+    body = (
+        F.when(F.col("event_id") % 97 == 0, F.substring(good, 1, 17))
+        .when(F.col("event_id") % 89 == 0, F.concat(F.lit('{"name":"'), venue, F.lit('","url":"'), url, F.lit('"}')))
+        .when(F.col("event_id") % 83 == 0, F.concat(F.lit('{"venue":"'), venue, F.lit('","url":""}')))
+        .otherwise(good)
+    )
+    return events.select(
+        F.concat(F.lit("m-"), F.col("event_id").cast("string")).alias("message_id"),
+        "event_id",
+        "ts",
+        venue.alias("sent_venue"),
+        body.alias("body"),
+    )
+
+
+def event_envelopes(events: DataFrame) -> DataFrame:
+    """Delivered envelopes, one JSON line per message, body in base64 (every 101st corrupted)."""
+    from ..functions.codec import b64encode
+
+    m = event_messages(events)
+    b64 = F.when(F.col("event_id") % 101 == 0, F.concat(F.lit("!!"), b64encode(F.col("body")))).otherwise(b64encode(F.col("body")))
+    line = F.to_json(
+        F.struct(
+            F.col("message_id").alias("messageId"),
+            F.concat(F.lit("lease-"), F.col("event_id").cast("string")).alias("receiptHandle"),
+            b64.alias("body"),
+        )
+    )
+    return m.select("event_id", "ts", "sent_venue", line.alias("line"))
