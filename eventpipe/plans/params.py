@@ -7,8 +7,8 @@ SCRAPE_TOPIC = "venue-scrape"
 MESSAGE_VENUES = ("click", "purchase", "view")  # registry of the message queries: three of the five event types
 OBJECT_BASE_URL = "https://objects.example.com/"
 LIST_LIMIT = 25
-LIST_CURSOR = "m"
-LIST_PREFIX = "blue"
+LIST_CURSOR = "event-5"
+LIST_PREFIX = "event-1"
 CATEGORY = "household"
 RETRY_AFTER_S = 60  # fixed value: retry interval of both topics
 MAX_ATTEMPTS = 3

@@ -22,9 +22,9 @@ def part_slug(p: DataFrame) -> Column:
     return F.concat(F.regexp_replace(F.lower(F.col("p_name")), "[^a-z0-9]+", "-"), F.lit("-"), F.col("p_partkey").cast("string"))
 
 
-def part_name_key(p: DataFrame) -> Column:
-    """A key from the name alone, so many parts share it (put conflicts)."""
-    return F.regexp_replace(F.lower(F.col("p_name")), "[^a-z0-9]+", "-")
+def part_object_key() -> Column:
+    """Object key shared by part pairs ``2k, 2k+1``, so every key is put twice (conflicts)."""
+    return F.concat(F.lit("event-"), F.floor(F.col("p_partkey") / 2).cast("string"))
 
 
 def part_event_host() -> Column:
@@ -97,10 +97,10 @@ def part_event_pages(part: DataFrame) -> DataFrame:
 
 
 def part_documents(part: DataFrame) -> DataFrame:
-    """Store input: ``p_partkey, pathname (from the name), body, uploaded_at`` for each part."""
+    """Store input: ``p_partkey, pathname (shared by a key pair), body, uploaded_at`` for each part."""
     from ..operators.extract import music_event
 
-    d = part_event_data(part, keep=(part_name_key(part).alias("_name_key"), "p_size"))
+    d = part_event_data(part, keep=(part_object_key().alias("_key"), "p_size"))
     ev = music_event(F.col("title"), F.col("first_date"), F.col("price"), F.col("url"), F.lit("DKK"))
     uploaded = F.concat(
         F.date_format(F.timestamp_add("MINUTE", F.col("p_partkey"), F.to_timestamp_ntz(F.lit("2024-04-05 19:12:36"))), "yyyy-MM-dd'T'HH:mm:ss"),
@@ -108,7 +108,7 @@ def part_documents(part: DataFrame) -> DataFrame:
     )
     return d.select(
         "p_partkey",
-        F.concat(F.col("_name_key"), F.lit(".json")).alias("pathname"),
+        F.concat(F.col("_key"), F.lit(".json")).alias("pathname"),
         jsontext.encode(ev).alias("body"),
         F.when(F.col("p_size") % 17 == 0, F.lit("not-a-time")).otherwise(uploaded).alias("uploaded_at"),
     )
