@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("pages", "extraction", "messages", "store")
+GROUPS = ("pages", "extraction", "messages", "store", "listing")
 
 
 def _load():

@@ -157,3 +157,53 @@ def event_envelopes(events: DataFrame) -> DataFrame:
         )
     )
     return m.select("event_id", "ts", "sent_venue", line.alias("line"))
+
+
+AVAILABILITY = {"O": "https://schema.org/InStock", "F": "https://schema.org/SoldOut", "P": "https://schema.org/PreOrder"}
+CATALOGUE_ZONE = "Europe/Copenhagen"
+
+
+def order_events(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """Nested listing events (the page's event shape) from ``orders`` x ``customer``.
+
+    category = ``lower(c_mktsegment)``; availability from ``o_orderstatus``; the
+    price is text, as on the page; start 20:00 Copenhagen time on the order date.
+    The join is left to the planner: ``customer`` grows with the data, so it is
+    not forced to broadcast (AQE broadcasts it at run time when it is small).
+    """
+    from ..functions.zones import rfc3339_local
+
+    j = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    local = F.timestamp_add("HOUR", F.lit(20), F.col("o_orderdate"))
+    avail = F.coalesce(
+        *[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in AVAILABILITY.items()], F.lit("")
+    )
+    nation = F.col("c_nationkey").cast("string")
+    key = F.col("o_orderkey").cast("string")
+    return j.select(
+        F.concat(F.lit("EVENT "), key).alias("name"),
+        F.col("o_orderpriority").alias("description"),
+        F.concat(F.lit("https://images.example.com/"), key, F.lit(".jpg")).alias("image"),
+        rfc3339_local(local, CATALOGUE_ZONE).alias("startDate"),
+        rfc3339_local(F.timestamp_add("HOUR", F.lit(3), local), CATALOGUE_ZONE).alias("endDate"),
+        rfc3339_local(F.timestamp_add("HOUR", F.lit(-1), local), CATALOGUE_ZONE).alias("doorTime"),
+        F.struct(
+            F.concat(F.lit("Hall "), nation).alias("name"),
+            F.struct(
+                F.concat(F.lit("Street "), F.col("c_custkey").cast("string")).alias("streetAddress"),
+                F.concat(F.lit("City "), nation).alias("addressLocality"),
+                F.lpad(nation, 4, "0").alias("postalCode"),
+                F.lit("DK").alias("addressCountry"),
+            ).alias("address"),
+            F.concat(F.lit("https://hall"), nation, F.lit(".example.com")).alias("sameAs"),
+        ).alias("location"),
+        F.lower(F.col("c_mktsegment")).alias("venueType"),
+        F.struct(F.col("c_name").alias("name"), F.concat(F.lit("https://artists.example.com/"), F.col("c_custkey").cast("string")).alias("sameAs")).alias("performer"),
+        F.struct(
+            F.format_string("%.2f", F.col("o_totalprice")).alias("price"),
+            F.lit("DKK").alias("priceCurrency"),
+            avail.alias("availability"),
+            F.concat(F.lit("https://tickets.example.com/"), key).alias("url"),
+        ).alias("offers"),
+        F.struct(F.concat(F.lit("Promoter "), nation).alias("name"), F.concat(F.lit("https://promoter"), nation, F.lit(".example.com")).alias("url")).alias("organizer"),
+    )
