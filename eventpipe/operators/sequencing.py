@@ -10,8 +10,11 @@ and a join adds it back. That table has at most ``#keys + #partitions`` rows; it
 is broadcast when the key count is under ``broadcast_keys`` (checked), else
 joined by shuffle on ``(key, partition)``, which cannot skew either.
 
-The order must be total (unique within a key) so a recomputed partition numbers
-its rows the same way after a lost executor.
+The numbered rows are used twice (counts, and the join back), and two range
+exchanges over the same input may draw different bounds (the partitioner's
+resampling seed depends on the RDD id), so the numbered rows are checkpointed
+once to the shared checkpoint folder and both branches read that copy. The
+order must be total (unique within a key).
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _LOW_BITS = (1 << 33) - 1
 
 DELAY_STEP_SECONDS = 15  # fixed value: spacing of successive extract messages in one run
@@ -45,6 +50,8 @@ def number_within(
         .withColumn("_part", F.shiftright(F.col("_mid"), 33))
         .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
     )
+    ensure_checkpoint_dir(spark)
+    tagged = tagged.checkpoint(eager=True)
     stats = tagged.groupBy(*keys, "_part").agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("pages", "extraction", "messages", "store", "listing")
+GROUPS = ("pages", "extraction", "messages", "store", "listing", "crawl", "streams")
 
 
 def _load():

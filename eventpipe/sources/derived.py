@@ -207,3 +207,11 @@ def order_events(orders: DataFrame, customer: DataFrame) -> DataFrame:
         ).alias("offers"),
         F.struct(F.concat(F.lit("Promoter "), nation).alias("name"), F.concat(F.lit("https://promoter"), nation, F.lit(".example.com")).alias("url")).alias("organizer"),
     )
+
+
+def event_message_url(events: DataFrame) -> Column:
+    """The URL an event's message points at (as in ``event_messages``)."""
+    return F.concat(
+        F.lit("https://"), F.col("event_type"), F.lit(".example.com/e/"), F.col("user_id").cast("string"), F.lit("?k="),
+        F.coalesce(F.get_json_object(F.col("props"), "$.k"), F.lit("")),
+    )
