@@ -113,7 +113,9 @@ def with_document(df: DataFrame) -> DataFrame:
     )
 
 
-def extract_events(messages: DataFrame, pages: DataFrame, spec: ScriptSpec = ScriptSpec(), keep_empty: bool = False) -> DataFrame:
+def extract_events(
+    messages: DataFrame, pages: DataFrame, spec: ScriptSpec = ScriptSpec(), keep_empty: bool = False, currency: str = "DKK"
+) -> DataFrame:
     """Messages ``venue, url`` -> one row per message and script, with ``outcome``.
 
     Pages are joined on ``url`` (left: a missing page is ``not_fetched``). The
@@ -136,4 +138,4 @@ def extract_events(messages: DataFrame, pages: DataFrame, spec: ScriptSpec = Scr
         .when((F.col("slug") == "") & F.lit(not keep_empty), F.lit("empty_slug"))
         .otherwise(F.lit("extracted"))
     )
-    return with_document(with_music_event(decoded.withColumn("outcome", outcome))).drop("_fetched")
+    return with_document(with_music_event(decoded.withColumn("outcome", outcome), currency=currency)).drop("_fetched")

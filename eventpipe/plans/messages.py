@@ -184,7 +184,7 @@ ORACLES = {
         "SELECT run_id, n_published, CASE WHEN len(f) > 0 THEN 'partial failure' ELSE 'ok' END AS status, "
         "array_to_string(f, ',') AS failed FROM ("
         "SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(*) AS n_published, "
-        "list_sort(list_distinct(list(sent_venue) FILTER (WHERE NOT decode_ok))) AS f FROM dec GROUP BY 1)"
+        "coalesce(list_sort(list_distinct(list(sent_venue) FILTER (WHERE NOT decode_ok))), []) AS f FROM dec GROUP BY 1)"
     ),
 }
 
