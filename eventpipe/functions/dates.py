@@ -49,9 +49,6 @@ def danish_display(local: Column) -> Column:
 
 def local_wall_clock(epoch: Column, zone: str = DISPLAY_ZONE) -> Column:
     """Wall clock in ``zone`` for an epoch, as ``TIMESTAMP_NTZ`` (independent of the session zone)."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), _utc_ntz(epoch))
+    from .zones import wall_clock
 
-
-def _utc_ntz(epoch: Column) -> Column:
-    """Epoch seconds as a UTC wall clock ``TIMESTAMP_NTZ``, without the session zone."""
-    return F.timestamp_add("SECOND", epoch, F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
+    return wall_clock(epoch, zone)

@@ -1,21 +1,56 @@
-"""Wall clock and offset text in a named zone, independent of the session time zone."""
+"""Wall clock and offset text in a named zone, independent of the session time zone.
+
+All conversions are arithmetic on microseconds with a constant zone
+(``to_utc_timestamp`` / ``from_utc_timestamp``) and ``TIMESTAMP_NTZ`` math, so the
+session's own time zone never enters.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_epoch(local: Column) -> Column:
+    """Seconds from 1970-01-01 00:00 to a wall clock, reading the wall clock as if it were UTC."""
+    return F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit(_EPOCH_NTZ)), local)
+
+
+def offset_seconds(local: Column, zone: str) -> Column:
+    """UTC offset of ``zone`` at the wall clock ``local`` (``TIMESTAMP_NTZ``), in seconds."""
+    e = ntz_epoch(local)
+    return e - F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(e), zone))
+
+
+def offset_text_of(seconds: Column) -> Column:
+    """``Z`` for zero, else ``+hh:mm`` / ``-hh:mm`` (RFC 3339)."""
+    m = F.abs(seconds) / 60
+    text = F.concat(
+        F.when(seconds < 0, F.lit("-")).otherwise(F.lit("+")),
+        F.lpad((m / 60).cast("int").cast("string"), 2, "0"),
+        F.lit(":"),
+        F.lpad((m % 60).cast("int").cast("string"), 2, "0"),
+    )
+    return F.when(seconds == 0, F.lit("Z")).otherwise(text)
+
+
+def with_rfc3339_local(df: DataFrame, local_col: str, out: str, zone: str) -> DataFrame:
+    """Adds ``out``: RFC 3339 text of a wall clock in ``zone`` with that zone's offset then.
 
-def offset_text(local: Column, zone: str) -> Column:
-    """``+01:00`` / ``+02:00`` / ``Z`` for a wall-clock ``TIMESTAMP_NTZ`` in ``zone``."""
-    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
-    minutes = F.timestamp_diff("MINUTE", utc, local)
-    if_neg = F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+"))
-    m = F.abs(minutes).cast("int")
-    text = F.concat(if_neg, F.lpad((m / 60).cast("int").cast("string"), 2, "0"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"))
-    return F.when(minutes == 0, F.lit("Z")).otherwise(text)
+    The offset is its own column first, so it is computed once per row rather
+    than once per branch of the text expression.
+    """
+    tmp = f"_{out}_off"
+    return (
+        df.withColumn(tmp, offset_seconds(F.col(local_col), zone))
+        .withColumn(out, F.concat(F.date_format(F.col(local_col), "yyyy-MM-dd'T'HH:mm:ss"), offset_text_of(F.col(tmp))))
+        .drop(tmp)
+    )
 
 
-def rfc3339_local(local: Column, zone: str) -> Column:
-    """RFC 3339 text of a wall clock in ``zone``, with that zone's offset at that moment."""
-    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset_text(local, zone))
+def wall_clock(epoch: Column, zone: str) -> Column:
+    """Wall clock in ``zone`` for an epoch, as ``TIMESTAMP_NTZ``."""
+    shifted = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(epoch), zone))
+    return F.timestamp_add("SECOND", shifted, F.to_timestamp_ntz(F.lit(_EPOCH_NTZ)))

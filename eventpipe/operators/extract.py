@@ -24,7 +24,6 @@ from ..specs import ScriptSpec
 NEXT_DATA_SPEC = {
     "props": {"pageProps": {"data": {"title": "string", "slug": "string", "price": "int", "firstDate": "time", "lastDate": "time"}}}
 }
-EVENT_FIELDS = "title string, slug string, price bigint, firstDate string, lastDate string"
 SCHEMA_CONTEXT = "https://schema.org"
 EVENT_TYPE = "MusicEvent"
 PERFORMER_TYPE = "MusicGroup"
@@ -42,18 +41,18 @@ def embedded_json(pages: DataFrame, spec: ScriptSpec = ScriptSpec(), url_col: st
 
 def decode_event_data(df: DataFrame, text_col: str = "json_text") -> DataFrame:
     """Adds ``json_ok, json_error, title, slug, price, first_date, last_date`` (zero-filled like the reference)."""
-    checked = df.withColumn("_d", strict_decode(F.col(text_col), NEXT_DATA_SPEC))
-    fields = F.from_json(F.col("_d.fields"), EVENT_FIELDS)
+    d = F.col("_d")
+    ok = d["ok"]
     return (
-        checked.withColumn("_f", fields)
-        .withColumn("json_ok", F.col("_d.ok"))
-        .withColumn("json_error", F.col("_d.reason"))
-        .withColumn("title", F.when(F.col("json_ok"), F.coalesce(F.col("_f.title"), F.lit(""))))
-        .withColumn("slug", F.when(F.col("json_ok"), F.coalesce(F.col("_f.slug"), F.lit(""))))
-        .withColumn("price", F.when(F.col("json_ok"), F.coalesce(F.col("_f.price"), F.lit(0).cast("long"))))
-        .withColumn("first_date", F.col("_f.firstDate"))
-        .withColumn("last_date", F.col("_f.lastDate"))
-        .drop("_d", "_f")
+        df.withColumn("_d", strict_decode(F.col(text_col), NEXT_DATA_SPEC))
+        .withColumn("json_ok", ok)
+        .withColumn("json_error", d["reason"])
+        .withColumn("title", F.when(ok, F.coalesce(d["title"], F.lit(""))))
+        .withColumn("slug", F.when(ok, F.coalesce(d["slug"], F.lit(""))))
+        .withColumn("price", F.when(ok, F.coalesce(d["price"], F.lit(0).cast("long"))))
+        .withColumn("first_date", d["firstDate"])
+        .withColumn("last_date", d["lastDate"])
+        .drop("_d")
     )
 
 

@@ -24,11 +24,10 @@ def decode_messages(df: DataFrame, body_col: str = "body", fields=EXTRACT_FIELDS
     """Adds ``decode_ok, decode_error`` and one string column per field ('' when absent, as the reference)."""
     spec = {f: "string" for f in fields}
     d = df.withColumn("_d", strict_decode(F.col(body_col), spec))
-    parsed = F.from_json(F.col("_d.fields"), ", ".join(f"{f} string" for f in fields))
-    d = d.withColumn("_f", parsed).withColumn("decode_ok", F.col("_d.ok")).withColumn("decode_error", F.col("_d.reason"))
+    d = d.withColumn("decode_ok", F.col("_d.ok")).withColumn("decode_error", F.col("_d.reason"))
     for f in fields:
-        d = d.withColumn(f, F.when(F.col("decode_ok"), F.coalesce(F.col(f"_f.{f}"), F.lit(""))))
-    return d.drop("_d", "_f")
+        d = d.withColumn(f, F.when(F.col("decode_ok"), F.coalesce(F.col(f"_d.{f}"), F.lit(""))))
+    return d.drop("_d")
 
 
 def decode_envelopes(lines: DataFrame, line_col: str = "line") -> DataFrame:

@@ -8,7 +8,8 @@ partitions. Each partition numbers its rows in sorted order
 ``(key, partition)`` counts gives each partition its offset by a prefix sum,
 and a join adds it back. That table has at most ``#keys + #partitions`` rows; it
 is broadcast when the key count is under ``broadcast_keys`` (checked), else
-joined by shuffle on ``(key, partition)``, which cannot skew either.
+joined by shuffle on ``(key, partition)``, which cannot skew either. The
+decision counts the checkpointed count table itself, so the bound is exact.
 
 The numbered rows are used twice (counts, and the join back), and two range
 exchanges over the same input may draw different bounds (the partitioner's
@@ -39,7 +40,7 @@ def number_within(
     order: list[str],
     out: str = "seq",
     partitions: int | None = None,
-    broadcast_keys: int = 1_000_000,
+    broadcast_keys: int = 2_000_000,
 ) -> DataFrame:
     """Adds ``out`` = 1, 2, ... per ``keys`` in ``order``, without a one-task window."""
     spark = df.sparkSession
@@ -54,9 +55,8 @@ def number_within(
     tagged = tagged.checkpoint(eager=True)
     stats = tagged.groupBy(*keys, "_part").agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    n_keys = df.select(F.approx_count_distinct(F.struct(*_cols(keys))).alias("k")).first()["k"]
-    if n_keys <= broadcast_keys:
+    stats = stats.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").checkpoint()
+    if stats.count() <= broadcast_keys:  # the exact size of what would be broadcast
         stats = F.broadcast(stats)
     joined = tagged.join(stats, [*keys, "_part"])
     seq = (F.col("_local") - F.col("_first") + F.col("_before") + F.lit(1)).cast("long")

@@ -11,9 +11,11 @@ from . import params
 
 
 def _catalogue(spark, sf):
-    """The nested events, through the page's JSON shape (text -> typed, price kept as text)."""
-    ev = derived.order_events(table(spark, sf, "orders"), table(spark, sf, "customer"))
-    return ev.select(F.from_json(F.to_json(F.struct(*ev.columns)), L.UI_EVENT_SCHEMA).alias("e")).select("e.*")
+    """The nested events in the listing page's shape (price kept as text).
+
+    Built directly in that schema; files of it are read by ``feeds.read_catalogue``.
+    """
+    return derived.order_events(table(spark, sf, "orders"), table(spark, sf, "customer"))
 
 
 def event_catalogue(spark, sf):
@@ -51,17 +53,19 @@ FEED_SCHEMA = "name string, venue_type string, price string, start_date string"
 
 
 def read_feed(spark, sf):
-    """The catalogue as JSON, XML and CSV feed records, each parsed back with the feed schema."""
+    """The catalogue as JSON, XML and CSV feed records, each parsed back with the feed schema.
+
+    One pass: each event is written in the three formats (``explode`` of a
+    3-element array) and the parser is chosen per row by format.
+    """
     c = _catalogue(spark, sf).select(
         "name", F.col("venueType").alias("venue_type"), F.col("offers.price").alias("price"), F.col("startDate").alias("start_date")
     )
     rec = F.struct("name", "venue_type", "price", "start_date")
-    parts = [
-        c.select(F.lit(fmt).alias("format"), feeds.parse_feed(feeds.to_feed_text(rec, fmt), fmt, FEED_SCHEMA).alias("r"))
-        for fmt in feeds.FORMATS
-    ]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.select("format", "r.*")
+    fmts = c.select(rec.alias("rec"), F.explode(F.array(*[F.lit(f) for f in feeds.FORMATS])).alias("format"))
+    text = F.coalesce(*[F.when(F.col("format") == f, feeds.to_feed_text(F.col("rec"), f)) for f in feeds.FORMATS])
+    parsed = F.coalesce(*[F.when(F.col("format") == f, feeds.parse_feed(F.col("_text"), f, FEED_SCHEMA)) for f in feeds.FORMATS])
+    return fmts.withColumn("_text", text).select("format", parsed.alias("r")).select("format", "r.*")
 
 
 QUERIES = {

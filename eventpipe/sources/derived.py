@@ -171,10 +171,14 @@ def order_events(orders: DataFrame, customer: DataFrame) -> DataFrame:
     The join is left to the planner: ``customer`` grows with the data, so it is
     not forced to broadcast (AQE broadcasts it at run time when it is small).
     """
-    from ..functions.zones import rfc3339_local
+    from ..functions.zones import with_rfc3339_local
 
     j = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    local = F.timestamp_add("HOUR", F.lit(20), F.col("o_orderdate"))
+    j = j.withColumn("_start", F.timestamp_add("HOUR", F.lit(20), F.col("o_orderdate")))
+    j = j.withColumn("_end", F.timestamp_add("HOUR", F.lit(3), F.col("_start")))
+    j = j.withColumn("_door", F.timestamp_add("HOUR", F.lit(-1), F.col("_start")))
+    for local, out in (("_start", "startDate"), ("_end", "endDate"), ("_door", "doorTime")):
+        j = with_rfc3339_local(j, local, out, CATALOGUE_ZONE)
     avail = F.coalesce(
         *[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in AVAILABILITY.items()], F.lit("")
     )
@@ -184,9 +188,9 @@ def order_events(orders: DataFrame, customer: DataFrame) -> DataFrame:
         F.concat(F.lit("EVENT "), key).alias("name"),
         F.col("o_orderpriority").alias("description"),
         F.concat(F.lit("https://images.example.com/"), key, F.lit(".jpg")).alias("image"),
-        rfc3339_local(local, CATALOGUE_ZONE).alias("startDate"),
-        rfc3339_local(F.timestamp_add("HOUR", F.lit(3), local), CATALOGUE_ZONE).alias("endDate"),
-        rfc3339_local(F.timestamp_add("HOUR", F.lit(-1), local), CATALOGUE_ZONE).alias("doorTime"),
+        "startDate",
+        "endDate",
+        "doorTime",
         F.struct(
             F.concat(F.lit("Hall "), nation).alias("name"),
             F.struct(
