@@ -18,6 +18,27 @@ def ntz_epoch(local: Column) -> Column:
     return F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit(_EPOCH_NTZ)), local)
 
 
+def _pad(c: Column, n: int) -> Column:
+    return F.lpad(c.cast("string"), n, "0")
+
+
+def ntz_text(ts: Column, time: bool = True) -> Column:
+    """``yyyy-MM-dd'T'HH:mm:ss`` (or ``yyyy-MM-dd``) of a ``TIMESTAMP_NTZ`` from its fields.
+
+    ``date_format`` casts a ``TIMESTAMP_NTZ`` through the session zone, which
+    moves wall clocks inside a daylight-saving gap; the field functions do not.
+    """
+    date = F.concat(_pad(F.year(ts), 4), F.lit("-"), _pad(F.month(ts), 2), F.lit("-"), _pad(F.dayofmonth(ts), 2))
+    if not time:
+        return date
+    return F.concat(date, F.lit("T"), _pad(F.hour(ts), 2), F.lit(":"), _pad(F.minute(ts), 2), F.lit(":"), _pad(F.second(ts), 2))
+
+
+def day_text(ts: Column) -> Column:
+    """``yyyy-MM-dd`` of a ``TIMESTAMP_NTZ`` (no session zone involved)."""
+    return F.to_date(ts).cast("string")
+
+
 def offset_seconds(local: Column, zone: str) -> Column:
     """UTC offset of ``zone`` at the wall clock ``local`` (``TIMESTAMP_NTZ``), in seconds."""
     e = ntz_epoch(local)
@@ -45,7 +66,7 @@ def with_rfc3339_local(df: DataFrame, local_col: str, out: str, zone: str) -> Da
     tmp = f"_{out}_off"
     return (
         df.withColumn(tmp, offset_seconds(F.col(local_col), zone))
-        .withColumn(out, F.concat(F.date_format(F.col(local_col), "yyyy-MM-dd'T'HH:mm:ss"), offset_text_of(F.col(tmp))))
+        .withColumn(out, F.concat(ntz_text(F.col(local_col)), offset_text_of(F.col(tmp))))
         .drop(tmp)
     )
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.zones import ntz_text
 from ..session import ensure_checkpoint_dir
 from . import store as ST
 
@@ -82,7 +83,8 @@ class EventStore:
         if add_random_suffix:
             docs = docs.withColumn("pathname", ST.with_suffix(F.col("pathname"), F.col(order)))
         if "uploaded_at" not in docs.columns:
-            docs = docs.withColumn("uploaded_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+            now_utc = F.timestamp_add("MICROSECOND", F.unix_micros(F.current_timestamp()), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
+            docs = docs.withColumn("uploaded_at", F.concat(ntz_text(now_utc), F.lit("Z")))
         vs = self._versions()
         current = self.read()
         tag = {"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("long")}

@@ -63,3 +63,51 @@ def extract_links_exact(pages: DataFrame, spec: LinkSpec = LinkSpec()) -> DataFr
             yield pd.DataFrame(rows, columns=["page_id", "src_url", "pos", "href"])
 
     return pages.select("page_id", "url", "html").mapInPandas(run, LINK_SCHEMA)
+
+
+class _Elements(HTMLParser):
+    """Collects ``(tag, attrs, text)`` for the selected elements, text up to the matching end tag."""
+
+    def __init__(self, tag: str, attr: str | None, value: str | None):
+        super().__init__(convert_charrefs=True)
+        self.tag, self.attr, self.value = tag.lower(), attr, value
+        self.found: list = []
+        self._open: list = []
+
+    def handle_starttag(self, tag, attrs):
+        amap = {k.lower(): v for k, v in reversed(attrs)}
+        if (self.tag == "*" or tag == self.tag) and (self.attr is None or amap.get(self.attr.lower()) == self.value):
+            self._open.append([tag, amap, []])
+        elif self._open:
+            self._open[-1][2].append("")
+
+    def handle_data(self, data):
+        for el in self._open:
+            el[2].append(data)
+
+    def handle_endtag(self, tag):
+        if self._open and self._open[-1][0] == tag:
+            t, a, parts = self._open.pop()
+            self.found.append((t, a, "".join(parts)))
+
+
+def map_elements(pages: DataFrame, fn, schema: str, tag: str = "*", attr: str | None = None, value: str | None = None) -> DataFrame:
+    """Per-element callback (the reference's ``OnHTML``): ``fn(url, tag, attrs, text)`` yields rows of ``schema``.
+
+    Runs with ``mapInPandas`` over the pages' partitions; each page is parsed on
+    its own, so the work is spread by Spark and nothing is gathered.
+    """
+    cols = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for url, html in zip(pdf["url"], pdf["html"]):
+                p = _Elements(tag, attr, value)
+                p.feed(html or "")
+                p.close()
+                for t, a, text in p.found:
+                    rows.extend(fn(url, t, a, text))
+            yield pd.DataFrame(rows, columns=cols)
+
+    return pages.select("url", "html").mapInPandas(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.zones import day_text
 from ..operators import routing as R
 from ..sources import derived
 from ..sources.tables import table
@@ -76,7 +77,7 @@ def run_metrics(spark, sf):
 def publish_outcome(spark, sf):
     m = _decoded(spark, sf)
     attempts = m.select(
-        F.date_format(F.col("ts"), "yyyy-MM-dd").alias("run_id"), F.col("sent_venue").alias("venue"), (~F.col("decode_ok")).alias("failed")
+        day_text(F.col("ts")).alias("run_id"), F.col("sent_venue").alias("venue"), (~F.col("decode_ok")).alias("failed")
     )
     return R.publish_outcome(attempts, "run_id", "venue", "failed")
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.zones import day_text
 from ..operators import links, routing as R, sequencing
 from ..session import state_path
 from ..sources import derived
@@ -44,7 +45,7 @@ def stream_dedup(spark, sf):
     """Keyed dedup over the event stream: one row per (run, URL)."""
     base = state_path(spark, "stream_dedup")
     ev = ST.table_stream(spark, sf, "events")
-    keyed = ev.select(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), derived.event_message_url(ev).alias("url"))
+    keyed = ev.select(day_text(F.col("ts")).alias("run_id"), derived.event_message_url(ev).alias("url"))
     ST.run_to_files(ST.dedup_keys(keyed, ["run_id", "url"]), f"{base}/out", f"{base}/ck")
     return spark.read.parquet(f"{base}/out")
 
@@ -54,7 +55,7 @@ def stream_put_if_absent(spark, sf):
     time from a lost checkpoint, i.e. a full replay); the store must not change."""
     base = state_path(spark, "stream_put")
     staged = f"{base}/events_by_day"
-    ev = table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    ev = table(spark, sf, "events").withColumn("day", day_text(F.col("ts")))
     ev.repartition("day").write.partitionBy("day").parquet(staged)
     schema = spark.read.parquet(staged).schema
     store = f"{base}/store"
@@ -73,7 +74,7 @@ def stream_put_if_absent(spark, sf):
 def _scheduled(spark, sf):
     m = R.decode_messages(derived.event_messages(table(spark, sf, "events")))
     acc = R.route(m, message_registry(spark)).where(F.col("outcome") == "accepted")
-    acc = acc.withColumn("run_id", F.date_format("ts", "yyyy-MM-dd"))
+    acc = acc.withColumn("run_id", day_text(F.col("ts")))
     seq = sequencing.number_within(acc, ["run_id", "venue"], ["event_id"], out="seq")
     run_start = F.to_timestamp_ntz(F.col("run_id"))
     delay = (F.col("seq") * F.lit(sequencing.DELAY_STEP_SECONDS)).cast("long")

@@ -43,7 +43,7 @@ def _date_text(hour_shift: int) -> Column:
     offsets = F.array(*[F.lit(o) for o in OFFSETS])
     off = F.element_at(offsets, (F.col("p_size") % 4 + 1).cast("int"))
     return F.concat(
-        F.date_format(day, "yyyy-MM-dd"),
+        day.cast("string"),
         F.lit("T"),
         F.lpad(hour.cast("string"), 2, "0"),
         F.lit(":"),
@@ -102,8 +102,10 @@ def part_documents(part: DataFrame) -> DataFrame:
 
     d = part_event_data(part, keep=(part_object_key().alias("_key"), "p_size"))
     ev = music_event(F.col("title"), F.col("first_date"), F.col("price"), F.col("url"), F.lit("DKK"))
+    from ..functions.zones import ntz_text
+
     uploaded = F.concat(
-        F.date_format(F.timestamp_add("MINUTE", F.col("p_partkey"), F.to_timestamp_ntz(F.lit("2024-04-05 19:12:36"))), "yyyy-MM-dd'T'HH:mm:ss"),
+        ntz_text(F.timestamp_add("MINUTE", F.col("p_partkey"), F.to_timestamp_ntz(F.lit("2024-04-05 19:12:36")))),
         F.lit(".679Z"),
     )
     return d.select(

@@ -24,3 +24,8 @@ def read_html_folder(spark: SparkSession, path: str) -> DataFrame:
         F.input_file_name().alias("url"),
         F.col("value").alias("html"),
     )
+
+
+def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Raw stored files as ``path, length, modificationTime`` (content is never read)."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length", "modificationTime")

@@ -85,3 +85,28 @@ def test_host_scope_is_exact(spark):
     pages = spark.createDataFrame([(1, "https://venue.example.com/", html)], "page_id long, url string, html string")
     scoped = links.scope_to_host(links.followable(links.resolve_links(links.extract_links(pages))))
     assert sorted(r.abs_url for r in scoped.collect()) == ["https://venue.example.com/y", "https://venue.example.com:81/z"]
+
+
+def test_element_callback(spark):
+    from eventpipe.operators.html_exact import map_elements
+
+    html = '<ul><li data-theme="secondary"><a href="/a">A <b>bold</b></a></li><li><a href="/b">B</a></li></ul>'
+    pages = spark.createDataFrame([(1, "https://v/", html)], "page_id long, url string, html string")
+
+    def on_anchor(url, tag, attrs, text):
+        yield (url, attrs.get("href"), text)
+
+    got = map_elements(pages, on_anchor, "url string, href string, text string", tag="a").orderBy("href").collect()
+    assert [(r.href, r.text) for r in got] == [("/a", "A bold"), ("/b", "B")]
+
+
+def test_list_files(spark, tmp_path):
+    from eventpipe.sources.tables import list_files, read_html_folder
+
+    (tmp_path / "a.html").write_text("<a href='/x'>x</a>")
+    (tmp_path / "b.html").write_text("<p>none</p>")
+    (tmp_path / "c.txt").write_text("skip")
+    files = list_files(spark, str(tmp_path), "*.html").collect()
+    assert sorted(r.length for r in files) == [11, 18]
+    pages = read_html_folder(spark, str(tmp_path))
+    assert pages.count() == 2 and links.extract_links(pages).count() == 1

@@ -27,3 +27,19 @@ def test_entry_runs(spark):
 def test_matches_oracle(spark, con, name):
     ok, msg = compare(spark, con, name, E.queries()[name], E.oracle_sql().get(name), SF)
     assert ok, msg
+
+
+ZONE_SENSITIVE = ["publish_outcome", "date_display", "event_catalogue", "list_objects", "listing_explode",
+                  "delivery_schedule", "due_messages", "retry_schedule", "stream_dedup", "event_start_dates"]
+
+
+@pytest.mark.parametrize("name", ZONE_SENSITIVE)
+def test_independent_of_session_time_zone(spark, con, name):
+    """The driver's session zone is unknown: results must not move with it (DST gaps included)."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        ok, msg = compare(spark, con, name, E.queries()[name], E.oracle_sql().get(name), SF)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ok, msg
