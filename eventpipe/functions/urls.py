@@ -92,6 +92,21 @@ def resolve(base: Column, ref: Column) -> Column:
     return F.when(ref.isNull() | ref.startswith("#"), F.lit(None).cast("string")).otherwise(out)
 
 
+def resolved_host(base: Column, ref: Column) -> Column:
+    """``host(resolve(base, ref))`` without resolving: only an absolute or ``//`` link changes host.
+
+    Cheap enough to sit in a pushed-down filter, where the full resolution would
+    be evaluated a second time.
+    """
+    r = without_fragment(ref)
+    h = (
+        F.when(r.rlike(SCHEME_RE), host(r))
+        .when(r.startswith("//"), host(F.concat(scheme(base), F.lit(":"), r)))
+        .otherwise(host(base))
+    )
+    return F.when(ref.isNull() | ref.startswith("#"), F.lit("")).otherwise(h)
+
+
 def link_status(ref: Column) -> Column:
     """Why a link cannot be followed, or ``ok``."""
     return (

@@ -41,9 +41,18 @@ def number_within(
     out: str = "seq",
     partitions: int | None = None,
     broadcast_keys: int = 2_000_000,
+    small_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """Adds ``out`` = 1, 2, ... per ``keys`` in ``order``, without a one-task window."""
+    """Adds ``out`` = 1, 2, ... per ``keys`` in ``order``, without a one-task window.
+
+    Inputs the optimizer estimates below ``small_bytes`` (its estimates for
+    scans, joins, aggregates and explodes here only over-count) take the plain
+    window: at that size one task per key is no risk and the checkpoints would
+    cost more than the sort.
+    """
     spark = df.sparkSession
+    if small_bytes and estimated_bytes(df) <= small_bytes:
+        return row_number_within(df, keys, order, out)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *_cols(keys + order)).sortWithinPartitions(*_cols(keys + order))
     tagged = (
@@ -63,6 +72,11 @@ def number_within(
     return joined.withColumn(out, seq).drop("_mid", "_part", "_local", "_first", "_before")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a plan (no job runs)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def row_number_within(df: DataFrame, keys: list[str], order: list[str], out: str = "seq") -> DataFrame:
     """The plain window form, for inputs known to be small per key."""
     w = Window.partitionBy(*keys).orderBy(*_cols(order))

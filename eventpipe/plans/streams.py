@@ -60,7 +60,7 @@ def stream_put_if_absent(spark, sf):
     schema = spark.read.parquet(staged).schema
     store = f"{base}/store"
     for attempt in ("run", "replay"):
-        s = ST.file_stream(spark, staged, schema, max_files=7)
+        s = ST.file_stream(spark, staged, schema, max_files=15)
         docs = s.select(
             F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.col("day"), F.lit(".json")).alias("pathname"),
             "event_id",

@@ -110,3 +110,14 @@ def test_list_files(spark, tmp_path):
     assert sorted(r.length for r in files) == [11, 18]
     pages = read_html_folder(spark, str(tmp_path))
     assert pages.count() == 2 and links.extract_links(pages).count() == 1
+
+
+def test_resolved_host_equals_host_of_resolved(spark):
+    refs = ["/a", "b", "//x.example.org/p", "https://Y.example.net:8/q", "mailto:z@q", "", "#f", None, "?q=1", "http:rel"]
+    bases = ["https://venue.example.com/d/p#t", "http://h.example.com", "https://u@v.example.com:9/x/"]
+    df = spark.createDataFrame([(b, r) for b in bases for r in refs], "base string, ref string")
+    out = df.select(
+        F.coalesce(U.host(U.resolve(F.col("base"), F.col("ref"))), F.lit("")).alias("a"),
+        U.resolved_host(F.col("base"), F.col("ref")).alias("b"),
+    ).collect()
+    assert all(r.a == r.b for r in out), [(r.a, r.b) for r in out if r.a != r.b]
