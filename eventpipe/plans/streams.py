@@ -66,7 +66,7 @@ def stream_put_if_absent(spark, sf):
             "event_id",
             F.col("props").alias("body"),
         )
-        sink = ST.put_if_absent_sink(store, writer="events", order="event_id", base_url=params.OBJECT_BASE_URL)
+        sink = ST.put_if_absent_sink(store, writer="events", order="event_id", base_url=params.OBJECT_BASE_URL, buckets=STORE_BUCKETS)
         ST.run_foreach_batch(docs, sink, f"{base}/ck_{attempt}")
     return spark.read.parquet(store).select("pathname", "event_id")
 
@@ -81,6 +81,7 @@ def _scheduled(spark, sf):
     return seq.withColumn("delay_s", delay).withColumn("deliver_at", F.timestamp_add("SECOND", delay, run_start))
 
 
+STORE_BUCKETS = 16
 DUE_AS_OF = "2024-01-15 12:00:00"
 DUE_SINCE = "2024-01-15 00:00:00"
 

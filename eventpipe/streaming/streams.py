@@ -60,34 +60,46 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def put_if_absent_sink(store_path: str, writer: str, order: str, base_url: str, key: str = "pathname", **put_options):
+def key_bucket(key_col: str, buckets: int):
+    """Bucket of a key: ``pmod(xxhash64(key), buckets)`` (stable across runs and engines' retries)."""
+    return F.pmod(F.xxhash64(F.col(key_col)), F.lit(buckets)).cast("int")
+
+
+def put_if_absent_sink(
+    store_path: str, writer: str, order: str, base_url: str, key: str = "pathname", buckets: int | None = None, **put_options
+):
     """A ``foreachBatch`` function writing each batch with put-if-absent.
 
-    The store is partitioned by ``writer, batch_id``. A batch is checked against
-    every partition except its own and then replaces its own partition (dynamic
-    partition overwrite), so a replayed batch, a restarted stream or a second run
-    of the same input under the same writer leaves the table as it was. Writers
-    must not commit at the same moment (Parquet has no compare-and-set).
+    The store is partitioned by ``writer, batch_id`` (and first by ``bucket`` when
+    ``buckets`` is set). A batch is checked against every partition except its
+    own and then replaces its own partition (dynamic partition overwrite), so a
+    replayed batch, a restarted stream or a second run of the same input under
+    the same writer leaves the table as it was. With ``buckets`` the check reads
+    only the buckets the batch's keys hash to (partition pruning on a list of at
+    most ``buckets`` ids), instead of every stored key. Writers must not commit
+    at the same moment (Parquet has no compare-and-set).
     """
+    parts = (["bucket"] if buckets else []) + ["writer", "batch_id"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ensure_checkpoint_dir(spark)
+        if buckets:
+            batch = batch.withColumn("bucket", key_bucket(key, buckets))
         mine = (F.col("writer") == F.lit(writer)) & (F.col("batch_id") == F.lit(batch_id))
         if _path_exists(spark, store_path):
-            others = spark.read.parquet(store_path).where(~mine).select(key)
+            stored = spark.read.parquet(store_path)
+            if buckets:
+                touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most `buckets` ids
+                stored = stored.where(F.col("bucket").isin(touched))
+            others = stored.where(~mine).select(key)
         else:
             others = batch.sparkSession.createDataFrame([], f"{key} string")
         accepted, _ = ST.put_if_absent(others, batch, order=order, key=key)
         rows = ST.object_rows(accepted, base_url, **put_options)
         rows = rows.withColumn("writer", F.lit(writer)).withColumn("batch_id", F.lit(batch_id).cast("long"))
         rows = rows.checkpoint()  # cut the read of the store before overwriting a partition of it
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("writer", "batch_id")
-            .parquet(store_path)
-        )
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(store_path)
 
     return write
 

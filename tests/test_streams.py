@@ -25,19 +25,22 @@ def test_put_if_absent_stream_replay(spark):
         [("b.json", 6, "b2"), ("d.json", 7, "d1")],
     ]
     _write_batches(spark, src, batches)
-    store = os.path.join(root, "store")
     schema = spark.read.parquet(os.path.join(src, "b000")).schema
 
-    def run(ck, writer="w"):
-        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
-        ST.run_foreach_batch(s, ST.put_if_absent_sink(store, writer=writer, order="seq", base_url=BASE), os.path.join(root, ck))
-        return sorted((r.pathname, r.body) for r in spark.read.parquet(store).collect())
-
     want = [("a.json", "a1"), ("b.json", "b1"), ("c.json", "c1"), ("d.json", "d1")]
-    assert run("ck1") == want
-    assert run("ck1") == want  # restart from the checkpoint: nothing new
-    assert run("ck2") == want  # checkpoint lost: full replay under the same writer
-    assert run("ck3", writer="other") == want  # a second writer with the same input adds nothing
+    for buckets in (None, 4):
+        store = os.path.join(root, f"store-{buckets}")
+
+        def run(ck, writer="w"):
+            s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+            sink = ST.put_if_absent_sink(store, writer=writer, order="seq", base_url=BASE, buckets=buckets)
+            ST.run_foreach_batch(s, sink, os.path.join(root, f"{ck}-{buckets}"))
+            return sorted((r.pathname, r.body) for r in spark.read.parquet(store).collect())
+
+        assert run("ck1") == want
+        assert run("ck1") == want  # restart from the checkpoint: nothing new
+        assert run("ck2") == want  # checkpoint lost: full replay under the same writer
+        assert run("ck3", writer="other") == want  # a second writer with the same input adds nothing
 
 
 def test_dedup_state(spark):
