@@ -55,7 +55,11 @@ def follow(
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
+    # The distinct edge list is built once and checkpointed: every round reads it
+    # instead of rebuilding it. It is not pre-partitioned by node on purpose: the
+    # per-round shuffle join lets AQE split a hub node that holds a third of all
+    # edges, which a co-partitioned (shuffle-free) join would leave in one task.
+    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct().checkpoint()
     reached = seeds.select("node").distinct().withColumn("depth", F.lit(1)).checkpoint()
     frontier = reached
     depth = 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import listing as L
+from ..session import state_path
 from ..sources import derived, feeds
 from ..sources.tables import table
 from . import params
@@ -19,7 +20,10 @@ def _catalogue(spark, sf):
 
 
 def event_catalogue(spark, sf):
-    c = _catalogue(spark, sf)
+    """The catalogue written as JSON files and read back with the page's event schema."""
+    folder = state_path(spark, "catalogue")
+    _catalogue(spark, sf).write.json(folder)
+    c = feeds.read_catalogue(spark, folder, L.UI_EVENT_SCHEMA, multiline=False)
     return c.select(
         "name", F.col("startDate").alias("start_date"), F.col("venueType").alias("venue_type"),
         F.col("location.name").alias("location_name"), F.col("location.address.addressLocality").alias("locality"),
@@ -53,19 +57,17 @@ FEED_SCHEMA = "name string, venue_type string, price string, start_date string"
 
 
 def read_feed(spark, sf):
-    """The catalogue as JSON, XML and CSV feed records, each parsed back with the feed schema.
-
-    One pass: each event is written in the three formats (``explode`` of a
-    3-element array) and the parser is chosen per row by format.
-    """
+    """The catalogue written as JSON, XML and CSV feed files, each read back with the feed schema."""
     c = _catalogue(spark, sf).select(
         "name", F.col("venueType").alias("venue_type"), F.col("offers.price").alias("price"), F.col("startDate").alias("start_date")
     )
-    rec = F.struct("name", "venue_type", "price", "start_date")
-    fmts = c.select(rec.alias("rec"), F.explode(F.array(*[F.lit(f) for f in feeds.FORMATS])).alias("format"))
-    text = F.coalesce(*[F.when(F.col("format") == f, feeds.to_feed_text(F.col("rec"), f)) for f in feeds.FORMATS])
-    parsed = F.coalesce(*[F.when(F.col("format") == f, feeds.parse_feed(F.col("_text"), f, FEED_SCHEMA)) for f in feeds.FORMATS])
-    return fmts.withColumn("_text", text).select("format", parsed.alias("r")).select("format", "r.*")
+    base = state_path(spark, "feeds")
+    parts = []
+    for fmt in feeds.FORMATS:
+        folder = f"{base}/{fmt}"
+        feeds.write_feed(c, folder, fmt, row_tag="event")
+        parts.append(feeds.read_feed(spark, folder, fmt, FEED_SCHEMA, row_tag="event").withColumn("format", F.lit(fmt)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("format", "name", "venue_type", "price", "start_date")
 
 
 QUERIES = {

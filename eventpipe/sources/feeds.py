@@ -25,9 +25,22 @@ def read_feed(spark: SparkSession, path: str, fmt: str, schema: str, row_tag: st
     return r.option("header", True).option("multiLine", multiline).csv(path)
 
 
-def read_catalogue(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The listing page's event catalogue: a JSON array of nested events (multi-line)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_catalogue(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
+    """The listing page's event catalogue: a JSON array of nested events (multi-line), or JSON lines."""
+    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+
+
+def write_feed(df: DataFrame, path: str, fmt: str, row_tag: str = "event") -> None:
+    """Write rows as a feed folder in ``fmt`` (one file per task; CSV with a header)."""
+    w = df.write.mode("overwrite")
+    if fmt == "json":
+        w.json(path)
+    elif fmt == "xml":
+        w.option("rowTag", row_tag).xml(path)
+    elif fmt == "csv":
+        w.option("header", True).csv(path)
+    else:
+        raise ValueError(f"unknown feed format {fmt!r}; use one of {FORMATS}")
 
 
 def parse_feed(text: Column, fmt: str, schema: str) -> Column:
