@@ -12,6 +12,7 @@ from ..sources.tables import table
 from ..specs import VenueSpec, registry_frame
 from . import params
 from . import pages as P
+from . import sql as S
 
 
 def message_registry(spark):
@@ -159,7 +160,7 @@ ORACLES = {
         "CASE WHEN json_valid(payload) THEN coalesce(json_extract_string(payload, '$.venue'), '') END AS venue, "
         "CASE WHEN json_valid(payload) THEN coalesce(json_extract_string(payload, '$.url'), '') END AS url, "
         "CASE WHEN payload IS NULL THEN 'bad_base64' WHEN NOT json_valid(payload) THEN 'malformed' ELSE 'ok' END AS outcome FROM env"
-    ).replace("routed AS (", "routed AS (", 1),
+    ),
     "message_routing": _with("SELECT message_id, venue, outcome FROM routed"),
     "messages_with_venue": _with(
         "SELECT d.message_id, d.venue, d.url, r.base_url FROM dec d JOIN registry r ON d.venue = r.venue WHERE d.decode_ok"
@@ -191,6 +192,6 @@ ORACLES = {
 
 ORACLES["pages_for_messages"] = P._with(
     "SELECT m.venue, m.url, p.page_id, CASE WHEN p.page_id IS NULL THEN 'not_fetched' ELSE 'fetched' END AS outcome "
-    "FROM (SELECT venue, url FROM new_urls UNION ALL SELECT venue, url FROM (SELECT " + __import__('eventpipe.plans.sql', fromlist=['x']).host('url') + " AS venue, url FROM pages)) m "
+    f"FROM (SELECT venue, url FROM new_urls UNION ALL SELECT {S.host('url')} AS venue, url FROM pages) m "
     "LEFT JOIN pages p ON m.url = p.url"
 )
