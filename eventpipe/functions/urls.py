@@ -36,12 +36,6 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, F.lit(r"(?s)#.*$"), F.lit(""))
 
 
-def _directory(base: Column) -> Column:
-    origin = F.regexp_extract(base, ORIGIN_RE, 1)
-    path = F.regexp_extract(base, PATH_RE, 1)
-    return F.concat(origin, F.when(path.contains("/"), F.regexp_extract(path, r"^(.*/)", 1)).otherwise(F.lit("/")))
-
-
 def remove_dot_segments(path: Column) -> Column:
     """RFC 3986 5.2.4 on an absolute path, as a fold over its segments."""
     segs = F.split(path.substr(F.lit(2), F.length(path)), "/")
@@ -58,7 +52,8 @@ def remove_dot_segments(path: Column) -> Column:
     last = F.element_at(segs, -1)
     folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
     cleaned = F.concat(F.lit("/"), F.array_join(folded, "/"))
-    return F.when(path.rlike(DOT_SEGMENT_RE) & path.startswith("/"), cleaned).otherwise(path)
+    # the cheap contains() keeps the regex off the common path without dots
+    return F.when(path.contains(".") & path.rlike(DOT_SEGMENT_RE) & path.startswith("/"), cleaned).otherwise(path)
 
 
 def escape_path(path: Column) -> Column:
@@ -73,25 +68,65 @@ def escape_path(path: Column) -> Column:
     return F.when(path.rlike(NEEDS_ESCAPE_RE), F.array_join(escaped, "")).otherwise(path)
 
 
-def resolve(base: Column, ref: Column) -> Column:
-    """Absolute URL of ``ref`` against page ``base``; null for a fragment-only or missing link."""
-    r = without_fragment(ref)
-    target = (
-        F.when(r.rlike(SCHEME_RE), r)
-        .when(r.startswith("//"), F.concat(scheme(base), F.lit(":"), r))
-        .when(r.startswith("/"), F.concat(F.regexp_extract(base, ORIGIN_RE, 1), r))
-        .when(r == "", without_fragment(base))
-        .when(r.startswith("?"), F.concat(F.regexp_replace(base, F.lit(r"(?s)[?#].*$"), F.lit("")), r))
-        .otherwise(F.concat(_directory(base), r))
-    )
+def _clean_path(path: Column) -> Column:
+    return escape_path(remove_dot_segments(path))
+
+
+def base_parts(base: Column) -> dict:
+    """Pieces of the page URL that every link on the page reuses (computed once per page)."""
+    origin = F.regexp_extract(base, ORIGIN_RE, 1)
+    path = F.regexp_extract(base, PATH_RE, 1)
+    return {
+        "base": base,
+        "origin": origin,
+        "dir_path": F.when(path.contains("/"), F.regexp_extract(path, r"^(.*/)", 1)).otherwise(F.lit("/")),
+        "scheme": scheme(base),
+        "no_fragment": without_fragment(base),
+        "no_query": F.regexp_replace(base, F.lit(r"(?s)[?#].*$"), F.lit("")),
+    }
+
+
+def _parse_rebuild(target: Column) -> Column:
     origin = F.regexp_extract(target, ORIGIN_RE, 1)
     path = F.regexp_extract(target, PATH_RE, 1)
     query = F.regexp_extract(target, QUERY_RE, 1)
-    rebuilt = F.concat(origin, escape_path(remove_dot_segments(path)), query)
-    out = F.when(origin == "", target).otherwise(rebuilt)
+    return F.when(origin == "", target).otherwise(F.concat(origin, _clean_path(path), query))
+
+
+def resolve_with(parts: dict, ref: Column) -> Column:
+    """``resolve`` given the page's ``base_parts``.
+
+    The common links (``/path`` and relative paths on a hierarchical page) are
+    joined from the page's origin and directory with ``substring_index`` and
+    ``instr``, without a regular expression; absolute, ``//``, empty and ``?``
+    links are rebuilt and parsed in full.
+    """
+    r = F.when(ref.contains("#"), without_fragment(ref)).otherwise(ref)
+    path_of_r = F.substring_index(r, "?", 1)
+    query_of_r = F.when(r.contains("?"), F.substr(r, F.instr(r, "?"))).otherwise(F.lit(""))
+    origin = parts["origin"]
+
+    def fast(prefix: Column) -> Column:
+        return F.concat(origin, _clean_path(F.concat(prefix, path_of_r)), query_of_r)
+
+    out = (
+        F.when(r.startswith("//"), _parse_rebuild(F.concat(parts["scheme"], F.lit(":"), r)))
+        .when(r.startswith("/") & (origin != ""), fast(F.lit("")))
+        .when(r.startswith("/"), _parse_rebuild(F.concat(origin, r)))
+        .when(r.rlike(SCHEME_RE), _parse_rebuild(r))
+        .when(r == "", _parse_rebuild(parts["no_fragment"]))
+        .when(r.startswith("?"), _parse_rebuild(F.concat(parts["no_query"], r)))
+        .when(origin != "", fast(parts["dir_path"]))
+        .otherwise(_parse_rebuild(F.concat(origin, parts["dir_path"], r)))
+    )
     return F.when(ref.isNull() | ref.startswith("#"), F.lit(None).cast("string")).otherwise(out)
 
 
+def resolve(base: Column, ref: Column) -> Column:
+    """Absolute URL of ``ref`` against page ``base``; null for a fragment-only or missing link."""
+    return resolve_with(base_parts(base), ref)
+
+
 def resolved_host(base: Column, ref: Column) -> Column:
     """``host(resolve(base, ref))`` without resolving: only an absolute or ``//`` link changes host.
 

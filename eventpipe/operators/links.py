@@ -19,16 +19,31 @@ def with_venue_host(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return pages.withColumn("venue", U.host(F.col(url_col)))
 
 
+_ORIGIN = "_base_origin"
+_DIR = "_base_dir"
+LINK_COLUMNS = ["page_id", "src_url", "venue", "depth", "pos", "href"]
+
+
 def extract_links(pages: DataFrame, spec: LinkSpec = LinkSpec(), depth: int = 1) -> DataFrame:
     """One row per selected element: ``page_id, src_url, venue, depth, pos, href``.
 
     ``pos`` counts from 1 in page order; ``href`` is null when the element has no
-    such attribute. Comments, scripts and styles are ignored.
+    such attribute. Comments, scripts and styles are ignored. Two helper columns
+    carry the page's origin and directory, computed once per page for
+    ``resolve_links``.
     """
     hrefs = H.select_attr(F.col("html"), spec.tag, spec.take, spec.attr, spec.value)
+    parts = U.base_parts(F.col("url"))
     return (
         with_venue_host(pages)
-        .select("page_id", F.col("url").alias("src_url"), "venue", F.posexplode(hrefs).alias("pos0", "href"))
+        .select(
+            "page_id",
+            F.col("url").alias("src_url"),
+            "venue",
+            parts["origin"].alias(_ORIGIN),
+            parts["dir_path"].alias(_DIR),
+            F.posexplode(hrefs).alias("pos0", "href"),
+        )
         .select(
             "page_id",
             "src_url",
@@ -36,15 +51,21 @@ def extract_links(pages: DataFrame, spec: LinkSpec = LinkSpec(), depth: int = 1)
             F.lit(depth).cast("int").alias("depth"),
             (F.col("pos0") + 1).cast("long").alias("pos"),
             "href",
+            _ORIGIN,
+            _DIR,
         )
     )
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
     """Adds ``status`` and ``abs_url`` (null for a fragment-only or missing link)."""
-    return links.withColumn("status", U.link_status(F.col("href"))).withColumn(
-        "abs_url", U.resolve(F.col("src_url"), F.col("href"))
+    parts = U.base_parts(F.col("src_url"))
+    if _ORIGIN in links.columns:
+        parts.update(origin=F.col(_ORIGIN), dir_path=F.col(_DIR))
+    out = links.withColumn("status", U.link_status(F.col("href"))).withColumn(
+        "abs_url", U.resolve_with(parts, F.col("href"))
     )
+    return out.drop(_ORIGIN, _DIR)
 
 
 def with_link_host(resolved: DataFrame) -> DataFrame:

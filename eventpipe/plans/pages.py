@@ -55,7 +55,7 @@ def venue_registry(spark, sf):
 
 
 def page_links(spark, sf):
-    return links.extract_links(read_pages(spark, sf))
+    return links.extract_links(read_pages(spark, sf)).select(*links.LINK_COLUMNS)
 
 
 def resolved_links(spark, sf):
