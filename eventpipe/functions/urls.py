@@ -17,6 +17,12 @@ PATH_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 QUERY_RE = r"^[^?#]*(\?[^#]*)"
 HOST_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 DOT_SEGMENT_RE = r"(^|/)\.\.?(/|$)"
+# What makes the reference's URL parser fail (control characters, a bad
+# percent escape, an unclosed IPv6 bracket, a port that is not a number, a space in the host).
+CONTROL_RE = r"[\x00-\x1f\x7f]"
+BAD_ESCAPE_RE = r"%([0-9A-Fa-f]?([^0-9A-Fa-f]|$))"
+AUTHORITY_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
+HOSTPORT_OK_RE = r"^(\[[^\]]*\]|[^\[\]:\s]*)(:[0-9]*)?$"
 # Characters kept as they are in a path; every other byte is written as %XX.
 PATH_SAFE_RE = r"[A-Za-z0-9\-._~!$&'()*+,;=:@/%]"
 NEEDS_ESCAPE_RE = r"[^A-Za-z0-9\-._~!$&'()*+,;=:@/%]"
@@ -142,6 +148,19 @@ def resolved_host(base: Column, ref: Column) -> Column:
     return F.when(ref.isNull() | ref.startswith("#"), F.lit("")).otherwise(h)
 
 
+def parsable(url: Column) -> Column:
+    """False where the reference's URL parser fails: such a message is ``bad_url`` and retried."""
+    authority = F.regexp_extract(url, AUTHORITY_RE, 1)
+    hostport = F.regexp_replace(authority, r"^.*@", "")
+    bad = (
+        url.rlike(CONTROL_RE)
+        | url.startswith(":")
+        | (url.contains("%") & url.rlike(BAD_ESCAPE_RE))
+        | ~hostport.rlike(HOSTPORT_OK_RE)
+    )
+    return F.coalesce(~bad, F.lit(False))
+
+
 def link_status(ref: Column) -> Column:
     """Why a link cannot be followed, or ``ok``."""
     return (

@@ -4,8 +4,8 @@ document (P9) and object key (P10).
 One narrow pass per page: the script text is found by native regex, validated by
 the strict decoder (Arrow batches), projected by native ``from_json`` and
 ``struct``. Per-message outcomes name every way a message can end
-(``not_fetched, no_script, bad_json, empty_slug``; the store adds ``exists,
-stored``).
+(``bad_url, not_fetched, no_script, bad_json, empty_slug``; the store adds
+``exists, stored``). Only ``bad_url`` is an error the reference retries.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import html as H
 from ..functions import jsontext
+from ..functions import urls as U
 from ..functions.strict_json import strict_decode
 from ..specs import ScriptSpec
 
@@ -131,7 +132,8 @@ def extract_events(
     )
     decoded = decode_event_data(exploded.withColumn("script_pos", (F.col("pos0") + 1).cast("long")).drop("pos0"))
     outcome = (
-        F.when(~F.col("_fetched"), F.lit("not_fetched"))
+        F.when(~U.parsable(F.col("url")), F.lit("bad_url"))
+        .when(~F.col("_fetched"), F.lit("not_fetched"))
         .when(F.col("json_text").isNull(), F.lit("no_script"))
         .when(~F.col("json_ok"), F.lit("bad_json"))
         .when((F.col("slug") == "") & F.lit(not keep_empty), F.lit("empty_slug"))

@@ -122,6 +122,7 @@ msg AS (
       WHEN event_id % 97 = 0 THEN substring(good, 1, 17)
       WHEN event_id % 89 = 0 THEN concat('{{"name":"', event_type, '","url":"', url, '"}}')
       WHEN event_id % 83 = 0 THEN concat('{{"venue":"', event_type, '","url":""}}')
+      WHEN event_id % 79 = 0 THEN concat('{{"venue":"', event_type, '","url":"https://[', event_type, '.example.com/e/"}}')
       ELSE good END AS body
   FROM (
     SELECT *, concat('{{"venue":"', event_type, '","url":"', url, '"}}') AS good FROM (

@@ -99,6 +99,16 @@ def resolve(base: str, ref: str) -> str:
     return f"CASE WHEN {ref} IS NULL OR starts_with({ref}, '#') THEN NULL ELSE {out} END"
 
 
+def parsable(url: str) -> str:
+    hostport = f"regexp_replace(regexp_extract({url}, {lit(U.AUTHORITY_RE)}, 1), '^.*@', '')"
+    bad = (
+        f"(regexp_matches({url}, {lit(U.CONTROL_RE)}) OR starts_with({url}, ':') "
+        f"OR (contains({url}, '%') AND regexp_matches({url}, {lit(U.BAD_ESCAPE_RE)})) "
+        f"OR NOT regexp_matches({hostport}, {lit(U.HOSTPORT_OK_RE)}))"
+    )
+    return f"coalesce(NOT {bad}, false)"
+
+
 def link_status(ref: str) -> str:
     return (
         f"CASE WHEN {ref} IS NULL THEN 'missing_href' WHEN {ref} = '' THEN 'empty_href' "

@@ -94,10 +94,11 @@ def due_messages(spark, sf):
 
 
 def retry_schedule(spark, sf):
-    """T4: messages that fail every time (empty URL) are retried every 60 s until
-    ``MAX_ATTEMPTS``; the last attempt goes to dead letters."""
+    """T4: accepted messages whose URL does not parse (``bad_url``, the one extract error the
+    reference retries) are retried every 60 s until ``MAX_ATTEMPTS``; the last attempt goes
+    to dead letters. An empty URL is not retried: it fails to fetch and is acknowledged."""
     m = R.decode_messages(derived.event_messages(table(spark, sf, "events")))
-    failing = R.route(m, message_registry(spark)).where((F.col("outcome") == "accepted") & (F.col("url") == ""))
+    failing = R.route(m, message_registry(spark)).where((F.col("outcome") == "accepted") & ~U.parsable(F.col("url")))
     attempts = failing.select("message_id", "ts", F.explode(F.sequence(F.lit(1), F.lit(params.MAX_ATTEMPTS))).alias("attempt"))
     return attempts.select(
         "message_id",
@@ -141,5 +142,5 @@ ORACLES = {
     "retry_schedule": f"WITH {MESSAGES_CTE}\nSELECT message_id, CAST(a AS BIGINT) AS attempt, "
     f"ts + to_seconds((a - 1) * {params.RETRY_AFTER_S}) AS attempt_at, "
     f"CASE WHEN a = {params.MAX_ATTEMPTS} THEN 'dead_letter' ELSE 'retry' END AS action "
-    f"FROM routed, range(1, {params.MAX_ATTEMPTS} + 1) t(a) WHERE outcome = 'accepted' AND url = ''",
+    f"FROM routed, range(1, {params.MAX_ATTEMPTS} + 1) t(a) WHERE outcome = 'accepted' AND NOT {S.parsable('url')}",
 }

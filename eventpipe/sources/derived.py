@@ -122,7 +122,7 @@ def event_messages(events: DataFrame) -> DataFrame:
     venue = ``event_type``; the URL carries the user and ``props.k``. Every 97th
     body is cut short (malformed), every 89th uses the key ``name`` in place of
     ``venue`` (the key-drift bug the reference's contract test guards), every
-    83rd has an empty URL.
+    83rd has an empty URL, every 79th a URL the parser rejects (unclosed ``[``).
     """
     venue = F.col("event_type")
     url = F.concat(
@@ -134,6 +134,7 @@ def event_messages(events: DataFrame) -> DataFrame:
         F.when(F.col("event_id") % 97 == 0, F.substring(good, 1, 17))
         .when(F.col("event_id") % 89 == 0, F.concat(F.lit('{"name":"'), venue, F.lit('","url":"'), url, F.lit('"}')))
         .when(F.col("event_id") % 83 == 0, F.concat(F.lit('{"venue":"'), venue, F.lit('","url":""}')))
+        .when(F.col("event_id") % 79 == 0, F.concat(F.lit('{"venue":"'), venue, F.lit('","url":"https://['), venue, F.lit('.example.com/e/"}')))
         .otherwise(good)
     )
     return events.select(

@@ -126,7 +126,8 @@ def test_extract_outcomes(spark):
         ],
         "url string, html string",
     )
-    msgs = spark.createDataFrame([("v", u) for u in ["https://v/ok", "https://v/bad", "https://v/none", "https://v/empty", "https://v/missing"]], "venue string, url string")
+    urls = ["https://v/ok", "https://v/bad", "https://v/none", "https://v/empty", "https://v/missing", "https://[v/x", ""]
+    msgs = spark.createDataFrame([("v", u) for u in urls], "venue string, url string")
     got = {r.url: r.outcome for r in X.extract_events(msgs, pages).collect()}
     assert got == {
         "https://v/ok": "extracted",
@@ -134,4 +135,6 @@ def test_extract_outcomes(spark):
         "https://v/none": "no_script",
         "https://v/empty": "empty_slug",
         "https://v/missing": "not_fetched",
+        "https://[v/x": "bad_url",
+        "": "not_fetched",
     }

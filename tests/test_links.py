@@ -143,3 +143,33 @@ def test_resolve_matches_sql_oracle_on_edge_cases(spark):
     want = {(b, r): a for b, r, a in con.execute(f"SELECT base, ref, {S.resolve('base', 'ref')} FROM t").fetchall()}
     bad = [(r.base, r.ref, r.abs, want[(r.base, r.ref)]) for r in got if r.abs != want[(r.base, r.ref)]]
     assert not bad, bad[:5]
+
+
+def test_parsable_urls(spark):
+    import duckdb
+
+    from eventpipe.plans import sql as S
+
+    cases = {
+        "https://vega.dk/event/example": True,
+        "https://vega.dk:8080/x": True,
+        "http://[::1]:80/a": True,
+        "https://u:p@h.example.com/": True,
+        "https://h.example.com/a%20b": True,
+        "mailto:x@y": True,
+        "": True,
+        "https://[vega.dk/e/": False,
+        "https://vega.dk:80x/": False,
+        "https://ve ga.dk/": False,
+        "https://vega.dk/%zz": False,
+        "https://vega.dk/%4": False,
+        "https://vega.dk/\x01": False,
+        ":no-scheme": False,
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "u string")
+    got = {r.u: r.ok for r in df.select("u", U.parsable(F.col("u")).alias("ok")).collect()}
+    assert got == cases
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(u VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [(u,) for u in cases])
+    assert dict(con.execute(f"SELECT u, {S.parsable('u')} FROM t").fetchall()) == cases
