@@ -75,4 +75,5 @@ def extract(messages: DataFrame, pages: DataFrame, spec: VenueSpec, keep_empty:
     script = spec.script or ScriptSpec()
     if spec.script is None:
         return X.extract_events(messages.limit(0), pages, script, keep_empty)
-    return X.extract_events(messages, pages, script, keep_empty=keep_empty, currency=spec.currency)
+    out = X.extract_events(messages, pages, script, keep_empty=keep_empty, currency=spec.currency)
+    return spec.post(out) if spec.post is not None else out

@@ -3,7 +3,7 @@ metrics (A4) and the fan-out outcome (A1).
 
 A message ends in exactly one outcome: ``malformed`` (the body does not decode),
 ``unknown_venue`` (no registry entry) or ``accepted``. The registry is a small
-dimension and is broadcast; everything else is narrow, except the metric
+dimension and is broadcast after a row-bound check; everything else is narrow, except the metric
 aggregates, which combine map-side before their shuffle.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import b64decode_text
+from .joins import bounded_broadcast
 from ..functions.strict_json import strict_decode
 
 SCRAPE_FIELDS = ("venue",)
@@ -43,9 +44,9 @@ def decode_envelopes(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 def with_registry(decoded: DataFrame, registry: DataFrame) -> DataFrame:
-    """Left join to the registry (broadcast: its size is the number of venue specs)."""
+    """Left join to the registry (broadcast after a row-bound check; a registry is one row per venue spec)."""
     reg = registry.select(F.col("venue").alias("_rv"), "base_url")
-    return decoded.join(F.broadcast(reg), F.col("venue") == F.col("_rv"), "left").withColumn(
+    return decoded.join(bounded_broadcast(reg), F.col("venue") == F.col("_rv"), "left").withColumn(
         "known_venue", F.col("_rv").isNotNull()
     ).drop("_rv")
 
@@ -63,12 +64,12 @@ def route(decoded: DataFrame, registry: DataFrame) -> DataFrame:
 
 def accepted_with_venue(decoded: DataFrame, registry: DataFrame) -> DataFrame:
     """Messages joined to their venue definition (inner, broadcast)."""
-    return decoded.where(F.col("decode_ok")).join(F.broadcast(registry.select("venue", "base_url")), "venue")
+    return decoded.where(F.col("decode_ok")).join(bounded_broadcast(registry.select("venue", "base_url")), "venue")
 
 
 def unknown_venues(decoded: DataFrame, registry: DataFrame) -> DataFrame:
     """Decoded messages whose venue has no registry entry (left anti, broadcast)."""
-    return decoded.where(F.col("decode_ok")).join(F.broadcast(registry.select("venue")), "venue", "left_anti")
+    return decoded.where(F.col("decode_ok")).join(bounded_broadcast(registry.select("venue")), "venue", "left_anti")
 
 
 def required_field_violations(decoded: DataFrame, fields=EXTRACT_FIELDS, id_col: str = "message_id") -> DataFrame:

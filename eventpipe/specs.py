@@ -7,6 +7,7 @@ are small dimension DataFrames built from specs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,9 @@ class VenueSpec:
     script: ScriptSpec | None = None
     currency: str = "DKK"
     extra: dict = field(default_factory=dict)
+    # Optional per-venue step on the extracted rows (DataFrame -> DataFrame), e.g. a
+    # venue that writes its price in øre; it must return the same columns.
+    post: Callable | None = field(default=None, compare=False)
 
     @property
     def host(self) -> str:

@@ -59,3 +59,23 @@ def test_extract_run(spark, pages):
     }
     assert rows["https://vega.dk/event/a"].pathname == "a.json"
     assert rows["https://vega.dk/event/a"].event["offers"]["price"] == 100
+
+
+def test_venue_post_step(spark, pages):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    spec = replace(find_venue("vega"), post=lambda df: df.withColumn("venue_note", F.lit("checked")))
+    msgs = spark.createDataFrame([("vega", "https://vega.dk/event/a")], "venue string, url string")
+    assert jobs.extract(msgs, pages, spec).first().venue_note == "checked"
+
+
+def test_bounded_broadcast(spark):
+    from eventpipe.operators.joins import bounded_broadcast
+
+    small = spark.range(10)
+    big = spark.range(100)
+    assert "BroadcastExchange" in small.join(bounded_broadcast(small, 10), "id")._jdf.queryExecution().executedPlan().toString()
+    plan = spark.range(1000).join(bounded_broadcast(big, 50), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()
