@@ -1,5 +1,6 @@
 """Link selection and resolution on hand-made pages (FIXTURES.md §3, links)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventpipe.functions import urls as U
@@ -173,3 +174,16 @@ def test_parsable_urls(spark):
     con.execute("CREATE TABLE t(u VARCHAR)")
     con.executemany("INSERT INTO t VALUES (?)", [(u,) for u in cases])
     assert dict(con.execute(f"SELECT u, {S.parsable('u')} FROM t").fetchall()) == cases
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_regex_and_parser_agree_on_driver_pages(spark, sf):
+    import os
+
+    if not os.path.exists(f"{sf}/pages.parquet"):
+        pytest.skip("no test data")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    native = links.extract_links(pages).select("page_id", "pos", "href")
+    exact = extract_links_exact(pages).select("page_id", "pos", "href")
+    assert native.count() > 0
+    assert native.exceptAll(exact).count() == 0 and exact.exceptAll(native).count() == 0
