@@ -43,3 +43,23 @@ def read_html_folder(spark: SparkSession, path: str) -> DataFrame:
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Raw stored files as ``path, length, modificationTime`` (content is never read)."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length", "modificationTime")
+
+
+def write_bucketed_pages(pages: DataFrame, table_name: str, buckets: int) -> DataFrame:
+    """Save page snapshots as a table bucketed and sorted by ``url``; returns the table.
+
+    Joins on ``url`` against it (the extract stage) then shuffle only the other
+    side: the page HTML, by far the largest data, stays where it was written. The
+    table lives in the session's warehouse (shared storage on a cluster). Write it
+    once per snapshot load, not per query.
+    """
+    spark = pages.sparkSession
+    (
+        pages.select("page_id", "url", "html")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "url")
+        .sortBy("url")
+        .format("parquet")
+        .saveAsTable(table_name)
+    )
+    return spark.table(table_name)

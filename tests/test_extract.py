@@ -138,3 +138,26 @@ def test_extract_outcomes(spark):
         "https://[v/x": "bad_url",
         "": "not_fetched",
     }
+
+
+def test_extract_against_bucketed_pages_shuffles_only_messages(spark):
+    from eventpipe.sources.tables import write_bucketed_pages
+
+    raw = spark.createDataFrame(
+        [(i, f"https://v/{i}", page(wrap({"title": f"T{i}", "slug": f"t{i}", "price": i}))) for i in range(40)],
+        "page_id long, url string, html string",
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # inspect the static plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for pages too large to broadcast
+    try:
+        pages = write_bucketed_pages(raw, "eventpipe_test_pages", 8)
+        msgs = spark.createDataFrame([("v", f"https://v/{i}") for i in range(0, 60, 3)], "venue string, url string")
+        out = X.extract_events(msgs, pages)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan, plan
+        assert plan.count("Exchange hashpartitioning") == 1, plan  # the messages only
+        got = {r.url: r.outcome for r in out.collect()}
+        assert sum(v == "extracted" for v in got.values()) == 14 and sum(v == "not_fetched" for v in got.values()) == 6
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
