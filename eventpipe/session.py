@@ -30,6 +30,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -54,3 +55,30 @@ def state_path(spark: SparkSession, *parts: str) -> str:
     """A fresh folder below the shared checkpoint folder, for stream checkpoints and tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "eventpipe", *parts, uuid.uuid4().hex)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``eventpipe`` importable in the Python workers (UDFs, ``mapInPandas``).
+
+    The package is zipped once per application and added with ``addPyFile``, so
+    Spark ships it to every executor; nothing has to be installed there.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="eventpipe-pyfiles-"), "eventpipe.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
