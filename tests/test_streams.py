@@ -65,3 +65,37 @@ def test_retry_sink(spark):
     ST.run_foreach_batch(s, ST.retry_sink(out, retry_after_s=60, max_attempts=3), os.path.join(root, "ck"))
     got = {r.message_id: (r.attempt, str(r.next_at), r.action) for r in spark.read.parquet(out).collect()}
     assert got == {"m1": (2, "2024-01-01 00:01:00", "retry"), "m2": (4, "2024-01-01 00:02:00", "dead_letter")}
+
+
+def test_put_if_absent_stream_failed_batch_and_duplicate_file(spark):
+    import shutil
+
+    import pytest
+
+    root = tempfile.mkdtemp(prefix="stream-crash-")
+    src = os.path.join(root, "in")
+    _write_batches(spark, src, [[("a.json", 1, "a1")], [("b.json", 2, "b1"), ("a.json", 3, "a2")], [("c.json", 4, "c1")]])
+    schema = spark.read.parquet(os.path.join(src, "b000")).schema
+    store = os.path.join(root, "store")
+    ck = os.path.join(root, "ck")
+    inner = ST.put_if_absent_sink(store, writer="w", order="seq", base_url=BASE, buckets=4)
+    crashed = []
+
+    def crash_once(batch, batch_id):
+        inner(batch, batch_id)  # the write lands ...
+        if batch_id == 1 and not crashed:
+            crashed.append(batch_id)
+            raise RuntimeError("executor lost before the batch committed")  # ... but the batch never commits
+
+    def run(fn):
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+        ST.run_foreach_batch(s, fn, ck)
+        return sorted((r.pathname, r.body) for r in spark.read.parquet(store).collect())
+
+    with pytest.raises(Exception):
+        run(crash_once)
+    want = [("a.json", "a1"), ("b.json", "b1"), ("c.json", "c1")]
+    assert run(crash_once) == want  # restart: batch 1 runs again from the checkpoint
+    # the same file again under another name: every key exists, nothing changes
+    shutil.copytree(os.path.join(src, "b001"), os.path.join(src, "b099"))
+    assert run(inner) == want
