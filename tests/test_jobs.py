@@ -79,3 +79,15 @@ def test_bounded_broadcast(spark):
     assert "BroadcastExchange" in small.join(bounded_broadcast(small, 10), "id")._jdf.queryExecution().executedPlan().toString()
     plan = spark.range(1000).join(bounded_broadcast(big, 50), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan.lower()
+
+
+def test_seed_is_marked_visited_as_given(spark):
+    """The seed string is visited exactly as written: with the seed ``https://vega.dk``, a
+    link to ``https://vega.dk/`` is a new URL (the reference compares strings)."""
+    site = spark.createDataFrame(
+        [(1, "https://vega.dk", '<a data-theme="secondary" href="https://vega.dk/">home</a>'
+                                '<a data-theme="secondary" href="https://vega.dk">self</a>')],
+        "page_id long, url string, html string",
+    )
+    urls = [m.url for m in jobs.scrape(site, find_venue("vega"), "2026-01-01 00:00:00").collect()]
+    assert urls == ["https://vega.dk/"]
