@@ -7,7 +7,7 @@ dot segments are removed and the path is percent-escaped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # URL grammar pieces, shared with the SQL oracle.
@@ -92,42 +92,57 @@ def base_parts(base: Column) -> dict:
     }
 
 
-def _parse_rebuild(target: Column) -> Column:
-    origin = F.regexp_extract(target, ORIGIN_RE, 1)
-    path = F.regexp_extract(target, PATH_RE, 1)
-    query = F.regexp_extract(target, QUERY_RE, 1)
-    return F.when(origin == "", target).otherwise(F.concat(origin, _clean_path(path), query))
+def _stripped(ref: Column) -> Column:
+    return F.when(ref.contains("#"), without_fragment(ref)).otherwise(ref)
 
 
-def resolve_with(parts: dict, ref: Column) -> Column:
-    """``resolve`` given the page's ``base_parts``.
-
-    The common links (``/path`` and relative paths on a hierarchical page) are
-    joined from the page's origin and directory with ``substring_index`` and
-    ``instr``, without a regular expression; absolute, ``//``, empty and ``?``
-    links are rebuilt and parsed in full.
-    """
-    r = F.when(ref.contains("#"), without_fragment(ref)).otherwise(ref)
-    path_of_r = F.substring_index(r, "?", 1)
-    query_of_r = F.when(r.contains("?"), F.substr(r, F.instr(r, "?"))).otherwise(F.lit(""))
+def _generic_target(parts: dict, r: Column) -> Column:
+    """The full target text for absolute, ``//``, empty, ``?`` and non-hierarchical links; null otherwise."""
     origin = parts["origin"]
+    return (
+        F.when(r.startswith("//"), F.concat(parts["scheme"], F.lit(":"), r))
+        .when(r.startswith("/") & (origin == ""), F.concat(origin, r))
+        .when(r.startswith("/"), F.lit(None).cast("string"))
+        .when(r.rlike(SCHEME_RE), r)
+        .when(r == "", parts["no_fragment"])
+        .when(r.startswith("?"), F.concat(parts["no_query"], r))
+        .when(origin == "", F.concat(origin, parts["dir_path"], r))
+    )
+
 
-    def fast(prefix: Column) -> Column:
-        return F.concat(origin, _clean_path(F.concat(prefix, path_of_r)), query_of_r)
-
-    out = (
-        F.when(r.startswith("//"), _parse_rebuild(F.concat(parts["scheme"], F.lit(":"), r)))
-        .when(r.startswith("/") & (origin != ""), fast(F.lit("")))
-        .when(r.startswith("/"), _parse_rebuild(F.concat(origin, r)))
-        .when(r.rlike(SCHEME_RE), _parse_rebuild(r))
-        .when(r == "", _parse_rebuild(parts["no_fragment"]))
-        .when(r.startswith("?"), _parse_rebuild(F.concat(parts["no_query"], r)))
-        .when(origin != "", fast(parts["dir_path"]))
-        .otherwise(_parse_rebuild(F.concat(origin, parts["dir_path"], r)))
+def _assemble(parts: dict, ref: Column, r: Column, generic: Column) -> Column:
+    is_generic = generic.isNotNull()
+    o = F.when(is_generic, F.regexp_extract(generic, ORIGIN_RE, 1)).otherwise(parts["origin"])
+    fast_path = F.concat(F.when(r.startswith("/"), F.lit("")).otherwise(parts["dir_path"]), F.substring_index(r, "?", 1))
+    p = F.when(is_generic, F.regexp_extract(generic, PATH_RE, 1)).otherwise(fast_path)
+    q = F.when(is_generic, F.regexp_extract(generic, QUERY_RE, 1)).otherwise(
+        F.when(r.contains("?"), F.substr(r, F.instr(r, "?"))).otherwise(F.lit(""))
     )
+    out = F.when(is_generic & (o == ""), generic).otherwise(F.concat(o, _clean_path(p), q))
     return F.when(ref.isNull() | ref.startswith("#"), F.lit(None).cast("string")).otherwise(out)
 
 
+def resolve_with(parts: dict, ref: Column) -> Column:
+    """``resolve`` given the page's ``base_parts``, as one expression.
+
+    The common links (``/path`` and relative paths on a hierarchical page) take
+    their origin and directory from the page and split off the query with
+    ``substring_index`` / ``instr``, without a regular expression; absolute,
+    ``//``, empty and ``?`` links are written out in full and parsed. The path is
+    cleaned (dot segments, escapes) once. ``with_resolved`` is the same in three
+    projections, which keeps the generated code small.
+    """
+    r = _stripped(ref)
+    return _assemble(parts, ref, r, _generic_target(parts, r))
+
+
+def with_resolved(df: DataFrame, parts: dict, ref_col: str, out: str) -> DataFrame:
+    """Adds ``out`` = the resolved link, computed in steps so each piece is generated once."""
+    ref = F.col(ref_col)
+    staged = df.withColumn("_r", _stripped(ref)).withColumn("_g", _generic_target(parts, F.col("_r")))
+    return staged.withColumn(out, _assemble(parts, ref, F.col("_r"), F.col("_g"))).drop("_r", "_g")
+
+
 def resolve(base: Column, ref: Column) -> Column:
     """Absolute URL of ``ref`` against page ``base``; null for a fragment-only or missing link."""
     return resolve_with(base_parts(base), ref)

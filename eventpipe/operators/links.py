@@ -62,9 +62,7 @@ def resolve_links(links: DataFrame) -> DataFrame:
     parts = U.base_parts(F.col("src_url"))
     if _ORIGIN in links.columns:
         parts.update(origin=F.col(_ORIGIN), dir_path=F.col(_DIR))
-    out = links.withColumn("status", U.link_status(F.col("href"))).withColumn(
-        "abs_url", U.resolve_with(parts, F.col("href"))
-    )
+    out = U.with_resolved(links.withColumn("status", U.link_status(F.col("href"))), parts, "href", "abs_url")
     return out.drop(_ORIGIN, _DIR)
 
 
