@@ -42,7 +42,7 @@ FEATURES = (
     "root_duplicate_lines", "log_line_words", "distinct_share", "root_accented", "log_exclamations",
 )
 SHRINKAGE, RIDGE = 0.05, 0.01
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _EXCLAMATION, _LEADS = byte_class(b"!"), byte_class(range(0xC0, 0x100))
 
 

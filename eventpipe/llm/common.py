@@ -14,10 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(SF_NAME.format(sf_dir.rstrip("/"), name))
 
 
+#: Spark's own defaults, and what the operators need so that a batch of long texts stays small in a Python worker.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"),
+}
+
+
 def ready(df: DataFrame) -> SparkSession:
-    """The frame's session, after making sure that Python workers can import this package."""
-    ship_package(df.sparkSession)
-    return df.sparkSession
+    """The frame's session, after making sure that Python workers can import this package.
+
+    Arrow batches are made smaller if the session has Spark's defaults; a value that somebody chose stays.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    for key, (default, value) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+    return spark
 
 
 def partitions(spark: SparkSession) -> int:

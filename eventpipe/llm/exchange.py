@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import partitions, ready
-from .text import mix, slices
+from .text import blocks, mix
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 ROWS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("body", pa.binary())])
 SPARK_ROWS = "block string, bucket int, body binary"
 DOCUMENTS = -1  # the bucket of a block's own documents
@@ -72,16 +72,15 @@ def ask(
     buckets = partitions(spark)
 
     def run(batches: Iterator[pa.RecordBatch], want_documents: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text, block_bytes):
-                own, questions = split(part, buckets)
-                body = pack(own)
-                name = xxhash.xxh3_128_hexdigest(body)
-                if want_documents:
-                    head = len(questions).to_bytes(4, "little")  # how many answers to wait for
-                    yield _rows([(name, DOCUMENTS, head + body)])
-                elif questions:
-                    yield _rows([(name, k, pack(keys)) for k, keys in questions])
+        for part in blocks(batches, text, block_bytes):
+            own, questions = split(part, buckets)
+            body = pack(own)
+            name = xxhash.xxh3_128_hexdigest(body)
+            if want_documents:
+                head = len(questions).to_bytes(4, "little")  # how many answers to wait for
+                yield _rows([(name, DOCUMENTS, head + body)])
+            elif questions:
+                yield _rows([(name, k, pack(keys)) for k, keys in questions])
 
     questions = docs.mapInArrow(lambda it: run(it, False), SPARK_ROWS)
     documents = docs.mapInArrow(lambda it: run(it, True), SPARK_ROWS)

@@ -22,7 +22,7 @@ _BYTE_FOLDED = _BYTE.copy()
 _BYTE_FOLDED[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-PIECE = 1 << 20
+PIECE = 1 << 18
 _powers: list[np.ndarray] = []
 
 
@@ -146,3 +146,19 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int) -> Iterator[pa.Rec
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most_bytes, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    pa.default_memory_pool().release_unused()
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str, least_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition in blocks that end once they hold ``least_bytes`` of text (the last may hold less)."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, text, least_bytes):
+            held.append(part)
+            size += int(buffers(part[text])[1][-1])
+            if size >= least_bytes:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    held = [b for b in held if b.num_rows]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
