@@ -24,6 +24,8 @@ in ``decontaminate`` and stays in ``clean``, which adds none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,20 +86,35 @@ def judge(docs: DataFrame, items: DataFrame, text_col: str, item_id_col: str, it
         .groupBy("key")
         .agg(F.collect_set(F.struct(start.alias("start"), "words", "items")).alias("found"))
     )
-    w = F.col("w")
-    same = F.filter("found", lambda c: F.transform(F.slice(w, c["start"] + 1, F.size(c["words"])), fold) == c["words"])
-    hit = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + F.size(c["words"]) - 1))))
-    items_hit = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"]))))
-    n_words, n_hit = F.col("n_words"), F.col("n_hit")
-    return (
-        rows.join(candidates, "key", "left")
-        .select("row", words(F.col("text")).alias("w"), "found")
-        .select("row", F.size("w").cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), same).alias("hits"))
-        .select("row", "n_words", F.coalesce(F.size(hit), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items_hit, F.array().cast("array<string>")).alias("items"))
-        .select("row", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((n_hit > 0) & (n_hit * hits_per_word >= n_words)).alias("contaminated"))
+
+    def verdict(w: Column, hits: Column) -> Column:
+        hit = F.array_distinct(F.flatten(F.transform(hits, lambda c: F.sequence(c["start"], c["start"] + F.size(c["words"]) - 1))))
+        items_hit = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda c: c["items"]))))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.coalesce(F.size(hit), F.lit(0)).cast("long").alias("n_hit"),
+            F.coalesce(items_hit, F.array().cast("array<string>")).alias("items"),
+        )
+
+    def same(w: Column) -> Column:
+        return F.when(F.col("found").isNotNull(), F.filter("found", lambda c: F.transform(F.slice(w, c["start"] + 1, F.size(c["words"])), fold) == c["words"]))
+
+    judged = bind(words(F.col("text")), lambda w: bind(same(w), lambda hits: verdict(w, hits)))
+    return rows.join(candidates, "key", "left").select("row", judged.alias("v")).select(
+        "row",
+        "v.n_words",
+        "v.n_hit",
+        F.size("v.items").cast("long").alias("n_items"),
+        "v.items",
+        ((F.col("v.n_hit") > 0) & (F.col("v.n_hit") * hits_per_word >= F.col("v.n_words"))).alias("contaminated"),
     )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: a column used twice would be split anew for each use (and each element of a lambda)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,
