@@ -16,9 +16,11 @@
 5. Links are confirmed on the full sets, and components are found by alternating
    large-star and small-star steps.
 6. A band key whose classes still lie in several components is compared in full,
-   but inside its tasks: its rows are dealt to a grid of cells of bounded size
-   and only pairs of different components whose estimate passes leave a task.
-   They are confirmed in the same way, so no link between components is lost.
+   but inside its tasks: its texts are dealt to a grid of cells of bounded size,
+   each pair is looked at under the first band that it shares, pairs that pass
+   size and estimate are confirmed on their full sets in place, and only links
+   that join two components leave the task. So no link between components is
+   lost, and no more rows come out than went in.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and is linked with nothing; fewer words than a shingle are one shingle; rows
@@ -42,7 +44,7 @@ from .text import buffers, documents_of, hash_words, rolling, slices, word_bound
 REGISTERS, ROWS, MANTISSA = 112, 4, 10
 BANDS = REGISTERS // ROWS
 MARGIN = 0.2
-CELL = 1024
+CELL, CELL_SHINGLES = 512, 1 << 20
 _RNG = np.random.default_rng(77)
 _FLIP = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2)
 _TIMES = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,13 +156,12 @@ def sketches(texts: DataFrame, width: int) -> DataFrame:
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
-    """(key, doc, n, sketch-free): one row per class and band."""
+    """(key, doc): one row per class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = _matrix(batch.column(1)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                keys ^= np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+                keys = _mixed(_matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "doc"]
                 )
@@ -233,33 +234,82 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.union(edges.select(F.col("v"), F.col("v"))).distinct()
 
 
-def _residual(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of different components that share a band key and are not pairs with the key's leader."""
+def _mixed(rows: np.ndarray) -> np.ndarray:
+    """Band keys (documents x BANDS) of register rows."""
+    return (rows.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _shared_shingles(hs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Intersection sizes of all pairs of sets, as products of blocks of the incidence matrix."""
+    n = len(offsets) - 1
+    _, column, count = np.unique(hs, return_inverse=True, return_counts=True)
+    row = documents_of(offsets)
+    often = count > 1
+    number = np.cumsum(often) - 1
+    keep = often[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column)
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), dtype=np.float32)
+    for lo in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(column, (lo, lo + 4096))
+        block = np.zeros((n, 4096), dtype=np.float32)
+        block[row[a:b], column[a:b] - lo] = 1
+        out += block @ block.T
+    return out.astype(np.int64)
+
+
+def _residual(members: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a band key, enough of them to join all that any link joins."""
+    threshold = percent / 100
     seen = members.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
     seen = seen.select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    open_keys = seen.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_keys = open_keys.where("size > 2 and lo != hi").select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
+    seen = seen.join(classes.groupBy("doc").agg(F.max("n").alias("n")), "doc")
+    open_keys = seen.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    cells = F.greatest(F.ceil(F.col("size") / CELL), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int")
+    open_keys = open_keys.where("size > 2 and lo != hi").select("key", cells.alias("cells"))
     dealt = seen.join(open_keys, "key").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int"))
     dealt = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     dealt = dealt.select("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c", "doc", "component")
-    dealt = dealt.join(classes.select("doc", "n", "sketch"), "doc")
+    dealt = dealt.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
 
     def run(group: pa.Table) -> pa.Table:
-        sketch, doc, comp, n, c = _matrix(group["sketch"]), *(group[x].to_numpy() for x in ("doc", "component", "n", "c"))
-        same_cell = group["i"][0].as_py() == group["j"][0].as_py()
-        out_a, out_b = [], []
-        for x in range(len(doc) - 1):
-            other = np.flatnonzero(comp[x + 1 :] != comp[x]) + x + 1
-            if not same_cell:
-                other = other[c[other] != c[x]]
-            other = other[np.minimum(n[other], n[x]) >= threshold * np.maximum(n[other], n[x]) - 1e-6]
-            if len(other):
-                equal = (sketch[other] == sketch[x]).sum(axis=1)
-                keep = other[_likely(equal, n[other], np.full(len(other), n[x]), threshold)]
-                out_a.append(np.maximum(doc[keep], doc[x]))
-                out_b.append(np.minimum(doc[keep], doc[x]))
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (out_a, out_b))
-        return pa.table({"a": a, "b": b})
+        doc, comp, c = (group[x].to_numpy() for x in ("doc", "component", "c"))
+        hs, offsets = shingles(group["text"].combine_chunks(), width)
+        rows, n = registers(hs, offsets), np.diff(offsets)
+        keys = _mixed(rows)
+        ask = np.triu(comp[:, None] != comp[None, :], 1)
+        if group["i"][0].as_py() != group["j"][0].as_py():
+            ask &= c[:, None] != c[None, :]
+        ask &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-6
+        own = np.flatnonzero((keys == np.int64(group["key"][0].as_py()).astype(np.uint64)).all(axis=0))
+        for b in range(int(own[0]) if len(own) else 0):
+            ask &= keys[:, b][:, None] != keys[:, b][None, :]
+        a, b = np.nonzero(ask)
+        step = 1 << 16  # pairs at a time
+        near = [_likely((rows[a[k : k + step]] == rows[b[k : k + step]]).sum(axis=1), n[a[k : k + step]], n[b[k : k + step]], threshold) for k in range(0, len(a), step)]
+        near = np.concatenate([np.zeros(0, bool), *near])
+        a, b = a[near], b[near]
+        out = []
+        if len(a):
+            used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            part = np.concatenate([hs[offsets[k] : offsets[k + 1]] for k in used])
+            both = _shared_shingles(part, np.concatenate([[0], np.cumsum(n[used])]))[place[: len(a)], place[len(a) :]]
+            linked = 100 * both >= percent * (n[a] + n[b] - both)
+            root = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for x, y in zip(a[linked], b[linked], strict=True):
+                p, q = find(comp[x]), find(comp[y])
+                if p != q:
+                    root[p] = q
+                    out.append((max(doc[x], doc[y]), min(doc[x], doc[y])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
@@ -285,8 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     active_texts = stored(texts.join(active, "doc_id", "left_semi"), "texts")
     links = stored(confirm(likely(stars, classes, threshold), active_texts, width, percent), "links")
     labels = stored(components(links), "labels")
-    more = _residual(members.select("key", "doc"), classes, labels, threshold)
-    more_links = stored(confirm(more.join(stars, ["a", "b"], "left_anti"), active_texts, width, percent), "links")
+    more_links = stored(_residual(members.select("key", "doc"), classes, labels, active_texts, width, percent), "links")
     if not more_links.isEmpty():
         labels = stored(components(links.union(more_links)), "labels")
     # rows that share an id are one document, so its classes are linked through it
