@@ -10,8 +10,8 @@ block, so a word that fills a third of the corpus is not a hot key.
 
 The frame is scanned twice by the same deterministic function (once for what is
 sent, once for the packed documents), so nothing has to be stored. A block is
-named by the hash of its packed documents: were the two scans ever to cut blocks
-differently, names would not meet and ``assemble`` would raise, not mix them up.
+named by the hash of its rows: were the two scans ever to cut blocks differently,
+names would not meet and the job would stop, not mix them up.
 """
 
 from __future__ import annotations
@@ -56,69 +56,86 @@ def _rows(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), ROWS, strict=True)], schema=ROWS)
 
 
+def _name(part: pa.RecordBatch) -> str:
+    """A block's name: the hash of all its columns, so that equal rows give equal names in every scan."""
+    h = xxhash.xxh3_128()
+    for column in part.columns:
+        for b in pa.concat_arrays([column]).buffers():
+            if b is not None:
+                h.update(b)
+    return h.hexdigest()
+
+
 def ask(
     docs: DataFrame,
     text: str,
-    split: Callable[[pa.RecordBatch, int], tuple[pa.RecordBatch, list[tuple[int, pa.RecordBatch]]]],
+    questions: Callable[[pa.RecordBatch, int], list[tuple[int, pa.RecordBatch]]],
+    documents: Callable[[pa.RecordBatch, int], pa.RecordBatch],
     block_bytes: int = BLOCK_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """(questions, documents), both as rows (block, bucket, body).
 
-    ``split(batch, buckets)`` turns a block into its packed documents and the
-    questions (bucket, keys). The packed documents count as part of each
-    question's identity through the block's name.
+    ``questions(block, buckets)`` gives (bucket, keys) once for each bucket asked;
+    ``documents(block, buckets)`` what the block needs to take in the answers.
     """
-    spark = ready(docs)
-    buckets = partitions(spark)
+    buckets = partitions(ready(docs))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, text, block_bytes):
+            asked = questions(part, buckets)
+            if asked:
+                name = _name(part)
+                yield _rows([(name, k, pack(keys)) for k, keys in asked])
 
-    def run(batches: Iterator[pa.RecordBatch], want_documents: bool) -> Iterator[pa.RecordBatch]:
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, text, block_bytes):
-            own, questions = split(part, buckets)
-            body = pack(own)
-            name = xxhash.xxh3_128_hexdigest(body)
-            if want_documents:
-                head = len(questions).to_bytes(4, "little")  # how many answers to wait for
-                yield _rows([(name, DOCUMENTS, head + body)])
-            elif questions:
-                yield _rows([(name, k, pack(keys)) for k, keys in questions])
+            yield _rows([(_name(part), DOCUMENTS, pack(documents(part, buckets)))])
 
-    questions = docs.mapInArrow(lambda it: run(it, False), SPARK_ROWS)
-    documents = docs.mapInArrow(lambda it: run(it, True), SPARK_ROWS)
-    return questions, documents
+    return docs.mapInArrow(send, SPARK_ROWS), docs.mapInArrow(hold, SPARK_ROWS)
 
 
-def answer(questions: DataFrame, serve: Callable[[list[pa.Table]], list[pa.RecordBatch]]) -> DataFrame:
-    """Answers as rows (block, bucket, body); ``serve`` gets all questions of one bucket, answers in their order."""
+def answer(questions: DataFrame, serve: Callable[[list[pa.Table]], list[pa.RecordBatch | None]]) -> DataFrame:
+    """Answers as rows (block, bucket, body); ``serve`` gets all questions of one bucket and answers in their order (or not)."""
 
     def run(group: pa.Table) -> pa.Table:
-        bodies = [unpack(b) for b in group["body"].to_pylist()]
-        answers = [pack(a) for a in serve(bodies)]
-        return pa.table([group["block"].cast(pa.string()), group["bucket"].cast(pa.int32()), pa.array(answers, pa.binary())], schema=ROWS)
+        answers = [None if a is None else pack(a) for a in serve([unpack(b) for b in group["body"].to_pylist()])]
+        out = pa.table([group["block"].cast(pa.string()), group["bucket"].cast(pa.int32()), pa.array(answers, pa.binary())], schema=ROWS)
+        pa.default_memory_pool().release_unused()
+        return out.filter(out["body"].is_valid())
 
     return questions.groupBy("bucket").applyInArrow(run, SPARK_ROWS)
 
 
 def assemble(documents: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, list[pa.Table]], pa.Table], schema: str) -> DataFrame:
-    """``finish(packed documents, answers by ascending bucket)`` for each block."""
+    """``finish(documents, answers by ascending bucket)`` for each block."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group["bucket"].to_numpy()
         own = np.flatnonzero(bucket == DOCUMENTS)
-        wanted = int.from_bytes(group["body"][int(own[0])].as_py()[:4], "little") if len(own) else -1
+        if not len(own):
+            raise RuntimeError("answers for a block that is not there: the input changed between two scans")
         at = {int(b): i for i, b in enumerate(bucket) if b != DOCUMENTS}  # equal blocks get equal answers
-        if wanted != len(at):
-            raise RuntimeError(f"a block has {len(at)} answers for {wanted} questions: its input changed between two scans")
-        answers_in_order = [unpack(group["body"][at[b]].as_py()) for b in sorted(at)]
-        out = finish(unpack(group["body"][int(own[0])].as_py()[4:]), answers_in_order)
+        out = finish(unpack(group["body"][int(own[0])].as_py()), [unpack(group["body"][at[b]].as_py()) for b in sorted(at)])
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables([out] * len(own)) if len(own) > 1 else out
 
     return documents.unionByName(answers).groupBy("block").applyInArrow(run, schema)
 
 
-def concat(tables: list[pa.Table], column: str) -> pa.Array | None:
+def expect(answers: list[pa.Table], rows: int) -> None:
+    """Every key that a block asked for has an answer, or the job stops."""
+    got = sum(len(t) for t in answers)
+    if got != rows:
+        raise RuntimeError(f"a block has {got} answers for {rows} keys: its input changed between two scans")
+
+
+def concat(tables: list[pa.Table], column: str, kind: pa.DataType) -> pa.Array:
     """One column of all answers, in order."""
-    if not tables:
-        return None
     chunks = [c for t in tables for c in t[column].chunks]
-    return pa.concat_arrays(chunks) if chunks else None
+    return pa.concat_arrays(chunks) if chunks else pa.array([], kind)
+
 
+def dealt(hashes: np.ndarray, buckets: int, keys: Callable[[np.ndarray], pa.RecordBatch]) -> list[tuple[int, pa.RecordBatch]]:
+    """(bucket, keys) of all keys, in the order of ``by_bucket``."""
+    order, found, bounds = by_bucket(hashes, buckets)
+    return [(int(b), keys(order[bounds[i] : bounds[i + 1]])) for i, b in enumerate(found)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts_of
-from .exchange import answer, ask, assemble, by_bucket, concat
+from .exchange import answer, ask, assemble, by_bucket, concat, dealt, expect
 from .text import buffers, hash_words
 
 MARK = "▁"
@@ -86,16 +86,18 @@ def _binary_hash(values: pa.Array) -> np.ndarray:
     return hash_words(data, offsets[:-1], offsets[1:])
 
 
-def _split(batch: pa.RecordBatch, buckets: int):
+def _questions(batch: pa.RecordBatch, buckets: int) -> list[tuple[int, pa.RecordBatch]]:
+    _, distinct, _ = chunks(batch.column(1))
+    return dealt(_binary_hash(distinct), buckets, lambda k: pa.RecordBatch.from_arrays([distinct.take(pa.array(k)).cast(pa.binary())], names=["chunk"]))
+
+
+def _documents(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     codes, distinct, offsets = chunks(batch.column(1))
-    order, found, bounds = by_bucket(_binary_hash(distinct), buckets)
+    order, _, _ = by_bucket(_binary_hash(distinct), buckets)
     rank = np.empty(len(order), dtype=np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
-    coded = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(rank[codes] if len(codes) else np.zeros(0, np.int32), pa.int32()))
-    own = pa.RecordBatch.from_arrays([batch.column(0), coded], names=["doc_id", "codes"])
-    keys = distinct.take(pa.array(order)).cast(pa.binary())
-    asked = [(int(b), pa.RecordBatch.from_arrays([keys.slice(bounds[i], bounds[i + 1] - bounds[i])], names=["chunk"])) for i, b in enumerate(found)]
-    return own, asked
+    coded = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(rank[codes], pa.int32()))
+    return pa.RecordBatch.from_arrays([batch.column(0), coded], names=["doc_id", "codes"])
 
 
 def _serve(model: str):
@@ -120,12 +122,11 @@ def _serve(model: str):
 
 def _ids(own: pa.Table, answers: list[pa.Table]):
     """Token ids of a block and the token offsets of its documents."""
-    lists = concat(answers, "ids")
+    lists = concat(answers, "ids", pa.list_(pa.int32()))
     coded = own["codes"].combine_chunks()
     offsets = coded.offsets.to_numpy()
-    if lists is None:
-        return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
     codes = coded.values.to_numpy()
+    expect(answers, int(codes.max()) + 1 if len(codes) else 0)
     starts = lists.offsets.to_numpy().astype(np.int64)
     values = lists.values.to_numpy()
     count = np.diff(starts)[codes]
@@ -148,7 +149,7 @@ def _finish(model: str):
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids and decoded text of every whole text: (doc_id, n_tokens, ids, decoded)."""
-    questions, documents = ask(texts_of(docs, id_col, text_col), "text", _split)
+    questions, documents = ask(texts_of(docs, id_col, text_col), "text", _questions, _documents)
     return assemble(documents, answer(questions, _serve(model)), _finish(model), SCHEMA)
 
 

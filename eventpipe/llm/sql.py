@@ -1,3 +1,92 @@
-"""DuckDB SQL for the rows of the operators that SQL can express."""
+"""DuckDB SQL for the rows of the operators that SQL can express.
 
-ORACLES: dict[str, str] = {}
+No entry: 1 and 9 (tokenizers), 5 and 7 (trained models), 8 (the compressor's
+findings); tests compare those with brute force.
+"""
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SUBSTRINGS = rf"""
+with d as (select doc_id, {_WORDS} as w from documents),
+win as (select doc_id, s, list_slice(w, s, s + 12) as k from (select doc_id, w, unnest(range(1, len(w) - 11)) as s from d)),
+first as (select k, min(doc_id) as least from win group by k),
+gone as (select distinct doc_id, s + j as p from win join first using (k), range(13) r(j) where doc_id > least),
+word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select word.doc_id, string_agg(x, ' ' order by word.p) as t from word anti join gone on word.doc_id = gone.doc_id and word.p = gone.p group by 1),
+n as (select doc_id, count(*) as n from gone group by 1)
+select d.doc_id, len(w) as n_words, coalesce(n.n, 0) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256
+from d left join n on n.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id
+"""
+
+NEAR_DUPLICATES = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda s: list_slice(w, s, s + 3)) when len(w) > 0 then [w] else [] end) as k from d),
+shingle as (select distinct doc_id, k from sets),
+n as (select doc_id, count(*) as n from shingle group by 1),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as i from shingle a join shingle b on a.k = b.k and a.doc_id != b.doc_id group by 1, 2),
+link as (select x, y from common join n p on p.doc_id = x join n q on q.doc_id = y where 100 * i >= 80 * (p.n + q.n - i)),
+reach as (select doc_id, doc_id as c from d union select reach.doc_id, link.y from reach join link on link.x = reach.c)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(c) as component_id, min(c) = d.doc_id as kept
+from d left join n on n.doc_id = d.doc_id join reach on reach.doc_id = d.doc_id group by d.doc_id, n.n
+"""
+
+QUALITY_RULES = rf"""
+with d as (select doc_id, coalesce(text, '') as text, {_WORDS} as w from documents),
+tri as (select doc_id, s, list_slice(w, s, s + 2) as k from (select doc_id, w, unnest(range(1, len(w) - 1)) as s from d)),
+twice as (select doc_id, k from tri group by 1, 2 having count(*) > 1),
+rep as (select doc_id, count(distinct s + j) as n from tri join twice using (doc_id, k), range(3) r(j) group by 1),
+line as (select doc_id, unnest(string_split(text, chr(10))) as l from d),
+lines as (select doc_id, count(*) as n, count(*) - count(distinct l) as again from line where regexp_matches(l, '[^\x20\x09-\x0D]') group by 1),
+c as (
+  select d.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(lines.again, 0) as n_dup_lines, coalesce(lines.n, 0) as n_lines,
+    coalesce(rep.n, 0) as n_repeat_words, len(regexp_extract_all(text, '[A-Z]')) as upper, len(regexp_extract_all(text, '[a-z]')) as lower,
+    len(regexp_extract_all(text, '!')) as shouts, len(list_distinct(w)) as n_distinct
+  from d left join rep on rep.doc_id = d.doc_id left join lines on lines.doc_id = d.doc_id),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not (10 * n_symbols > n_words or 4 * shouts > n_words or 2 * upper > upper + lower or word_chars < 2 * n_words
+    or word_chars > 15 * n_words or 10 * n_dup_lines > 6 * n_lines or 20 * n_distinct < n_words) as kept
+from b
+"""
+
+_CONTROL = r"(?:/?INST\]|/?s>|</?SYS>>|ROLE=|/ROLE\])"
+CHAT = rf"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, n, case n when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2) r(n)),
+p as (
+  select *, length(regexp_replace(text, '([\[<])(\\*{_CONTROL})', '\1\\\2', 'g')) + case role when 'user' then 13 when 'assistant' then 7 when 'system' then 15
+    else 14 + length(url_encode(role)) end as size from t),
+o as (
+  select *, sum(size) over w as chars, row_number() over w as k, count(*) over (partition by conv_id) as n from p
+  window w as (partition by conv_id order by turn nulls first, role, text rows between unbounded preceding and current row))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(chars) filter (role = 'assistant' or k = n)::bigint as formatted_chars
+from o group by conv_id
+"""
+
+DECONTAMINATE = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item_id, list_slice(w, s, s + 12) as k from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as s from b where len(w) > 0)),
+sizes as (select distinct len(k) as n from win),
+part as (select doc_id, s, n, list_slice(w, s, s + n - 1) as k from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from d, sizes)),
+hit as (select doc_id, s, n, item_id from part join win using (k)),
+words as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(s, s + n)) as p from hit) group by 1),
+items as (select doc_id, count(distinct item_id) as n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by 1)
+select d.doc_id, len(w) as n_words, coalesce(words.n, 0) as n_hit, coalesce(items.n, 0) as n_items, sha256(coalesce(items.ids, '')) as items_sha256,
+  coalesce(words.n, 0) > 0 and 20 * coalesce(words.n, 0) >= len(w) as contaminated
+from d left join words on words.doc_id = d.doc_id left join items on items.doc_id = d.doc_id
+"""
+
+ORACLES = {
+    "op2_substring_dedup": SUBSTRINGS,
+    "op3_near_dedup": NEAR_DUPLICATES,
+    "op4_quality_rules": QUALITY_RULES,
+    "op6_chat_format": CHAT,
+    "op10_decontaminate": DECONTAMINATE,
+}
