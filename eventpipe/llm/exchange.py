@@ -35,7 +35,7 @@ DOCUMENTS = -1  # the bucket of a block's own documents
 def pack(table: pa.Table | pa.RecordBatch) -> bytes:
     """Arrow IPC, compressed by zstd."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
         w.write(table)
     return sink.getvalue().to_pybytes()
 

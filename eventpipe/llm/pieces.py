@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts_of
-from .exchange import answer, ask, assemble, by_bucket, concat, dealt, expect
-from .text import buffers, hash_words
+from .exchange import answer, ask, assemble, pack, unpack
+from .text import buffers, hash_words, mix
 
 MARK = "▁"
+SEPARATOR = b"\xff"
 NAMES = ["doc_id", "n_tokens", "ids", "decoded"]
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
@@ -86,63 +87,85 @@ def _binary_hash(values: pa.Array) -> np.ndarray:
     return hash_words(data, offsets[:-1], offsets[1:])
 
 
+def _by_frequency(column: pa.Array, buckets: int):
+    """(code of each chunk, distinct chunks, chunk offsets, bucket of each distinct chunk), the commonest chunk being code 0."""
+    codes, distinct, offsets = chunks(column)
+    order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    distinct = distinct.take(pa.array(order))
+    return place[codes], distinct, offsets, (mix(_binary_hash(distinct)) % np.uint64(buckets)).astype(np.int32)
+
+
 def _questions(batch: pa.RecordBatch, buckets: int) -> list[tuple[int, pa.RecordBatch]]:
-    _, distinct, _ = chunks(batch.column(1))
-    return dealt(_binary_hash(distinct), buckets, lambda k: pa.RecordBatch.from_arrays([distinct.take(pa.array(k)).cast(pa.binary())], names=["chunk"]))
+    _, distinct, _, bucket = _by_frequency(batch.column(1), buckets)
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    keys = distinct.take(pa.array(order)).to_pylist()
+    cuts = [*first.tolist(), len(keys)]
+    # 0xFF is in no UTF-8 text; one joined value packs tighter than a column of short ones
+    return [(int(b), pa.RecordBatch.from_arrays([pa.array([SEPARATOR.join(keys[i:j])], pa.binary())], names=["chunks"])) for b, i, j in zip(found, cuts[:-1], cuts[1:], strict=True)]
 
 
 def _documents(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
-    codes, distinct, offsets = chunks(batch.column(1))
-    order, _, _ = by_bucket(_binary_hash(distinct), buckets)
-    rank = np.empty(len(order), dtype=np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    coded = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(rank[codes], pa.int32()))
-    return pa.RecordBatch.from_arrays([batch.column(0), coded], names=["doc_id", "codes"])
+    codes, _, offsets, bucket = _by_frequency(batch.column(1), buckets)
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)  # common chunks are 0 in all but one
+    values = [pack(batch.select([0])), *(p.tobytes() for p in planes), np.diff(offsets).astype("<i4").tobytes(), bucket.tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.large_binary()) for v in values], names=["ids", "p0", "p1", "p2", "p3", "counts", "bucket"])
 
 
 def _serve(model: str):
     def serve(asked: list[pa.Table]) -> list[pa.RecordBatch]:
         sp = load(model)
-        keys = [t["chunk"].combine_chunks() for t in asked]
-        lengths = [len(k) for k in keys]
-        coded = pa.concat_arrays([k if isinstance(k, pa.Array) else pa.concat_arrays(k.chunks) for k in keys]).dictionary_encode()
-        texts = coded.dictionary.cast(pa.string()).to_pylist()
-        ids = sp.encode(texts, num_threads=1)  # each distinct chunk of the corpus, once
+        keys = [t["chunks"][0].as_py().split(SEPARATOR) for t in asked]
+        number: dict[bytes, int] = {}
+        codes = [[number.setdefault(k, len(number)) for k in ks] for ks in keys]
+        del keys
         mark = [sp.piece_to_id(MARK)]
-        ids = pa.array([x if t else mark for t, x in zip(texts, ids, strict=True)], pa.list_(pa.int32()))
-        out, at = [], 0
-        codes = coded.indices
-        for n in lengths:
-            out.append(pa.RecordBatch.from_arrays([ids.take(codes.slice(at, n))], names=["ids"]))
-            at += n
+        ids = sp.encode([k.decode() for k in number], num_threads=1)  # each distinct chunk of the corpus, once
+        ids = pa.array([x or mark for x in ids], pa.list_(pa.uint16() if sp.get_piece_size() <= 2**16 else pa.int32()))
+        size = np.diff(ids.offsets.to_numpy()).astype(np.int32)
+        out = []
+        for c in codes:
+            c = np.array(c)
+            values = [ids.take(pa.array(c)).flatten().to_numpy().tobytes(), size[c].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()]
+            out.append(pa.RecordBatch.from_arrays([pa.array([v], pa.large_binary()) for v in values], names=["ids", "sizes"]))
         return out
 
     return serve
 
 
-def _ids(own: pa.Table, answers: list[pa.Table]):
+def _ids(own: pa.Table, answers: list[pa.Table], kind: str):
     """Token ids of a block and the token offsets of its documents."""
-    lists = concat(answers, "ids", pa.list_(pa.int32()))
-    coded = own["codes"].combine_chunks()
-    offsets = coded.offsets.to_numpy()
-    codes = coded.values.to_numpy()
-    expect(answers, int(codes.max()) + 1 if len(codes) else 0)
-    starts = lists.offsets.to_numpy().astype(np.int64)
-    values = lists.values.to_numpy()
-    count = np.diff(starts)[codes]
+    get = lambda name: own[name][0].as_py()
+    planes = np.stack([np.frombuffer(get(f"p{k}"), np.uint8) for k in range(4)], axis=1)
+    codes = np.ascontiguousarray(planes).view("<u4").ravel().astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(get("counts"), "<i4"), dtype=np.int64)])
+    bucket = np.frombuffer(get("bucket"), np.int32)
+    sizes = [np.frombuffer(t["sizes"][0].as_py(), np.uint8) for t in answers]
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.ascontiguousarray(s.reshape(4, -1).T).view("<i4").ravel() for s in sizes)]).astype(np.int64)
+    values = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(t["ids"][0].as_py(), kind) for t in answers)]).astype(np.int32)
+    if len(sizes) != len(bucket):
+        raise RuntimeError(f"a block has {len(sizes)} answers for {len(bucket)} chunks: its input changed between two scans")
+    starts = np.empty(len(bucket) + 1, dtype=np.int64)
+    length = np.empty(len(bucket), dtype=np.int64)
+    order = np.argsort(bucket, kind="stable")  # the order of the answers
+    starts[order], length[order] = np.cumsum(sizes) - sizes, sizes
+    count = length[codes]
     ends = np.cumsum(count)
     total = int(ends[-1]) if len(ends) else 0
-    take = np.repeat(starts[:-1][codes] - (ends - count), count) + np.arange(total)
+    take = np.repeat(starts[codes] - (ends - count), count) + np.arange(total)
     return values[take], np.concatenate([[0], ends])[offsets]
 
 
 def _finish(model: str):
     def finish(own: pa.Table, answers: list[pa.Table]) -> pa.Table:
         sp = load(model)
-        ids, offsets = _ids(own, answers)
+        ids, offsets = _ids(own, answers, "<u2" if sp.get_piece_size() <= 2**16 else "<i4")
+        doc_id = unpack(own["ids"][0].as_py())["doc_id"]
         decoded = [sp.decode(ids[a:b].tolist()) if b > a else "" for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-        return pa.table([own["doc_id"], pa.array(np.diff(offsets), pa.int64()), lists, pa.array(decoded, pa.string())], names=NAMES)
+        return pa.table([doc_id, pa.array(np.diff(offsets), pa.int64()), lists, pa.array(decoded, pa.string())], names=NAMES)
 
     return finish
 

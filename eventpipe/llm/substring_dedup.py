@@ -34,6 +34,7 @@ from .exchange import answer, ask, assemble, by_bucket, concat, dealt, expect, p
 from .text import buffers, documents_of, hash_words, per_document, rolling, word_bounds
 
 WINDOW, SEED = 13, 5
+BLOCK_BYTES = 4 << 20
 SCHEMA = "doc_id long, n_words long, n_removed long, removed array<struct<start: int, end: int>>, kept_text string"
 
 
@@ -178,5 +179,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             names=["doc_id", "n_words", "n_removed", "removed", "kept_text"],
         )
 
-    asked, held = ask(texts_of(docs, id_col, text_col), "text", questions, documents)
+    asked, held = ask(texts_of(docs, id_col, text_col), "text", questions, documents, BLOCK_BYTES)
     return assemble(held, answer(asked, _serve), finish, SCHEMA)
