@@ -45,9 +45,12 @@ from .text import blocks, buffers, word_bounds, word_codes
 
 MAGIC = b"TKB1"
 BLOCK_BYTES = 4 << 20
-MOST_CACHED = 300_000
+MOST_CACHED = 1_000_000
 BLOCK_SCHEMA = "part int, block long, first_id long, last_id long, n_docs long, n_tokens long, body binary"
 _TRAILING = ".,;:!?"
+_LATIN = "\u024f"  # up to here lower case is one rule for all libraries
+#: Fixed rule of byte-level tokenizers: a printable byte is its own symbol, the n-th other one is code point 256 + n.
+_BYTE_SYMBOLS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 _PROBES = ("The", "end.", "Straße,", "don't", "it's!?", "a1b2", "ÉTÉ...", "x", "co-op;", "<|endoftext|>", "é", "naïve!!")
 
 
@@ -142,22 +145,24 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _token(self, word: str) -> bytes:
-        key = word.encode()
+        """Ids of one token of the pre-tokenizer, already in its normal form: the model alone is asked."""
+        key = b" " + word.encode()  # no word has a space, so these entries are apart from those of words
         ids = self.cache.get(key)
         if ids is None:
-            if word.isascii() and (word.isalpha() or not any(c.isalnum() for c in word)):  # one token of the pre-tokenizer, its bytes their own symbols
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(word)], np.uint32).tobytes()
-            else:
-                ids = self._whole(word)
+            symbols = word.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(symbols)], np.uint32).tobytes()
             self.cache[key] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
         core = word.rstrip(_TRAILING)
-        if not self.split or not unicodedata.normalize("NFC", core).lower().isalpha():
-            return self._whole(word)  # also letters that turn into a letter and a mark
-        ids = self._token(core.lower() if core.isascii() else core)
-        return ids + self._token(word[len(core) :]) if len(core) < len(word) else ids
+        if not self.split or not core or max(core) > _LATIN:
+            return self._whole(word)
+        core = unicodedata.normalize("NFC", core).lower()
+        if not core.isalpha():
+            return self._whole(word)  # digits, signs, and letters that turn into a letter and a mark
+        closing = word[len(word.rstrip(_TRAILING)) :]
+        return self._token(core) + self._token(closing) if closing else self._token(core)
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as unsigned 32-bit integers."""
