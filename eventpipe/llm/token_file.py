@@ -32,6 +32,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,14 +45,19 @@ from .common import broadcast_if_small, partitions, ready, texts_of
 from .text import blocks, buffers, word_bounds, word_codes
 
 MAGIC = b"TKB1"
-BLOCK_BYTES = 4 << 20
-MOST_CACHED = 1_000_000
+BLOCK_BYTES = 12 << 20
+MOST_CACHED = 1_500_000
 BLOCK_SCHEMA = "part int, block long, first_id long, last_id long, n_docs long, n_tokens long, body binary"
-_TRAILING = ".,;:!?"
+_TRAILING = b".,;:!?"
+_CLOSES, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_CLOSES[list(_TRAILING)] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _LATIN = "\u024f"  # up to here lower case is one rule for all libraries
 #: Fixed rule of byte-level tokenizers: a printable byte is its own symbol, the n-th other one is code point 256 + n.
 _BYTE_SYMBOLS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
-_PROBES = ("The", "end.", "Straße,", "don't", "it's!?", "a1b2", "ÉTÉ...", "x", "co-op;", "<|endoftext|>", "é", "naïve!!")
+_PROBES = [w.encode() for w in ("The", "end.", "Straße,", "don't", "it's!?", "a1b2", "ÉTÉ...", "x", "co-op;", "<|endoftext|>", "é", "naïve!!")]
 
 
 # --- bits -------------------------------------------------------------------
@@ -137,44 +143,47 @@ class WordEncoder:
         self.cache: dict[bytes, bytes] = {}
         self.split = True
         self.split = all(self._whole(p) == self._word(p) for p in _PROBES)
-        words = self.tokenizer.encode(" \t".join(_PROBES) + "\n", add_special_tokens=False).ids
-        if np.array(words, np.uint32).tobytes() != b"".join(map(self._whole, _PROBES)):
+        words = self.tokenizer.encode(b" \t".join(_PROBES).decode() + "\n", add_special_tokens=False).ids
+        if array("I", words).tobytes() != b"".join(map(self._whole, _PROBES)):
             raise ValueError("the tokenizer does not drop white space; words cannot be encoded alone")
 
-    def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+    def _whole(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
-    def _token(self, word: str) -> bytes:
+    def _token(self, word: bytes) -> bytes:
         """Ids of one token of the pre-tokenizer, already in its normal form: the model alone is asked."""
-        key = b" " + word.encode()  # no word has a space, so these entries are apart from those of words
+        key = b" " + word  # no word has a space, so these entries are apart from those of words
         ids = self.cache.get(key)
         if ids is None:
-            symbols = word.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(symbols)], np.uint32).tobytes()
-            self.cache[key] = ids
+            symbols = word.decode() if word.isascii() else word.decode("latin-1").translate(_BYTE_SYMBOLS)
+            ids = self.cache[key] = array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
         return ids
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: bytes) -> bytes:
         core = word.rstrip(_TRAILING)
-        if not self.split or not core or max(core) > _LATIN:
+        closing = word[len(core) :]
+        if not self.split:
             return self._whole(word)
-        core = unicodedata.normalize("NFC", core).lower()
-        if not core.isalpha():
-            return self._whole(word)  # digits, signs, and letters that turn into a letter and a mark
-        closing = word[len(word.rstrip(_TRAILING)) :]
+        if core.isalpha():  # of bytes: ASCII letters
+            core = core.lower()
+        else:
+            text = core.decode()
+            if not text or max(text) > _LATIN:
+                return self._whole(word)
+            text = unicodedata.normalize("NFC", text).lower()
+            if not text.isalpha():
+                return self._whole(word)  # digits, signs, and letters that turn into a letter and a mark
+            core = text.encode()
         return self._token(core) + self._token(closing) if closing else self._token(core)
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as unsigned 32-bit integers."""
         if len(self.cache) > MOST_CACHED:
             self.cache.clear()
-        out = []
-        for w in words:
-            ids = self.cache.get(w)
+        out = list(map(self.cache.get, words))
+        for i, ids in enumerate(out):
             if ids is None:
-                ids = self._word(w.decode())
-                self.cache[w] = ids
-            out.append(ids)
+                out[i] = self.cache[words[i]] = self._word(words[i])
         return out
 
 
@@ -186,16 +195,23 @@ def encoder(path: str) -> WordEncoder:
 def encode_texts(column: pa.Array, words: WordEncoder, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each closed by ``end_id``, and their offsets."""
     data, offsets = buffers(column)
-    starts, ends, bounds = word_bounds(data, offsets)
+    if b"<|" not in data.tobytes():  # special tokens are told by their case; all else is put in lower case anyway
+        data = _LOWER[data]
+    starts, ends, _ = word_bounds(data, offsets)
+    if words.split:  # a closing sign after a letter is a token of its own: fewer distinct words
+        closed = np.flatnonzero(_CLOSES[data[ends - 1]] & _LETTER[data[np.maximum(ends - 2, 0)]] & (ends - starts > 1))
+        cut = ends[closed] - 1
+        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    bounds = np.searchsorted(starts, offsets)
     codes, distinct = word_codes(data, starts, ends)
     encoded = words.encode(distinct.to_pylist())
     size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
     values = np.frombuffer(b"".join(encoded), np.uint32)
-    first = np.concatenate([[0], np.cumsum(size)])
+    first = (np.cumsum(size) - size).astype(np.int32)
     count = size[codes]
     stop = np.cumsum(count)
     total = int(stop[-1]) if len(stop) else 0
-    ids = values[np.repeat(first[:-1][codes] - (stop - count), count) + np.arange(total)]
+    ids = values[np.repeat(first[codes] - (stop - count).astype(np.int32), count) + np.arange(total, dtype=np.int32)]
     cuts = np.concatenate([[0], stop])[bounds]
     if end_id is not None:
         ids = np.insert(ids, cuts[1:], end_id)
