@@ -1,0 +1,442 @@
+"""The numbered operators against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from eventpipe.llm import chat, classifier, decontaminate, lm_scoring, near_dedup, pieces, quality_rules, secrets, substring_dedup, token_file
+
+WORD = re.compile("[^\x20\x09-\x0D]+")
+PIECES, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS = "doc_id long, text string"
+LONG = " ".join(f"word{i % 977}" for i in range(20_000))
+ODD = [
+    (1, "a b  c\n"), (2, ""), (None, None), (3, " "), (4, "  "), (5, "x "), (6, "▁a▁ ▁"), (7, "x   y\tz   "), (8, " é\x85z\xa0q A a "),
+    (8, " é\x85z\xa0q A a "), (9, "<s> \x00 </s>"), (10, "A" * 5000), (11, " " * 40 + "b" + " " * 33), (12, LONG), (13, None),
+]
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+def mixed_documents(seed, n=60):
+    """Documents cut from shared runs of words, with null, repeated and shared ids."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        words = []
+        for _ in range(rng.randrange(0, 5)):
+            a = rng.randrange(0, 40)
+            words += base[a : a + rng.randrange(5, 25)] if rng.random() < 0.6 else [rng.choice("abcde") for _ in range(rng.randrange(0, 30))]
+        text = rng.choice([" ", "\n", " \t"]).join(words)
+        rows.append((rng.choice([i, i, i, None, 5]), text if rng.random() < 0.95 else None))
+    return rows + rows[:3]
+
+
+# --- 1 ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("rows", [ODD, [], [(1, "")]], ids=["odd", "none", "empty"])
+def test_pieces_match_the_library(spark, rows):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = sorted((str(r.doc_id), r.ids, r.decoded) for r in pieces.encode(frame(spark, rows), PIECES).collect())
+    assert got == sorted((str(i), sp.encode(t or ""), sp.decode(sp.encode(t or "")) if t else "") for i, t in rows)
+
+
+def test_pieces_random_texts(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice(["a", "the", " ", "  ", "\n", "é", "▁", "😀", "　", "1"]) for _ in range(rng.randrange(0, 30)))) for i in range(400)]
+    got = {r.doc_id: (r.ids, r.decoded) for r in pieces.encode(frame(spark, rows), PIECES).collect()}
+    assert got == {i: (sp.encode(t), sp.decode(sp.encode(t)) if t else "") for i, t in rows}
+
+
+# --- 2 ----------------------------------------------------------------------
+
+
+def brute_substrings(rows):
+    first, split = {}, [(i, WORD.findall(t or "")) for i, t in rows]
+    for i, w in split:
+        for s in range(len(w) - 12 if i is not None else 0):
+            k = tuple(w[s : s + 13])
+            first[k] = min(first.get(k, i), i)
+    out = []
+    for i, w in split:
+        gone = [False] * len(w)
+        for s in range(len(w) - 12 if i is not None else 0):
+            if first[tuple(w[s : s + 13])] < i:
+                gone[s : s + 13] = [True] * 13
+        out.append((str(i), len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rows", [mixed_documents(1), mixed_documents(2), ODD, []], ids=["a", "b", "odd", "none"])
+def test_substring_dedup(spark, rows):
+    got = substring_dedup.dedup(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got) == brute_substrings(rows)
+    assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in got)
+
+
+# --- 3 ----------------------------------------------------------------------
+
+
+def shingle_sets(rows, width):
+    out = []
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        out.append((i, {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())))
+    return out
+
+
+def brute_components(sets, percent=80):
+    root = {i: i for i, _ in sets if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in root}
+
+
+def near_copies(seed, n, words=60, changes=9):
+    """Copies of one text with more or fewer changed words, so that some are linked only through others."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(words), rng.randrange(0, changes)):
+            w[k] = f"x{rng.randrange(1000)}"
+        rows.append((i * 7 % n, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [near_copies(1, 150), near_copies(2, 80, 30, 6), ODD, [], [(1, "A b"), (2, "a B"), (3, "a"), (None, "a b")]], ids=["far", "short", "odd", "none", "few"])
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_duplicates(spark, rows, width):
+    sets = shingle_sets(rows, width)
+    want = brute_components(sets)
+    expected = sorted((str(i), len(s), str(want.get(i) if s else i), want.get(i, i) == i if s else True) for i, s in sets)
+    got = near_dedup.near_duplicates(frame(spark, rows), width=width).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == expected
+
+
+def test_residual_pairs_are_compared_in_cells(spark, monkeypatch):
+    """With tiny cells the grid splits every group, and no link between its cells is lost."""
+    monkeypatch.setattr(near_dedup, "CELL", 8)
+    rows = near_copies(3, 200)
+    want = brute_components(shingle_sets(rows, 5))
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()} == want
+
+
+def test_sketch_estimate_is_close():
+    hs = np.random.default_rng(1).integers(0, 2**63, 3000, dtype=np.uint64)
+    a, b = hs[:2000], hs[500:2500]
+    rows = near_dedup.registers(np.concatenate([a, b]), np.array([0, 2000, 4000]))
+    found = near_dedup.estimate(np.array([(rows[0] == rows[1]).sum()]), np.array([2000]), np.array([2000]))[0]
+    assert abs(found - 1500 / 2500) < 0.15
+
+
+def test_drop_near_duplicates_keeps_columns_and_one_row(spark):
+    rows = [(1, "a b c d e f", 1, None), (2, "A b c d e f", 2, "x"), (3, "other words are here now ok", 3, None), (3, "other words are here now ok", 3, None), (None, "a b c d e f", 4, None), (4, None, 5, None)]
+    df = frame(spark, rows, "doc_id long, text string, kept long, component_id string")
+    out = near_dedup.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r.kept) for r in out.collect()) == [("1", 1), ("3", 3), ("4", 5), ("None", 4)]
+
+
+# --- 4 ----------------------------------------------------------------------
+
+
+def brute_statistics(text):
+    text = text or ""
+    w = WORD.findall(text)
+    at = defaultdict(list)
+    for i in range(len(w) - 2):
+        at[tuple(w[i : i + 3])].append(i)
+    covered = {j for v in at.values() if len(v) > 1 for i in v for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    again = len(lines) - len(set(lines))
+    upper, lower = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
+    symbols, chars, n = len(re.findall(r"[#*$%&|<>]", text)), sum(map(len, w)), len(w)
+    failed = n < 50 or 100 * len(covered) > 50 * n
+    rejected = 10 * symbols > n or 4 * text.count("!") > n or 2 * upper > upper + lower or chars < 2 * n or chars > 15 * n or 10 * again > 6 * len(lines) or 20 * len(set(w)) < n
+    return n, chars, symbols, again, len(covered), failed, not failed and not rejected
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_quality_rules(spark, empty):
+    rng = random.Random(5)
+    alphabet = ["a", "Bc", "é", "#", "|", " ", "\n", " ", "\n", "\t", "\x0b", "\x85", "😀", "!"]
+    rows = [] if empty else ODD + [(100 + i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 400)))) for i in range(150)]
+    rows += [] if empty else [(300 + i, " ".join(rng.choice(["Word", "text", "line", "of", "prose"]) + str(rng.randrange(900)) for _ in range(80))) for i in range(20)]
+    got = sorted((str(r[0]), *r[1:]) for r in quality_rules.judge(frame(spark, rows)).collect())
+    assert got == sorted((str(i), *brute_statistics(t)) for i, t in rows)
+    assert empty or any(r[-1] for r in got)
+
+
+def test_cascade_orders_by_rejection_per_cost_and_any_order_agrees(spark):
+    rows = [(i, ("# " if i % 2 else "word ") * 60 + "x!") for i in range(40)]
+    order = quality_rules.measure(frame(spark, rows))
+    assert order[0][0] in ("symbols", "short_words", "few_distinct_words") and order[0][2] > 0
+    a = quality_rules.judge(frame(spark, rows), quality_rules.RULES).collect()
+    b = quality_rules.judge(frame(spark, rows), quality_rules.RULES[::-1]).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+# --- 5 ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n_target", [0, 6, 15])
+def test_lm_scoring(spark, n_target):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [r for r in ODD if r[0] is not None] + [(20 + i, t) for i, (_, t) in enumerate(mixed_documents(7, 12))]
+    target = rows[:n_target]
+
+    def counts(chosen):
+        pairs, tokens, contexts = Counter(), Counter(), Counter()
+        for _, t in chosen:
+            ids = sp.encode(t or "")
+            for c, w in zip([1, *ids[:-1]], ids):
+                pairs[c, w] += 1
+                tokens[w] += 1
+                contexts[c] += 1
+        return pairs, tokens, contexts, sum(tokens.values())
+
+    a, b, v = counts(target), counts(rows), sp.get_piece_size()
+    scale = a[3] / b[3] if a[3] else 1.0
+
+    def log_p(m, by, c, w):
+        return np.log((by * m[0][c, w] + 4 * (by * m[1][w] + 1) / (by * m[3] + v)) / (by * m[2][c] + 4))
+
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm_scoring.score(frame(spark, rows), frame(spark, target), PIECES).collect())
+    want = []
+    for i, t in rows:
+        ids = sp.encode(t or "")
+        want.append((str(i), len(ids), float(np.mean([log_p(a, 1.0, c, w) - log_p(b, scale, c, w) for c, w in zip([1, *ids[:-1]], ids)])) if ids else 0.0))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=1e-5)
+
+
+def test_lm_scoring_of_an_empty_table(spark):
+    assert lm_scoring.score(frame(spark, []), frame(spark, []), PIECES).collect() == []
+
+
+# --- 6 ----------------------------------------------------------------------
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def brute_chat(rows):
+    by = defaultdict(list)
+    for c, t, r, x in rows:
+        by[c].append(((t is not None, t or 0), r or "", x or ""))
+    out = {}
+    for c, turns in by.items():
+        turns.sort()
+        said = "".join(f"{r}\n{x}\n" for _, r, x in turns)
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        out[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(2)
+    bits = ["</s>", "[INST]", " ok ", "[/INST]", "\\", "[", "<", "<<SYS>>", "[ROLE=", "]", "[/ROLE]", "a", "\n", "é", "😀", "<\\s>", "[\\INST]", "[\\\\/INST]", "<</SYS>>", "$1", "%41"]
+    rows = []
+    for c in [*range(30), None]:
+        for t in range(rng.randrange(1, 9)):
+            role = rng.choice(["user", "assistant", "system", "to ol]", "[INST]", None, "tool%20", "é"])
+            rows.append((c, rng.choice([t, t, t, None, 1]), role, None if rng.random() < 0.1 else "".join(rng.choice(bits) for _ in range(rng.randrange(0, 9)))))
+    rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"), *rows[:4]]
+    examples = chat.format_conversations(frame(spark, rows, TURNS)).cache()
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(examples).collect()}
+    assert got == brute_chat(rows)
+    full = {(r.conv_id, r.example): r for r in chat.expanded(examples).collect()}
+    replies = Counter(c for c, _, r, _ in rows if r == "assistant")
+    assert Counter(c for c, _ in full) == replies  # an example for every reply
+    for r in examples.collect():
+        if (r.conv_id, r.example) in full:
+            f = full[r.conv_id, r.example]
+            assert len(f.text) == r.chars and f.text[f.loss_start : f.loss_start + f.loss_chars] == r.segment[r.loss_start : r.loss_start + r.loss_chars]
+    examples.unpersist()
+
+
+def test_chat_of_no_turns_and_native_plan(spark):
+    out = chat.digests(chat.format_conversations(frame(spark, [], TURNS)))
+    assert out.collect() == []
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+
+
+# --- 7 ----------------------------------------------------------------------
+
+
+def test_classifier_on_held_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scored = classifier.score(docs, classifier.fit(docs, labels)).join(labels, "doc_id").where(classifier.held_out(F.col("doc_id")))
+    rows = scored.select("quality", "score").collect()
+    assert len(rows) > 50 and np.mean([(r.score >= 0.5) == (r.quality == 1) for r in rows]) > 0.95
+
+
+def test_classifier_odd_rows_and_clashing_columns(spark):
+    docs = frame(spark, [(i, t, 0.25) for i, t in ODD], "doc_id long, text string, score double")
+    labels = frame(spark, [(i, i % 2, None) for i in range(13)] + [(3, None, None), (None, 1, None)], "doc_id long, quality int, toxic int")
+    out = classifier.score(docs, classifier.fit(docs, labels))
+    assert out.columns == ["doc_id", "text", "score"] and out.count() == len(ODD)
+    assert out.where("score is null or score < 0 or score > 1 or isnan(score)").count() == 0
+    one = classifier.fit(docs, labels.where("quality = 1"))
+    assert {r.score for r in classifier.score(docs, one).collect()} == {1.0}
+    none = classifier.fit(docs, labels.limit(0))
+    assert {r.score for r in classifier.score(docs, none).collect()} == {0.5}
+    assert classifier.keep(docs, none).count() == len(ODD) and classifier.keep(docs, none).schema == docs.schema
+    assert classifier.score(frame(spark, []), one).collect() == []
+
+
+# --- 8 ----------------------------------------------------------------------
+
+
+def brute_base(text):
+    out = []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or ""):
+        out += [(m.start(), 0, m.end())] if len(m.group(2)) >= 8 else []
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m.group()) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text or "") if len(m.group()) >= 32]
+    return [(("assign", "access", "hex")[k], s, e) for s, k, e in sorted(out)]
+
+
+def secret_texts():
+    rng = random.Random(6)
+    bits = ["password", "Token", "API_key", "apikey", "ſecret", "secret", "=", ": ", '"', "'", " ", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef" * 2, "deadbeef", "é", "\n", "longvalue99", "x"]
+    return ODD + [(100 + i, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 14)))) for i in range(600)]
+
+
+def test_secret_base_findings(spark):
+    rows = secret_texts()
+    got = sorted((str(r.doc_id), [(f.kind, f.start, f.end) for f in r.findings if f.kind != "novel"]) for r in secrets.scan(frame(spark, rows)).collect())
+    assert got == sorted((str(i), brute_base(t)) for i, t in rows) and any(f for _, f in got)
+    assert secrets.scan(frame(spark, [])).collect() == []
+
+
+def test_secret_novelty_tells_random_from_names(spark):
+    key = "zQ8vT1xK9pLw3RmB7nYc5HdF2sGj6Ua0"
+    rows = [
+        (1, f"the private key is {key} ok"),
+        (2, "the auth path is /usr/local/bin/access_token_refresh_token1 here"),
+        (3, f"nothing to see: {key}"),
+        (4, f"token_1234567890abcdef session token_1234567890abcdef and token_1234567890abcdef {'word ' * 30}"),
+    ]
+    found = {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings] for r in secrets.scan(frame(spark, rows)).collect()}
+    assert found[1] == [("novel", 19, 19 + len(key))]
+    assert found[2] == [] and found[3] == [] and found[4] == []
+
+
+def test_redaction_changes_only_secrets(spark):
+    rows = [(1, 'a token = "abcdefgh12345" b', 26, "x"), (2, "clean", 5, None), (3, None, None, None), (4, "0123456789abcdef" * 2 + " password=" + "f" * 40, 99, None), (4, "clean", 5, None)]
+    df = frame(spark, rows, "doc_id long, text string, n_chars long, findings string")
+    out = secrets.redact(df)
+    assert out.schema == df.schema
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str)
+    assert got == sorted([(1, 'a token = "[REDACTED:assign]" b', 31), (2, "clean", 5), (3, None, None), (4, "[REDACTED:hex] password=[REDACTED:assign]", 41), (4, "clean", 5)], key=str)
+
+
+# --- 9 ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("bits", [1, 3, 7, 8, 11, 15, 16, 17, 20, 31, 32])
+def test_bits_round_trip_and_random_access(bits):
+    ids = np.random.default_rng(bits).integers(0, 2**bits, 3001, dtype=np.uint64).astype(np.uint32)
+    packed = np.frombuffer(token_file.pack_bits(ids, bits), np.uint8)
+    assert len(packed) == -(-len(ids) * bits // 8)
+    assert (token_file.unpack_bits(packed, bits, 0, len(ids)) == ids).all()
+    assert (token_file.unpack_bits(packed, bits, 13, 101) == ids[13:114]).all()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_token_file(spark, tmp_path, empty):
+    tokenizer = Tokenizer.from_file(WORDS)
+    rng = random.Random(1)
+    bits = ["a", "B", "'s", "'", "é", "é", "İ", "ß", "1", "!", ".", ", ", "　", " ", " ", "\x85", "\n", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "\x00", "ſ", "Σ"]
+    rows = [] if empty else [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 15)))) for i in range(500)] + [(500, None), (501, LONG), (502, "same"), (502, "same")]
+    path = str(tmp_path / "tokens")
+    token_file.write(frame(spark, rows), path, WORDS)
+    blocks = token_file.read(spark, path)
+    want, at = [], 0
+    for i, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, token_file.summaries(blocks).collect()), key=lambda r: r[1]) == want
+    assert sorted(((r.doc_id, r.start, len(r.ids)) for r in token_file.documents(blocks).collect()), key=lambda r: r[1]) == [w[:3] for w in want]
+    if rows:
+        assert token_file.lookup(blocks, 7)[0].tolist() == [*tokenizer.encode(rows[7][1], add_special_tokens=False).ids, 2]
+        assert len(token_file.lookup(blocks, 502)) == 2 and token_file.lookup(blocks, 9999) == []
+
+
+def test_token_file_puts_null_ids_first(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    token_file.write(frame(spark, [(3, "c"), (None, "n"), (1, "a")]), path, WORDS)
+    assert [r.doc_id for r in token_file.summaries(token_file.read(spark, path)).orderBy("start").collect()] == [None, 1, 3]
+
+
+# --- 10 ---------------------------------------------------------------------
+
+
+def brute_hits(docs, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = defaultdict(set)
+    for i, t in items:
+        w = word.findall((t or "").translate(LOWER))
+        for s in range(max(len(w) - 12, 1) if w else 0):
+            windows[tuple(w[s : s + 13])].add(str(i))
+    out = []
+    for i, t in docs:
+        w, hit, found = word.findall((t or "").translate(LOWER)), set(), set()
+        for n in {len(k) for k in windows}:
+            for s in range(len(w) - n + 1):
+                k = tuple(w[s : s + n])
+                if k in windows:
+                    hit.update(range(s, s + n))
+                    found |= windows[k]
+        out.append((str(i), len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return sorted(out, key=str)
+
+
+def test_decontamination(spark):
+    rng = random.Random(8)
+    rows = mixed_documents(9) + ODD + [(200, "The W1, w2! w3"), (201, "É w3 w4"), (202, "K w5 W6")]
+    items = [(i, " ".join(f"W{k}" for k in range(a, a + n))) for i, (a, n) in enumerate([(0, 13), (5, 20), (30, 25), (3, 2), (3, 2)])]
+    items += [(7, None), (8, ""), (9, "the"), (10, "é w3"), (11, "k w5"), (12, "zzz not there"), (13, " ".join(rng.choice("abcde") for _ in range(4)))]
+    docs = frame(spark, [(i, t, "x", 1) for i, t in rows], "doc_id long, text string, n_hit string, key int")
+    judged = decontaminate.decontaminate(docs, frame(spark, items, "item_id long, text string"))
+    assert "key" in judged.columns and judged.columns.count("n_hit") == 1
+    got = sorted(((str(r.doc_id), r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in judged.collect()), key=str)
+    want = brute_hits(rows, items)
+    assert got == want and any(r[-1] for r in want)
+    kept = decontaminate.clean(docs, frame(spark, items, "item_id long, text string"))
+    assert kept.columns == docs.columns and kept.count() == sum(not r[-1] for r in want)
+    assert not re.search("Python|Pandas|Arrow", judged._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_decontamination_of_empty_tables(spark):
+    docs, none = frame(spark, [(1, "a b")]), frame(spark, [], "item_id long, text string")
+    assert [tuple(r)[2:] for r in decontaminate.decontaminate(docs, none).collect()] == [(2, 0, 0, [], False)]
+    assert decontaminate.decontaminate(frame(spark, []), none).collect() == []
