@@ -25,7 +25,7 @@ def scrape(
     run_ts: str,
     visited: DataFrame | None = None,
     publish_scope: str = "all",
-    max_depth: int | None = 1,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Extract messages of one venue run: ``venue, url, seq, delay_s, deliver_at, body``.
 
@@ -33,8 +33,9 @@ def scrape(
     absolute, deduplicated per URL (first seen wins in ``depth, src_url, pos``
     order) and dropped when already visited (the seed itself and ``visited``).
     ``publish_scope='all'`` publishes off-host links too, as the reference does;
-    ``'host'`` keeps the venue's host only. With ``max_depth > 1`` new on-host
-    links are followed through the snapshots, one checkpointed round per depth.
+    ``'host'`` keeps the venue's host only. New on-host links are followed through
+    the snapshots, one checkpointed round per depth, until no new page is found or
+    ``max_depth`` (default: none) is reached.
     A spec without a link selector yields no rows and succeeds.
     """
     spark = pages.sparkSession

@@ -1,15 +1,19 @@
 """``EventStore``: the storage interface (U4) over Parquet in a shared folder.
 
-Layout: ``<path>/v=<n>/writer=<w>/batch_id=<b>/``. A put-if-absent adds or
-replaces only its own ``(writer, batch_id)`` partition of the current version,
-so replays are no-ops; overwrite and delete write the whole next version, which
-becomes current when its write commits (readers take the newest version with a
-``_COMMITTED`` marker, written after the data). Writers run one at a time:
-Parquet has no compare-and-set.
+Layout: ``<path>/v=<n>/writer=<w>/batch_id=<b>/``. A put-if-absent only ever adds
+its own new ``(writer, batch_id)`` partition to the current version. The pair is
+the put's write token: a fresh one for each put unless the caller names it, which
+makes a retry of that put change nothing. A token that is used again with other
+content is refused, so no stored object is ever replaced or lost. Overwrite and
+delete write the whole next version, which becomes current when its write commits
+(readers take the newest version with a ``_COMMITTED`` marker, written after the
+data). Writers run one at a time: Parquet has no compare-and-set.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +61,8 @@ class EventStore:
             return self.spark.createDataFrame([], OBJECT_COLUMNS)
         return self.spark.read.parquet(self._version_path(vs[-1]))
 
-    def _write(self, rows: DataFrame, version: int, dynamic: bool) -> None:
-        w = rows.select(*[F.col(c.split()[0]) for c in OBJECT_COLUMNS.split(", ")]).write.mode("overwrite")
-        if dynamic:
-            w = w.option("partitionOverwriteMode", "dynamic")
+    def _write(self, rows: DataFrame, version: int, add: bool) -> None:
+        w = rows.select(*[F.col(c.split()[0]) for c in OBJECT_COLUMNS.split(", ")]).write.mode("append" if add else "overwrite")
         w.partitionBy("writer", "batch_id").parquet(self._version_path(version))
         fs, jvm = self._fs()
         fs.create(jvm.org.apache.hadoop.fs.Path(self._version_path(version), "_COMMITTED"), True).close()
@@ -75,13 +77,18 @@ class EventStore:
         access: str = ST.DEFAULT_ACCESS,
         content_type: str | None = None,
         cache_max_age: int = 0,
-        writer: str = "batch",
+        writer: str | None = None,
         batch_id: int = 0,
     ) -> tuple[DataFrame, DataFrame]:
-        """Put documents ``pathname, body, uploaded_at?, <order>``; returns ``(written, rejected)``."""
+        """Put documents ``pathname, body, uploaded_at?, <order>``; returns ``(written, rejected)``.
+
+        ``writer`` and ``batch_id`` are the put's write token; name them to make a retry
+        of the same put harmless. A named token with other content raises ``ValueError``.
+        """
         ensure_checkpoint_dir(self.spark)
+        writer = writer or f"put-{uuid.uuid4().hex}"
         if add_random_suffix:
-            docs = docs.withColumn("pathname", ST.with_suffix(F.col("pathname"), F.col(order)))
+            docs = docs.withColumn("pathname", ST.with_suffix(F.col("pathname"), F.col(order), token=f"{writer}/{batch_id}"))
         if "uploaded_at" not in docs.columns:
             now_utc = F.timestamp_add("MICROSECOND", F.unix_micros(F.current_timestamp()), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
             docs = docs.withColumn("uploaded_at", F.concat(ntz_text(now_utc), F.lit("Z")))
@@ -92,23 +99,29 @@ class EventStore:
             latest = ST.last_wins(docs, order)
             rows = ST.object_rows(latest, self.base_url, access, content_type, cache_max_age).withColumns(tag)
             table = ST.put_overwrite(current, rows.drop(order), order="batch_id").checkpoint()
-            self._write(table, (vs[-1] + 1) if vs else 1, dynamic=False)
+            self._write(table, (vs[-1] + 1) if vs else 1, add=False)
             return rows, docs.limit(0).withColumn("reason", F.lit(None).cast("string"))
         mine = (F.col("writer") == F.lit(writer)) & (F.col("batch_id") == F.lit(batch_id))
         others = current.where(~mine).select("pathname")
         accepted, rejected = ST.put_if_absent(others, docs, order=order)
         rows = ST.object_rows(accepted, self.base_url, access, content_type, cache_max_age).withColumns(tag).checkpoint()
         rejected = rejected.checkpoint()
-        self._write(rows, vs[-1] if vs else 1, dynamic=True)
+        own = current.where(mine).select("pathname", "etag")
+        if own.isEmpty():
+            self._write(rows, vs[-1] if vs else 1, add=True)
+        else:  # the token is stored: only a retry of the same put may use it
+            new = rows.select("pathname", "etag")
+            if not (new.exceptAll(own).isEmpty() and own.exceptAll(new).isEmpty()):
+                raise ValueError(f"write token ({writer}, {batch_id}) was used for other content")
         return rows, rejected
 
     def delete(self, keys: DataFrame, key_col: str = "key") -> None:
         """Delete by pathname or URL; an empty key set changes nothing."""
         vs = self._versions()
-        if not vs:
+        if not vs or keys.isEmpty():
             return
         table = ST.delete_keys(self.read(), keys, self.base_url, key_col=key_col).checkpoint()
-        self._write(table, vs[-1] + 1, dynamic=False)
+        self._write(table, vs[-1] + 1, add=False)
 
     # ------------------------------------------------------------ reads
     def get(self, pathnames: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ partitions. Each partition numbers its rows in sorted order
 (``monotonically_increasing_id`` low bits), a tiny table of per
 ``(key, partition)`` counts gives each partition its offset by a prefix sum,
 and a join adds it back. That table has at most ``#keys + #partitions`` rows; it
-is broadcast when the key count is under ``broadcast_keys`` (checked), else
+is broadcast when its measured bytes are under ``broadcast_bytes``, else
 joined by shuffle on ``(key, partition)``, which cannot skew either. The
-decision counts the checkpointed count table itself, so the bound is exact.
+decision measures the checkpointed count table itself, so the bound is exact.
 
 The numbered rows are used twice (counts, and the join back), and two range
 exchanges over the same input may draw different bounds (the partitioner's
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .joins import BROADCAST_MAX_BYTES, bounded_broadcast
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -40,19 +41,10 @@ def number_within(
     order: list[str],
     out: str = "seq",
     partitions: int | None = None,
-    broadcast_keys: int = 2_000_000,
-    small_bytes: int = 64 << 20,
+    broadcast_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
-    """Adds ``out`` = 1, 2, ... per ``keys`` in ``order``, without a one-task window.
-
-    Inputs the optimizer estimates below ``small_bytes`` (its estimates for
-    scans, joins, aggregates and explodes here only over-count) take the plain
-    window: at that size one task per key is no risk and the checkpoints would
-    cost more than the sort.
-    """
+    """Adds ``out`` = 1, 2, ... per ``keys`` in ``order``, without a one-task window: one plan at every size."""
     spark = df.sparkSession
-    if small_bytes and estimated_bytes(df) <= small_bytes:
-        return row_number_within(df, keys, order, out)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *_cols(keys + order)).sortWithinPartitions(*_cols(keys + order))
     tagged = (
@@ -65,20 +57,13 @@ def number_within(
     stats = tagged.groupBy(*keys, "_part").agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").checkpoint()
-    if stats.count() <= broadcast_keys:  # the exact size of what would be broadcast
-        stats = F.broadcast(stats)
-    joined = tagged.join(stats, [*keys, "_part"])
+    joined = tagged.join(bounded_broadcast(stats, max_bytes=broadcast_bytes), [*keys, "_part"])
     seq = (F.col("_local") - F.col("_first") + F.col("_before") + F.lit(1)).cast("long")
     return joined.withColumn(out, seq).drop("_mid", "_part", "_local", "_first", "_before")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan (no job runs)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def row_number_within(df: DataFrame, keys: list[str], order: list[str], out: str = "seq") -> DataFrame:
-    """The plain window form, for inputs known to be small per key."""
+    """The plain window form: one task per key (the tests compare with it)."""
     w = Window.partitionBy(*keys).orderBy(*_cols(order))
     return df.withColumn(out, F.row_number().over(w).cast("long"))
 

@@ -35,9 +35,13 @@ def inferred_content_type(pathname: Column) -> Column:
     return out
 
 
-def with_suffix(pathname: Column, row_key: Column, length: int = SUFFIX_LENGTH) -> Column:
-    """``name.json`` -> ``name-<hash>.json``; the hash covers the name and the writer's row key."""
-    digest = F.substring(F.sha2(F.concat_ws("#", pathname, row_key.cast("string")), 256), 1, length)
+def with_suffix(pathname: Column, row_key: Column, length: int = SUFFIX_LENGTH, token: str | None = None) -> Column:
+    """``name.json`` -> ``name-<hash>.json``; the hash covers the name, the writer's row key and the write token.
+
+    A retried task or put writes the same name; two puts (two tokens) never share one.
+    """
+    parts = [pathname, row_key.cast("string")] + ([F.lit(token)] if token else [])
+    digest = F.substring(F.sha2(F.concat_ws("#", *parts), 256), 1, length)
     stem = F.regexp_extract(pathname, r"^(.*?)(\.[^./]*)?$", 1)
     ext = F.regexp_extract(pathname, r"^(.*?)(\.[^./]*)?$", 2)
     return F.concat(stem, F.lit("-"), digest, ext)
@@ -135,13 +139,14 @@ def list_objects(stored: DataFrame, prefix: str = "", limit: int = 0, cursor: st
 def delete_keys(stored: DataFrame, keys: DataFrame, base_url: str, key_col: str = "key", key: str = "pathname") -> DataFrame:
     """The table after deleting by pathname or URL; an empty key list changes nothing.
 
-    A URL key is turned into its pathname first, so the delete is one equi
-    ``left_anti`` join rather than an OR condition (which would be a nested loop).
+    A URL key is compared with the stored ``url`` and, under the current base URL, as
+    a pathname: two equi ``left_anti`` joins rather than an OR condition (which would
+    be a nested loop).
     """
     k = F.col(key_col)
     as_path = F.when(k.startswith(base_url), F.substring(k, len(base_url) + 1, 1 << 30)).otherwise(k)
-    targets = keys.select(as_path.alias(key)).distinct()
-    return stored.join(targets, key, "left_anti")
+    left = stored.join(keys.select(as_path.alias(key)).distinct(), key, "left_anti")
+    return left.join(keys.select(k.alias("url")).distinct(), "url", "left_anti").select(*stored.columns) if "url" in stored.columns else left
 
 
 LIST_RESPONSE_SCHEMA = (
@@ -151,9 +156,13 @@ LIST_RESPONSE_SCHEMA = (
 
 
 def explode_listing(responses: DataFrame, col: str = "response") -> DataFrame:
-    """List responses -> one row per object; an unparsable ``uploadedAt`` gives a null instant."""
-    r = responses.withColumn("_r", F.from_json(F.col(col), LIST_RESPONSE_SCHEMA))
-    ex = r.select(F.col("_r.cursor").alias("cursor"), F.col("_r.hasMore").alias("has_more"), F.explode_outer("_r.blobs").alias("b"))
+    """List responses -> one row per object; an unparsable ``uploadedAt`` gives a null instant.
+
+    An empty page gives no object. A response that is not JSON stops the job: a
+    listing that silently lacks a page would be taken for the whole store.
+    """
+    r = responses.withColumn("_r", F.from_json(F.col(col), LIST_RESPONSE_SCHEMA, {"mode": "FAILFAST"}))
+    ex = r.select(F.col("_r.cursor").alias("cursor"), F.col("_r.hasMore").alias("has_more"), F.explode("_r.blobs").alias("b"))
     rfc = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
     ts = F.when(F.col("b.uploadedAt").rlike(rfc), F.try_to_timestamp(F.col("b.uploadedAt")))
     return ex.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.zones import day_text
 from ..operators import links, routing as R, sequencing
-from ..session import state_path
+from ..session import ensure_checkpoint_dir, state_path
 from ..sources import derived
 from ..sources.tables import pages as read_pages, table
 from ..streaming import streams as ST
@@ -71,6 +71,29 @@ def stream_put_if_absent(spark, sf):
     return spark.read.parquet(store).select("pathname", "event_id")
 
 
+def stream_put_replay(spark, sf):
+    """Keys that span many day files, put by batches of 15 files and then replayed from a
+    lost checkpoint in batches of 7: every key is stored once, with the body of the first run."""
+    base = state_path(spark, "stream_replay")
+    staged, store = f"{base}/events_by_day", f"{base}/store"
+    ev = table(spark, sf, "events").withColumn("day", day_text(F.col("ts")))
+    ev.repartition("day").write.partitionBy("day").parquet(staged)
+    schema = spark.read.parquet(staged).schema
+    seen = []
+    for max_files in (15, 7):
+        docs = ST.file_stream(spark, staged, schema, max_files=max_files).select(
+            F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".json")).alias("pathname"), "event_id", F.col("props").alias("body")
+        )
+        sink = ST.put_if_absent_sink(store, writer="events", order="event_id", base_url=params.OBJECT_BASE_URL, buckets=STORE_BUCKETS)
+        ST.run_foreach_batch(docs, sink, f"{base}/ck_{max_files}")
+        rows = spark.read.parquet(store).groupBy("pathname").agg(F.count("*").alias("n_stored"), F.min("event_id").alias("event_id"))
+        ensure_checkpoint_dir(spark)
+        seen.append(rows.checkpoint())  # before the replay adds to the store
+    first, last = seen[0].select("pathname", F.col("event_id").alias("first_id")), seen[1]
+    same = F.col("first_id").eqNullSafe(F.col("event_id")).alias("unchanged")
+    return last.join(first, "pathname", "left").select("pathname", "n_stored", same)
+
+
 def _scheduled(spark, sf):
     m = R.decode_messages(derived.event_messages(table(spark, sf, "events")))
     acc = R.route(m, message_registry(spark)).where(F.col("outcome") == "accepted")
@@ -112,6 +135,7 @@ QUERIES = {
     "stream_extract": stream_extract,
     "stream_dedup": stream_dedup,
     "stream_put_if_absent": stream_put_if_absent,
+    "stream_put_replay": stream_put_replay,
     "due_messages": due_messages,
     "retry_schedule": retry_schedule,
 }
@@ -135,6 +159,8 @@ ORACLES = {
         "ANTI JOIN visited v ON n.venue = v.venue AND n.url = v.url LEFT JOIN pages p ON n.url = p.url"
     ),
     "stream_dedup": f"SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS run_id, {_URL} AS url FROM events",
+    "stream_put_replay": "SELECT concat('u', CAST(user_id AS VARCHAR), '.json') AS pathname, CAST(1 AS BIGINT) AS n_stored, true AS unchanged "
+    "FROM events GROUP BY 1",
     "stream_put_if_absent": "SELECT concat('u', CAST(user_id AS VARCHAR), '-', strftime(ts, '%Y-%m-%d'), '.json') AS pathname, "
     "min(event_id) AS event_id FROM events GROUP BY 1",
     "due_messages": f"WITH {_SEQ}\nSELECT message_id, venue, CAST(seq AS BIGINT) AS seq, deliver_at FROM sched "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,13 +39,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names; set one only where it is unset.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is.
-    Only a session without it (local tests) gets a fresh scratch folder.
+    Only a local session without it (tests) gets a fresh scratch folder; on any other
+    master a folder of this machine would be lost to the executors, so that raises.
     """
     current = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"{CHECKPOINT_KEY} is not set; on {master} it must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="eventpipe-ckpt-")
     spark.conf.set(CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)

@@ -3,8 +3,8 @@ state, replay-safe put-if-absent, delayed visibility and retries.
 
 Every stream runs with its own checkpoint under the shared checkpoint folder and
 ``trigger(availableNow=True)`` (one run = the daily run). Sinks are idempotent:
-files are committed by the file sink's log, and the store sink overwrites only
-its own ``(writer, batch_id)`` partition, so a replayed batch writes the same rows.
+files are committed by the file sink's log, and the store sink only adds keys that
+no batch has stored, so a replay in any cut of batches adds nothing.
 """
 
 from __future__ import annotations
@@ -70,36 +70,34 @@ def put_if_absent_sink(
 ):
     """A ``foreachBatch`` function writing each batch with put-if-absent.
 
-    The store is partitioned by ``writer, batch_id`` (and first by ``bucket`` when
-    ``buckets`` is set). A batch is checked against every partition except its
-    own and then replaces its own partition (dynamic partition overwrite), so a
-    replayed batch, a restarted stream or a second run of the same input under
-    the same writer leaves the table as it was. With ``buckets`` the check reads
-    only the buckets the batch's keys hash to (partition pruning on a list of at
-    most ``buckets`` ids), instead of every stored key. Writers must not commit
-    at the same moment (Parquet has no compare-and-set).
+    A batch is checked against all stored keys and only what is new is appended;
+    nothing stored is ever rewritten. So a batch that failed after its write, a
+    restarted stream, and a replay from a lost checkpoint with another cut of
+    batches all leave the table as it was: their keys are there already. The store
+    is partitioned by ``bucket`` when ``buckets`` is set (choose it from the size of
+    the store); the check then reads only the buckets the batch's keys hash to, a
+    list of at most ``buckets`` ids. ``writer`` and ``batch_id`` are kept with each
+    row. Writers must not commit at the same moment (Parquet has no compare-and-set).
     """
-    parts = (["bucket"] if buckets else []) + ["writer", "batch_id"]
+    parts = ["bucket"] if buckets else []
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ensure_checkpoint_dir(spark)
         if buckets:
             batch = batch.withColumn("bucket", key_bucket(key, buckets))
-        mine = (F.col("writer") == F.lit(writer)) & (F.col("batch_id") == F.lit(batch_id))
         if _path_exists(spark, store_path):
             stored = spark.read.parquet(store_path)
             if buckets:
                 touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most `buckets` ids
                 stored = stored.where(F.col("bucket").isin(touched))
-            others = stored.where(~mine).select(key)
+            others = stored.select(key)
         else:
-            others = batch.sparkSession.createDataFrame([], f"{key} string")
+            others = spark.createDataFrame([], f"{key} string")
         accepted, _ = ST.put_if_absent(others, batch, order=order, key=key)
         rows = ST.object_rows(accepted, base_url, **put_options)
         rows = rows.withColumn("writer", F.lit(writer)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        rows = rows.checkpoint()  # cut the read of the store before overwriting a partition of it
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(store_path)
+        rows.checkpoint().write.mode("append").partitionBy(*parts).parquet(store_path)  # the store is read in full before it is added to
 
     return write
 

@@ -24,7 +24,7 @@ def pages(spark):
 
 
 def test_scrape_depth_one(spark, pages):
-    msgs = jobs.scrape(pages, find_venue("vega"), "2026-01-01 00:00:00").orderBy("seq").collect()
+    msgs = jobs.scrape(pages, find_venue("vega"), "2026-01-01 00:00:00", max_depth=1).orderBy("seq").collect()
     assert [(m.url, m.seq, m.delay_s) for m in msgs] == [
         ("https://vega.dk/event/a", 1, 15),
         ("https://vega.dk/event/b", 2, 30),

@@ -11,13 +11,13 @@ def test_number_within_equals_row_number_on_skewed_keys(spark):
         F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 13).cast("string"))).alias("venue"),
         ((F.col("id") * 7919) % 5000).alias("o"),
     )
-    fast = sequencing.number_within(df, ["venue"], ["o"], partitions=16, small_bytes=0)
+    fast = sequencing.number_within(df, ["venue"], ["o"], partitions=16)
     plain = sequencing.row_number_within(df, ["venue"], ["o"])
     a = sorted((r.venue, r.o, r.seq) for r in fast.collect())
     b = sorted((r.venue, r.o, r.seq) for r in plain.collect())
     assert a == b
     # the large-key path (no broadcast) gives the same numbers
-    c = sorted((r.venue, r.o, r.seq) for r in sequencing.number_within(df, ["venue"], ["o"], partitions=16, broadcast_keys=0, small_bytes=0).collect())
+    c = sorted((r.venue, r.o, r.seq) for r in sequencing.number_within(df, ["venue"], ["o"], partitions=16, broadcast_bytes=0).collect())
     assert c == b
 
 
@@ -55,9 +55,10 @@ def test_follow_cycle_diamond_depth(spark):
     assert self_loop == {"x": 1}
 
 
-def test_small_inputs_take_the_plain_window(spark):
+def test_small_inputs_have_no_window_of_one_task_either(spark):
     df = spark.range(0, 100).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
-    assert sequencing.estimated_bytes(df) < 1 << 20
-    a = sorted(tuple(r) for r in sequencing.number_within(df, ["k"], ["o"]).collect())
-    b = sorted(tuple(r) for r in sequencing.number_within(df, ["k"], ["o"], small_bytes=0).collect())
+    numbered = sequencing.number_within(df, ["k"], ["o"])
+    assert "row_number" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+    a = sorted(tuple(r) for r in numbered.collect())
+    b = sorted(tuple(r) for r in sequencing.row_number_within(df, ["k"], ["o"]).collect())
     assert a == b

@@ -5,6 +5,7 @@ import tempfile
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from eventpipe.operators import store as ST
@@ -109,7 +110,9 @@ def test_listing_response(spark):
     )
     rows = {r.pathname: r for r in ST.explode_listing(resp).collect()}
     assert rows["a"].uploaded_ms == 1712344356679 and rows["b"].uploaded_ms is None and rows["a"].has_more
-    assert None in rows  # an empty page still yields its row (explode_outer)
+    assert set(rows) == {"a", "b"}  # an empty page holds no object
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        ST.explode_listing(spark.createDataFrame([("not json",)], "response string")).collect()
 
 
 def test_event_store_replay_and_versions(spark):
@@ -129,3 +132,46 @@ def test_event_store_replay_and_versions(spark):
     assert [r.pathname for r in store.list(limit=1).collect()] == ["a.json"]
     got = {r.pathname: r.found for r in store.get(spark.createDataFrame([("c.json",), ("zz.json",)], "pathname string")).collect()}
     assert got == {"c.json": True, "zz.json": False}
+
+
+def test_event_store_keeps_what_is_stored(spark):
+    store = EventStore(spark, os.path.join(tempfile.mkdtemp(prefix="store-"), "events"), BASE)
+    store.put(docs(spark, [("a.json", 1, "a1"), ("b.json", 2, "b1")]), order="seq")
+    _, rejected = store.put(docs(spark, [("a.json", 1, "other"), ("c.json", 2, "c1")]), order="seq")
+    assert [(r.pathname, r.reason) for r in rejected.collect()] == [("a.json", "exists")]
+    assert sorted((r.pathname, r.body) for r in store.read().collect()) == [("a.json", "a1"), ("b.json", "b1"), ("c.json", "c1")]
+    store.put(docs(spark, [("d.json", 1, "d1")]), order="seq", writer="w", batch_id=7)
+    store.put(docs(spark, [("d.json", 1, "d1")]), order="seq", writer="w", batch_id=7)  # a retry
+    with pytest.raises(ValueError, match="other content"):
+        store.put(docs(spark, [("e.json", 1, "e1")]), order="seq", writer="w", batch_id=7)
+    assert store.read().count() == 4
+    for _ in range(2):  # the same name and row key in two puts
+        store.put(docs(spark, [("s.json", 1, "s")]), order="seq", add_random_suffix=True)
+    assert store.read().where("pathname like 's-%'").count() == 2
+    before = store._versions()
+    store.delete(spark.createDataFrame([], "key string"))
+    assert store._versions() == before
+    moved = EventStore(spark, store.path, "https://new.example.com/")
+    moved.delete(spark.createDataFrame([(BASE + "a.json",)], "key string"))
+    assert store.read().where("pathname = 'a.json'").count() == 0
+
+
+def test_checkpoint_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from eventpipe import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.ensure_checkpoint_dir(Session())
