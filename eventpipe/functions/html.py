@@ -11,22 +11,30 @@ from pyspark.sql import functions as F
 
 # Patterns shared with the SQL oracle (Java regex and RE2 agree on them).
 COMMENT_RE = r"(?s)<!--.*?-->"
+COMMENT_OUTSIDE_RE = r"(?is)(<script\b.*?</script\s*>|<style\b.*?</style\s*>)|<!--.*?-->"
 NOISE_RE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 ATTR_VALUE_RE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+OTHER_ATTR_RE = r"""(?:[\s/]+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)"""
+OPEN_TAIL_RE = r"""(?:\s(?:[^>"']|"[^"]*"|'[^']*')*)?>"""
+
+
+#: Named and numeric entities of the characters that markup itself uses; the ampersand is last.
+ENTITIES = {"&quot;": '"', "&#34;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&#x2F;": "/", "&#47;": "/", "&#38;": "&", "&#x26;": "&", "&amp;": "&"}
 
 
 def tag_re(tag: str) -> str:
     """Opening tags of one element name, with or without attributes."""
-    return r"(?is)<" + tag + r"(?:\s[^>]*)?>"
+    return r"(?is)<" + tag + OPEN_TAIL_RE
 
 
 def attr_re(name: str) -> str:
-    return r"(?is)\s" + name + ATTR_VALUE_RE
+    """The first attribute of this name, after any others: text inside their quotes is never taken for an attribute."""
+    return r"(?is)^<[a-z][^\s/>]*" + OTHER_ATTR_RE + r"*?[\s/]+" + name + ATTR_VALUE_RE
 
 
 def element_re(tag: str) -> str:
     """A whole element with its text, for raw-text elements such as ``script``."""
-    return r"(?is)<" + tag + r"(?:\s[^>]*)?>.*?</" + tag + r"\s*>"
+    return r"(?is)<" + tag + OPEN_TAIL_RE + r".*?</" + tag + r"\s*>"
 
 
 def strip_noise(html: Column) -> Column:
@@ -35,14 +43,18 @@ def strip_noise(html: Column) -> Column:
 
 
 def strip_comments(html: Column) -> Column:
-    return F.regexp_replace(html, F.lit(COMMENT_RE), F.lit(""))
+    """Drop comments, but not what looks like one inside a script or style."""
+    return F.regexp_replace(html, F.lit(COMMENT_OUTSIDE_RE), F.lit("$1"))
 
 
 def unquote(raw: Column) -> Column:
-    """Attribute value without its quotes, with ``&amp;`` decoded and outer space trimmed."""
+    """Attribute value without its quotes, with the entities of markup characters decoded and outer space trimmed."""
     quoted = raw.startswith('"') | raw.startswith("'")
     inner = F.when(quoted, raw.substr(F.lit(2), F.length(raw) - F.lit(2))).otherwise(raw)
-    return F.trim(F.replace(inner, F.lit("&amp;"), F.lit("&")))
+    decoded = inner
+    for entity, char in ENTITIES.items():
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    return F.trim(decoded)
 
 
 def attr_value(tag: Column, name: str) -> Column:
@@ -67,11 +79,11 @@ def select_attr(html: Column, tag: str, take: str, attr: str | None = None, valu
 def select_text(html: Column, tag: str, attr: str | None = None, value: str | None = None) -> Column:
     """Array of the raw text of the selected raw-text elements (e.g. ``script``), in page order."""
     elements = F.regexp_extract_all(strip_comments(html), F.lit(element_re(tag)), F.lit(0))
-    open_re = r"(?is)^<" + tag + r"(?:\s[^>]*)?>"
+    open_re = r"(?is)^<" + tag + OPEN_TAIL_RE
     if attr is not None:
         elements = F.filter(
             elements,
             lambda e: F.coalesce(attr_value(F.regexp_extract(e, open_re, 0), attr) == F.lit(value), F.lit(False)),
         )
-    body_re = r"(?is)^<" + tag + r"(?:\s[^>]*)?>(.*)</" + tag + r"\s*>$"
+    body_re = r"(?is)^<" + tag + OPEN_TAIL_RE + r"(.*)</" + tag + r"\s*>$"
     return F.transform(elements, lambda e: F.regexp_extract(e, body_re, 1))

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 
 def html_safe(json_text: Column) -> Column:
-    """Escape ``<``, ``>`` and ``&`` as ``\\u003c``, ``\\u003e``, ``\\u0026``.
+    """Escape ``<``, ``>``, ``&`` and the two Unicode line separators as ``\\u`` sequences.
 
     The reference's encoder does this by default; in JSON text these characters
     can only occur inside strings, so a plain replace is exact.
     """
     out = F.replace(json_text, F.lit("&"), F.lit("\\u0026"))
     out = F.replace(out, F.lit("<"), F.lit("\\u003c"))
-    return F.replace(out, F.lit(">"), F.lit("\\u003e"))
+    out = F.replace(out, F.lit(">"), F.lit("\\u003e"))
+    out = F.replace(out, F.lit("\u2028"), F.lit("\\u2028"))
+    return F.replace(out, F.lit("\u2029"), F.lit("\\u2029"))
 
 
 def encode(struct_col: Column) -> Column:

@@ -12,8 +12,8 @@ CURRENCY_SIGNS = {"DKK": "kr."}
 
 
 def danish_price(amount: Column, currency: Column) -> Column:
-    """``1234.5, 'DKK'`` -> ``1.234,50 kr.``; another currency keeps its code."""
-    number = F.translate(F.format_number(amount, 2), ",.", ".,")
+    """``1234.5, 'DKK'`` -> ``1.234,50 kr.``; another currency keeps its code; halves round away from zero."""
+    number = F.translate(F.format_number(F.round(amount, 2), 2), ",.", ".,")
     sign = F.coalesce(
         F.when(currency == "DKK", F.lit(CURRENCY_SIGNS["DKK"])),
         currency,

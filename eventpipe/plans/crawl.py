@@ -1,4 +1,4 @@
-"""Depth-bounded follow (J3) over a link graph from ``lineitem``: supplier -> part and back."""
+"""Follow (J3) to the last new node over a link graph from ``lineitem``: supplier -> part and back."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import crawl
 from ..sources.tables import table
 
-MAX_DEPTH = 3
-
 
 def _edges(spark, sf):
     li = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
@@ -19,19 +17,20 @@ def _edges(spark, sf):
 
 def crawl_reach(spark, sf):
     seeds = table(spark, sf, "lineitem").agg(F.concat(F.lit("s"), F.min("l_suppkey").cast("string")).alias("node"))
-    return crawl.follow(_edges(spark, sf), seeds, max_depth=MAX_DEPTH)
+    return crawl.follow(_edges(spark, sf), seeds, max_depth=None)
 
 
 QUERIES = {"crawl_reach": crawl_reach}
 
 ORACLES = {
-    "crawl_reach": f"""WITH RECURSIVE edges AS (
+    "crawl_reach": """WITH RECURSIVE edges AS (
   SELECT 's' || CAST(l_suppkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst FROM lineitem
   UNION SELECT 'p' || CAST(l_partkey AS VARCHAR), 's' || CAST(l_suppkey AS VARCHAR) FROM lineitem
 ),
-walk(node, depth) AS (
+walk(node, depth) USING KEY (node) AS (
   SELECT 's' || CAST(min(l_suppkey) AS VARCHAR), 1 FROM lineitem
-  UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON w.node = e.src WHERE w.depth < {MAX_DEPTH}
+  UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON w.node = e.src
+    LEFT JOIN recurring.walk r ON r.node = e.dst WHERE r.node IS NULL
 )
-SELECT node, min(depth) AS depth FROM walk GROUP BY node"""
+SELECT node, depth FROM walk"""
 }

@@ -161,3 +161,30 @@ def test_extract_against_bucketed_pages_shuffles_only_messages(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_decoder_applies_keys_in_order_and_survives_surrogates():
+    from eventpipe.functions.strict_json import decode_fields, valid_rfc3339
+
+    spec = {"venue": "string"}
+    assert decode_fields('{"venue":"a","VENUE":"b"}', spec)["venue"] == "b"
+    assert decode_fields('{"venue":"a","venue":null}', spec)["venue"] == "a"
+    assert not decode_fields('{"venue":5,"venue":"x"}', spec)["ok"]
+    assert decode_fields('{"venue":"\\ud800x"}', spec)["venue"] == "�x"
+    assert not valid_rfc3339("2024-01-01T00:00:00Z\n") and not valid_rfc3339("２024-01-01T00:00:00Z")
+
+
+def test_hostile_markup(spark):
+    from pyspark.sql import functions as F
+
+    from eventpipe.functions import html as H
+
+    page = (
+        '<a title="x > y" href="/one">1</a><a title=" href=/wrong" href="/right">2</a><a href="?a=1&#38;b=2">3</a>'
+        '<script id="d">{"t":"a <!-- b --> c"}</script><!-- <script id="d">no</script> -->'
+    )
+    row = spark.createDataFrame([(page,)], "html string").select(
+        H.select_attr(F.col("html"), "a", "href").alias("links"), H.select_text(F.col("html"), "script", "id", "d").alias("texts")
+    ).first()
+    assert row.links == ["/one", "/right", "?a=1&b=2"]
+    assert row.texts == ['{"t":"a <!-- b --> c"}']
