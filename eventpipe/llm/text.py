@@ -7,6 +7,7 @@ bytes that are not ASCII white space (UTF-8 keeps those bytes for themselves).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,3 +163,13 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, least_bytes: int) -> It
     held = [b for b in held if b.num_rows]
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    del held
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system: an idle Python worker otherwise keeps the most that it ever used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)

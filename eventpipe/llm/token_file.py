@@ -46,7 +46,7 @@ from .text import blocks, buffers, word_bounds, word_codes
 
 MAGIC = b"TKB1"
 BLOCK_BYTES = 8 << 20
-MOST_CACHED = 700_000
+MOST_CACHED = 400_000
 BLOCK_SCHEMA = "part int, block long, first_id long, last_id long, n_docs long, n_tokens long, body binary"
 _TRAILING = b".,;:!?"
 _CLOSES, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
