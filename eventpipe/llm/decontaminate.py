@@ -9,9 +9,10 @@ windows past the last word are dropped (positional and length bounds). What is
 left is compared word by word with the document's slice of the window's size.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower
-case. The join key is the word in full Unicode lower case: texts equal in A-Z
-lower case are equal there too, so nothing is lost, and the comparison at the
-end uses A-Z alone. Rarity decides only which word is joined, never the result.
+case. The join key is the word in full Unicode lower case, with the one letter
+whose lower case depends on its neighbours (the Greek final sigma) made one: texts
+equal in A-Z lower case are equal there too, so nothing is lost, and the
+comparison at the end uses A-Z alone. Rarity decides only which word is joined, never the result.
 
 Defined results: a null text has no words, is not hit and is not contaminated; a
 null id is an ordinary id; each input row gives one row, also if rows repeat; an
@@ -46,6 +47,11 @@ def fold(word: Column) -> Column:
     return F.translate(word, UPPER, LOWER)
 
 
+def joined(text: Column) -> Column:
+    """The form that words are joined in; a word has the same one alone and within its text."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+
+
 def windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """Distinct windows ``words`` with the ids of the items that hold them."""
     w = items.select(F.col(id_col).cast("string").alias("item"), F.transform(words(F.col(text_col)), fold).alias("all"))
@@ -57,11 +63,11 @@ def windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
 
 def rarest(found: DataFrame, texts: DataFrame) -> DataFrame:
     """Windows with their rarest word ``token`` and its ``offset``, by the corpus count of each word."""
-    vocabulary = broadcast_if_small(found.select(F.explode("words").alias("word")).select(F.lower("word").alias("word")).distinct())
+    vocabulary = broadcast_if_small(found.select(F.explode("words").alias("word")).select(joined(F.col("word")).alias("word")).distinct())
     # explode_outer: for explode, the planner would split every text a second time to drop empty arrays
-    seen = texts.select(F.explode_outer(words(F.lower("text"))).alias("word")).join(vocabulary, "word", "left_semi")
+    seen = texts.select(F.explode_outer(words(joined(F.col("text")))).alias("word")).join(vocabulary, "word", "left_semi")
     seen = seen.groupBy("word").agg(F.count("*").alias("n"))
-    each = found.select("words", F.posexplode("words").alias("offset", "w")).select("words", "offset", F.lower("w").alias("word"))
+    each = found.select("words", F.posexplode("words").alias("offset", "w")).select("words", "offset", joined(F.col("w")).alias("word"))
     # A word that the corpus lacks is the rarest: its windows then join nothing.
     ranked = each.join(seen, "word", "left").groupBy("words").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word"), F.col("offset"))).alias("r")
@@ -77,7 +83,7 @@ def judge(docs: DataFrame, items: DataFrame, text_col: str, item_id_col: str, it
     texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = windows(items, item_id_col, item_text_col, window)
     prefixes = broadcast_if_small(rarest(found, texts).join(found, "words"))
-    split = texts.select("key", words(F.lower("text")).alias("w")).select("key", "w", F.size("w").alias("n"))
+    split = texts.select("key", words(joined(F.col("text"))).alias("w")).select("key", "w", F.size("w").alias("n"))
     tokens = split.select("key", "n", F.posexplode_outer("w").alias("pos", "token"))
     start = F.col("pos") - F.col("offset")
     candidates = (

@@ -422,9 +422,9 @@ def brute_hits(docs, items):
 
 def test_decontamination(spark):
     rng = random.Random(8)
-    rows = mixed_documents(9) + ODD + [(200, "The W1, w2! w3"), (201, "É w3 w4"), (202, "K w5 W6")]
+    rows = mixed_documents(9) + ODD + [(200, "The W1, w2! w3"), (201, "É w3 w4"), (202, "K w5 W6"), (203, "ΟΔΟΣ'ΑΒ")]
     items = [(i, " ".join(f"W{k}" for k in range(a, a + n))) for i, (a, n) in enumerate([(0, 13), (5, 20), (30, 25), (3, 2), (3, 2)])]
-    items += [(7, None), (8, ""), (9, "the"), (10, "é w3"), (11, "k w5"), (12, "zzz not there"), (13, " ".join(rng.choice("abcde") for _ in range(4)))]
+    items += [(14, "οδος ΟΔΟΣ"), (15, "ΟΔΟΣ"), (7, None), (8, ""), (9, "the"), (10, "é w3"), (11, "k w5"), (12, "zzz not there"), (13, " ".join(rng.choice("abcde") for _ in range(4)))]
     docs = frame(spark, [(i, t, "x", 1) for i, t in rows], "doc_id long, text string, n_hit string, key int")
     judged = decontaminate.decontaminate(docs, frame(spark, items, "item_id long, text string"))
     assert "key" in judged.columns and judged.columns.count("n_hit") == 1
