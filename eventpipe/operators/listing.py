@@ -57,8 +57,9 @@ def listing_rows(events: DataFrame) -> DataFrame:
     e = with_display_price(with_display_date(with_availability(events)))
     return e.select(
         F.col("name").alias("title"),
+        "description",
         "date_text",
-        F.concat(F.col("location.name"), F.lit(" - "), F.col("location.address.addressLocality")).alias("venue_line"),
+        F.concat_ws(" - ", F.col("location.name"), F.col("location.address.addressLocality")).alias("venue_line"),
         F.col("performer.name").alias("performer"),
         "price_text",
         "status",

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 DEFAULT_ACCESS = "public"  # fixed value: the reference's default visibility
 DEFAULT_LIST_LIMIT = 1000
 SUFFIX_LENGTH = 16
@@ -81,6 +83,27 @@ def last_wins(incoming: DataFrame, order: str, key: str = "pathname") -> DataFra
     return incoming.groupBy(key).agg(win).select(key, "_w.*")
 
 
+def accept_new(stored: DataFrame, incoming: DataFrame, order: str, key: str = "pathname") -> DataFrame:
+    """The incoming rows that a put-if-absent writes: the first row of each key that is not stored."""
+    return first_wins(incoming, order, key).join(stored.select(key).distinct(), key, "left_anti")
+
+
+def rejected_puts(stored: DataFrame, incoming: DataFrame, order: str, key: str = "pathname") -> DataFrame:
+    """The incoming rows that a put-if-absent does not write, with ``reason``.
+
+    One narrow row per key (its first row's order, and whether the key is stored) is
+    checkpointed first, so the rows meet it in a plain join of two shuffles, which AQE
+    splits where one key holds many of the rows.
+    """
+    ensure_checkpoint_dir(incoming.sparkSession)
+    first = incoming.groupBy(key).agg(F.min(order).alias("_win"))
+    known = stored.select(key).distinct().withColumn("_exists", F.lit(True))
+    verdict = first.join(known, key, "left").checkpoint()
+    lost = F.col("_exists").isNotNull() | (F.col(order) != F.col("_win"))
+    reason = F.when(F.col("_exists").isNotNull(), F.lit("exists")).otherwise(F.lit("duplicate_in_batch"))
+    return incoming.join(verdict, key).where(lost).withColumn("reason", reason).drop("_exists", "_win")
+
+
 def put_if_absent(stored: DataFrame, incoming: DataFrame, order: str, key: str = "pathname") -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)``: new keys are written once; existing keys are never replaced.
 
@@ -88,18 +111,17 @@ def put_if_absent(stored: DataFrame, incoming: DataFrame, order: str, key: str =
     ``exists`` (the key is stored) or ``duplicate_in_batch`` (an earlier row of
     the batch took the key).
     """
-    keys = stored.select(key).distinct()
-    winners = first_wins(incoming, order, key)
-    accepted = winners.join(keys, key, "left_anti")
-    marked = incoming.join(keys.withColumn("_exists", F.lit(True)), key, "left").join(
-        winners.select(key, F.col(order).alias("_win")), key, "left"
-    )
-    rejected = (
-        marked.where(F.col("_exists").isNotNull() | (F.col(order) != F.col("_win")))
-        .withColumn("reason", F.when(F.col("_exists").isNotNull(), F.lit("exists")).otherwise(F.lit("duplicate_in_batch")))
-        .drop("_exists", "_win")
-    )
-    return accepted, rejected
+    return accept_new(stored, incoming, order, key), rejected_puts(stored, incoming, order, key)
+
+
+def write_sorted(objects: DataFrame, path: str, key: str = "pathname") -> DataFrame:
+    """Write objects as files that each hold one sorted range of keys, and read them back.
+
+    Prefix and cursor filters on the result reach the Parquet scan, where the files'
+    and row groups' bounds skip what lies outside.
+    """
+    objects.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.parquet(path)
+    return objects.sparkSession.read.schema(objects.schema).parquet(path)
 
 
 def put_overwrite(stored: DataFrame, incoming: DataFrame, order: str, key: str = "pathname") -> DataFrame:

@@ -20,9 +20,9 @@ def _catalogue(spark, sf):
 
 
 def event_catalogue(spark, sf):
-    """The catalogue written as JSON files and read back with the page's event schema."""
+    """The catalogue written as JSON arrays, the page's own form, and read back with its event schema."""
     folder = state_path(spark, "catalogue")
-    _catalogue(spark, sf).write.json(folder)
+    feeds.write_catalogue(_catalogue(spark, sf), folder)
     c = feeds.read_catalogue(spark, folder, L.UI_EVENT_SCHEMA, multiline=False)
     return c.select(
         "name", F.col("startDate").alias("start_date"), F.col("venueType").alias("venue_type"),
@@ -97,7 +97,7 @@ _MONTHS = "['jan.', 'feb.', 'mar.', 'apr.', 'maj', 'jun.', 'jul.', 'aug.', 'sep.
 
 CATALOGUE_CTE = f"""ev AS (
   SELECT 'EVENT ' || CAST(o_orderkey AS VARCHAR) AS name, o_orderdate + INTERVAL 20 HOUR AS local_start,
-         lower(c_mktsegment) AS venue_type, 'Hall ' || CAST(c_nationkey AS VARCHAR) AS location_name,
+         lower(c_mktsegment) AS venue_type, o_orderpriority AS description, 'Hall ' || CAST(c_nationkey AS VARCHAR) AS location_name,
          'City ' || CAST(c_nationkey AS VARCHAR) AS locality, c_name AS performer_name,
          printf('%.2f', o_totalprice) AS price,
          CASE o_orderstatus WHEN 'O' THEN 'https://schema.org/InStock' WHEN 'F' THEN 'https://schema.org/SoldOut'
@@ -133,7 +133,7 @@ ORACLES = {
         "SELECT name, availability, status, CASE WHEN status = 'available' THEN 'TICKETS AVAILABLE' ELSE 'SOLD OUT' END AS status_text FROM cat"
     ),
     "event_listing": _with(
-        "SELECT name AS title, date_text, location_name || ' - ' || locality AS venue_line, performer_name AS performer, price_text, status, "
+        "SELECT name AS title, description, date_text, location_name || ' - ' || locality AS venue_line, performer_name AS performer, price_text, status, "
         "CASE WHEN status = 'available' THEN 'TICKETS AVAILABLE' ELSE 'SOLD OUT' END AS status_text, ticket_url, organizer_name AS organizer FROM shown"
     ),
     "date_display": _with("SELECT name, start_date, date_text FROM shown"),

@@ -1,18 +1,22 @@
-"""Store queries: incoming = one document per part, keyed ``event-<partkey div 2>.json`` so
-every key is put twice; stored = the even parts of size up to 25. Oracles compute the
-same from ``part``."""
+"""Store queries. Incoming: one document per part, keyed ``event-<partkey div 2>.json``, so
+every key is put twice. Stored before: one document per supplier, about half of them
+under keys that parts put too. Lists, gets and deletes read a stored table of all
+documents, written once for each session and folder. Oracles compute the same from
+``part`` and ``supplier``."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import store as ST
+from ..session import state_path
 from ..sources import derived
 from ..sources.tables import table
 from . import params
 from .extraction import PART_EVENTS_CTE, START_DATE_SQL, document_sql
 
 BASE = params.OBJECT_BASE_URL
+_WRITTEN: dict = {}
 
 
 def _incoming(spark, sf):
@@ -20,24 +24,31 @@ def _incoming(spark, sf):
 
 
 def _stored(spark, sf):
-    even = _incoming(spark, sf).where((F.col("p_partkey") % 2 == 0) & (F.col("p_size") <= 25))
-    empty = even.limit(0)
-    accepted, _ = ST.put_if_absent(empty, even, order="p_partkey")
-    return ST.object_rows(accepted, BASE, access="private", content_type="application/json")
+    return derived.supplier_documents(table(spark, sf, "supplier"))
+
+
+def _objects(spark, sf):
+    """All documents of ``part`` (the first of each key), as a stored table sorted by pathname."""
+    place = (spark.sparkContext.applicationId, sf)
+    if place not in _WRITTEN:
+        first = ST.first_wins(_incoming(spark, sf), order="p_partkey")
+        rows = ST.object_rows(first, BASE, access="private", content_type="application/json")
+        _WRITTEN[place] = ST.write_sorted(rows, state_path(spark, "objects"))
+    return _WRITTEN[place]
 
 
 def put_if_absent(spark, sf):
-    accepted, _ = ST.put_if_absent(_stored(spark, sf), _incoming(spark, sf), order="p_partkey")
+    accepted = ST.accept_new(_stored(spark, sf), _incoming(spark, sf), order="p_partkey")
     return ST.object_rows(accepted, BASE).select("pathname", "p_partkey", "etag")
 
 
 def put_rejected(spark, sf):
-    _, rejected = ST.put_if_absent(_stored(spark, sf), _incoming(spark, sf), order="p_partkey")
+    rejected = ST.rejected_puts(_stored(spark, sf), _incoming(spark, sf).select("pathname", "p_partkey"), order="p_partkey")
     return rejected.select("pathname", "p_partkey", "reason")
 
 
 def put_overwrite(spark, sf):
-    table_after = ST.put_overwrite(_stored(spark, sf).select("pathname", "p_partkey", "body"), _incoming(spark, sf).select("pathname", "p_partkey", "body"), order="p_partkey")
+    table_after = ST.put_overwrite(_stored(spark, sf).select("pathname", "body"), _incoming(spark, sf).select("pathname", "p_partkey", "body"), order="p_partkey")
     return ST.object_rows(table_after, BASE).select("pathname", "p_partkey", "etag")
 
 
@@ -48,44 +59,46 @@ def put_suffixed(spark, sf):
 
 def put_metadata(spark, sf):
     """The extract stage's puts: private, JSON content type, no cache header."""
-    accepted, _ = ST.put_if_absent(_stored(spark, sf), _incoming(spark, sf), order="p_partkey")
+    accepted = ST.accept_new(_stored(spark, sf), _incoming(spark, sf), order="p_partkey")
     rows = ST.object_rows(accepted, BASE, access="private", content_type="application/json")
     return rows.select("pathname", "access", "content_type", "cache_control_max_age")
 
 
 def object_metadata(spark, sf):
-    return _stored(spark, sf).select("pathname", "url", "download_url", "content_type", "size", "etag")
+    return _objects(spark, sf).select("pathname", "url", "download_url", "content_type", "size", "etag")
 
 
 def get_objects(spark, sf):
-    wanted = _incoming(spark, sf).where(F.col("p_size") < 10).select("pathname")
-    got = ST.get_objects(_stored(spark, sf), wanted)
+    """One get for each part key as a name: about half of them are stored."""
+    wanted = table(spark, sf, "part").select(F.concat(F.lit("event-"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("pathname"))
+    got = ST.get_objects(_objects(spark, sf).select("pathname", "body"), wanted)
     return got.select("pathname", "found", "body")
 
 
 def list_objects(spark, sf):
-    return _stored(spark, sf).select("pathname", "size", "uploaded_at", "etag")
+    return _objects(spark, sf).select("pathname", "size", "uploaded_at", "etag")
 
 
 def list_by_prefix(spark, sf):
-    s = _stored(spark, sf)
+    s = _objects(spark, sf)
     return s.where(F.col("pathname").startswith(params.LIST_PREFIX)).select("pathname", "size", "etag")
 
 
 def list_page(spark, sf):
-    return ST.list_objects(_stored(spark, sf), limit=params.LIST_LIMIT).select("pathname", "has_more", "next_cursor")
+    return ST.list_objects(_objects(spark, sf), limit=params.LIST_LIMIT).select("pathname", "has_more", "next_cursor")
 
 
 def list_next_page(spark, sf):
-    page = ST.list_objects(_stored(spark, sf), limit=params.LIST_LIMIT, cursor=params.LIST_CURSOR)
+    page = ST.list_objects(_objects(spark, sf), limit=params.LIST_LIMIT, cursor=params.LIST_CURSOR)
     return page.select("pathname", "has_more", "next_cursor")
 
 
 def delete_objects(spark, sf):
-    inc = _incoming(spark, sf)
-    by_name = inc.where(F.col("p_size") < 5).select(F.col("pathname").alias("key"))
-    by_url = inc.where(F.col("p_size") > 46).select(F.concat(F.lit(BASE), F.col("pathname")).alias("key"))
-    remaining = ST.delete_keys(_stored(spark, sf), by_name.unionByName(by_url), BASE)
+    """Delete by name (one key per supplier) and by URL (one per customer); some are not stored."""
+    name = lambda key, step: F.concat(F.lit("event-"), (F.col(key) * step).cast("string"), F.lit(".json"))
+    by_name = table(spark, sf, "supplier").select(name("s_suppkey", 20).alias("key"))
+    by_url = table(spark, sf, "customer").select(F.concat(F.lit(BASE), name("c_custkey", 3)).alias("key"))
+    remaining = ST.delete_keys(_objects(spark, sf), by_name.unionByName(by_url), BASE)
     return remaining.select("pathname", "etag")
 
 
@@ -139,13 +152,17 @@ docs AS (
   FROM part_events
 ),
 stored AS (
-  SELECT *, '{BASE}' || pathname AS url, '{BASE}' || pathname || '?download=1' AS download_url,
-         'application/json' AS content_type, CAST(octet_length(encode(body)) AS BIGINT) AS size, md5(body) AS etag
-  FROM (SELECT *, row_number() OVER (PARTITION BY pathname ORDER BY p_partkey) AS rn FROM docs WHERE p_partkey % 2 = 0 AND p_size <= 25)
-  WHERE rn = 1
+  SELECT 'event-' || CAST(s_suppkey * 20 AS VARCHAR) || '.json' AS pathname,
+         {document_sql('s_name', f"'{derived.SUPPLIER_START}'", "concat('https://supplier.example.com/', CAST(s_suppkey AS VARCHAR))", 'CAST(trunc(s_acctbal) AS BIGINT)')} AS body
+  FROM supplier
 ),
 winners AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pathname ORDER BY p_partkey) AS rn FROM docs) WHERE rn = 1
+),
+objects AS (
+  SELECT *, '{BASE}' || pathname AS url, '{BASE}' || pathname || '?download=1' AS download_url,
+         'application/json' AS content_type, CAST(octet_length(encode(body)) AS BIGINT) AS size, md5(body) AS etag
+  FROM winners
 )"""
 
 
@@ -158,7 +175,7 @@ def _page(cursor: str) -> str:
     n = params.LIST_LIMIT
     return _with(
         f"SELECT pathname, has_more, CASE WHEN has_more THEN max(pathname) OVER () ELSE '' END AS next_cursor FROM ("
-        f"SELECT pathname, (SELECT count(*) FROM stored {where}) > {n} AS has_more FROM stored {where} ORDER BY pathname LIMIT {n})"
+        f"SELECT pathname, (SELECT count(*) FROM objects {where}) > {n} AS has_more FROM objects {where} ORDER BY pathname LIMIT {n})"
     )
 
 
@@ -171,7 +188,8 @@ ORACLES = {
     ),
     "put_overwrite": _with(
         "SELECT pathname, p_partkey, md5(body) AS etag FROM ("
-        "SELECT *, row_number() OVER (PARTITION BY pathname ORDER BY p_partkey DESC) AS r FROM docs) WHERE r = 1"
+        "SELECT *, row_number() OVER (PARTITION BY pathname ORDER BY p_partkey DESC) AS r FROM docs) WHERE r = 1 "
+        "UNION ALL SELECT pathname, NULL, md5(body) FROM stored WHERE pathname NOT IN (SELECT pathname FROM docs)"
     ),
     "put_suffixed": _with(
         "SELECT concat(regexp_extract(pathname, '^(.*?)(\\.[^./]*)?$', 1), '-', "
@@ -182,18 +200,18 @@ ORACLES = {
         "SELECT pathname, 'private' AS access, 'application/json' AS content_type, CAST(NULL AS INTEGER) AS cache_control_max_age "
         "FROM winners WHERE pathname NOT IN (SELECT pathname FROM stored)"
     ),
-    "object_metadata": _with("SELECT pathname, url, download_url, content_type, size, etag FROM stored"),
+    "object_metadata": _with("SELECT pathname, url, download_url, content_type, size, etag FROM objects"),
     "get_objects": _with(
-        "SELECT w.pathname, s.body IS NOT NULL AS found, s.body FROM (SELECT DISTINCT pathname FROM docs WHERE p_size < 10) w "
-        "LEFT JOIN stored s ON w.pathname = s.pathname"
+        "SELECT w.pathname, s.body IS NOT NULL AS found, s.body FROM (SELECT DISTINCT 'event-' || CAST(p_partkey AS VARCHAR) || '.json' AS pathname FROM part) w "
+        "LEFT JOIN objects s ON w.pathname = s.pathname"
     ),
-    "list_objects": _with("SELECT pathname, size, uploaded_at, etag FROM stored"),
-    "list_by_prefix": _with(f"SELECT pathname, size, etag FROM stored WHERE starts_with(pathname, '{params.LIST_PREFIX}')"),
+    "list_objects": _with("SELECT pathname, size, uploaded_at, etag FROM objects"),
+    "list_by_prefix": _with(f"SELECT pathname, size, etag FROM objects WHERE starts_with(pathname, '{params.LIST_PREFIX}')"),
     "list_page": _page(""),
     "list_next_page": _page(params.LIST_CURSOR),
     "delete_objects": _with(
-        "SELECT pathname, etag FROM stored WHERE pathname NOT IN (SELECT pathname FROM docs WHERE p_size < 5) "
-        "AND pathname NOT IN (SELECT pathname FROM docs WHERE p_size > 46)"
+        "SELECT pathname, etag FROM objects WHERE pathname NOT IN (SELECT pathname FROM stored) "
+        "AND pathname NOT IN (SELECT 'event-' || CAST(c_custkey * 3 AS VARCHAR) || '.json' FROM customer)"
     ),
     "listing_explode": _with(
         "SELECT pathname, CAST(octet_length(encode(body)) AS BIGINT) AS size, uploaded_at, "

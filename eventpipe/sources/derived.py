@@ -16,6 +16,7 @@ from ..functions import jsontext
 # The derivation rules (mirrored in the oracle SQL).
 FIRST_DAY = "2026-01-01"
 OFFSETS = ("+01:00", "+02:00", "Z", "+00:00")
+SUPPLIER_START = "2026-01-01T20:00:00+01:00"
 
 
 def part_slug(p: DataFrame) -> Column:
@@ -116,6 +117,23 @@ def part_documents(part: DataFrame) -> DataFrame:
     )
 
 
+def supplier_documents(supplier: DataFrame) -> DataFrame:
+    """What the store holds before the parts are put: one document per supplier.
+
+    Its key is that of part pair ``20 * s_suppkey``, so about half of the keys are
+    also put by parts.
+    """
+    from ..operators.extract import music_event
+
+    url = F.concat(F.lit("https://supplier.example.com/"), F.col("s_suppkey").cast("string"))
+    ev = music_event(F.col("s_name"), F.lit(SUPPLIER_START), F.col("s_acctbal").cast("long"), url, F.lit("DKK"))
+    return supplier.select(
+        F.concat(F.lit("event-"), (F.col("s_suppkey") * 20).cast("string"), F.lit(".json")).alias("pathname"),
+        jsontext.encode(ev).alias("body"),
+        F.lit("2024-04-05T19:12:36.679Z").alias("uploaded_at"),
+    )
+
+
 def event_messages(events: DataFrame) -> DataFrame:
     """Queue messages from ``events``: ``message_id, event_id, ts, sent_venue, body``.
 

@@ -94,8 +94,7 @@ def put_if_absent_sink(
             others = stored.select(key)
         else:
             others = spark.createDataFrame([], f"{key} string")
-        accepted, _ = ST.put_if_absent(others, batch, order=order, key=key)
-        rows = ST.object_rows(accepted, base_url, **put_options)
+        rows = ST.object_rows(ST.accept_new(others, batch, order=order, key=key), base_url, **put_options)
         rows = rows.withColumn("writer", F.lit(writer)).withColumn("batch_id", F.lit(batch_id).cast("long"))
         rows.checkpoint().write.mode("append").partitionBy(*parts).parquet(store_path)  # the store is read in full before it is added to
 

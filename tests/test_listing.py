@@ -86,4 +86,22 @@ def test_read_feed_files(spark, fmt):
     else:
         w.option("header", True).csv(folder)
     got = feeds.read_feed(spark, folder, fmt, "name string, venue_type string, price string", row_tag="event")
-    assert sorted(tuple(r) for r in got.collect()) == [("A", "vega", "350"), ("B, the band", "jazz", "200")]
+    assert sorted(tuple(r) for r in got.collect()) == [("A", "vega", "350", None), ("B, the band", "jazz", "200", None)]
+
+
+def test_feed_keeps_the_text_of_bad_records_and_quotes(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"name":"A"}\n{"name": broken\n')
+    got = feeds.read_feed(spark, str(tmp_path), "json", "name string")
+    assert sorted((r.name or "", r["_corrupt_record"] or "") for r in got.collect()) == [("", '{"name": broken'), ("A", "")]
+    folder = str(tmp_path / "csv")
+    feeds.write_feed(spark.createDataFrame([('say "hi", all', "x")], "name string, kind string"), folder, "csv")
+    assert feeds.read_feed(spark, folder, "csv", "name string, kind string").first()[:2] == ('say "hi", all', "x")
+
+
+def test_catalogue_of_array_lines(spark, tmp_path):
+    folder = str(tmp_path / "catalogue")
+    feeds.write_catalogue(spark.range(25).selectExpr("cast(id as string) as name").coalesce(2), folder, per_line=4)
+    lines = [r.value for r in spark.read.text(folder).collect()]
+    assert all(x.startswith("[{") for x in lines) and len(lines) >= 7
+    got = feeds.read_catalogue(spark, folder, "name string", multiline=False)
+    assert sorted(int(r.name) for r in got.collect()) == list(range(25))
