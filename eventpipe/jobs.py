@@ -1,6 +1,7 @@
 """Library entry points: a venue is a ``VenueSpec``; a run is a DataFrame job.
 
-``scrape`` turns a venue's page snapshots into scheduled extract messages;
+``scrape`` turns a venue's page snapshots into scheduled extract messages, and
+``scrape_all`` those of all venues in one job; ``publish`` appends them to the log;
 ``extract`` turns extract messages into MusicEvent documents with one outcome
 per message; ``EventStore`` keeps the documents with put-if-absent, overwrite,
 get, list and delete.
@@ -14,61 +15,111 @@ from pyspark.sql import functions as F
 from .functions import jsontext
 from .functions import urls as U
 from .operators import crawl, extract as X, links, sequencing
-from .specs import ScriptSpec, VenueSpec
+from .operators.joins import bounded_broadcast
+from .session import ensure_checkpoint_dir
+from .specs import LinkSpec, ScriptSpec, VenueSpec
 
 MESSAGE_SCHEMA = "venue string, url string, seq long, delay_s long, deliver_at timestamp_ntz, body string"
+REGISTRY_SCHEMA = "venue string, host string, seed_url string, spec int"
+ORDER = ["depth", "src_url", "pos", "page_id"]
 
 
-def scrape(
+def scrape_all(
     pages: DataFrame,
-    spec: VenueSpec,
+    registry: DataFrame,
+    link_specs: list[LinkSpec],
     run_ts: str,
     visited: DataFrame | None = None,
     publish_scope: str = "all",
     max_depth: int | None = None,
-) -> DataFrame:
-    """Extract messages of one venue run: ``venue, url, seq, delay_s, deliver_at, body``.
+) -> tuple[DataFrame, DataFrame]:
+    """All venues' runs in one job: ``(messages, errors)``.
+
+    ``registry`` has ``venue, host, seed_url, spec``; ``spec`` is the place of the
+    venue's selector in ``link_specs`` (null: the venue has no selector and yields
+    nothing). Pages of registered hosts are read and parsed once, in one scan;
+    what is kept of them is the narrow table of links, checkpointed. Each round then
+    joins the frontier's URLs to it: new on-host links are followed, all venues side
+    by side, until no new page is found or ``max_depth`` (default: none) is reached.
 
-    Pages of the venue's host are read; links are selected by the spec, made
-    absolute, deduplicated per URL (first seen wins in ``depth, src_url, pos``
-    order) and dropped when already visited (the seed itself and ``visited``).
+    A URL is published once per venue (first seen wins in ``depth, src_url, pos``
+    order) unless it is the venue's seed or in ``visited`` (column ``url``), whose
+    pages are not followed either.
     ``publish_scope='all'`` publishes off-host links too, as the reference does;
-    ``'host'`` keeps the venue's host only. New on-host links are followed through
-    the snapshots, one checkpointed round per depth, until no new page is found or
-    ``max_depth`` (default: none) is reached.
-    A spec without a link selector yields no rows and succeeds.
+    ``'host'`` keeps the venue's host only. ``errors`` has ``venue, stage, url, pos,
+    reason`` for links of the pages read that cannot be followed.
     """
-    spark = pages.sparkSession
-    if spec.links is None:
-        return spark.createDataFrame([], MESSAGE_SCHEMA)
-    host_pages = links.with_venue_host(pages).where(F.col("venue") == F.lit(spec.host)).drop("venue")
-    seen = spark.createDataFrame([(spec.seed_url,)], "url string")
-    if visited is not None:
-        seen = seen.unionByName(visited.select("url"))
-    frontier = host_pages.where(F.col("url") == F.lit(spec.seed_url))
-    found = None
-    depth = 1
+    ensure_checkpoint_dir(pages.sparkSession)
+    reg = registry.where(F.col("spec").isNotNull()).select(
+        F.col("host").alias("_host"), F.col("venue").alias("_venue"), F.col("seed_url").alias("_seed"), F.col("spec").alias("_spec")
+    )
+    own = links.with_venue_host(pages).join(bounded_broadcast(reg.select("_host", "_spec").distinct()), F.col("venue") == F.col("_host"))
+    hrefs = F.lit(None).cast("array<string>")
+    for i, spec in enumerate(link_specs):
+        hrefs = F.when(F.col("_spec") == i, links.hrefs_of(spec)).otherwise(hrefs)
+    if max_depth == 1:  # nothing is followed, so the seeds' pages are all that is read
+        own = own.join(bounded_broadcast(reg.select(F.col("_seed").alias("url")).distinct()), "url", "left_semi")
+    found = links.resolve_links(links.extract_links(own.select("page_id", "url", "html", "_spec"), hrefs=hrefs, keep=("_spec",)))
+    host = U.host(F.col("abs_url"))
+    edges = found.select(F.col("venue").alias("_host"), "_spec", "page_id", "src_url", "pos", "status", "abs_url", host.alias("_to")).checkpoint()
+
+    seeds = reg.select("_host", "_spec", "_venue", F.col("_seed").alias("src_url"))
+    frontier, reached, rounds, depth = seeds, seeds, [], 1
+    on = ["_host", "_spec", "src_url"]
     while True:
-        lk = links.followable(links.resolve_links(links.extract_links(frontier, spec.links, depth=depth)))
-        lk = lk.select(F.lit(spec.name).alias("venue"), F.col("abs_url").alias("url"), "depth", "src_url", "pos", "page_id")
-        lk = lk.join(seen, "url", "left_anti")
-        if found is not None:
-            lk = lk.join(found.select("url"), "url", "left_anti")
-        lk = lk.checkpoint() if max_depth is None or max_depth > 1 else lk
-        found = lk if found is None else found.unionByName(lk)
+        step = edges.join(frontier, on).withColumn("depth", F.lit(depth).cast("int")).checkpoint()
+        rounds.append(step)
         if max_depth is not None and depth >= max_depth:
             break
-        nxt = lk.where(U.host(F.col("url")) == F.lit(spec.host)).select("url").distinct()
-        frontier = host_pages.join(nxt, "url", "left_semi")
+        to = step.where((F.col("status") == "ok") & (F.col("_to") == F.col("_host"))).select("_host", "_spec", "_venue", F.col("abs_url").alias("src_url"))
+        if visited is not None:
+            to = to.join(visited.select(F.col("url").alias("src_url")), "src_url", "left_anti")
+        frontier = to.distinct().join(reached, ["_host", "_spec", "_venue", "src_url"], "left_anti").checkpoint()
         if frontier.isEmpty():
             break
+        reached = reached.unionByName(frontier)
         depth += 1
-    firsts = crawl.first_seen(found, key=["venue", "url"], order=["depth", "src_url", "pos", "page_id"])
+    every = rounds[0]
+    for step in rounds[1:]:
+        every = every.unionByName(step)
+    errors = every.where("status != 'ok'").select(
+        F.col("_venue").alias("venue"), F.lit("links").alias("stage"), F.col("src_url").alias("url"), "pos", F.col("status").alias("reason")
+    )
+    ok = every.where("status = 'ok'")
     if publish_scope == "host":
-        firsts = firsts.where(U.host(F.col("url")) == F.lit(spec.host))
-    seq = sequencing.number_within(firsts, ["venue"], ["depth", "src_url", "pos", "page_id"])
+        ok = ok.where(F.col("_to") == F.col("_host"))
+    ok = ok.select(F.col("_venue").alias("venue"), F.col("abs_url").alias("url"), "depth", "src_url", "pos", "page_id")
+    new = crawl.first_seen(ok, key=["venue", "url"], order=ORDER)
+    new = new.join(reg.select(F.col("_venue").alias("venue"), F.col("_seed").alias("url")), ["venue", "url"], "left_anti")
+    if visited is not None:
+        new = new.join(visited.select("url"), "url", "left_anti")
+    seq = sequencing.number_within(new, ["venue"], ORDER)
     out = sequencing.with_schedule(seq, run_ts)
-    return out.select("venue", "url", "seq", "delay_s", "deliver_at", jsontext.encode(F.struct("venue", "url")).alias("body"))
+    return out.select("venue", "url", "seq", "delay_s", "deliver_at", jsontext.encode(F.struct("venue", "url")).alias("body")), errors
+
+
+def scrape(
+    pages: DataFrame,
+    spec: VenueSpec,
+    run_ts: str,
+    visited: DataFrame | None = None,
+    publish_scope: str = "all",
+    max_depth: int | None = None,
+) -> DataFrame:
+    """Extract messages of one venue run, as ``scrape_all`` gives them: ``venue, url, seq, delay_s, deliver_at, body``.
+
+    A spec without a link selector yields no rows and succeeds.
+    """
+    spark = pages.sparkSession
+    if spec.links is None:
+        return spark.createDataFrame([], MESSAGE_SCHEMA)
+    registry = spark.createDataFrame([(spec.name, spec.host, spec.seed_url, 0)], REGISTRY_SCHEMA)
+    return scrape_all(pages, registry, [spec.links], run_ts, visited, publish_scope, max_depth)[0]
+
+
+def publish(messages: DataFrame, topic: str, log_path: str) -> None:
+    """Append messages to the log: Parquet files partitioned by topic, which streams read in turn."""
+    messages.withColumn("topic", F.lit(topic)).write.mode("append").partitionBy("topic").parquet(log_path)
 
 
 def extract(messages: DataFrame, pages: DataFrame, spec: VenueSpec, keep_empty: bool = False) -> DataFrame:

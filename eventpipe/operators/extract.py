@@ -113,17 +113,27 @@ def with_document(df: DataFrame) -> DataFrame:
     )
 
 
+def newest_snapshot(pages: DataFrame, order: str | None = None) -> DataFrame:
+    """``url, html`` of each URL's newest snapshot: the greatest ``order`` column, then ``page_id``, then text.
+
+    A partial aggregate, so a URL saved a million times is one row per map task.
+    """
+    by = [c for c in (order, "page_id") if c and c in pages.columns]
+    return pages.groupBy("url").agg(F.max_by("html", F.struct(*by, F.xxhash64("html"))).alias("html"))
+
+
 def extract_events(
-    messages: DataFrame, pages: DataFrame, spec: ScriptSpec = ScriptSpec(), keep_empty: bool = False, currency: str = "DKK"
+    messages: DataFrame, pages: DataFrame, spec: ScriptSpec = ScriptSpec(), keep_empty: bool = False, currency: str = "DKK",
+    snapshot_order: str | None = None,
 ) -> DataFrame:
-    """Messages ``venue, url`` -> one row per message and script, with ``outcome``.
+    """Messages ``venue, url`` -> one row per message and script of the newest snapshot, with ``outcome``.
 
     Pages are joined on ``url`` (left: a missing page is ``not_fetched``). The
     join is a shuffle on the URL, never on the host, so a large venue does not
     skew it; AQE turns it into a broadcast when the page side is small.
     """
     m = messages.alias("m")
-    page = pages.select(F.col("url").alias("_purl"), "html")
+    page = newest_snapshot(pages, snapshot_order).select(F.col("url").alias("_purl"), "html")
     joined = m.join(page, F.col("m.url") == F.col("_purl"), "left")
     found = joined.withColumn("_fetched", F.col("_purl").isNotNull())
     texts = H.select_text(F.col("html"), spec.tag, spec.attr, spec.value)

@@ -6,7 +6,7 @@ regular expressions and higher-order array functions inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -19,27 +19,49 @@ def with_venue_host(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return pages.withColumn("venue", U.host(F.col(url_col)))
 
 
+_BASE = "_base_url"
 _ORIGIN = "_base_origin"
 _DIR = "_base_dir"
+BASE_RE = r"(?i)<base[\s/>]"  # fixed value: what a page with a base element holds
 LINK_COLUMNS = ["page_id", "src_url", "venue", "depth", "pos", "href"]
 
 
-def extract_links(pages: DataFrame, spec: LinkSpec = LinkSpec(), depth: int = 1) -> DataFrame:
+def with_base_url(pages: DataFrame) -> DataFrame:
+    """Adds what the page's links are relative to: the ``href`` of its first ``base`` element that has one, else its own URL.
+
+    In steps, so that each piece is computed once; most pages have no such element
+    and are only searched for it.
+    """
+    hrefs = F.filter(H.select_attr(F.col("html"), "base", "href"), lambda h: h.isNotNull())
+    declared = pages.withColumn("_declared", F.when(F.col("html").rlike(BASE_RE), F.get(hrefs, F.lit(0))))
+    found = U.with_resolved(declared, U.base_parts(F.col("url")), "_declared", _BASE)
+    return found.withColumn(_BASE, F.coalesce(_BASE, "url")).drop("_declared")
+
+
+def hrefs_of(spec: LinkSpec) -> Column:
+    """The selected attribute of each selected element of ``html``, in page order."""
+    return H.select_attr(F.col("html"), spec.tag, spec.take, spec.attr, spec.value)
+
+
+def extract_links(pages: DataFrame, spec: LinkSpec = LinkSpec(), depth: int = 1, hrefs: Column | None = None, keep: tuple = ()) -> DataFrame:
     """One row per selected element: ``page_id, src_url, venue, depth, pos, href``.
 
     ``pos`` counts from 1 in page order; ``href`` is null when the element has no
-    such attribute. Comments, scripts and styles are ignored. Two helper columns
-    carry the page's origin and directory, computed once per page for
+    such attribute. Comments, scripts and styles are ignored. ``hrefs`` replaces the
+    spec's selection (for pages of several specs); ``keep`` names columns to carry on. Three helper columns carry the
+    page's base URL and its origin and directory, computed once per page for
     ``resolve_links``.
     """
-    hrefs = H.select_attr(F.col("html"), spec.tag, spec.take, spec.attr, spec.value)
-    parts = U.base_parts(F.col("url"))
+    hrefs = hrefs_of(spec) if hrefs is None else hrefs
+    parts = U.base_parts(F.col(_BASE))
     return (
-        with_venue_host(pages)
+        with_base_url(with_venue_host(pages))
         .select(
             "page_id",
             F.col("url").alias("src_url"),
             "venue",
+            *keep,
+            _BASE,
             parts["origin"].alias(_ORIGIN),
             parts["dir_path"].alias(_DIR),
             F.posexplode(hrefs).alias("pos0", "href"),
@@ -51,6 +73,8 @@ def extract_links(pages: DataFrame, spec: LinkSpec = LinkSpec(), depth: int = 1)
             F.lit(depth).cast("int").alias("depth"),
             (F.col("pos0") + 1).cast("long").alias("pos"),
             "href",
+            *keep,
+            _BASE,
             _ORIGIN,
             _DIR,
         )
@@ -59,7 +83,7 @@ def extract_links(pages: DataFrame, spec: LinkSpec = LinkSpec(), depth: int = 1)
 
 def resolve_links(links: DataFrame) -> DataFrame:
     """Adds ``status`` and ``abs_url`` (null for a fragment-only or missing link)."""
-    parts = U.base_parts(F.col("src_url"))
+    parts = U.base_parts(F.col(_BASE if _BASE in links.columns else "src_url"))
     if _ORIGIN in links.columns:
         parts.update(origin=F.col(_ORIGIN), dir_path=F.col(_DIR))
     out = U.with_resolved(links.withColumn("status", U.link_status(F.col("href"))), parts, "href", "abs_url")
@@ -68,7 +92,7 @@ def resolve_links(links: DataFrame) -> DataFrame:
 
 def with_link_host(resolved: DataFrame) -> DataFrame:
     """Adds ``host`` of the resolved link (computed from ``href``, so filters on it stay cheap)."""
-    return resolved.withColumn("host", U.resolved_host(F.col("src_url"), F.col("href")))
+    return resolved.withColumn("host", U.resolved_host(F.col(_BASE if _BASE in resolved.columns else "src_url"), F.col("href")))
 
 
 def followable(resolved: DataFrame) -> DataFrame:

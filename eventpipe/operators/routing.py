@@ -83,12 +83,16 @@ def required_field_violations(decoded: DataFrame, fields=EXTRACT_FIELDS, id_col:
 
 def key_contract(df: DataFrame, body_col: str = "body", expected=EXTRACT_FIELDS, id_col: str = "message_id") -> DataFrame:
     """Producer/consumer key drift: ``missing_keys`` and ``extra_keys`` per object body that differs."""
-    keys = F.json_object_keys(F.col(body_col))
     want = F.array(*[F.lit(k) for k in expected])
-    out = df.withColumn("_k", keys).where(F.col("_k").isNotNull())
-    out = out.withColumn("missing_keys", F.array_join(F.array_sort(F.array_except(want, F.col("_k"))), ","))
-    out = out.withColumn("extra_keys", F.array_join(F.array_sort(F.array_except(F.col("_k"), want)), ","))
-    return out.where((F.col("missing_keys") != "") | (F.col("extra_keys") != "")).select(id_col, "missing_keys", "extra_keys")
+    spelled = lambda keys: F.array_join(F.array_sort(keys), ",")
+
+    def compared(keys):
+        return F.struct(spelled(F.array_except(want, keys)).alias("missing_keys"), spelled(F.array_except(keys, want)).alias("extra_keys"))
+
+    # behind a generator the body's keys are read once; as plain columns they would be copied into every use
+    found = F.filter(F.array(F.json_object_keys(F.col(body_col))), lambda k: k.isNotNull())
+    out = df.select(id_col, F.inline(F.transform(found, compared)))
+    return out.where((F.col("missing_keys") != "") | (F.col("extra_keys") != ""))
 
 
 def dead_letters(routed: DataFrame, id_col: str = "message_id", body_col: str = "body") -> DataFrame:
@@ -102,11 +106,14 @@ def run_metrics(routed: DataFrame, by=("venue", "outcome")) -> DataFrame:
     return routed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def publish_outcome(attempts: DataFrame, run_col: str, venue_col: str, failed_col: str) -> DataFrame:
+def publish_outcome(attempts: DataFrame, run_col: str, venue_col: str, failed_col: str, registry: DataFrame) -> DataFrame:
     """Per run: ``ok`` or ``partial failure`` and the sorted failed venues; one failure never stops the rest.
 
-    ``collect_set`` holds failed venue names only, bounded by the registry size.
+    Only venues of the registry are published to, so other attempts do not count and
+    ``collect_set`` holds at most one name per registered venue.
     """
+    known = bounded_broadcast(registry.select(F.col("venue").alias(venue_col)))
+    attempts = attempts.join(known, venue_col, "left_semi")
     failed = F.array_sort(F.collect_set(F.when(F.col(failed_col), F.col(venue_col))))
     return (
         attempts.groupBy(run_col)

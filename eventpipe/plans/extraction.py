@@ -46,12 +46,21 @@ def event_documents(spark, sf):
     return X.with_document(_events(spark, sf)).select("pathname", "body")
 
 
+def extract_outcomes(spark, sf):
+    """The extract stage as a whole: messages to the newest page snapshots, each with its outcome and, if extracted, its document."""
+    part = table(spark, sf, "part")
+    out = X.extract_events(derived.part_extract_messages(part), derived.part_snapshots(part), snapshot_order="fetched_at")
+    done = F.col("outcome") == "extracted"
+    return out.select("venue", "url", "outcome", F.when(done, F.col("pathname")).alias("pathname"), F.when(done, F.col("body")).alias("body"))
+
+
 QUERIES = {
     "embedded_json": embedded_json,
     "page_event_data": page_event_data,
     "music_events": music_events,
     "event_start_dates": event_start_dates,
     "event_documents": event_documents,
+    "extract_outcomes": extract_outcomes,
 }
 
 # ---------------------------------------------------------------- oracle SQL (DuckDB)
@@ -114,6 +123,14 @@ ORACLES = {
         f"SELECT slug, {START_DATE_SQL} AS start_date, "
         "CAST(floor(epoch(CAST(first_date AS TIMESTAMPTZ))) AS BIGINT) AS start_epoch FROM part_events"
     ),
+    "extract_outcomes": _with(
+        "SELECT venue, CASE WHEN outcome = 'bad_url' THEN replace(url, 'https://', 'https://[') ELSE url END AS url, outcome, "
+        "CASE WHEN outcome = 'extracted' THEN concat(slug, '.json') END AS pathname, "
+        f"CASE WHEN outcome = 'extracted' THEN {document_sql('title', START_DATE_SQL, 'url', 'price')} END AS body "
+        "FROM (SELECT *, regexp_extract(url, '^https://([^/]*)', 1) AS venue, "
+        "CASE WHEN p_partkey % 97 = 0 THEN 'bad_url' WHEN p_partkey % 73 = 0 THEN 'not_fetched' WHEN p_partkey % 89 = 0 THEN 'no_script' "
+        "WHEN p_partkey % 83 = 0 THEN 'bad_json' WHEN p_partkey % 79 = 0 THEN 'empty_slug' ELSE 'extracted' END AS outcome FROM part_events)"
+    ),
     "event_documents": _with(
         f"SELECT concat(slug, '.json') AS pathname, {document_sql('title', START_DATE_SQL, 'url', 'price')} AS body FROM part_events"
     ),

@@ -80,7 +80,7 @@ def publish_outcome(spark, sf):
     attempts = m.select(
         day_text(F.col("ts")).alias("run_id"), F.col("sent_venue").alias("venue"), (~F.col("decode_ok")).alias("failed")
     )
-    return R.publish_outcome(attempts, "run_id", "venue", "failed")
+    return R.publish_outcome(attempts, "run_id", "venue", "failed", message_registry(spark))
 
 
 def pages_for_messages(spark, sf):
@@ -187,7 +187,7 @@ ORACLES = {
         "SELECT run_id, n_published, CASE WHEN len(f) > 0 THEN 'partial failure' ELSE 'ok' END AS status, "
         "array_to_string(f, ',') AS failed FROM ("
         "SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(*) AS n_published, "
-        "coalesce(list_sort(list_distinct(list(sent_venue) FILTER (WHERE NOT decode_ok))), []) AS f FROM dec GROUP BY 1)"
+        "coalesce(list_sort(list_distinct(list(sent_venue) FILTER (WHERE NOT decode_ok))), []) AS f FROM dec WHERE sent_venue IN (SELECT venue FROM registry) GROUP BY 1)"
     ),
 }
 

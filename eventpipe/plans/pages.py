@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import jobs
 from ..functions import jsontext
 from ..functions import urls as U
 from ..operators import crawl, links, sequencing
+from ..session import state_path
 from ..sources.tables import pages as read_pages
+from ..specs import LinkSpec
 from . import params
 from . import sql as S
 
@@ -28,19 +31,22 @@ def _ok(spark, sf) -> DataFrame:
     return links.followable(_resolved(spark, sf))
 
 
-def _first_seen(spark, sf) -> DataFrame:
-    ok = _ok(spark, sf).select("venue", "abs_url", *ORDER)
+def _first_seen_of(pages: DataFrame) -> DataFrame:
+    ok = links.followable(links.resolve_links(links.extract_links(pages))).select("venue", "abs_url", *ORDER)
     return crawl.first_seen(ok, key=["venue", "abs_url"], order=ORDER).withColumnRenamed("abs_url", "url")
 
 
-def _visited(spark, sf) -> DataFrame:
+def _visited_of(pages: DataFrame) -> DataFrame:
     """Pages already fetched, keyed like discovered links: (host, url without fragment)."""
-    p = links.with_venue_host(read_pages(spark, sf))
-    return p.select("venue", U.without_fragment(F.col("url")).alias("url"))
+    return links.with_venue_host(pages).select("venue", U.without_fragment(F.col("url")).alias("url"))
+
+
+def _new_of(pages: DataFrame) -> DataFrame:
+    return crawl.drop_visited(_first_seen_of(pages), _visited_of(pages), ["venue", "url"])
 
 
 def _new(spark, sf) -> DataFrame:
-    return crawl.drop_visited(_first_seen(spark, sf), _visited(spark, sf), ["venue", "url"])
+    return _new_of(read_pages(spark, sf))
 
 
 def _sequenced(spark, sf) -> DataFrame:
@@ -75,7 +81,7 @@ def distinct_urls(spark, sf):
 
 
 def first_seen_urls(spark, sf):
-    return _first_seen(spark, sf).select("venue", "url", "src_url", "pos")
+    return _first_seen_of(read_pages(spark, sf)).select("venue", "url", "src_url", "pos")
 
 
 def new_urls(spark, sf):
@@ -123,7 +129,22 @@ def _top_venue(spark, sf) -> DataFrame:
 
 
 def single_venue_run(spark, sf):
-    return _sequenced(spark, sf).join(F.broadcast(_top_venue(spark, sf)), "venue").select("venue", "url", "seq")
+    """One venue's run: its pages are picked first, so no other page's text is parsed."""
+    own = links.with_venue_host(read_pages(spark, sf)).join(F.broadcast(_top_venue(spark, sf)), "venue", "left_semi")
+    return sequencing.number_within(_new_of(own.drop("venue")), ["venue"], ORDER, out="seq").select("venue", "url", "seq")
+
+
+def scrape_all_venues(spark, sf):
+    """Every venue's run in one job, to the last new page: each host is a venue, its smallest URL the seed.
+
+    The messages go through the message log, partitioned by topic.
+    """
+    p = links.with_venue_host(read_pages(spark, sf))
+    registry = p.groupBy("venue").agg(F.min("url").alias("seed_url")).select("venue", F.col("venue").alias("host"), "seed_url", F.lit(0).alias("spec"))
+    messages, _ = jobs.scrape_all(read_pages(spark, sf), registry, [LinkSpec()], params.RUN_TS)
+    log = state_path(spark, "message-log")
+    jobs.publish(messages, params.EXTRACT_TOPIC, log)
+    return spark.read.parquet(log).select("topic", "venue", "url", "body")
 
 
 QUERIES = {
@@ -141,6 +162,7 @@ QUERIES = {
     "published_counts": published_counts,
     "scrape_messages": scrape_messages,
     "single_venue_run": single_venue_run,
+    "scrape_all_venues": scrape_all_venues,
 }
 
 # ---------------------------------------------------------------- oracle SQL (DuckDB)
@@ -204,6 +226,16 @@ ORACLES = {
         f"SELECT '{params.SCRAPE_TOPIC}' AS topic, venue, concat('{{\"venue\":', {S.json_str('venue')}, '}}') AS body "
         "FROM registry"
     ),
+    "scrape_all_venues": _with("").replace("WITH", "WITH RECURSIVE", 1).rstrip() + f""",
+seeds AS (SELECT {S.host('url')} AS venue, min(url) AS url FROM pages GROUP BY 1),
+walk AS (
+  SELECT venue, url FROM seeds
+  UNION SELECT o.venue, o.abs_url FROM walk w JOIN ok o ON o.venue = w.venue AND o.src_url = w.url
+  WHERE {S.host('o.abs_url')} = o.venue
+),
+found AS (SELECT DISTINCT o.venue, o.abs_url AS url FROM ok o JOIN walk w ON o.venue = w.venue AND o.src_url = w.url)
+SELECT '{params.EXTRACT_TOPIC}' AS topic, f.venue, f.url, concat('{{"venue":', {S.json_str('f.venue')}, ',"url":', {S.json_str('f.url')}, '}}') AS body
+FROM found f LEFT JOIN seeds s ON s.venue = f.venue AND s.url = f.url WHERE s.url IS NULL""",
     "single_venue_run": _with(
         "SELECT s.venue, s.url, s.seq FROM seq s JOIN "
         "(SELECT venue FROM registry ORDER BY n_pages DESC, venue LIMIT 1) t ON s.venue = t.venue"

@@ -11,4 +11,3 @@ LIST_CURSOR = "event-5"
 LIST_PREFIX = "event-1"
 CATEGORY = "household"
 RETRY_AFTER_S = 60  # fixed value: retry interval of both topics
-MAX_ATTEMPTS = 3

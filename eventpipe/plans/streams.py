@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.zones import day_text
-from ..operators import links, routing as R, sequencing
+from ..operators import extract as X, links, routing as R, sequencing
 from ..session import ensure_checkpoint_dir, state_path
 from ..sources import derived
 from ..sources.tables import pages as read_pages, table
+from ..specs import LinkSpec
 from ..streaming import streams as ST
 from . import params
 from . import pages as P
 from . import sql as S
+from .extraction import PART_EVENTS_CTE, START_DATE_SQL, document_sql
 from .messages import MESSAGES_CTE, message_registry
 
+EVENT_LINKS = LinkSpec(attr="data-theme", value="secondary")
+
 
 def stream_extract(spark, sf):
     """Page stream -> links -> new URLs (keyed dedup state) -> message log -> extract
@@ -41,6 +45,29 @@ def stream_extract(spark, sf):
     return spark.read.parquet(out)
 
 
+def stream_to_store(spark, sf):
+    """T1 to the end: page stream -> scrape -> message log -> extract stream (fetch, decode, document) -> store.
+
+    It is run, run again on the same checkpoints, and replayed from lost ones: the
+    log's dedup state is bounded by a watermark, and put-if-absent keeps what a late
+    duplicate or a replay would write twice.
+    """
+    base = state_path(spark, "stream_to_store")
+    staged, log, store = f"{base}/pages", f"{base}/log", f"{base}/store"
+    derived.part_event_pages(table(spark, sf, "part")).write.parquet(staged)
+    pages = spark.read.parquet(staged)
+    for checkpoint in ("ck", "ck", "ck_lost"):
+        stream = ST.file_stream(spark, staged, pages.schema)
+        found = links.followable(links.resolve_links(links.extract_links(stream, EVENT_LINKS)))
+        msgs = found.select("venue", F.col("abs_url").alias("url"), F.current_timestamp().alias("seen_at"))
+        ST.run_to_files(ST.dedup_keys(msgs, ["venue", "url"], event_time="seen_at"), log, f"{base}/{checkpoint}_scrape")
+        messages = ST.file_stream(spark, log, spark.read.parquet(log).schema).select("venue", "url")
+        done = X.extract_events(messages, pages).where("outcome = 'extracted'").select("pathname", "body", "url")
+        sink = ST.put_if_absent_sink(store, writer="extract", order="order_url", base_url=params.OBJECT_BASE_URL, buckets=STORE_BUCKETS)
+        ST.run_foreach_batch(done.withColumnRenamed("url", "order_url"), sink, f"{base}/{checkpoint}_extract")
+    return spark.read.parquet(store).select("pathname", "etag")
+
+
 def stream_dedup(spark, sf):
     """Keyed dedup over the event stream: one row per (run, URL)."""
     base = state_path(spark, "stream_dedup")
@@ -117,22 +144,21 @@ def due_messages(spark, sf):
 
 
 def retry_schedule(spark, sf):
-    """T4: accepted messages whose URL does not parse (``bad_url``, the one extract error the
-    reference retries) are retried every 60 s until ``MAX_ATTEMPTS``; the last attempt goes
-    to dead letters. An empty URL is not retried: it fails to fetch and is acknowledged."""
-    m = R.decode_messages(derived.event_messages(table(spark, sf, "events")))
+    """T4: a stream of messages through the retry sink. Accepted messages whose URL does not parse
+    (``bad_url``, the one extract error the reference retries) come again 60 s after they failed,
+    with no last attempt. An empty URL is not retried: it fails to fetch and is acknowledged."""
+    base = state_path(spark, "retries")
+    m = R.decode_messages(derived.event_messages(ST.table_stream(spark, sf, "events")))
     failing = R.route(m, message_registry(spark)).where((F.col("outcome") == "accepted") & ~U.parsable(F.col("url")))
-    attempts = failing.select("message_id", "ts", F.explode(F.sequence(F.lit(1), F.lit(params.MAX_ATTEMPTS))).alias("attempt"))
-    return attempts.select(
-        "message_id",
-        F.col("attempt").cast("long").alias("attempt"),
-        F.timestamp_add("SECOND", (F.col("attempt") - 1) * params.RETRY_AFTER_S, F.col("ts")).alias("attempt_at"),
-        F.when(F.col("attempt") == params.MAX_ATTEMPTS, F.lit("dead_letter")).otherwise(F.lit("retry")).alias("action"),
-    )
+    failures = failing.select("message_id", F.lit(1).alias("attempt"), F.col("ts").alias("failed_at"))
+    ST.run_foreach_batch(failures, ST.retry_sink(f"{base}/retries", params.RETRY_AFTER_S), f"{base}/ck")
+    retries = spark.read.schema(ST.RETRY_SCHEMA).parquet(f"{base}/retries")
+    return retries.select("message_id", F.col("attempt").cast("long").alias("attempt"), "next_at", "action")
 
 
 QUERIES = {
     "stream_extract": stream_extract,
+    "stream_to_store": stream_to_store,
     "stream_dedup": stream_dedup,
     "stream_put_if_absent": stream_put_if_absent,
     "stream_put_replay": stream_put_replay,
@@ -165,8 +191,9 @@ ORACLES = {
     "min(event_id) AS event_id FROM events GROUP BY 1",
     "due_messages": f"WITH {_SEQ}\nSELECT message_id, venue, CAST(seq AS BIGINT) AS seq, deliver_at FROM sched "
     f"WHERE deliver_at > TIMESTAMP '{DUE_SINCE}' AND deliver_at <= TIMESTAMP '{DUE_AS_OF}'",
-    "retry_schedule": f"WITH {MESSAGES_CTE}\nSELECT message_id, CAST(a AS BIGINT) AS attempt, "
-    f"ts + to_seconds((a - 1) * {params.RETRY_AFTER_S}) AS attempt_at, "
-    f"CASE WHEN a = {params.MAX_ATTEMPTS} THEN 'dead_letter' ELSE 'retry' END AS action "
-    f"FROM routed, range(1, {params.MAX_ATTEMPTS} + 1) t(a) WHERE outcome = 'accepted' AND NOT {S.parsable('url')}",
+    "stream_to_store": f"WITH {PART_EVENTS_CTE}\nSELECT concat(slug, '.json') AS pathname, "
+    f"md5({document_sql('title', START_DATE_SQL, 'url', 'price')}) AS etag FROM part_events",
+    "retry_schedule": f"WITH {MESSAGES_CTE}\nSELECT message_id, CAST(2 AS BIGINT) AS attempt, "
+    f"ts + to_seconds({params.RETRY_AFTER_S}) AS next_at, 'retry' AS action "
+    f"FROM routed WHERE outcome = 'accepted' AND NOT {S.parsable('url')}",
 }

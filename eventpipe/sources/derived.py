@@ -97,6 +97,33 @@ def part_event_pages(part: DataFrame) -> DataFrame:
     return d.select(F.col("p_partkey").alias("page_id"), "url", html.alias("html"))
 
 
+def part_extract_messages(part: DataFrame) -> DataFrame:
+    """Extract messages ``venue, url``, one per part; every 97th URL is one that the parser rejects."""
+    tail = F.concat(part_event_host(), F.lit("/event/"), F.col("p_partkey").cast("string"))
+    url = F.when(F.col("p_partkey") % 97 == 0, F.concat(F.lit("https://["), tail)).otherwise(F.concat(F.lit("https://"), tail))
+    return part.select(part_event_host().alias("venue"), url.alias("url"))
+
+
+def part_snapshots(part: DataFrame) -> DataFrame:
+    """Two snapshots ``page_id, url, html, fetched_at`` per event page, the older of which says otherwise.
+
+    In the newer, every 89th page has no script, every 83rd its JSON cut short, every
+    79th an empty slug, and every 73rd lies at another URL.
+    """
+    new = part_event_pages(part)
+    key, html = F.col("page_id"), F.col("html")
+    spoiled = (
+        F.when(key % 89 == 0, F.lit("<html><body>moved</body></html>"))
+        .when(key % 83 == 0, F.replace(html, F.lit('"page":"/event/[slug]"}}'), F.lit("")))
+        .when(key % 79 == 0, F.regexp_replace(html, '"slug":"[^"]*"', '"slug":""'))
+        .otherwise(html)
+    )
+    new = new.withColumn("html", spoiled)
+    old = new.withColumn("html", F.lit('<script id="__NEXT_DATA__">{"props":{"pageProps":{"data":{"title":"old","slug":"old"}}}}</script>'))
+    both = old.withColumn("fetched_at", F.lit(1)).unionByName(new.withColumn("fetched_at", F.lit(2)))
+    return both.withColumn("url", F.when(key % 73 == 0, F.concat(F.col("url"), F.lit("/moved"))).otherwise(F.col("url")))
+
+
 def part_documents(part: DataFrame) -> DataFrame:
     """Store input: ``p_partkey, pathname (shared by a key pair), body, uploaded_at`` for each part."""
     from ..operators.extract import music_event

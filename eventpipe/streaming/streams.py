@@ -101,24 +101,34 @@ def put_if_absent_sink(
     return write
 
 
-def retry_sink(failures_path: str, retry_after_s: int, max_attempts: int, ts_col: str = "failed_at"):
+RETRY_SCHEMA = "message_id string, attempt int, next_at timestamp_ntz, action string, batch_id long"
+
+
+def retry_sink(failures_path: str, retry_after_s: int, max_attempts: int | None = None, ts_col: str = "failed_at"):
     """T4: a ``foreachBatch`` function that schedules failed messages again.
 
     Each failure row (``message_id, attempt, failed_at``) becomes a retry at
-    ``failed_at + retry_after_s`` with ``attempt + 1``, or a dead letter once
-    ``max_attempts`` is used up. Appends are keyed by ``batch_id`` partitions and
-    overwritten on replay.
+    ``failed_at + retry_after_s`` with ``attempt + 1``, without end, or a dead letter
+    once ``max_attempts`` (default: none) is used up. A (message, attempt) that is
+    stored already is not added again, so a replay in any cut of batches changes
+    nothing; nothing stored is rewritten.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ensure_checkpoint_dir(spark)
         nxt = F.col("attempt") + 1
+        action = F.lit("retry") if max_attempts is None else F.when(nxt > max_attempts, F.lit("dead_letter")).otherwise(F.lit("retry"))
         out = batch.select(
             "message_id",
-            nxt.alias("attempt"),
+            nxt.cast("int").alias("attempt"),
             F.timestamp_add("SECOND", F.lit(retry_after_s), F.col(ts_col)).alias("next_at"),
-            F.when(nxt > max_attempts, F.lit("dead_letter")).otherwise(F.lit("retry")).alias("action"),
+            action.alias("action"),
             F.lit(batch_id).cast("long").alias("batch_id"),
-        )
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(failures_path)
+        ).dropDuplicates(["message_id", "attempt"])
+        if _path_exists(spark, failures_path):
+            stored = spark.read.schema(RETRY_SCHEMA).parquet(failures_path)
+            out = out.join(stored.select("message_id", "attempt"), ["message_id", "attempt"], "left_anti").select(*out.columns)
+        out.checkpoint().write.mode("append").parquet(failures_path)
 
     return write

@@ -140,6 +140,18 @@ def test_extract_outcomes(spark):
     }
 
 
+def test_newest_snapshot_of_a_url_decides(spark):
+    script = lambda t: page(wrap({"title": t, "slug": t, "price": 1}))
+    pages = spark.createDataFrame(
+        [(1, "u", script("first"), 5), (2, "u", script("newest"), 7), (3, "u", script("last-written"), 6), (4, "w", script("gone"), 1), (5, "w", None, 2)],
+        "page_id long, url string, html string, fetched_at int",
+    )
+    msgs = spark.createDataFrame([("v", "u"), ("v", "w")], "venue string, url string")
+    got = {r.url: (r.outcome, r.slug) for r in X.extract_events(msgs, pages, snapshot_order="fetched_at").collect()}
+    assert got == {"u": ("extracted", "newest"), "w": ("no_script", None)}
+    assert {r.slug for r in X.extract_events(msgs, pages).collect()} == {"last-written", None}  # by page_id alone
+
+
 def test_extract_against_bucketed_pages_shuffles_only_messages(spark):
     from eventpipe.sources.tables import write_bucketed_pages
 

@@ -38,6 +38,32 @@ def test_scrape_follows_on_host_only(spark, pages):
     assert sorted(m.url for m in msgs.collect()) == ["https://vega.dk/event/a", "https://vega.dk/event/b", "https://vega.dk/event/c"]
 
 
+def test_all_venues_in_one_run(spark, pages):
+    from eventpipe.specs import LinkSpec
+
+    more = spark.createDataFrame(
+        [(50, "https://b.example.com/", '<a href="/x">x</a><a name="n">no href</a>'), (51, "https://b.example.com/x", '<a href="https://vega.dk">home</a>'),
+         (52, "https://nobody.example.com/", '<a href="/y">y</a>')],
+        "page_id long, url string, html string",
+    )
+    registry = spark.createDataFrame(
+        [("vega", "vega.dk", "https://vega.dk", 0), ("b", "b.example.com", "https://b.example.com/", 1), ("stub", "richter-gladsaxe.dk", "https://richter-gladsaxe.dk", None)],
+        jobs.REGISTRY_SCHEMA,
+    )
+    messages, errors = jobs.scrape_all(pages.unionByName(more), registry, [find_venue("vega").links, LinkSpec()], "2026-01-01 00:00:00")
+    got = sorted((m.venue, m.seq, m.url) for m in messages.collect())
+    alone = jobs.scrape(pages, find_venue("vega"), "2026-01-01 00:00:00")
+    assert [g for g in got if g[0] == "vega"] == sorted((m.venue, m.seq, m.url) for m in alone.collect())
+    assert [g for g in got if g[0] != "vega"] == [("b", 1, "https://b.example.com/x"), ("b", 2, "https://vega.dk")]
+    assert [tuple(e) for e in errors.collect()] == [("b", "links", "https://b.example.com/", 2, "missing_href")]
+
+
+def test_visited_pages_are_neither_published_nor_followed(spark, pages):
+    visited = spark.createDataFrame([("https://vega.dk/event/a",)], "url string")
+    got = jobs.scrape(pages, find_venue("vega"), "2026-01-01 00:00:00", visited=visited).collect()
+    assert sorted(m.url for m in got) == ["https://tickets.example.com/t", "https://vega.dk/event/b"]
+
+
 def test_stub_venue_yields_nothing(spark, pages):
     assert jobs.scrape(pages, find_venue("richter"), "2026-01-01 00:00:00").count() == 0
 

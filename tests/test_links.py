@@ -54,6 +54,22 @@ def test_resolution(spark):
     assert rows["/q?a=1&b=2"][1] == "https://venue.example.com/q?a=1&b=2"
 
 
+@pytest.mark.parametrize(
+    "base,want",
+    [
+        ('<base href="/shop/">', "https://venue.example.com/shop/rel"),
+        ('<base target="_top"><BASE HREF="https://other.example.org/x/y.html">', "https://other.example.org/x/rel"),
+        ('<!-- <base href="/no/"> --><script>"<base href=/no/>"</script>', "https://venue.example.com/dir/rel"),
+        ('<base href="#top">', "https://venue.example.com/dir/rel"),
+        ("<basefont href='/no/'>", "https://venue.example.com/dir/rel"),
+    ],
+)
+def test_links_are_relative_to_the_declared_base(spark, base, want):
+    pages = spark.createDataFrame([(1, BASE, f"<head>{base}</head><a href='rel'>r</a><a href='?q'>q</a>")], "page_id long, url string, html string")
+    rows = links.with_link_host(links.resolve_links(links.extract_links(pages))).orderBy("pos").collect()
+    assert rows[0].abs_url == want and rows[0].host == want.split("/")[2] == rows[1].host
+
+
 def test_attribute_selector(spark):
     html = '<div><a data-theme="secondary" href="/e/1">1</a><a data-theme="primary" href="/e/2">2</a>' \
            "<span data-theme='secondary' href='/e/3'>3</span></div>"

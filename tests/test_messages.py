@@ -61,8 +61,9 @@ def test_long_body_base64_has_no_line_breaks(spark):
 
 def test_publish_outcome(spark):
     attempts = spark.createDataFrame(
-        [("r1", "vega", False), ("r1", "richter", True), ("r1", "jazz", True), ("r2", "vega", False)],
+        [("r1", "vega", False), ("r1", "richter", True), ("r1", "jazz", True), ("r2", "vega", False), ("r2", "nobody", True)],
         "run_id string, venue string, failed boolean",
     )
-    got = {r.run_id: (r.status, r.failed, r.n_published) for r in R.publish_outcome(attempts, "run_id", "venue", "failed").collect()}
+    registry = spark.createDataFrame([("vega",), ("richter",), ("jazz",)], "venue string")
+    got = {r.run_id: (r.status, r.failed, r.n_published) for r in R.publish_outcome(attempts, "run_id", "venue", "failed", registry).collect()}
     assert got == {"r1": ("partial failure", "jazz,richter", 3), "r2": ("ok", "", 1)}

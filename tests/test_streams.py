@@ -65,6 +65,13 @@ def test_retry_sink(spark):
     ST.run_foreach_batch(s, ST.retry_sink(out, retry_after_s=60, max_attempts=3), os.path.join(root, "ck"))
     got = {r.message_id: (r.attempt, str(r.next_at), r.action) for r in spark.read.parquet(out).collect()}
     assert got == {"m1": (2, "2024-01-01 00:01:00", "retry"), "m2": (4, "2024-01-01 00:02:00", "dead_letter")}
+    more = os.path.join(src, "more")
+    spark.createDataFrame([("m2", 4, "2024-01-01 00:02:00")], "message_id string, attempt int, failed_at string") \
+        .select("message_id", "attempt", F.to_timestamp_ntz("failed_at").alias("failed_at")).write.parquet(more)
+    again = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(src)
+    ST.run_foreach_batch(again, ST.retry_sink(out, retry_after_s=60), os.path.join(root, "ck_lost"))  # replayed with another cut, no last attempt
+    rows = sorted((r.message_id, r.attempt, r.action) for r in spark.read.parquet(out).collect())
+    assert rows == [("m1", 2, "retry"), ("m2", 4, "dead_letter"), ("m2", 5, "retry")]
 
 
 def test_put_if_absent_stream_failed_batch_and_duplicate_file(spark):
