@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ready, stored, texts_of
-from .text import buffers, documents_of, hash_words, rolling, slices, word_bounds
+from .text import buffers, documents_of, give_back, hash_words, rolling, slices, word_bounds
 
 REGISTERS, ROWS, MANTISSA = 112, 4, 10
 BANDS = REGISTERS // ROWS
@@ -200,6 +200,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 both = np.bincount(row[1:][twice], minlength=part.num_rows)
                 union = np.diff(oa) + np.diff(ob) - both
                 yield part.select(["a", "b"]).filter(pa.array((union > 0) & (100 * both >= percent * union)))
+        give_back()
 
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()

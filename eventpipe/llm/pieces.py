@@ -31,6 +31,7 @@ from .text import buffers, hash_words, mix
 
 MARK = "▁"
 SEPARATOR = b"\xff"
+BLOCK_BYTES = 4 << 20
 NAMES = ["doc_id", "n_tokens", "ids", "decoded"]
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
@@ -172,7 +173,7 @@ def _finish(model: str):
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids and decoded text of every whole text: (doc_id, n_tokens, ids, decoded)."""
-    questions, documents = ask(texts_of(docs, id_col, text_col), "text", _questions, _documents)
+    questions, documents = ask(texts_of(docs, id_col, text_col), "text", _questions, _documents, BLOCK_BYTES)
     return assemble(documents, answer(questions, _serve(model)), _finish(model), SCHEMA)
 
 

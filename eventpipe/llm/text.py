@@ -147,7 +147,7 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int) -> Iterator[pa.Rec
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most_bytes, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, least_bytes: int) -> Iterator[pa.RecordBatch]:
