@@ -2,7 +2,9 @@
 
 Three patterns give the base findings (``assign``, ``access``, ``hex``). The
 method adds ``novel`` findings: a token of 16 or more key characters, letters and
-digits among them, that follows a sensitive word closely. The token is
+digits among them, that follows a sensitive word closely. Of ``name=value`` the
+value alone is the token, and the name belongs to the text before it; if the name
+holds the sensitive word, the value may be of letters or digits only. The token is
 compressed by zstandard with a dictionary made of common identifiers and of the
 text around it (without the token). What it adds to the compressed size are its
 marginal bytes: names, paths and repeated words are found in the dictionary and
@@ -21,6 +23,7 @@ gives an empty result. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +41,9 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|key|credential|auth|bearer|private|signature|session", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
+LEAST = 16  # characters of a token
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{LEAST},}}")
+NAME = re.compile(r"[^=]*=+(?=[^=])")
 #: Common identifiers of code and configuration, for the compressor's dictionary.
 IDENTIFIERS = (
     "https://www.example.com/index.html http://localhost:8080/api/v1/ application/json content-type charset=utf-8 "
@@ -73,6 +78,28 @@ def marginal_bytes(token: str, before: str, after: str) -> int:
     return len(c.compress(token.encode())) - len(c.compress(b""))
 
 
+def _share(text: str, s: int, e: int) -> float:
+    return marginal_bytes(text[s:e], text[max(0, s - AROUND) : s], text[e : e + AROUND]) / (e - s)
+
+
+def _mixed(token: str) -> bool:
+    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+
+
+def _value_start(text: str, s: int, e: int) -> int:
+    """Where the value begins in a candidate: after its leading ``name=``, of which there may be several.
+
+    A name is too short for a token, holds a sensitive word or adds little to the text around it.
+    """
+    while m := NAME.match(text, s, e):
+        end = m.end()
+        name = m.group().rstrip("=")
+        if len(name) >= LEAST and not SENSITIVE.search(name) and _share(text, s, s + len(name)) >= NOVELTY:
+            break
+        s = end
+    return s
+
+
 def find(text: str) -> list[tuple[str, int, int, int, float]]:
     """(kind, start, end, start of the secret itself, novelty or 0) by start, then kind."""
     out = [("assign", m.start(), m.end(), m.start(2), 0.0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
@@ -86,14 +113,20 @@ def find(text: str) -> list[tuple[str, int, int, int, float]]:
             s, e = m.span()
             while at < len(words) and words[at] < s - REACH:
                 at += 1
-            token = m.group()
-            if at == len(words) or words[at] >= s or not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
+            if at == len(words) or words[at] >= e:
                 continue
-            if any(a < e and s < b for a, b in taken):
+            value = _value_start(text, s, e)
+            if words[at] >= value or any(a < e and value < b for a, b in taken):
                 continue
-            share = marginal_bytes(token, text[max(0, s - AROUND) : s], text[e : e + AROUND]) / len(token)
-            if share >= NOVELTY:
-                out.append(("novel", s, e, s, share))
+            named = bisect_left(words, s) < bisect_left(words, value)
+            starts = [value] if e - value >= LEAST and (named or _mixed(text[value:e])) else []
+            if value > s and words[at] < s and _mixed(text[s:e]):
+                starts.append(s)  # what looks like a name may be a part of the token
+            for k in starts:
+                share = _share(text, k, e)
+                if share >= NOVELTY:
+                    out.append(("novel", k, e, k, share))
+                    break
     return sorted(out, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
 
 

@@ -349,6 +349,28 @@ def test_secret_novelty_tells_random_from_names(spark):
     assert found[2] == [] and found[3] == [] and found[4] == []
 
 
+KEY, LETTERS = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8vT1xK9p", "qZxWvKjHgTrPlMnBcYdFsQwEuiOpAzXk"
+NAMED = [
+    ("aws_secret_access_key=", KEY, "\n"), ("private_key=", f"MIIEvQ{KEY}==", ""), ("session_id=", "9f8a7c6e5d4b3a29181f", "; x"), ("GET /x?auth=", KEY, "&y=1"),
+    ("signature=", LETTERS, ""), ("passphrase=", LETTERS, " b"), ("--opts=credential=", KEY, ""), ("session=user=", KEY, ""), (f"auth_{'of_a_long_name_' * 5}=", KEY, ""),
+]
+
+
+def test_secret_name_and_value_in_one_token(spark):
+    clean = ["auth=/usr/local/bin/access_token_refresh_token1", "auth_method=authorization_token", "key=--------------------", f"name={KEY}"]
+    rows = [(i, a + v + b) for i, (a, v, b) in enumerate(NAMED)] + [(100 + i, t) for i, t in enumerate(clean)]
+    found = {r.doc_id: [(f.kind, f.start, f.value_start, f.end) for f in r.findings] for r in secrets.scan(frame(spark, rows)).collect()}
+    assert found == {i: [("novel", len(a), len(a), len(a + v))] for i, (a, v, _) in enumerate(NAMED)} | {100 + i: [] for i in range(len(clean))}
+    out = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
+    assert out == {i: f"{a}[REDACTED:novel]{b}" for i, (a, _, b) in enumerate(NAMED)} | {100 + i: t for i, t in enumerate(clean)}
+
+
+def test_secret_that_looks_like_name_and_value_is_reported_whole(spark):
+    token = f"{KEY}={LETTERS}"
+    found = {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings] for r in secrets.scan(frame(spark, [(1, f"key {token}"), (2, "the key x=abcdefgh1234567")])).collect()}
+    assert found == {1: [("novel", 4, 4 + len(token))], 2: [("novel", 8, 25)]}
+
+
 def test_redaction_changes_only_secrets(spark):
     rows = [(1, 'a token = "abcdefgh12345" b', 26, "x"), (2, "clean", 5, None), (3, None, None, None), (4, "0123456789abcdef" * 2 + " password=" + "f" * 40, 99, None), (4, "clean", 5, None)]
     df = frame(spark, rows, "doc_id long, text string, n_chars long, findings string")
