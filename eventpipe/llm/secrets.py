@@ -9,7 +9,7 @@ compressed by zstandard with a dictionary made of common identifiers and of the
 text around it (without the token). What it adds to the compressed size are its
 marginal bytes: names, paths and repeated words are found in the dictionary and
 add little, a random string adds about its own length. A token whose marginal
-bytes reach ``NOVELTY`` of its length is reported, unless a base finding covers it.
+bytes reach ``NOVELTY`` of its length is reported, unless one base finding holds all of it.
 
 A whole text is read, never a prefix. A first pass of an automaton (RE2, in
 Arrow) over each column of texts finds the texts that can hold a finding at all;
@@ -116,7 +116,7 @@ def find(text: str) -> list[tuple[str, int, int, int, float]]:
             if at == len(words) or words[at] >= e:
                 continue
             value = _value_start(text, s, e)
-            if words[at] >= value or any(a < e and value < b for a, b in taken):
+            if words[at] >= value or any(a <= value and e <= b for a, b in taken):
                 continue
             named = bisect_left(words, s) < bisect_left(words, value)
             starts = [value] if e - value >= LEAST and (named or _mixed(text[value:e])) else []
