@@ -6,7 +6,9 @@ block of documents sends its *distinct* keys once to the bucket of each key, as
 one packed row per (block, bucket); a bucket sees every key it owns from all
 blocks together, works out a value once, and answers in the same order. The
 block then joins the values back by position. Rows per key are at most one per
-block, so a word that fills a third of the corpus is not a hot key.
+block, so a word that fills a third of the corpus is not a hot key. The number of
+buckets follows the measured bytes of text, so a task that holds a whole bucket
+holds the keys of about ``BUCKET_BYTES`` of text at any size of the corpus.
 
 The frame is scanned twice by the same deterministic function (once for what is
 sent, once for the packed documents), so nothing has to be stored. A block is
@@ -22,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import partitions, ready
 from .text import blocks, mix
 
 BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20  # of text for each bucket
 ROWS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("body", pa.binary())])
 SPARK_ROWS = "block string, bucket int, body binary"
 DOCUMENTS = -1  # the bucket of a block's own documents
@@ -66,19 +70,29 @@ def _name(part: pa.RecordBatch) -> str:
     return h.hexdigest()
 
 
+def buckets_of(text: str, *frames: DataFrame) -> int:
+    """One bucket for each ``BUCKET_BYTES`` of text in all the frames, and not fewer than shuffle partitions."""
+    spark = [ready(f) for f in frames][0]
+    size = sum(f.agg(F.sum(F.octet_length(text).cast("long")).alias("bytes")).first()["bytes"] or 0 for f in frames)
+    return max(partitions(spark), -(-size // BUCKET_BYTES))
+
+
 def ask(
     docs: DataFrame,
     text: str,
     questions: Callable[[pa.RecordBatch, int], list[tuple[int, pa.RecordBatch]]],
     documents: Callable[[pa.RecordBatch, int], pa.RecordBatch],
     block_bytes: int = BLOCK_BYTES,
+    buckets: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(questions, documents), both as rows (block, bucket, body).
 
     ``questions(block, buckets)`` gives (bucket, keys) once for each bucket asked;
     ``documents(block, buckets)`` what the block needs to take in the answers.
+    Frames that ask the same buckets need the same ``buckets``.
     """
-    buckets = partitions(ready(docs))
+    ready(docs)
+    buckets = buckets or buckets_of(text, docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, text, block_bytes):

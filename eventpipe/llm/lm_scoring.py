@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, texts_of
-from .exchange import answer, ask, assemble, by_bucket, concat, dealt, expect, pack, unpack
+from .exchange import answer, ask, assemble, buckets_of, by_bucket, concat, dealt, expect, pack, unpack
 from .pieces import MARK, chunks, load
 
 
@@ -135,8 +135,10 @@ def score(docs: DataFrame, target: DataFrame, model: str, id_col: str = "doc_id"
     def documents(part: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([pack(part)], pa.large_binary()), pa.array([buckets], pa.int32())], names=["rows", "buckets"])
 
-    asked, held = ask(texts_of(docs, id_col, text_col), "text", lambda p, b: told(_counted(p, model, b, False)), documents, BLOCK_BYTES)
-    wanted, _ = ask(texts_of(target, id_col, text_col), "text", lambda p, b: told(_counted(p, model, b, True)), documents, BLOCK_BYTES)
+    texts, wanted = texts_of(docs, id_col, text_col), texts_of(target, id_col, text_col)
+    buckets = buckets_of("text", texts, wanted)
+    asked, held = ask(texts, "text", lambda p, b: told(_counted(p, model, b, False)), documents, BLOCK_BYTES, buckets)
+    wanted, _ = ask(wanted, "text", lambda p, b: told(_counted(p, model, b, True)), documents, BLOCK_BYTES, buckets)
     questions = stored(asked.union(wanted), "bigrams")
     tokens = {m: np.zeros((2, vocabulary), dtype=np.float64) for m in (True, False)}
     for r in token_counts(questions).collect():  # at most two rows for each piece of the vocabulary

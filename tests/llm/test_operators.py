@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from eventpipe.llm import chat, classifier, decontaminate, lm_scoring, near_dedup, pieces, quality_rules, secrets, substring_dedup, token_file
+from eventpipe.llm import chat, classifier, decontaminate, exchange, lm_scoring, near_dedup, pieces, quality_rules, secrets, substring_dedup, token_file
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 PIECES, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
@@ -89,6 +89,30 @@ def test_substring_dedup(spark, rows):
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in got)
 
 
+# --- exchange of 1, 2 and 5 --------------------------------------------------
+
+
+def test_buckets_follow_the_bytes_of_text(spark, monkeypatch):
+    """More text makes more buckets, not larger ones, and the results stay."""
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 200, raising=False)
+    rows = mixed_documents(1, 200) + ODD[:6]
+    df, size = frame(spark, rows), sum(len((t or "").encode()) for _, t in rows)
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = lambda part, buckets: [(b, part) for b in range(buckets)]
+    asked, _ = exchange.ask(df, "text", key, lambda part, buckets: part)
+    assert asked.select("bucket").distinct().count() == -(-size // 200) > shuffle
+    few, _ = exchange.ask(df.limit(1), "text", key, lambda part, buckets: part)
+    assert few.select("bucket").distinct().count() == shuffle
+    got = substring_dedup.dedup(df).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got) == brute_substrings(rows)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert sorted((str(r.doc_id), r.ids) for r in pieces.encode(df, PIECES).collect()) == sorted((str(i), sp.encode(t or "")) for i, t in rows)
+    scores = lambda: sorted((str(r.doc_id), r.n_tokens, round(r.score, 5)) for r in lm_scoring.score(df, df.where("doc_id < 50"), PIECES).collect())
+    many = scores()
+    monkeypatch.undo()
+    assert many == scores()
+
+
 # --- 3 ----------------------------------------------------------------------
 
 
