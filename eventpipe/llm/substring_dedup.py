@@ -76,7 +76,7 @@ class Anchored:
         run = np.ones(len(at), dtype=bool)
         run[1:] = anchor[1:] != anchor[:-1]
         self.first = np.flatnonzero(run)
-        self.start, self.place = at, (anchor - at).astype(np.uint8)
+        self.start, self.place = at, (anchor - at).astype(np.min_scalar_type(window - seed))
         self.anchor, self.ids = best[self.first], ids[self.first]
         self.bounds = np.append(self.first, len(at))
 
@@ -105,10 +105,8 @@ def _serve(asked: list[pa.Table]) -> list[pa.RecordBatch]:
     first = np.flatnonzero(new)
     again = np.zeros(len(order), dtype=bool)
     again[order] = ids[order] > np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(order))))
-    bit = np.arange(len(owner)) - offsets[:-1][owner]
-    masks = np.bincount(owner, weights=again * (1 << bit), minlength=len(table)).astype(np.uint32)
-    cuts = np.cumsum([0, *lengths])
-    return [pa.RecordBatch.from_arrays([pa.array(masks[a:b])], names=["match"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    cuts = offsets[np.cumsum([0, *lengths])]
+    return [pa.RecordBatch.from_arrays([pa.array(again[a:b])], names=["match"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -134,27 +132,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     def documents(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
         a = Anchored(batch, window, seed)
         order, _, _ = by_bucket(a.anchor, buckets)
-        member, offsets = a.members(order)
+        member, _ = a.members(order)
         one = lambda x, kind: pa.array([x], pa.list_(kind))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([pack(batch)], pa.large_binary()),
                 one(a.repeated.astype(np.int16), pa.int16()),
                 one(a.start[member].astype(np.int32), pa.int32()),
-                one(offsets.astype(np.int32), pa.int32()),
             ],
-            names=["rows", "repeated", "start", "offsets"],
+            names=["rows", "repeated", "start"],
         )
 
     def finish(own: pa.Table, answers: list[pa.Table]) -> pa.Table:
         rows = unpack(own["rows"][0].as_py()).combine_chunks().to_batches()[0]
         repeated = own["repeated"].combine_chunks().values.to_numpy().astype(np.int64)
         start = own["start"].combine_chunks().values.to_numpy()
-        offsets = own["offsets"].combine_chunks().values.to_numpy()
-        expect(answers, len(offsets) - 1)
-        masks = concat(answers, "match", pa.uint32()).to_numpy()
-        owner = np.repeat(np.arange(len(masks)), np.diff(offsets))
-        hit = (masks[owner] >> (np.arange(len(owner)) - offsets[:-1][owner]).astype(np.uint32)) & 1 == 1 if len(owner) else np.zeros(0, bool)
+        expect(answers, len(start))
+        hit = concat(answers, "match", pa.bool_()).to_numpy(zero_copy_only=False)
         np.add.at(repeated, start[hit], 1)
         np.add.at(repeated, start[hit] + window, -1)
         gone = np.cumsum(repeated[:-1]) > 0

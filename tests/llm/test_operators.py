@@ -89,6 +89,21 @@ def test_substring_dedup(spark, rows):
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in got)
 
 
+@pytest.mark.parametrize("window", [1, 4, 36, 37, 60, 300])
+def test_substring_dedup_of_other_windows(spark, window):
+    """Also windows of which one anchor owns more than 32, between documents that no block holds together."""
+    w = [f"w{i}" for i in range(1000)]
+    runs = [(10 + 50 * k, window + n) for k, n in enumerate((0, 1, 7, 40, 90, -1))]
+    rows = [(1, " ".join(w))] + [(2 + k, " ".join(["a" + str(k), *w[at : at + n], "b" + str(k)])) for k, (at, n) in enumerate(runs)]
+    apart = frame(spark, rows).repartitionByRange(len(rows), "doc_id")
+    got = {r.doc_id: [(s.start, s.end) for s in r.removed] for r in substring_dedup.dedup(apart, window=window).collect() if r.doc_id in (1, 2, 7)}
+    assert got == {1: [], 2: [(1, 1 + window)], 7: []}
+    for k, (at, n) in enumerate(runs):  # each against the first alone
+        pair = frame(spark, [rows[0], rows[1 + k]]).repartitionByRange(2, "doc_id")
+        got = {r.doc_id: [(s.start, s.end) for s in r.removed] for r in substring_dedup.dedup(pair, window=window).collect()}
+        assert got == {1: [], 2 + k: [(1, 1 + n)] if n >= window else []}
+
+
 # --- exchange of 1, 2 and 5 --------------------------------------------------
 
 
