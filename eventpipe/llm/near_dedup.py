@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, stored, texts_of
@@ -357,16 +357,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group: the one of the smallest id, with exactly its own columns.
 
-    Of rows that share that id, the one whose text hashes lowest stays. Rows with a
-    null id, which no group can name, all stay.
+    Rows that share an id but not their text are documents of their own here, linked or
+    not; of those that share the id and the group, the one whose text hashes lowest
+    stays. Rows with an id and a text that hold no shingle are repeats only of the same id
+    and text. Rows with a null id, which no group can name, all stay.
     """
-    verdict = stored(near_duplicates(docs, id_col, text_col, width, percent).where("doc_id is not null").select("doc_id", "kept"), "verdict")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_col).alias("hash"))
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
-    left = rows.join(gone, "id", "left_anti")
-    again = verdict.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
-    if not again.isEmpty():
-        first = Window.partitionBy("id").orderBy("hash", F.xxhash64(F.to_json("row")))
-        repeated = left.join(again, "id", "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-        left = left.join(again, "id", "left_anti").unionByName(repeated)
-    return left.select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
+    if ids.groupBy("id").count().where("count > 1").isEmpty():
+        verdict = stored(near_duplicates(docs, id_col, text_col, width, percent).where("doc_id is not null").select("doc_id", "kept"), "verdict")
+        gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("id"))
+        return docs.select(F.col(id_col).cast("long").alias("id"), row).join(gone, "id", "left_anti").select("row.*")
+    key = F.when(F.col(id_col).cast("long").isNotNull(), F.monotonically_increasing_id()).alias("key")
+    keyed = stored(docs.select(key, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row), "keyed")  # stored, so that a key stays with its row
+    verdict = stored(near_duplicates(keyed, "key", "text", width, percent).where("doc_id is not null"), "verdict")
+    rows = keyed.select(F.col("key").alias("doc_id"), "id", F.xxhash64("text").alias("hash"), F.sha2("text", 256).alias("digest"), F.xxhash64(F.to_json("row")).alias("tie"))
+    empty = F.col("n_shingles") == 0
+    group = [F.when(~empty, F.col("component_id")).alias("component"), F.when(empty, F.col("id")).alias("own"), F.when(empty, F.col("digest")).alias("blank")]
+    first = verdict.join(rows, "doc_id").groupBy(*group).agg(F.min(F.struct("id", "hash", "tie", "doc_id")).alias("x"))
+    left = keyed.join(first.select(F.col("x.doc_id").alias("key")), "key", "left_semi")
+    return left.unionByName(keyed.where("key is null")).select("row.*")
