@@ -136,11 +136,17 @@ DUE_AS_OF = "2024-01-15 12:00:00"
 DUE_SINCE = "2024-01-15 00:00:00"
 
 
+def due(scheduled, done, as_of):
+    """Scheduled messages with ``deliver_at`` up to ``as_of`` whose ``message_id`` is not among the done ones, however old."""
+    return scheduled.where(F.col("deliver_at") <= F.to_timestamp_ntz(F.lit(as_of))).join(done.select("message_id"), "message_id", "left_anti")
+
+
 def due_messages(spark, sf):
-    """Messages that became visible since the previous poll and up to now."""
+    """Messages visible by now and not done. The tables hold no log of done messages, so done
+    is here what was visible at the previous poll."""
     s = _scheduled(spark, sf)
-    due = (F.col("deliver_at") > F.to_timestamp_ntz(F.lit(DUE_SINCE))) & (F.col("deliver_at") <= F.to_timestamp_ntz(F.lit(DUE_AS_OF)))
-    return s.where(due).select("message_id", "venue", "seq", "deliver_at")
+    done = s.where(F.col("deliver_at") <= F.to_timestamp_ntz(F.lit(DUE_SINCE))).select("message_id")
+    return due(s, done, DUE_AS_OF).select("message_id", "venue", "seq", "deliver_at")
 
 
 def retry_schedule(spark, sf):

@@ -106,3 +106,13 @@ def test_put_if_absent_stream_failed_batch_and_duplicate_file(spark):
     # the same file again under another name: every key exists, nothing changes
     shutil.copytree(os.path.join(src, "b001"), os.path.join(src, "b099"))
     assert run(inner) == want
+
+
+def test_due_is_visible_minus_done(spark):
+    from eventpipe.plans.streams import due
+
+    rows = [("old", "2024-01-14 09:00:00"), ("old done", "2024-01-14 09:00:00"), ("now", "2024-01-15 12:00:00"), ("new done", "2024-01-15 11:00:00"), ("later", "2024-01-15 12:00:01")]
+    scheduled = spark.createDataFrame(rows, "message_id string, at string").select("message_id", F.to_timestamp_ntz("at").alias("deliver_at"))
+    done = spark.createDataFrame([("old done",), ("new done",), ("new done",)], "message_id string")
+    got = due(scheduled, done, "2024-01-15 12:00:00")
+    assert sorted(r.message_id for r in got.collect()) == ["now", "old"] and got.columns == scheduled.columns
