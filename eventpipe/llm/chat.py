@@ -95,15 +95,19 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     )
 
 
+def whole_texts(examples: DataFrame) -> DataFrame:
+    """Every row of the examples with ``text``, its whole text: the segments of its conversation up to its own."""
+    before = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
+    return examples.withColumn("text", F.array_join(F.collect_list("segment").over(before), ""))
+
+
 def expanded(examples: DataFrame) -> DataFrame:
     """The full text of every example with a reply: (conv_id, example, text, loss_start, loss_chars).
 
     The text of a conversation with n replies is written n times by nature; filter the
     examples first, or train from the segments.
     """
-    before = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
-    text = F.array_join(F.collect_list("segment").over(before), "")
-    return examples.withColumn("text", text).where("loss_start < length(segment)").select(
+    return whole_texts(examples).where("loss_start < length(segment)").select(
         "conv_id", "example", "text", F.col("context_chars").alias("loss_start"), "loss_chars"
     )
 
@@ -126,12 +130,12 @@ def parsed(segment: Column) -> Column:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """What the formatted output says of each conversation: its turns and its loss, read back from the segments."""
+    """What the formatted output says of each conversation: its loss and size, read back from the whole text of every example, and its turns, from the segments."""
     turns = parsed(F.col("segment"))
-    read = examples.select(
-        "conv_id", "example", "chars",
+    read = whole_texts(examples).select(
+        "conv_id", "example", F.length("text").cast("long").alias("chars"),
         F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))).alias("turns"),
-        unescape(F.substring(F.col("segment"), F.col("loss_start").cast("int") + 1, F.col("loss_chars").cast("int"))).alias("loss"),
+        unescape(F.substring(F.col("text"), F.col("context_chars").cast("int") + 1, F.col("loss_chars").cast("int"))).alias("loss"),
     ).select("conv_id", "chars", F.size("turns").cast("long").alias("n"), F.struct("example", F.array_join("turns", "").alias("turns"), "loss").alias("x"))
     joined = lambda name: F.array_join(F.transform("xs", lambda x: x[name]), "")
     whole = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list("x")).alias("xs"))

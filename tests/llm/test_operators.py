@@ -335,6 +335,16 @@ def test_chat_round_trip(spark):
     examples.unpersist()
 
 
+def test_chat_digests_read_whole_examples(spark):
+    """Sizes and loss come from the examples' texts: a wrong running sum of lengths does not show in them."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<s>one"), (1, 2, "user", "more"), (1, 3, "assistant", "two"), (1, 4, "user", "end")]
+    examples = chat.format_conversations(frame(spark, rows, TURNS))
+    want = chat.digests(examples).collect()
+    full = [r.text for r in chat.whole_texts(examples).collect()]
+    assert len(full) == 3 and want[0].formatted_chars == sum(map(len, full))
+    assert chat.digests(examples.withColumn("chars", F.lit(0).cast("long"))).collect() == want
+
+
 def test_chat_of_no_turns_and_native_plan(spark):
     out = chat.digests(chat.format_conversations(frame(spark, [], TURNS)))
     assert out.collect() == []
