@@ -60,7 +60,12 @@ def _rows(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), ROWS, strict=True)], schema=ROWS)
 
 
-def _name(part: pa.RecordBatch) -> str:
+def block_rows(rows: list[tuple[str, int, bytes]]) -> pa.Table:
+    """Rows (block, bucket, body) for a second round of questions, also when there are none."""
+    return pa.Table.from_batches([_rows(rows)] if rows else [], ROWS)
+
+
+def block_name(part: pa.RecordBatch) -> str:
     """A block's name: the hash of all its columns, so that equal rows give equal names in every scan."""
     h = xxhash.xxh3_128()
     for column in part.columns:
@@ -98,12 +103,12 @@ def ask(
         for part in blocks(batches, text, block_bytes):
             asked = questions(part, buckets)
             if asked:
-                name = _name(part)
+                name = block_name(part)
                 yield _rows([(name, k, pack(keys)) for k, keys in asked])
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, text, block_bytes):
-            yield _rows([(_name(part), DOCUMENTS, pack(documents(part, buckets)))])
+            yield _rows([(block_name(part), DOCUMENTS, pack(documents(part, buckets)))])
 
     return docs.mapInArrow(send, SPARK_ROWS), docs.mapInArrow(hold, SPARK_ROWS)
 

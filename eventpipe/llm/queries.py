@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, lm_scoring, near_dedup, pieces, quality_rules, secrets, substring_dedup, token_file
+from . import chat, classifier, decontaminate, lm_scoring, near_dedup, pieces, prefix_trie, quality_rules, repair, secrets, substring_dedup, suffix_dedup, token_file
 from .common import state_path, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -80,10 +80,26 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.placed(prefix_trie.turn_ids(table(spark, sf_dir, "conversations")))
+    return prefix_trie.nodes(*prefix_trie.spliced(turns))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair(turns, repair.damaged(turns))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_substring_dedup, op3_near_dedup, op4_quality_rules, op5_lm_scoring,
         op6_chat_format, op7_quality_classifier, op8_secret_scan, op9_token_output, op10_decontaminate,
+        op11_prefix_trie, op12_suffix_dedup, op13_conversation_repair,
     )
 }

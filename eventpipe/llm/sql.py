@@ -83,7 +83,54 @@ select d.doc_id, len(w) as n_words, coalesce(words.n, 0) as n_hit, coalesce(item
 from d left join words on words.doc_id = d.doc_id left join items on items.doc_id = d.doc_id
 """
 
+def _crc32(text: str) -> str:
+    """The crc32 of a string of ASCII characters, bit by bit."""
+    bits = "list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda i: i::ubigint)), lambda x, i: xor(x >> 1, 3988292384::ubigint * (x & 1)))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::ubigint)"
+    return f"xor(list_reduce(list_concat([4294967295::ubigint], {codes}), lambda a, b: {bits}), 4294967295::ubigint)"
+
+
+PREFIX_TRIE = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
+    substr(sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) as tid
+  from conversations where conv_id is not null),
+own as (select conv_id, list({{'role': role, 'text': text}} order by turn nulls first, tid) as w, conv_id::varchar as spelled from t group by conv_id),
+h as (select conv_id, w, ({_crc32('spelled')} % 9)::bigint as h, conv_id - conv_id % 5 as base from own),
+c as (select h.conv_id, list_concat(coalesce(list_slice(b.w, 1, h), []), list_slice(h.w, h + 1, len(h.w))) as w from h left join own b on b.conv_id = h.base),
+p as (select conv_id, len(w) as n, unnest(range(len(w) + 1)) as depth, w from c),
+m as (select conv_id, n, depth, list_slice(w, 1, depth) as k from p),
+node as (
+  select k, depth, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '') as ends,
+    case depth when 0 then 0 else (count(*) - 1) * strlen(k[depth].text) end as saved
+  from m group by k, depth),
+kid as (select list_slice(k, 1, depth - 1) as k, depth - 1 as depth, count(*) as n from node where depth > 0 group by 1, 2),
+f as (select node.*, coalesce(kid.n, 0) as n_children from node left join kid on kid.k = node.k and kid.depth = node.depth),
+up as (select list_slice(k, 1, a) as k, a as depth, saved, n_children from (select *, unnest(range(depth + 1)) as a from f)),
+s as (select k, depth, sum(saved)::bigint as saved_tokens, count(*) filter (n_children = 0) as n_leaves from up group by k, depth)
+select f.conv_id, f.depth::bigint as depth, q.conv_id as parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(f.ends) as ends_sha256
+from f join s on s.k = f.k and s.depth = f.depth left join node q on f.depth > 0 and q.depth = f.depth - 1 and q.k = list_slice(f.k, 1, f.depth - 1)
+"""
+
+_WINDOW = 50
+SUFFIXES = rf"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, ''))::bigint as n from documents),
+win as (select doc_id, s, substr(x, 2 * s + 1, {2 * _WINDOW}) as k from (select doc_id, x, unnest(range(n - {_WINDOW - 1})) as s from d)),
+least as (select md5_number(k) as k, min(doc_id) as first from win group by 1),
+hit as (select doc_id, s from win join least on md5_number(win.k) = least.k where doc_id > first),
+edge as (select doc_id, s, lag(s) over (partition by doc_id order by s) as before from hit),
+run as (select doc_id, s, sum(case when before is null or s > before + {_WINDOW} then 1 else 0 end) over (partition by doc_id order by s) as r from edge),
+span as (select doc_id, r, min(s) as a, max(s) + {_WINDOW} as b from run group by doc_id, r),
+cut as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as z from span),
+kept as (select cut.doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' order by a) || substr(any_value(x), 2 * max(b) + 1) as k
+  from cut join d using (doc_id) group by cut.doc_id)
+select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, x))) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
 ORACLES = {
+    "op11_prefix_trie": PREFIX_TRIE,
+    "op12_suffix_dedup": SUFFIXES,
     "op2_substring_dedup": SUBSTRINGS,
     "op3_near_dedup": NEAR_DUPLICATES,
     "op4_quality_rules": QUALITY_RULES,
