@@ -16,7 +16,7 @@ def con():
 
 
 def test_all_are_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert {*queries.QUERIES, "pipeline"} <= set(E.queries())
 
 
