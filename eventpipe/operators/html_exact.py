@@ -65,30 +65,54 @@ def extract_links_exact(pages: DataFrame, spec: LinkSpec = LinkSpec()) -> DataFr
     return pages.select("page_id", "url", "html").mapInPandas(run, LINK_SCHEMA)
 
 
+#: Elements without content, and elements that one of the same kind ends.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
+#: Elements that an end implied by a sibling does not reach beyond.
+LISTS = frozenset("ul ol dl select table tbody thead tfoot".split())
+
+
 class _Elements(HTMLParser):
-    """Collects ``(tag, attrs, text)`` for the selected elements, text up to the matching end tag."""
+    """The selected elements as ``[tag, attrs, text pieces]`` in page order; text runs to the element's own end.
+
+    An element ends with its end tag, with that of one around it, where a sibling of
+    its kind begins (``<li>a<li>b``), or with the page; one without content at once.
+    """
 
     def __init__(self, tag: str, attr: str | None, value: str | None):
         super().__init__(convert_charrefs=True)
         self.tag, self.attr, self.value = tag.lower(), attr, value
         self.found: list = []
-        self._open: list = []
+        self._open: list = []  # (tag, the element if it is selected)
 
     def handle_starttag(self, tag, attrs):
+        ended = SIBLINGS.get(tag, ())
+        for i in range(len(self._open) - 1, -1, -1):
+            if self._open[i][0] in LISTS and not (tag == "tr" and self._open[i][0] in ("tbody", "thead", "tfoot")):
+                break
+            if self._open[i][0] in ended:
+                del self._open[i:]
         amap = {k.lower(): v for k, v in reversed(attrs)}
-        if (self.tag == "*" or tag == self.tag) and (self.attr is None or amap.get(self.attr.lower()) == self.value):
-            self._open.append([tag, amap, []])
-        elif self._open:
-            self._open[-1][2].append("")
+        element = None
+        if self.tag in ("*", tag) and (self.attr is None or amap.get(self.attr.lower()) == self.value):
+            element = [tag, amap, []]
+            self.found.append(element)
+        if tag not in VOID:
+            self._open.append((tag, element))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)  # the slash means nothing on an element with content
 
     def handle_data(self, data):
-        for el in self._open:
-            el[2].append(data)
+        for _, element in self._open:
+            if element is not None:
+                element[2].append(data)
 
     def handle_endtag(self, tag):
-        if self._open and self._open[-1][0] == tag:
-            t, a, parts = self._open.pop()
-            self.found.append((t, a, "".join(parts)))
+        for i in range(len(self._open) - 1, -1, -1):
+            if self._open[i][0] == tag:
+                del self._open[i:]
+                return
 
 
 def map_elements(pages: DataFrame, fn, schema: str, tag: str = "*", attr: str | None = None, value: str | None = None) -> DataFrame:
@@ -106,8 +130,8 @@ def map_elements(pages: DataFrame, fn, schema: str, tag: str = "*", attr: str |
                 p = _Elements(tag, attr, value)
                 p.feed(html or "")
                 p.close()
-                for t, a, text in p.found:
-                    rows.extend(fn(url, t, a, text))
+                for t, a, pieces in p.found:
+                    rows.extend(fn(url, t, a, "".join(pieces)))
             yield pd.DataFrame(rows, columns=cols)
 
     return pages.select("url", "html").mapInPandas(run, schema)

@@ -147,7 +147,22 @@ def scrape_all_venues(spark, sf):
     return spark.read.parquet(log).select("topic", "venue", "url", "body")
 
 
+def broken_page_links(spark, sf):
+    """Links of pages that end in one unclosed tag as long as the page: each page's own markup, without an end, after three links.
+
+    The links hold character references, a tag inside an attribute, and a tag inside raw text.
+    """
+    n = F.col("page_id").cast("string")
+    broken = F.concat(
+        F.lit('<a href="/p'), n, F.lit('?a=1&amp;b=2&aring;&#38;amp;">x</a><title><a href="/no"></title><a title="<a href=\'/no\'>" href=\'/e&#x3D;'), n,
+        F.lit("'>y</a><!-- <a href=/no> --><a>z</a><a href=/q "), F.translate("html", ">", " "),
+    )
+    pages = read_pages(spark, sf).select("page_id", "url", broken.alias("html"))
+    return links.extract_links(pages).select("page_id", "pos", "href")
+
+
 QUERIES = {
+    "broken_page_links": broken_page_links,
     "venue_registry": venue_registry,
     "page_links": page_links,
     "resolved_links": resolved_links,
@@ -201,6 +216,8 @@ def _with(body: str) -> str:
 
 
 ORACLES = {
+    "broken_page_links": "SELECT page_id, CAST(1 AS BIGINT) AS pos, concat('/p', page_id, '?a=1&b=2å&amp;') AS href FROM pages "
+    "UNION ALL SELECT page_id, 2, concat('/e=', page_id) FROM pages UNION ALL SELECT page_id, 3, NULL FROM pages",
     "venue_registry": _with("SELECT venue, base_url, n_pages FROM registry"),
     "page_links": _with("SELECT page_id, src_url, venue, depth, pos, href FROM links"),
     "resolved_links": _with("SELECT page_id, pos, href, status, abs_url FROM resolved"),

@@ -1,15 +1,35 @@
 """DuckDB expression builders for the oracle SQL, mirroring ``eventpipe.functions``.
 
-They produce SQL text only; nothing here runs Spark. The patterns are the same
-fixed values the Spark side uses.
+They produce SQL text only; nothing here runs Spark. The patterns for HTML are the
+oracle's own, for pages whose tags are whole; the cases of broken pages are literal
+rows (``plans/hostile.py``) and tests.
 """
 
 from __future__ import annotations
 
-from ..functions import html as H
 from ..functions import urls as U
 
 
+# What the oracle takes for markup (RE2).
+COMMENT_RE = r"(?s)<!--.*?-->"
+NOISE_RE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+OPEN_TAIL_RE = r"""(?:\s(?:[^>"']|"[^"]*"|'[^']*')*)?>"""
+OTHER_ATTR_RE = r"""(?:[\s/]+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)"""
+ATTR_VALUE_RE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+
+
+def tag_re(tag: str) -> str:
+    return r"(?is)<" + tag + OPEN_TAIL_RE
+
+
+def attr_re(name: str) -> str:
+    return r"(?is)^<[a-z][^\s/>]*" + OTHER_ATTR_RE + r"*?[\s/]+" + name + ATTR_VALUE_RE
+
+
+def element_re(tag: str) -> str:
+    return r"(?is)<" + tag + OPEN_TAIL_RE + r".*?</" + tag + r"\s*>"
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -33,21 +53,21 @@ def unquote(raw: str) -> str:
 
 
 def attr_value(tag: str, name: str) -> str:
-    pat = lit(H.attr_re(name))
+    pat = lit(attr_re(name))
     return f"CASE WHEN regexp_matches({tag}, {pat}) THEN {unquote(f'regexp_extract({tag}, {pat}, 1)')} END"
 
 
 def select_attr(html: str, tag: str, take: str, attr: str | None = None, value: str | None = None) -> str:
-    clean = f"regexp_replace({html}, {lit(H.NOISE_RE)}, '', 'g')"
-    tags = f"regexp_extract_all({clean}, {lit(H.tag_re(tag))}, 0)"
+    clean = f"regexp_replace({html}, {lit(NOISE_RE)}, '', 'g')"
+    tags = f"regexp_extract_all({clean}, {lit(tag_re(tag))}, 0)"
     if attr is not None:
         tags = f"list_filter({tags}, lambda t: coalesce({attr_value('t', attr)} = {lit(value)}, false))"
     return f"list_transform({tags}, lambda t: {attr_value('t', take)})"
 
 
 def select_text(html: str, tag: str, attr: str | None = None, value: str | None = None) -> str:
-    clean = f"regexp_replace({html}, {lit(H.COMMENT_RE)}, '', 'g')"
-    els = f"regexp_extract_all({clean}, {lit(H.element_re(tag))}, 0)"
+    clean = f"regexp_replace({html}, {lit(COMMENT_RE)}, '', 'g')"
+    els = f"regexp_extract_all({clean}, {lit(element_re(tag))}, 0)"
     open_re = lit(r"(?is)^<" + tag + r"(?:\s[^>]*)?>")
     if attr is not None:
         els = f"list_filter({els}, lambda e: coalesce({attr_value(f'regexp_extract(e, {open_re}, 0)', attr)} = {lit(value)}, false))"

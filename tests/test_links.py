@@ -42,6 +42,59 @@ def test_regex_path_equals_exact_parser(spark):
     assert exact == native
 
 
+BROKEN = {
+    "tag": "<a " + "x" * (1 << 20),
+    "attributes": "<a " + "x " * (1 << 19),
+    "tags": "<a " * (1 << 18),
+    "quotes": "<a x " * (1 << 17) + '">',
+    "values": '<a x="' * (1 << 17),
+    "comments": "<!--" * (1 << 18),
+    "scripts": "<script " * (1 << 17),
+    "signs": "<" * (1 << 20),
+}
+
+
+@pytest.mark.parametrize("name", sorted(BROKEN))
+def test_a_megabyte_without_an_end(spark, name):
+    """A recursive or backtracking pattern ends the executor or never ends here."""
+    hrefs = [r.href for r in _links(spark, '<a href="/ok">' + BROKEN[name])]
+    assert hrefs[0] == "/ok" and not any(hrefs[1:])
+
+
+def test_a_long_tag_and_many_references(spark):
+    html = "<a " + "x=1 " * (1 << 18) + "href=/last>" + '<a href="' + "&amp;" * 50_000 + '">'
+    assert [r.href for r in _links(spark, html)] == ["/last", "&" * 50_000]
+
+
+REFERENCES = {
+    "&aring;&#229;&#xE5;&#XE5;": "\u00e5" * 4, "&#38;amp;": "&amp;", "&amp;lt;": "&lt;", "a&copy=1": "a&copy=1", "a&copy": "a\u00a9",
+    "&copyx;": "&copyx;", "&none;": "&none;", "&": "&", "&&amp;": "&&", "&#0;&#xD800;&#x110000;&#99999999999;": "\ufffd" * 4, "&#128;&#150;": "\u20ac\u2013",
+    "&NotEqualTilde;": "\u2242\u0338", "&#x1F600;": "\U0001f600", "&#12a;": "\x0ca;", "&nbsp;x": "\xa0x",
+}
+
+
+def test_references_are_decoded_once(spark):
+    html = "".join(f'<a href="/{k}">' for k in REFERENCES)
+    assert [r.href for r in _links(spark, html)] == ["/" + v for v in REFERENCES.values()]
+
+
+def test_broken_pages_equal_an_independent_parser(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    parts = ['<a href="/x">', "<a href='/y' title=z>", "<a ", "href=/q", ">", '"', "'", " ", "=", "<!--", "-->", "<script>", "</script>", "<style a=b>", "</style>", "text",
+             "<b>", "</a>", "<A HREF=/U>", "&amp;", '<a title="<a href=/no>" href="/in">', "/", '<a href="/s"/>', '<a href="/1"href="/2">']
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(1500)]
+    pages = [p for p in pages if "<!-->" not in p and "<!--" not in re.sub(r"(?s)<!--.*?-->", "", p)]  # the standard parser reads on in an open comment
+    frame = spark.createDataFrame([(i, BASE, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {}
+    for r in links.extract_links(frame).orderBy("page_id", "pos").collect():
+        got.setdefault(r.page_id, []).append(r.href)
+    wrong = [(p, got.get(i, []), links_of(p, LinkSpec())) for i, p in enumerate(pages) if got.get(i, []) != links_of(p, LinkSpec())]
+    assert len(pages) > 700 and not wrong, wrong[:3]
+
+
 def test_resolution(spark):
     rows = {r.href: (r.status, r.abs_url) for r in _links(spark)}
     assert rows["/double"] == ("ok", "https://venue.example.com/double")
@@ -117,6 +170,21 @@ def test_element_callback(spark):
     assert [(r.href, r.text) for r in got] == [("/a", "A bold"), ("/b", "B")]
 
 
+def test_elements_without_an_end(spark):
+    from eventpipe.operators.html_exact import map_elements
+
+    def found(html, **how):
+        pages = spark.createDataFrame([(1, "https://v/", html)], "page_id long, url string, html string")
+        return [(r.tag, r.text) for r in map_elements(pages, lambda url, tag, attrs, text: [(tag, text)], "tag string, text string", **how).collect()]
+
+    assert found('<img src="a"><img src="b">', tag="img") == [("img", ""), ("img", "")]
+    assert found("<ul><li>a<li>b <b>c</b></ul>d", tag="li") == [("li", "a"), ("li", "b c")]
+    assert found("<div>x<br>y</div>z") == [("div", "xy"), ("br", "")]
+    assert found("<div>a<div>b</div>c</div>d", tag="div") == [("div", "abc"), ("div", "b")]
+    assert found("<li>a<ul><li>b</ul>c", tag="li") == [("li", "abc"), ("li", "b")]
+    assert found("<p>open <i>to the end", tag="i") == [("i", "to the end")]
+
+
 def test_list_files(spark, tmp_path):
     from eventpipe.sources.tables import list_files, read_html_folder
 
