@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import texts_of
 from .exchange import answer, ask, assemble, pack, unpack
-from .text import buffers, hash_words, mix
+from .text import buffers, hash_spans, mix
 
 MARK = "▁"
 SEPARATOR = b"\xff"
@@ -85,7 +85,7 @@ def _binary_hash(values: pa.Array) -> np.ndarray:
     _, off, data = values.buffers()
     offsets = np.frombuffer(off, np.int64, count=values.offset + len(values) + 1)[values.offset :]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return hash_words(data, offsets[:-1], offsets[1:])
+    return hash_spans(data, offsets[:-1], offsets[1:])
 
 
 def _by_frequency(column: pa.Array, buckets: int):

@@ -198,7 +198,7 @@ def buffers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _repeats(asked: list[pa.Table]) -> list[pa.RecordBatch]:
+def known_repeats(asked: list[pa.Table]) -> list[pa.RecordBatch]:
     """Step 1: 0, 1 or 2 for each fingerprint of an anchor."""
     table = pa.concat_tables(asked)
     prints, inverse = np.unique(table["print"].to_numpy(), return_inverse=True)
@@ -326,6 +326,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     docs = texts_of(docs, id_col, text_col)
     buckets = buckets_of("text", docs)
     questions, held = ask(docs, "text", anchors, packed, BLOCK_BYTES, buckets)
-    known = answer(questions, _repeats)
+    known = answer(questions, known_repeats)
     asked, rows = (assemble(held, known, f, "block string, bucket int, body binary") for f in (ask_passages, hold_documents))
     return assemble(rows, answer(asked, _serve(window)), finish, SCHEMA)

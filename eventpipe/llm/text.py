@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACES = (9, 10, 11, 12, 13, 32)
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -19,8 +20,6 @@ IS_SPACE[list(SPACES)] = True
 
 _RNG = np.random.default_rng(20240131)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_FOLDED = _BYTE.copy()
-_BYTE_FOLDED[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 PIECE = 1 << 18
@@ -78,13 +77,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; ``fold`` reads A-Z as a-z.
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, to deal spans out by; unequal spans may share one, so it decides no match.
 
     Works through the buffer in pieces of whole words, so memory stays a small
     multiple of ``PIECE`` (or of the longest word).
     """
-    table = _BYTE_FOLDED if fold else _BYTE
+    table = _BYTE
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
@@ -100,6 +99,16 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     return out
 
 
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word's bytes (xxh3, once for each distinct word); ``fold`` reads A-Z as a-z."""
+    if fold:
+        capital = (data >= 65) & (data <= 90)
+        data = np.where(capital, data + np.uint8(32), data)
+    codes, words = word_codes(data, starts, ends)
+    hashes = np.array([xxhash.xxh3_64_intdigest(w, 20240131) for w in words.to_pylist()], dtype=np.uint64)
+    return hashes[codes] if len(codes) else np.zeros(0, np.uint64)
+
+
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Each word as a code into the distinct words (exact, by Arrow's dictionary encoding)."""
     if len(starts) == 0:

@@ -104,6 +104,27 @@ def test_substring_dedup_of_other_windows(spark, window):
         assert got == {1: [], 2 + k: [(1, 1 + n)] if n >= window else []}
 
 
+def test_substring_dedup_under_one_anchor(spark, monkeypatch):
+    """All documents differ but for a common run of five words: none loses a word; also window by window."""
+    rows = [(i, " ".join([f"a{i}x{j}" for j in range(4)] + ["it", "was", "on", "the", "way"] + [f"b{i}x{j}" for j in range(4)])) for i in range(30_000)]
+    for hot in (1 << 16, 10):
+        monkeypatch.setattr(substring_dedup.suffix_dedup, "HOT", hot)
+        assert substring_dedup.dedup(frame(spark, rows)).where("n_removed > 0").count() == 0
+        mixed = mixed_documents(3)
+        got = substring_dedup.dedup(frame(spark, mixed)).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got) == brute_substrings(mixed)
+
+
+def test_words_that_a_polynomial_hash_takes_for_equal(spark):
+    """Two words of 2,048 letters (Thue-Morse and its complement): texts that differ in this word alone share no window with it."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = ("".join("ab"[b ^ c] for b in bits) for c in (0, 1))
+    text = lambda word: " ".join([f"w{i}" for i in range(6)] + [word] + [f"v{i}" for i in range(6)])
+    rows = [(1, text(one)), (2, text(other)), (3, text(one))]
+    assert [r.n_removed for r in substring_dedup.dedup(frame(spark, rows)).orderBy("doc_id").collect()] == [0, 0, 13]
+    assert [r.component_id for r in near_dedup.near_duplicates(frame(spark, [(1, one), (2, other)]), width=4, percent=80).orderBy("doc_id").collect()] == [1, 2]
+
+
 # --- exchange of 1, 2 and 5 --------------------------------------------------
 
 
