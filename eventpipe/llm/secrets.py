@@ -8,10 +8,11 @@ holds the sensitive word, the value may be of letters or digits only. The token
 compressed by zstandard with a dictionary made of common identifiers and of the
 text around it (without the token). What it adds to the compressed size are its
 marginal bytes: names, paths and repeated words are found in the dictionary and
-add little, a random string adds about its own length. A token whose marginal
+add little, a random string adds about its own length, whatever its alphabet: a long
+token is measured in parts so short that only repeats save bytes. A token whose marginal
 bytes reach ``NOVELTY`` of its length is reported, unless one base finding holds all of it.
 
-A whole text is read, never a prefix. A first pass of an automaton (RE2, in
+A whole text is read, never a prefix, in time in proportion to its length and findings, also a very long one. A first pass of an automaton (RE2, in
 Arrow) over each column of texts finds the texts that can hold a finding at all;
 it accepts more than the patterns, never less.
 
@@ -23,8 +24,9 @@ gives an empty result. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,6 +62,7 @@ IDENTIFIERS = (
 AROUND = 400  # code points of text on each side that prime the dictionary
 REACH = 48  # code points before a token in which the sensitive word must begin
 NOVELTY = 0.75
+PIECE = 48  # characters compressed at a time: of longer literals zstandard also codes the alphabet, and a long random key seems compressible
 BLOCK_BYTES = 4 << 20
 #: Texts that hold no match of this cannot have a finding.
 SCREEN = (
@@ -78,8 +81,17 @@ def marginal_bytes(token: str, before: str, after: str) -> int:
     return len(c.compress(token.encode())) - len(c.compress(b""))
 
 
+def pieces(s: int, e: int) -> list[tuple[int, int]]:
+    """A span in equal parts of at most ``PIECE`` characters."""
+    n = -(-(e - s) // PIECE)
+    cuts = [s + (e - s) * k // n for k in range(n + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def _share(text: str, s: int, e: int) -> float:
-    return marginal_bytes(text[s:e], text[max(0, s - AROUND) : s], text[e : e + AROUND]) / (e - s)
+    """Marginal bytes of a token for each of its characters, part by part; what stands before a part, also of the token itself, primes it."""
+    after = text[e : e + AROUND]
+    return sum(marginal_bytes(text[a:b], text[max(0, a - AROUND) : a], after) for a, b in pieces(s, e)) / (e - s)
 
 
 def _mixed(token: str) -> bool:
@@ -108,6 +120,8 @@ def find(text: str) -> list[tuple[str, int, int, int, float]]:
     words = [m.start() for m in SENSITIVE.finditer(text)]
     if words:
         taken = sorted((s, e) for _, s, e, _, _ in out)
+        begins, reached = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+        held = lambda s, e: (k := bisect_right(begins, s)) > 0 and reached[k - 1] >= e  # noqa: E731 - one base finding holds all of it
         at = 0
         for m in CANDIDATE.finditer(text):
             s, e = m.span()
@@ -116,7 +130,7 @@ def find(text: str) -> list[tuple[str, int, int, int, float]]:
             if at == len(words) or words[at] >= e:
                 continue
             value = _value_start(text, s, e)
-            if words[at] >= value or any(a <= value and e <= b for a, b in taken):
+            if words[at] >= value or held(value, e):
                 continue
             named = bisect_left(words, s) < bisect_left(words, value)
             starts = [value] if e - value >= LEAST and (named or _mixed(text[value:e])) else []

@@ -467,6 +467,72 @@ def test_secret_that_looks_like_name_and_value_is_reported_whole(spark):
     assert found == {1: [("novel", 4, 4 + len(token))], 2: [("novel", 8, 25)]}
 
 
+ALPHABETS = ["0123456789ABCDEF", "0123456789abcdefABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS, ids=["upper hex", "mixed hex", "lower", "base64"])
+def test_random_keys_of_every_length_are_found(spark, alphabet):
+    r = random.Random(5)
+    keys = {(n, k): "".join(r.choice(alphabet) for _ in range(n)) for n in (24, 47, 48, 49, 96, 128, 512, 4096) for k in range(20)}
+    texts = [(i, f"the session: {key} ends here") for i, key in enumerate(keys.values())]
+    got = {x.doc_id: x.findings for x in secrets.scan(frame(spark, texts)).collect()}
+    missed = [at for i, (at, key) in enumerate(keys.items()) if not any(f.start <= 13 and f.end == 13 + len(key) for f in got[i])]
+    assert not missed
+    names = [(0, "the session: " + "session_identifier_of_1_user_" * 40 + " ends"), (1, "key " + "xy12" * 300)]
+    assert [x.findings for x in secrets.scan(frame(spark, names)).collect()] == [[], []]
+
+
+def test_many_findings_in_one_text_take_time_in_proportion():
+    import time
+
+    r = random.Random(6)
+    line = lambda: f"password={r.getrandbits(64):016x} token: {''.join(r.choice(ALPHABETS[3][:62]) for _ in range(20))}\n"
+    text = "".join(line() for _ in range(38_000))
+    began = time.process_time()
+    assert len(text) > 2_000_000 and len(secrets.find(text)) >= 70_000
+    assert time.process_time() - began < 60
+
+
+def brute_novel(text):
+    """The novel spans by their definition, each candidate against every base finding."""
+    base = [(m.start(), m.end()) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 8]
+    base += [m.span() for m in secrets.ACCESS.finditer(text) if len(m[0]) >= 16] + [m.span() for m in secrets.HEX.finditer(text) if len(m[0]) >= 32]
+    words = [m.start() for m in secrets.SENSITIVE.finditer(text)]
+    mixed = lambda t: bool(re.search("[0-9]", t) and re.search("[A-Za-z]", t))
+
+    def novelty(s, e):
+        parts = -(-(e - s) // 48)
+        cuts = [s + (e - s) * k // parts for k in range(parts + 1)]
+        return sum(secrets.marginal_bytes(text[a:b], text[max(0, a - 400) : a], text[e : e + 400]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)) / (e - s)
+
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}", text):
+        s, e = m.span()
+        value = s
+        while n := re.match(r"[^=]*=+(?=[^=])", text[value:e]):
+            name = n[0].rstrip("=")
+            if len(name) >= 16 and not secrets.SENSITIVE.search(name) and novelty(value, value + len(name)) >= 0.75:
+                break
+            value += n.end()
+        before = [w for w in words if s - 48 <= w < value]
+        if not before or any(a <= value and e <= b for a, b in base):
+            continue
+        starts = [value] if e - value >= 16 and (any(s <= w for w in before) or mixed(text[value:e])) else []
+        starts += [s] if value > s and before[0] < s and mixed(text[s:e]) else []
+        out += [(k, e) for k in starts if novelty(k, e) >= 0.75][:1]
+    return out
+
+
+def test_novel_spans_equal_brute_force(spark):
+    r = random.Random(8)
+    bits = ["key ", "session_id=", "auth: ", "x=", "name_of_a_thing=", "private_key=", "\n", " ", "the user said ", "Qx7Lp2Vn9Tz4Rk8Wd1", "9f8a7c6e5d4b3a29181f", "configuration_settings",
+            "password=", "hunter2hunter2hunter2", "0123456789abcdef" * 2, "A1B2C3D4E5F6A7B8" * 4, "=", "==", "é", "/usr/local/bin/"]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randrange(1, 14)))) for i in range(700)]
+    got = {x.doc_id: [(f.start, f.end) for f in x.findings if f.kind == "novel"] for x in secrets.scan(frame(spark, rows)).collect()}
+    assert sum(map(len, got.values())) > 50
+    assert got == {i: brute_novel(t) for i, t in rows}
+
+
 def test_redaction_changes_only_secrets(spark):
     rows = [(1, 'a token = "abcdefgh12345" b', 26, "x"), (2, "clean", 5, None), (3, None, None, None), (4, "0123456789abcdef" * 2 + " password=" + "f" * 40, 99, None), (4, "clean", 5, None)]
     df = frame(spark, rows, "doc_id long, text string, n_chars long, findings string")
