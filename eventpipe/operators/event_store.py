@@ -1,17 +1,23 @@
-"""``EventStore``: the storage interface (U4) over Parquet in a shared folder.
-
-Layout: ``<path>/v=<n>/writer=<w>/batch_id=<b>/``. A put-if-absent only ever adds
-its own new ``(writer, batch_id)`` partition to the current version. The pair is
-the put's write token: a fresh one for each put unless the caller names it, which
-makes a retry of that put change nothing. A token that is used again with other
-content is refused, so no stored object is ever replaced or lost. Overwrite and
-delete write the whole next version, which becomes current when its write commits
-(readers take the newest version with a ``_COMMITTED`` marker, written after the
-data). Writers run one at a time: Parquet has no compare-and-set.
+"""``EventStore``: the storage interface (U4) as one Parquet table, partitioned by the bucket of the pathname.
+
+Layout: ``<path>/of=<n>/bucket=<b>/``, written by plain Spark writes. A put-if-absent
+appends the keys that its buckets lack, so what Spark has committed is there and
+nothing else is: a put that died before its commit left nothing, one that died
+after it left whole rows, and the next put finds them stored. Overwrite and delete
+rewrite the buckets they touch and no other (``partitionOverwriteMode=dynamic``); a
+bucket that loses its last object keeps a row without a pathname, which readers skip.
+
+Each put has a write token (``writer``, ``batch_id``), a fresh one unless the caller names
+it. A retry under the same token changes nothing, and a token that is used again
+with other content is refused. The number of buckets is fixed when the store is
+made: given, or so that a bucket holds 64 MB of the first put; ``rebucket`` writes a
+grown store anew. Writers run one at a time, and not while a reader lists files: Parquet has no
+compare-and-set, and a rewritten bucket is replaced folder by folder.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,47 +31,58 @@ OBJECT_COLUMNS = (
     "pathname string, url string, download_url string, access string, content_type string, "
     "cache_control_max_age int, size long, uploaded_at string, etag string, body string, writer string, batch_id long"
 )
+_PARTS = ["of", "bucket"]
 
 
 class EventStore:
-    def __init__(self, spark: SparkSession, path: str, base_url: str):
+    def __init__(self, spark: SparkSession, path: str, base_url: str, buckets: int | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
         self.base_url = base_url
-
-    # ------------------------------------------------------------ versions
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
-
-    def _versions(self) -> list[int]:
-        fs, jvm = self._fs()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not fs.exists(root):
-            return []
-        out = []
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith("v="):
-                if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_COMMITTED")):
-                    out.append(int(name[2:]))
-        return sorted(out)
-
-    def _version_path(self, v: int) -> str:
-        return f"{self.path}/v={v}"
-
-    def read(self) -> DataFrame:
-        vs = self._versions()
-        if not vs:
+        self.wanted = buckets
+
+    # ------------------------------------------------------------ table
+    def _table(self) -> DataFrame | None:
+        if not ST.path_exists(self.spark, self.path):
+            return None
+        return self.spark.read.schema(f"{OBJECT_COLUMNS}, of int, bucket int").parquet(self.path)
+
+    def buckets(self) -> int | None:
+        """The store's number of buckets, from its folders; None before the first put."""
+        table = self._table()
+        files = table.inputFiles() if table is not None else []
+        return int(re.search(r"/of=(\d+)/", files[0])[1]) if files else None
+
+    def read(self, touched: list[int] | None = None) -> DataFrame:
+        """All objects, or those of some buckets, of which alone files are then read."""
+        table = self._table()
+        if table is None:
             return self.spark.createDataFrame([], OBJECT_COLUMNS)
-        return self.spark.read.parquet(self._version_path(vs[-1]))
+        if touched is not None:
+            table = table.where(F.col("bucket").isin(touched))
+        return table.where("pathname is not null").drop(*_PARTS)
+
+    def _bucketed(self, rows: DataFrame, n: int) -> DataFrame:
+        columns = [F.col(c.split()[0]) for c in OBJECT_COLUMNS.split(", ")]
+        return rows.select(*columns, F.lit(n).alias("of"), ST.key_bucket("pathname", n).alias("bucket"))
+
+    def _touched(self, keys: DataFrame, n: int) -> list[int]:
+        return sorted(r[0] for r in keys.select(ST.key_bucket("pathname", n)).distinct().collect())  # at most n ids
+
+    def _append(self, rows: DataFrame, n: int) -> None:
+        self._bucketed(rows, n).write.mode("append").partitionBy(*_PARTS).parquet(self.path)
 
-    def _write(self, rows: DataFrame, version: int, add: bool) -> None:
-        w = rows.select(*[F.col(c.split()[0]) for c in OBJECT_COLUMNS.split(", ")]).write.mode("append" if add else "overwrite")
-        w.partitionBy("writer", "batch_id").parquet(self._version_path(version))
-        fs, jvm = self._fs()
-        fs.create(jvm.org.apache.hadoop.fs.Path(self._version_path(version), "_COMMITTED"), True).close()
+    def _rewrite(self, rows: DataFrame, touched: list[int], n: int) -> None:
+        """Put ``rows`` in place of the touched buckets' content."""
+        kept = self.spark.createDataFrame([(b,) for b in touched], "bucket int").withColumn("of", F.lit(n))
+        out = self._bucketed(rows, n).unionByName(kept, allowMissingColumns=True).checkpoint()
+        out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(self.path)
+
+    def rebucket(self, path: str, buckets: int) -> EventStore:
+        """The store's objects as a new store with another number of buckets."""
+        other = EventStore(self.spark, path, self.base_url, buckets)
+        other._append(self.read(), buckets)
+        return other
 
     # ------------------------------------------------------------ writes
     def put(
@@ -92,23 +109,22 @@ class EventStore:
         if "uploaded_at" not in docs.columns:
             now_utc = F.timestamp_add("MICROSECOND", F.unix_micros(F.current_timestamp()), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
             docs = docs.withColumn("uploaded_at", F.concat(ntz_text(now_utc), F.lit("Z")))
-        vs = self._versions()
-        current = self.read()
+        n = self.buckets() or self.wanted or ST.store_buckets(docs.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0)
+        touched = self._touched(docs, n)
+        current = self.read(touched)
         tag = {"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("long")}
         if overwrite:
             latest = ST.last_wins(docs, order)
-            rows = ST.object_rows(latest, self.base_url, access, content_type, cache_max_age).withColumns(tag)
-            table = ST.put_overwrite(current, rows.drop(order), order="batch_id").checkpoint()
-            self._write(table, (vs[-1] + 1) if vs else 1, add=False)
+            rows = ST.object_rows(latest, self.base_url, access, content_type, cache_max_age).withColumns(tag).checkpoint()
+            self._rewrite(ST.put_overwrite(current, rows.drop(order), order="batch_id"), touched, n)
             return rows, docs.limit(0).withColumn("reason", F.lit(None).cast("string"))
         mine = (F.col("writer") == F.lit(writer)) & (F.col("batch_id") == F.lit(batch_id))
-        others = current.where(~mine).select("pathname")
-        accepted, rejected = ST.put_if_absent(others, docs, order=order)
+        accepted, rejected = ST.put_if_absent(current.where(~mine).select("pathname"), docs, order=order)
         rows = ST.object_rows(accepted, self.base_url, access, content_type, cache_max_age).withColumns(tag).checkpoint()
         rejected = rejected.checkpoint()
-        own = current.where(mine).select("pathname", "etag")
+        own = self.read().where(mine).select("pathname", "etag")
         if own.isEmpty():
-            self._write(rows, vs[-1] if vs else 1, add=True)
+            self._append(rows, n)
         else:  # the token is stored: only a retry of the same put may use it
             new = rows.select("pathname", "etag")
             if not (new.exceptAll(own).isEmpty() and own.exceptAll(new).isEmpty()):
@@ -116,12 +132,19 @@ class EventStore:
         return rows, rejected
 
     def delete(self, keys: DataFrame, key_col: str = "key") -> None:
-        """Delete by pathname or URL; an empty key set changes nothing."""
-        vs = self._versions()
-        if not vs or keys.isEmpty():
+        """Delete by pathname or URL; an empty key set changes nothing.
+
+        The keys' pathnames are looked up first (two narrow columns of the store), then their buckets are rewritten.
+        """
+        n = self.buckets()
+        if n is None or keys.isEmpty():
             return
-        table = ST.delete_keys(self.read(), keys, self.base_url, key_col=key_col).checkpoint()
-        self._write(table, vs[-1] + 1, add=False)
+        ensure_checkpoint_dir(self.spark)
+        names = self.read().select("pathname", "url")
+        gone = names.join(ST.delete_keys(names, keys, self.base_url, key_col=key_col), "pathname", "left_anti").select("pathname").checkpoint()
+        touched = self._touched(gone, n)
+        if touched:
+            self._rewrite(self.read(touched).join(gone, "pathname", "left_anti"), touched, n)
 
     # ------------------------------------------------------------ reads
     def get(self, pathnames: DataFrame) -> DataFrame:

@@ -124,16 +124,19 @@ def newest_snapshot(pages: DataFrame, order: str | None = None) -> DataFrame:
 
 def extract_events(
     messages: DataFrame, pages: DataFrame, spec: ScriptSpec = ScriptSpec(), keep_empty: bool = False, currency: str = "DKK",
-    snapshot_order: str | None = None,
+    snapshot_order: str | None = None, one_each: bool = False,
 ) -> DataFrame:
     """Messages ``venue, url`` -> one row per message and script of the newest snapshot, with ``outcome``.
 
     Pages are joined on ``url`` (left: a missing page is ``not_fetched``). The
     join is a shuffle on the URL, never on the host, so a large venue does not
-    skew it; AQE turns it into a broadcast when the page side is small.
+    skew it; AQE turns it into a broadcast when the page side is small. With
+    ``one_each`` the pages are known to hold one snapshot of a URL: nothing is grouped,
+    and a table bucketed on ``url`` is not shuffled.
     """
     m = messages.alias("m")
-    page = newest_snapshot(pages, snapshot_order).select(F.col("url").alias("_purl"), "html")
+    newest = pages if one_each else newest_snapshot(pages, snapshot_order)
+    page = newest.select(F.col("url").alias("_purl"), "html")
     joined = m.join(page, F.col("m.url") == F.col("_purl"), "left")
     found = joined.withColumn("_fetched", F.col("_purl").isNotNull())
     texts = H.select_text(F.col("html"), spec.tag, spec.attr, spec.value)

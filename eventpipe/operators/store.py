@@ -17,7 +17,7 @@ small side into a broadcast at run time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -28,6 +28,23 @@ SUFFIX_LENGTH = 16
 CONTENT_TYPES = {".json": "application/json", ".html": "text/html", ".txt": "text/plain", ".xml": "application/xml", ".csv": "text/csv"}
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p)
+
+
+def key_bucket(key_col: str, buckets: int):
+    """Bucket of a key: ``pmod(xxhash64(key), buckets)`` (stable across runs and engines' retries)."""
+    return F.pmod(F.xxhash64(F.col(key_col)), F.lit(buckets)).cast("int")
+
+
+def store_buckets(n_bytes: int, bucket_bytes: int = 64 << 20) -> int:
+    """Buckets for a store that is to hold ``n_bytes``: the least power of two whose buckets hold ``bucket_bytes`` each."""
+    return 1 << (max(1, -(-n_bytes // bucket_bytes)) - 1).bit_length()
+
+
 def inferred_content_type(pathname: Column) -> Column:
     """Content type from the extension, as a store infers it when none is given."""
     ext = F.lower(F.regexp_extract(pathname, r"(\.[^./]*)$", 1))
@@ -180,11 +197,18 @@ LIST_RESPONSE_SCHEMA = (
 def explode_listing(responses: DataFrame, col: str = "response") -> DataFrame:
     """List responses -> one row per object; an unparsable ``uploadedAt`` gives a null instant.
 
-    An empty page gives no object. A response that is not JSON stops the job: a
-    listing that silently lacks a page would be taken for the whole store.
+    An empty page gives no object. A response that is not JSON gives one row without an
+    object and with ``reason`` = ``malformed``, and ends no job: a caller that takes the
+    listing for the whole store checks that no row has a reason (``listing_errors``).
     """
-    r = responses.withColumn("_r", F.from_json(F.col(col), LIST_RESPONSE_SCHEMA, {"mode": "FAILFAST"}))
-    ex = r.select(F.col("_r.cursor").alias("cursor"), F.col("_r.hasMore").alias("has_more"), F.explode("_r.blobs").alias("b"))
+    schema = LIST_RESPONSE_SCHEMA + ", _corrupt string"
+    r = responses.withColumn("_r", F.from_json(F.col(col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
+    none = F.array(F.lit(None).cast("struct<url: string, downloadUrl: string, pathname: string, size: bigint, uploadedAt: string, etag: string>"))
+    ex = r.select(
+        F.col("_r.cursor").alias("cursor"), F.col("_r.hasMore").alias("has_more"), F.when(bad, F.lit("malformed")).alias("reason"),
+        F.explode(F.when(bad, none).otherwise(F.col("_r.blobs"))).alias("b"),
+    )
     rfc = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
     ts = F.when(F.col("b.uploadedAt").rlike(rfc), F.try_to_timestamp(F.col("b.uploadedAt")))
     return ex.select(
@@ -197,4 +221,5 @@ def explode_listing(responses: DataFrame, col: str = "response") -> DataFrame:
         F.col("b.etag").alias("etag"),
         "cursor",
         "has_more",
+        "reason",
     )

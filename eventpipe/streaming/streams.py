@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import crawl, sequencing
 from ..operators import store as ST
+from ..operators.store import key_bucket, path_exists, store_buckets  # noqa: F401 - the streams' users choose buckets too
 from ..session import ensure_checkpoint_dir
 
 
@@ -53,18 +55,6 @@ def dedup_keys(stream: DataFrame, keys: list[str], event_time: str | None = None
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
-def key_bucket(key_col: str, buckets: int):
-    """Bucket of a key: ``pmod(xxhash64(key), buckets)`` (stable across runs and engines' retries)."""
-    return F.pmod(F.xxhash64(F.col(key_col)), F.lit(buckets)).cast("int")
-
-
 def put_if_absent_sink(
     store_path: str, writer: str, order: str, base_url: str, key: str = "pathname", buckets: int | None = None, **put_options
 ):
@@ -86,7 +76,7 @@ def put_if_absent_sink(
         ensure_checkpoint_dir(spark)
         if buckets:
             batch = batch.withColumn("bucket", key_bucket(key, buckets))
-        if _path_exists(spark, store_path):
+        if path_exists(spark, store_path):
             stored = spark.read.parquet(store_path)
             if buckets:
                 touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most `buckets` ids
@@ -101,6 +91,44 @@ def put_if_absent_sink(
     return write
 
 
+LOG_SCHEMA = "run_id string, venue string, url string, seq long, delay_s long, deliver_at timestamp_ntz, writer string, batch_id long"
+
+
+def sequenced_sink(log_path: str, writer: str, order: list[str], step: int = sequencing.DELAY_STEP_SECONDS):
+    """W1-W3 inside a stream: a ``foreachBatch`` function that appends new URLs to the message log with their number and due time.
+
+    A batch has ``run_id, venue, url, run_ts`` and the ``order`` columns. A URL that the run's log
+    has, or that stands earlier in the batch, is dropped. The others go on where the venue's count
+    in the log ends: ``seq`` is that count plus the place in the batch, numbered by range sort
+    (``number_within``), so a hot venue is no single task, and the counter is the log
+    itself. Only the batch's runs are read, one partition folder each, and of them three columns. A batch
+    that runs again replaces what it wrote (its own ``writer`` and ``batch_id`` partition), a replay from
+    a lost checkpoint under another writer finds its URLs in the log.
+    """
+    columns = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ensure_checkpoint_dir(spark)
+        first = crawl.first_seen(batch, ["run_id", "venue", "url"], order).checkpoint()  # the batch's pages are read once
+        if path_exists(spark, log_path):
+            runs = first.select("run_id").distinct()
+            log = spark.read.schema(LOG_SCHEMA).parquet(log_path).select("run_id", "venue", "url", "writer", "batch_id")
+            others = log.join(runs, "run_id", "left_semi").where(~((F.col("writer") == writer) & (F.col("batch_id") == batch_id)))
+        else:
+            others = spark.createDataFrame([], "run_id string, venue string, url string")
+        new = first.join(others.select("run_id", "venue", "url"), ["run_id", "venue", "url"], "left_anti")
+        numbered = sequencing.number_within(new, ["run_id", "venue"], order, out="place")
+        counts = others.groupBy("run_id", "venue").agg(F.count(F.lit(1)).alias("before"))
+        seq = F.col("place") + F.coalesce("before", F.lit(0))
+        out = numbered.join(counts, ["run_id", "venue"], "left").withColumn("seq", seq).withColumn("delay_s", F.col("seq") * step)
+        out = out.withColumn("deliver_at", F.timestamp_add("SECOND", F.col("delay_s"), F.col("run_ts")))
+        out = out.withColumns({"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("long")}).select(*columns)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "writer", "batch_id").parquet(log_path)
+
+    return write
+
+
 RETRY_SCHEMA = "message_id string, attempt int, next_at timestamp_ntz, action string, batch_id long"
 
 
@@ -126,7 +154,7 @@ def retry_sink(failures_path: str, retry_after_s: int, max_attempts: int | None
             action.alias("action"),
             F.lit(batch_id).cast("long").alias("batch_id"),
         ).dropDuplicates(["message_id", "attempt"])
-        if _path_exists(spark, failures_path):
+        if path_exists(spark, failures_path):
             stored = spark.read.schema(RETRY_SCHEMA).parquet(failures_path)
             out = out.join(stored.select("message_id", "attempt"), ["message_id", "attempt"], "left_anti").select(*out.columns)
         out.checkpoint().write.mode("append").parquet(failures_path)

@@ -116,3 +116,116 @@ def test_due_is_visible_minus_done(spark):
     done = spark.createDataFrame([("old done",), ("new done",), ("new done",)], "message_id string")
     got = due(scheduled, done, "2024-01-15 12:00:00")
     assert sorted(r.message_id for r in got.collect()) == ["now", "old"] and got.columns == scheduled.columns
+
+
+def _messages(spark, rows):
+    frame = spark.createDataFrame([(m, v, f"https://v/{m}", 1, at) for m, v, at in rows], "message_id string, venue string, url string, seq long, at string")
+    return frame.withColumn("deliver_at", F.to_timestamp_ntz("at"))
+
+
+def _released(queue):
+    return sorted((r.message_id, r.attempt, str(r.released_at)) for r in queue.deliveries().collect())
+
+
+def test_delay_queue_releases_each_message_once(spark):
+    """Each poll is a restart. A message is released at the first poll from its time on, to the microsecond; one published
+    twice, also after its release, once; one published when it is due already at once, by the clock as it stands."""
+    from eventpipe.streaming.queue import DelayQueue
+
+    queue = DelayQueue(spark, os.path.join(tempfile.mkdtemp(prefix="queue-"), "q"), partitions=2)
+    queue.publish(_messages(spark, [("a", "v", "2024-01-01 00:00:15"), ("b", "v", "2024-01-01 00:00:30.000001"), ("c", "w", "2024-01-01 02:00:00"), ("a", "v", "2024-01-01 00:00:15")]))
+    first, second = ("a", 1, "2024-01-01 00:00:30"), ("b", 1, "2024-01-01 00:00:31")
+    queue.poll("2024-01-01 00:00:30")
+    assert _released(queue) == [first]
+    queue.publish(_messages(spark, [("late", "v", "2023-01-01 00:00:00"), ("a", "v", "2024-01-01 00:00:15")]))
+    queue.poll("2024-01-01 00:00:31")
+    late = [r for r in _released(queue) if r[0] == "late"]
+    assert _released(queue) == [first, second, *late] and len(late) == 1
+    queue.poll("2024-01-01 03:00:00")
+    assert _released(queue) == [first, second, ("c", 1, "2024-01-01 03:00:00"), *late]
+
+
+def test_retry_loop_stores_once_and_keeps_every_attempt(spark):
+    from eventpipe.streaming.queue import DelayQueue
+
+    root = tempfile.mkdtemp(prefix="loop-")
+    queue = DelayQueue(spark, os.path.join(root, "q"), partitions=2)
+    queue.publish(_messages(spark, [("good", "v", "2024-01-01 00:00:00"), ("slow", "v", "2024-01-01 00:00:00"), ("never", "w", "2024-01-01 00:00:00")]))
+    store, seen = os.path.join(root, "store"), []
+    put = ST.put_if_absent_sink(store, writer="w", order="message_id", base_url=BASE)
+
+    def handle(new):
+        seen.extend((r.message_id, r.attempt) for r in new.select("message_id", "attempt").collect())
+        ok = (F.col("message_id") == "good") | ((F.col("message_id") == "slow") & (F.col("attempt") == 3))
+        return new.withColumns({"ok": ok, "reason": F.when(~ok, F.lit("bad_url"))})
+
+    def sink(done, batch_id):
+        put(done.select(F.col("message_id").alias("pathname"), "message_id", F.col("url").alias("body")), batch_id)
+
+    def work(checkpoint="worker"):
+        queue.work(handle, 60, max_attempts=3, sink=sink, checkpoint=checkpoint)
+
+    def attempts():
+        return sorted((r.message_id, r.attempt, r.ok, str(r.next_at)) for r in queue.attempts().collect())
+
+    for minute in range(4):
+        queue.poll(f"2024-01-01 00:0{minute}:00")
+        work()
+    want = [
+        ("good", 1, True, "None"),
+        ("never", 1, False, "2024-01-01 00:01:00"), ("never", 2, False, "2024-01-01 00:02:00"), ("never", 3, False, "None"),
+        ("slow", 1, False, "2024-01-01 00:01:00"), ("slow", 2, False, "2024-01-01 00:02:00"), ("slow", 3, True, "None"),
+    ]
+    assert attempts() == want and sorted(seen) == [w[:2] for w in want]
+    queue.release("lost")  # all released again
+    work("lost")
+    assert attempts() == want and sorted(seen) == [w[:2] for w in want]
+    assert sorted(r.pathname for r in spark.read.parquet(store).collect()) == ["good", "slow"]
+
+
+def test_sequenced_log_across_batches(spark):
+    """Numbers go on across batches and restarts; a batch that runs again and a replay under another writer change nothing."""
+    root = tempfile.mkdtemp(prefix="seq-")
+    log = os.path.join(root, "log")
+    schema = "run_id string, venue string, url string, pos long, at string"
+    batches = [
+        [("r1", "v", "u1", 1, "2024-01-01 00:00:00"), ("r1", "v", "u2", 2, "2024-01-01 00:00:00"), ("r1", "w", "u1", 1, "2024-01-01 00:00:00")],
+        [("r1", "v", "u2", 3, "2024-01-01 00:00:00"), ("r1", "v", "u3", 4, "2024-01-01 00:00:00"), ("r2", "v", "u1", 1, "2024-01-02 00:00:00")],
+        [("r1", "w", "u9", 2, "2024-01-01 00:00:00"), ("r1", "v", "u4", 6, "2024-01-01 00:00:00"), ("r1", "v", "u4", 5, "2024-01-01 00:00:00")],
+    ]
+    frames = [spark.createDataFrame(b, schema).withColumn("run_ts", F.to_timestamp_ntz("at")).drop("at") for b in batches]
+
+    def rows():
+        got = spark.read.schema(ST.LOG_SCHEMA).parquet(log).collect()
+        return sorted((r.run_id, r.venue, r.url, r.seq, r.delay_s, str(r.deliver_at)) for r in got)
+
+    sink = ST.sequenced_sink(log, "a", ["pos"])
+    for i in (0, 1, 1, 2, 2):
+        sink(frames[i], i)
+    want = [
+        ("r1", "v", "u1", 1, 15, "2024-01-01 00:00:15"), ("r1", "v", "u2", 2, 30, "2024-01-01 00:00:30"), ("r1", "v", "u3", 3, 45, "2024-01-01 00:00:45"),
+        ("r1", "v", "u4", 4, 60, "2024-01-01 00:01:00"), ("r1", "w", "u1", 1, 15, "2024-01-01 00:00:15"), ("r1", "w", "u9", 2, 30, "2024-01-01 00:00:30"),
+        ("r2", "v", "u1", 1, 15, "2024-01-02 00:00:15"),
+    ]
+    assert rows() == want
+    again = ST.sequenced_sink(log, "b", ["pos"])
+    again(frames[0].unionByName(frames[1]).unionByName(frames[2]), 0)
+    assert rows() == want
+
+
+def test_bounded_dedup_drops_a_late_duplicate(spark):
+    root = tempfile.mkdtemp(prefix="late-")
+    src, out = os.path.join(root, "in"), os.path.join(root, "out")
+
+    def run(name, rows):
+        spark.createDataFrame(rows, "url string, at string").select("url", F.to_timestamp("at").alias("at")).coalesce(1).write.parquet(os.path.join(src, name))
+        s = spark.readStream.schema("url string, at timestamp").parquet(os.path.join(src, "*"))
+        ST.run_to_files(ST.dedup_keys(s, ["url"], event_time="at", delay="1 hour"), out, os.path.join(root, "ck"))
+        return sorted(r.url for r in spark.read.parquet(out).collect())
+
+    assert run("b0", [("u1", "2024-01-01 00:00:00"), ("u1", "2024-01-01 00:10:00"), ("u2", "2024-01-05 00:00:00")]) == ["u1", "u2"]
+    assert run("b1", [("u1", "2024-01-01 00:20:00"), ("u2", "2024-01-05 00:30:00"), ("u3", "2024-01-05 00:30:00")]) == ["u1", "u2", "u3"]
+
+
+def test_store_buckets_follow_the_bytes():
+    assert [ST.store_buckets(n, 100) for n in (0, 1, 100, 101, 200, 201, 10_000)] == [1, 1, 1, 2, 2, 4, 128]
