@@ -129,3 +129,8 @@ def extract(messages: DataFrame, pages: DataFrame, spec: VenueSpec, keep_empty:
         return X.extract_events(messages.limit(0), pages, script, keep_empty)
     out = X.extract_events(messages, pages, script, keep_empty=keep_empty, currency=spec.currency)
     return spec.post(out) if spec.post is not None else out
+
+
+def extract_all(messages: DataFrame, pages: DataFrame, specs: list[VenueSpec], snapshot_order: str | None = None) -> DataFrame:
+    """``extract`` for the messages of all venues in one scan of the pages, each venue by its own spec (``post`` steps are for ``extract``)."""
+    return X.extract_by_spec(messages, pages, specs, snapshot_order)

@@ -17,8 +17,8 @@ from ..functions import dates as D
 from ..functions import html as H
 from ..functions import jsontext
 from ..functions import urls as U
-from ..functions.strict_json import strict_decode
-from ..specs import ScriptSpec
+from ..functions.strict_json import strict_decode, strict_decode_by
+from ..specs import ScriptSpec, VenueSpec
 
 # The shape of the page JSON the reference reads, and the constants
 # of the MusicEvent it writes.
@@ -57,6 +57,48 @@ def decode_event_data(df: DataFrame, text_col: str = "json_text") -> DataFrame:
     )
 
 
+EVENT_KINDS = {"title": "string", "slug": "string", "price": "int", "firstDate": "time", "lastDate": "time"}
+
+
+def extract_by_spec(messages: DataFrame, pages: DataFrame, specs: list[VenueSpec], snapshot_order: str | None = None, one_each: bool = False) -> DataFrame:
+    """The extract stage for all venues in one scan: each message by its venue's script selector, JSON path, field map and currency.
+
+    Rows are as by ``extract_events``; a message whose venue has no spec, or one without a
+    script, ends as ``unknown_venue``. The specs are compiled to column expressions: a text
+    is selected once by its venue's selector and decoded once by its venue's shape.
+    """
+    known = [s for s in specs if s.script is not None]
+    which, texts, currency = F.lit(None).cast("int"), F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+    for i, s in enumerate(known):
+        which = F.when(F.col("venue") == s.name, F.lit(i)).otherwise(which)
+    for script in dict.fromkeys(s.script for s in known):
+        own = [i for i, s in enumerate(known) if s.script == script]
+        texts = F.when(F.col("_which").isin(own), H.select_text(F.col("html"), script.tag, script.attr, script.value)).otherwise(texts)
+    for i, s in enumerate(known):
+        currency = F.when(F.col("_which") == i, F.lit(s.currency)).otherwise(currency)
+    page = (pages if one_each else newest_snapshot(pages, snapshot_order)).select(F.col("url").alias("_purl"), "html")
+    found = messages.withColumn("_which", which).join(page, F.col("url") == F.col("_purl"), "left").withColumn("_fetched", F.col("_purl").isNotNull())
+    rows = found.select(*messages.columns, "_which", "_fetched", F.posexplode_outer(F.when(F.col("_fetched"), texts)).alias("pos0", "json_text"))
+    shapes = [(s.data.path, dict(s.data.fields)) for s in known] or [((), {})]
+    d = F.col("_d")
+    rows = rows.withColumn("_d", strict_decode_by(F.col("json_text"), F.coalesce("_which", F.lit(0)), shapes, EVENT_KINDS)).select(
+        *messages.columns, "_which", "_fetched", (F.col("pos0") + 1).cast("long").alias("script_pos"), "json_text", d["ok"].alias("json_ok"), d["reason"].alias("json_error"),
+        F.when(d["ok"], F.coalesce(d["title"], F.lit(""))).alias("title"), F.when(d["ok"], F.coalesce(d["slug"], F.lit(""))).alias("slug"),
+        F.when(d["ok"], F.coalesce(d["price"], F.lit(0).cast("long"))).alias("price"), d["firstDate"].alias("first_date"), d["lastDate"].alias("last_date"),
+    )
+    outcome = (
+        F.when(F.col("_which").isNull(), F.lit("unknown_venue"))
+        .when(~U.parsable(F.col("url")), F.lit("bad_url"))
+        .when(~F.col("_fetched"), F.lit("not_fetched"))
+        .when(F.col("json_text").isNull(), F.lit("no_script"))
+        .when(~F.col("json_ok"), F.lit("bad_json"))
+        .when(F.col("slug") == "", F.lit("empty_slug"))
+        .otherwise(F.lit("extracted"))
+    )
+    rows = rows.withColumn("outcome", outcome).withColumn("_currency", currency)
+    return with_document(with_music_event(rows, currency=F.col("_currency"))).drop("_fetched", "_which", "_currency")
+
+
 def music_event(title: Column, first_date: Column, price: Column, url: Column, currency: Column) -> Column:
     """The MusicEvent struct, field order and empty strings as the reference writes them."""
     empty = F.lit("")
@@ -153,3 +195,8 @@ def extract_events(
         .otherwise(F.lit("extracted"))
     )
     return with_document(with_music_event(decoded.withColumn("outcome", outcome), currency=currency)).drop("_fetched")
+
+
+def extract_errors(extracted: DataFrame) -> DataFrame:
+    """Error rows (``stage, url, reason``) of messages that gave no document."""
+    return extracted.where(F.col("outcome") != "extracted").select(F.lit("extract").alias("stage"), "url", F.col("outcome").alias("reason"))

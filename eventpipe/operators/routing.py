@@ -21,14 +21,29 @@ EXTRACT_FIELDS = ("venue", "url")
 ENVELOPE_SCHEMA = "messageId string, receiptHandle string, body string"
 
 
+#: A flat object of lower-case keys and strings without escapes, as the publishers write it.
+PLAIN_RE = r'^\{(?:"[a-z]++":"[^"\\\x00-\x1f]*+"(?:,(?=")|(?=\})))*+\}\z'
+
+
 def decode_messages(df: DataFrame, body_col: str = "body", fields=EXTRACT_FIELDS) -> DataFrame:
-    """Adds ``decode_ok, decode_error`` and one string column per field ('' when absent, as the reference)."""
-    spec = {f: "string" for f in fields}
-    d = df.withColumn("_d", strict_decode(F.col(body_col), spec))
+    """Adds ``decode_ok, decode_error`` and one string column per field ('' when absent, as the reference).
+
+    A body of the plain form in which a field stands at most once is read by native
+    expressions; the others (escapes, white space, other types, other cases, repeats,
+    faults) go through the strict decoder, in a branch of their own.
+    """
+    body, once = F.col(body_col), F.lit(True)
+    for f in fields:
+        once = once & (F.regexp_count(body, F.lit(f'[{{,]"{f}":')) <= 1)
+    plain = F.coalesce(body.rlike(PLAIN_RE) & once, F.lit(False))
+    read = df.where(plain).withColumn("decode_ok", F.lit(True)).withColumn("decode_error", F.lit(None).cast("string"))
+    for f in fields:
+        read = read.withColumn(f, F.regexp_extract(body, f'[{{,]"{f}":"([^"]*+)"', 1))
+    d = df.where(~plain).withColumn("_d", strict_decode(body, {f: "string" for f in fields}))
     d = d.withColumn("decode_ok", F.col("_d.ok")).withColumn("decode_error", F.col("_d.reason"))
     for f in fields:
         d = d.withColumn(f, F.when(F.col("decode_ok"), F.coalesce(F.col(f"_d.{f}"), F.lit(""))))
-    return d.drop("_d")
+    return read.unionByName(d.drop("_d"))
 
 
 def decode_envelopes(lines: DataFrame, line_col: str = "line") -> DataFrame:
@@ -95,6 +110,25 @@ def key_contract(df: DataFrame, body_col: str = "body", expected=EXTRACT_FIELDS,
     return out.where((F.col("missing_keys") != "") | (F.col("extra_keys") != ""))
 
 
+def contract_violations(df: DataFrame, registry: DataFrame, body_col: str = "body", expected=EXTRACT_FIELDS, id_col: str = "message_id") -> DataFrame:
+    """P13 as one table ``(id, violation, detail)``: bodies with missing or extra keys, and messages for a venue that the registry lacks."""
+    drift = key_contract(df, body_col, expected, id_col)
+    named = F.array(*[F.struct(F.lit(k).alias("violation"), F.col(k).alias("detail")) for k in ("missing_keys", "extra_keys")])
+    keys = drift.select(id_col, F.inline(F.filter(named, lambda v: v["detail"] != "")))
+    unknown = unknown_venues(decode_messages(df, body_col, expected), registry)
+    return keys.unionByName(unknown.select(id_col, F.lit("unknown_venue").alias("violation"), F.col("venue").alias("detail")))
+
+
+def message_errors(routed: DataFrame, id_col: str = "message_id") -> DataFrame:
+    """Error rows (``stage, url, reason``) of messages that end without success; ``url`` names the message."""
+    return routed.where(F.col("outcome") != "accepted").select(F.lit("decode").alias("stage"), F.col(id_col).alias("url"), F.col("outcome").alias("reason"))
+
+
+def publish_errors(attempts: DataFrame, run_col: str, venue_col: str, failed_col: str) -> DataFrame:
+    """Error rows of publishes that failed; ``url`` names the run and the venue."""
+    return attempts.where(failed_col).select(F.lit("publish").alias("stage"), F.concat_ws("/", run_col, venue_col).alias("url"), F.lit("publish_failed").alias("reason"))
+
+
 def dead_letters(routed: DataFrame, id_col: str = "message_id", body_col: str = "body") -> DataFrame:
     """Messages that can never succeed, kept with a reason instead of being dropped."""
     return routed.where(F.col("outcome") != "accepted").select(

@@ -223,3 +223,14 @@ def explode_listing(responses: DataFrame, col: str = "response") -> DataFrame:
         "has_more",
         "reason",
     )
+
+
+def listing_errors(responses: DataFrame, id_col: str, col: str = "response") -> DataFrame:
+    """Error rows (``stage, url, reason``) of list responses that cannot be read."""
+    found = responses.select(F.col(id_col).cast("string").alias("url"), F.from_json(F.col(col), LIST_RESPONSE_SCHEMA + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return found.where(F.col("r").isNull() | F.col("r._corrupt").isNotNull()).select(F.lit("listing").alias("stage"), "url", F.lit("malformed").alias("reason"))
+
+
+def put_errors(rejected: DataFrame, key: str = "pathname") -> DataFrame:
+    """Error rows of puts that were not written."""
+    return rejected.select(F.lit("store").alias("stage"), F.col(key).alias("url"), "reason")

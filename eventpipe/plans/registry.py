@@ -7,7 +7,7 @@ import importlib
 
 from ..session import ship_package
 
-GROUPS = ("pages", "extraction", "messages", "store", "listing", "crawl", "streams")
+GROUPS = ("pages", "extraction", "messages", "store", "listing", "crawl", "streams", "errors")
 
 
 def _shipped(fn):

@@ -33,6 +33,14 @@ class ScriptSpec:
     value: str | None = "__NEXT_DATA__"
 
 
+@dataclass(frozen=True)
+class JsonSpec:
+    """Where the event stands in a page's JSON: the path of object keys, and the name there of each event field."""
+
+    path: tuple[str, ...] = ("props", "pageProps", "data")
+    fields: tuple[tuple[str, str], ...] = (("title", "title"), ("slug", "slug"), ("price", "price"), ("firstDate", "firstDate"), ("lastDate", "lastDate"))
+
+
 @dataclass(frozen=True)
 class VenueSpec:
     name: str
@@ -40,7 +48,7 @@ class VenueSpec:
     links: LinkSpec | None = None
     script: ScriptSpec | None = None
     currency: str = "DKK"
-    extra: dict = field(default_factory=dict)
+    data: JsonSpec = JsonSpec()
     # Optional per-venue step on the extracted rows (DataFrame -> DataFrame), e.g. a
     # venue that writes its price in øre; it must return the same columns.
     post: Callable | None = field(default=None, compare=False)

@@ -117,3 +117,28 @@ def test_seed_is_marked_visited_as_given(spark):
     )
     urls = [m.url for m in jobs.scrape(site, find_venue("vega"), "2026-01-01 00:00:00").collect()]
     assert urls == ["https://vega.dk/"]
+
+
+def test_extract_all_reads_each_venue_by_its_spec(spark):
+    from eventpipe import jobs
+    from eventpipe.specs import JsonSpec, ScriptSpec, VenueSpec
+
+    specs = [
+        VenueSpec("next", "https://n", script=ScriptSpec()),
+        VenueSpec("flat", "https://f", script=ScriptSpec(value="d"), currency="EUR", data=JsonSpec((), (("title", "name"), ("slug", "id"), ("firstDate", "at")))),
+        VenueSpec("silent", "https://s"),
+    ]
+    data = '{"title":"T","slug":"t","price":7,"firstDate":"2024-01-01T10:00:00Z"}'
+    nested = '<script id="__NEXT_DATA__">{"props":{"pageProps":{"data":%s}}}</script>' % data
+    flat = '<script id="d">{"name":"N","id":"n","price":9,"at":"2024-01-01T10:00:00+00:00"}</script>'
+    pages = spark.createDataFrame([(1, "https://n/1", nested), (2, "https://f/1", flat), (3, "https://f/2", nested), (4, "https://f/3", '<script id="d">{"id":1}</script>')], "page_id long, url string, html string")
+    rows = [("next", "https://n/1"), ("flat", "https://f/1"), ("flat", "https://f/2"), ("flat", "https://f/3"), ("flat", "https://f/4"), ("silent", "https://n/1"), ("who", "https://n/1"), ("flat", "https://[f")]
+    out = jobs.extract_all(spark.createDataFrame(rows, "venue string, url string"), pages, specs).collect()
+    got = {(r.venue, r.url): (r.outcome, r.pathname if r.outcome == "extracted" else None) for r in out}
+    assert got == {
+        rows[0]: ("extracted", "t.json"), rows[1]: ("extracted", "n.json"), rows[2]: ("no_script", None), rows[3]: ("bad_json", None),
+        rows[4]: ("not_fetched", None), rows[5]: ("unknown_venue", None), rows[6]: ("unknown_venue", None), rows[7]: ("bad_url", None),
+    }
+    body = {r.venue: r.body for r in out if r.outcome == "extracted"}
+    assert '"price":0,"priceCurrency":"EUR"' in body["flat"] and '"price":7,"priceCurrency":"DKK"' in body["next"] and '"startDate":"2024-01-01T10:00:00Z"' in body["flat"]
+

@@ -67,3 +67,44 @@ def test_publish_outcome(spark):
     registry = spark.createDataFrame([("vega",), ("richter",), ("jazz",)], "venue string")
     got = {r.run_id: (r.status, r.failed, r.n_published) for r in R.publish_outcome(attempts, "run_id", "venue", "failed", registry).collect()}
     assert got == {"r1": ("partial failure", "jazz,richter", 3), "r2": ("ok", "", 1)}
+
+
+ODD_BODIES = [
+    '{"venue":"v","url":"u"}', '{"url":"u","venue":"v"}', '{"venue":"v"}', "{}", '{"venue":"","url":""}', '{"venue":"v","url":"u","more":"x"}',
+    '{"venue":"v","venue":"w"}', '{"venue":"v","Venue":"w"}', '{"VENUE":"v"}', '{ "venue":"v"}', '{"venue":"v",}', '{"venue":"v"}x', '{"venue":"v"}\n', '{"venue":"v","url":null}',
+    '{"venue":1}', '{"venue":"a\\u0041"}', '{"venue":"a\tb"}', '{"venue":"\u00e9","url":"\U0001f600"}', "", " ", "null", "[]", '"x"', '{"venue":"v","x":{}}', '{"venue":"v" ,"url":"u"}',
+    None, '{"venue"', '{"venue":"v","url":"{,\\"venue\\":"}', '{"venue":"v","url":",venue:"}', '{"n":' + "9" * 5000 + ',"venue":"v"}', '{"venue":' + "9" * 5000 + "}",
+]
+
+
+def test_plain_bodies_are_read_as_the_strict_decoder_reads_them(spark):
+    from eventpipe.functions.strict_json import decode_fields
+    from eventpipe.operators import routing as R
+
+    df = spark.createDataFrame(list(enumerate(ODD_BODIES)), "i int, body string")
+    for fields in (R.EXTRACT_FIELDS, R.SCRAPE_FIELDS):
+        want = [decode_fields(b, {f: "string" for f in fields}) for b in ODD_BODIES]
+        got = {r.i: r for r in R.decode_messages(df, "body", fields).collect()}
+        assert len(got) == len(ODD_BODIES)
+        for i, w in enumerate(want):
+            assert got[i].decode_ok == w["ok"], ODD_BODIES[i]
+            assert [got[i][f] for f in fields] == [(w[f] or "") if w["ok"] else None for f in fields], ODD_BODIES[i]
+
+
+def test_plain_bodies_stay_in_the_jvm(spark):
+    """The plan is a union: the branch of plain bodies has no Python node."""
+    from eventpipe.operators import routing as R
+
+    plan = R.decode_messages(spark.createDataFrame([('{"venue":"v"}',)], "body string"))._jdf.queryExecution().executedPlan().toString()
+    native, strict = plan.split("Union", 1)[1].split("ArrowEvalPython", 1)
+    assert "regexp_extract(" in native and "ArrowEvalPython" not in native and "regexp_extract(" not in strict
+
+
+def test_contract_names_unknown_venues(spark):
+    from eventpipe.operators import routing as R
+
+    df = spark.createDataFrame([("a", '{"venue":"v","url":"u"}'), ("b", '{"venue":"x","url":"u"}'), ("c", '{"name":"v"}'), ("d", "no")], "message_id string, body string")
+    registry = spark.createDataFrame([("v", "https://v")], "venue string, base_url string")
+    got = sorted(tuple(r) for r in R.contract_violations(df, registry).collect())
+    assert got == [("b", "unknown_venue", "x"), ("c", "extra_keys", "name"), ("c", "missing_keys", "url,venue"), ("c", "unknown_venue", "")]
+
