@@ -47,7 +47,7 @@ STAGES = [
     ("sentencepiece", tokens),
 ]
 
-#: The classifier and the sketches have no SQL form; tests compare the rows with brute force instead.
+#: The classifier and the sketches have no SQL form; tests check each stage's operator against brute force, and the stages' rows for what must go and stay.
 ORACLE_SQL = None
 
 
