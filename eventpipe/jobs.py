@@ -9,15 +9,15 @@ get, list and delete.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .functions import jsontext
 from .functions import urls as U
-from .operators import crawl, extract as X, links, sequencing
+from .operators import crawl, extract as X, links, routing as R, sequencing
 from .operators.joins import bounded_broadcast
 from .session import ensure_checkpoint_dir
-from .specs import LinkSpec, ScriptSpec, VenueSpec
+from .specs import LinkSpec, ScriptSpec, VenueSpec, registry_frame
 
 MESSAGE_SCHEMA = "venue string, url string, seq long, delay_s long, deliver_at timestamp_ntz, body string"
 REGISTRY_SCHEMA = "venue string, host string, seed_url string, spec int"
@@ -134,3 +134,15 @@ def extract(messages: DataFrame, pages: DataFrame, spec: VenueSpec, keep_empty:
 def extract_all(messages: DataFrame, pages: DataFrame, specs: list[VenueSpec], snapshot_order: str | None = None) -> DataFrame:
     """``extract`` for the messages of all venues in one scan of the pages, each venue by its own spec (``post`` steps are for ``extract``)."""
     return X.extract_by_spec(messages, pages, specs, snapshot_order)
+
+
+def route(messages: DataFrame, specs: list[VenueSpec], path: str, body_col: str = "body") -> dict[tuple[str, str], int]:
+    """Decode and route messages into Parquet, partitioned by outcome, and return the run's counts from the same pass.
+
+    Dead letters are the partitions other than ``accepted``.
+    """
+    registry = registry_frame(messages.sparkSession, specs)
+    counts = Observation("routed")
+    routed = R.observed(R.route(R.decode_messages(messages, body_col), registry), [s.name for s in specs], counts)
+    routed.write.mode("append").partitionBy("outcome").parquet(path)
+    return R.observed_counts(counts)

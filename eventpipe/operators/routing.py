@@ -9,7 +9,7 @@ aggregates, which combine map-side before their shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.codec import b64decode_text
@@ -140,6 +140,29 @@ def run_metrics(routed: DataFrame, by=("venue", "outcome")) -> DataFrame:
     return routed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
+OUTCOMES = ("accepted", "malformed", "unknown_venue")
+OTHER_VENUES = ""  # what the registry lacks is counted together
+
+
+def observed(routed: DataFrame, venues: list[str], observation: Observation) -> DataFrame:
+    """A4 in the pass that writes: the frame with its counts per registered venue and outcome as observed metrics.
+
+    The counts are there when an action has run through the frame; nothing is read a second time. They are as many
+    numbers as venues times outcomes, and unknown and malformed messages are one venue, ``OTHER_VENUES``.
+    """
+    known = F.col("venue").isin(venues)
+    counts = []
+    for v in [*venues, OTHER_VENUES]:
+        of = F.coalesce(known, F.lit(False)) & (F.col("venue") == v) if v else ~F.coalesce(known, F.lit(False))
+        counts += [F.count_if(of & (F.col("outcome") == o)).alias(f"{v}/{o}") for o in OUTCOMES]
+    return routed.observe(observation, *counts)
+
+
+def observed_counts(observation: Observation) -> dict[tuple[str, str], int]:
+    """``{(venue, outcome): n}`` of what has passed, without zeros; waits for the action."""
+    return {tuple(k.rsplit("/", 1)): n for k, n in observation.get.items() if n}
+
+
 def publish_outcome(attempts: DataFrame, run_col: str, venue_col: str, failed_col: str, registry: DataFrame) -> DataFrame:
     """Per run: ``ok`` or ``partial failure`` and the sorted failed venues; one failure never stops the rest.
 

@@ -10,11 +10,12 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+LOCAL_RE = r"local(\[[^\]]*\])?"
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "eventpipe") -> SparkSession:
     """Session used by tests and the bench; on a cluster the caller builds its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -26,9 +27,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
-        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="eventpipe-warehouse-"))
-        .getOrCreate()
     )
+    if re.fullmatch(LOCAL_RE, master):  # elsewhere the executors must share the warehouse: the cluster names it
+        builder = builder.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="eventpipe-warehouse-"))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
@@ -48,7 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(current)
         return current
     master = spark.sparkContext.master
-    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+    if not re.fullmatch(LOCAL_RE, master):
         raise RuntimeError(f"{CHECKPOINT_KEY} is not set; on {master} it must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="eventpipe-ckpt-")
     spark.conf.set(CHECKPOINT_KEY, path)

@@ -142,3 +142,19 @@ def test_extract_all_reads_each_venue_by_its_spec(spark):
     body = {r.venue: r.body for r in out if r.outcome == "extracted"}
     assert '"price":0,"priceCurrency":"EUR"' in body["flat"] and '"price":7,"priceCurrency":"DKK"' in body["next"] and '"startDate":"2024-01-01T10:00:00Z"' in body["flat"]
 
+
+def test_route_counts_in_the_pass_that_writes(spark, tmp_path):
+    from eventpipe import jobs
+    from eventpipe.operators import routing as R
+    from eventpipe.specs import VenueSpec
+
+    bodies = ['{"venue":"v","url":"a"}'] * 3 + ['{"venue":"w","url":"b"}', '{"venue":"x","url":"c"}', "no", None, '{"venue": "v"}', '{"venue":null}']
+    messages = spark.createDataFrame(list(enumerate(bodies)), "message_id int, body string").repartition(3)
+    specs = [VenueSpec("v", "https://v"), VenueSpec("w", "https://w"), VenueSpec("none/such", "https://n")]
+    counts = jobs.route(messages, specs, str(tmp_path / "routed"))
+    assert counts == {("v", "accepted"): 4, ("w", "accepted"): 1, ("", "unknown_venue"): 2, ("", "malformed"): 2}
+    stored = {(r.venue if r.venue in ("v", "w") else "", r.outcome): 0 for r in spark.read.parquet(str(tmp_path / "routed")).select("venue", "outcome").collect()}
+    for r in R.run_metrics(spark.read.parquet(str(tmp_path / "routed"))).collect():
+        stored[r.venue if r.venue in ("v", "w") else "", r.outcome] += r.n
+    assert stored == counts
+
