@@ -41,7 +41,7 @@ from . import suffix_dedup
 from .common import texts_of
 from .exchange import DOCUMENTS, answer, ask, assemble, block_name, block_rows, buckets_of, by_bucket, concat, dealt, expect, pack, unpack
 from .suffix_dedup import buffers_of, known_repeats, least_by, spans
-from .text import buffers, documents_of, give_back, hash_words, per_document, rolling, word_bounds, word_codes
+from .text import buffers, documents_of, give_back, hash_spans, per_document, rolling, word_bounds, word_codes
 
 WINDOW, SEED = 13, 5
 BLOCK_BYTES = 4 << 20
@@ -59,7 +59,7 @@ class Passages(NamedTuple):
 
 
 class Words(NamedTuple):
-    """A block's words, joined by single spaces in one buffer."""
+    """A block's words: where they stand in a buffer of bytes."""
 
     data: np.ndarray
     starts: np.ndarray
@@ -68,19 +68,25 @@ class Words(NamedTuple):
 
 
 def words_of(batch: pa.RecordBatch) -> Words:
+    """The words as they stand in the texts; only who meets is found from these, by their hashes."""
     data, offsets = buffers(batch.column(1))
-    starts, ends, words = word_bounds(data, offsets)
-    sizes = ends - starts
+    return Words(data, *word_bounds(data, offsets))
+
+
+def joined(w: Words) -> Words:
+    """The words joined by single spaces, so that equal runs of words are equal bytes."""
+    data, starts, words = w.data, w.starts, w.offsets
+    sizes = w.ends - starts
     begin = np.cumsum(sizes + 1) - sizes - 1
-    joined = np.full(int(sizes.sum()) + len(sizes), 32, dtype=np.uint8)
+    out = np.full(int(sizes.sum()) + len(sizes), 32, dtype=np.uint8)
     step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    joined[np.repeat(begin, sizes) + step] = data.take(np.repeat(starts, sizes) + step)
-    return Words(joined, begin, begin + sizes, words)
+    out[np.repeat(begin, sizes) + step] = data.take(np.repeat(starts, sizes) + step)
+    return Words(out, begin, begin + sizes, words)
 
 
 def passages(w: Words, named: np.ndarray, window: int, seed: int) -> Passages:
     """The passages of a block's named documents, in text order."""
-    h = hash_words(w.data, w.starts, w.ends)
+    h = hash_spans(w.data, w.starts, w.ends)
     n = max(0, len(h) - window + 1)
     doc = documents_of(w.offsets)
     at = np.flatnonzero((np.arange(n) + window <= w.offsets[1:][doc[:n]]) & named[doc[:n]])
@@ -119,7 +125,7 @@ def sent(batch: pa.RecordBatch, w: Words, found: Passages, code_of: np.ndarray,
     place = np.concatenate([found.anchor[whole], np.repeat(found.anchor[hot], count)]) - start
     route = found.hash[whole]
     if len(single):
-        route = np.concatenate([route, rolling(hash_words(w.data, w.starts, w.ends), window, 7)[single]])
+        route = np.concatenate([route, rolling(hash_spans(w.data, w.starts, w.ends), window, 7)[single]])
     low, high = w.starts[start], w.ends[start + windows + window - 2] if len(start) else w.ends[:0]
     coded = spans(w.data, low, high - low).dictionary_encode()
     # equal words can have their anchor at two places, if passages end at documents' ends
@@ -230,7 +236,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         expect(answers, len(hashes))
         code = np.zeros(len(hashes), dtype=np.uint8)
         code[by_bucket(hashes, buckets)[0]] = concat(answers, "code", pa.uint8()).to_numpy()
-        return batch, sent(batch, w, found, code[inverse], buckets, window)
+        return batch, sent(batch, joined(w), found, code[inverse], buckets, window)
 
     def ask_passages(own: pa.Table, answers: list[pa.Table]) -> pa.Table:
         batch, s = asked_by(own, answers)
