@@ -100,13 +100,24 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (xxh3, once for each distinct word); ``fold`` reads A-Z as a-z."""
-    if fold:
-        capital = (data >= 65) & (data <= 90)
-        data = np.where(capital, data + np.uint8(32), data)
-    codes, words = word_codes(data, starts, ends)
-    hashes = np.array([xxhash.xxh3_64_intdigest(w, 20240131) for w in words.to_pylist()], dtype=np.uint64)
-    return hashes[codes] if len(codes) else np.zeros(0, np.uint64)
+    """A 64-bit hash of each word's bytes (xxh3, once for each distinct word of a piece); ``fold`` reads A-Z as a-z.
+
+    Works through the buffer in pieces of whole words, so memory stays a small
+    multiple of ``PIECE`` (or of the longest word).
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, lo + PIECE, side="right")))
+        part = data[lo : ends[j - 1]]
+        if fold:
+            part = np.where((part >= 65) & (part <= 90), part + np.uint8(32), part)
+        codes, words = word_codes(part, starts[i:j] - lo, ends[i:j] - lo)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, 20240131) for w in words.to_pylist()), np.uint64, len(words))
+        out[i:j] = hashes[codes]
+        i = j
+    return out
 
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
