@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir
 
@@ -141,6 +142,57 @@ def write_sorted(objects: DataFrame, path: str, key: str = "pathname") -> DataFr
     return objects.sparkSession.read.schema(objects.schema).parquet(path)
 
 
+class KeyRanges:
+    """Objects in files of one sorted key range each, with an index of the files' bounds beside them.
+
+    A page opens the files that can hold its keys and no other, wherever in the store it
+    begins: the index (one row a file, in ``_ranges`` below the objects, which scans skip)
+    gives the files after the cursor in key order until they hold a page and one row more.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "pathname"):
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+
+    @classmethod
+    def write(cls, objects: DataFrame, path: str, key: str = "pathname") -> KeyRanges:
+        out = cls(objects.sparkSession, path, objects.schema, key)
+        written = write_sorted(objects, out.path, key)
+        bounds = written.where(F.col(key).isNotNull()).groupBy(F.col("_metadata.file_name").alias("file")).agg(
+            F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")
+        )
+        bounds.write.parquet(f"{out.path}/_ranges")
+        return out
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def files(self, prefix: str = "", limit: int = 0, cursor: str = "", default_limit: int = DEFAULT_LIST_LIMIT) -> list[str]:
+        """The files of one page, in key order.
+
+        At most as many index rows as a page has keys come to the driver, and two more: every file holds
+        a key, and only the first and the last may lie partly outside the page.
+        """
+        n = limit if limit > 0 else default_limit
+        bounds = self.spark.read.schema("file string, lo string, hi string, n long").parquet(f"{self.path}/_ranges")
+        if cursor:
+            bounds = bounds.where(F.col("hi") > F.lit(cursor))
+        if prefix:
+            bounds = bounds.where((F.col("hi") >= F.lit(prefix)) & ((F.col("lo") <= F.lit(prefix)) | F.col("lo").startswith(prefix)))
+        out, held = [], 0
+        for k, r in enumerate(bounds.orderBy("lo", "hi").limit(n + 2).collect()):
+            out.append(f"{self.path}/{r['file']}")
+            held += r["n"] if k or not (cursor or prefix) else 0  # of the first file it is not known how much lies after the cursor
+            if held > n:
+                break
+        return out
+
+    def page(self, prefix: str = "", limit: int = 0, cursor: str = "", default_limit: int = DEFAULT_LIST_LIMIT) -> DataFrame:
+        """``list_objects`` over the page's own files."""
+        files = self.files(prefix, limit, cursor, default_limit)
+        found = self.spark.read.schema(self.schema).parquet(*files) if files else self.spark.createDataFrame([], self.schema)
+        return list_objects(found, prefix, limit, cursor, default_limit, self.key)
+
+
 def put_overwrite(stored: DataFrame, incoming: DataFrame, order: str, key: str = "pathname") -> DataFrame:
     """The table after an overwrite put: the newest incoming row per key, else the stored row."""
     latest = last_wins(incoming, order, key)

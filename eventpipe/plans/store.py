@@ -27,16 +27,20 @@ def _stored(spark, sf):
     return derived.supplier_documents(table(spark, sf, "supplier"))
 
 
-def _objects(spark, sf):
-    """All documents of ``part`` (the first of each key), as a stored table sorted by pathname."""
+def _ranges(spark, sf):
+    """All documents of ``part`` (the first of each key), as a stored table of key ranges."""
     place = (spark.sparkContext.applicationId, sf)
     if place not in _WRITTEN:
         first = ST.first_wins(_incoming(spark, sf), order="p_partkey")
         rows = ST.object_rows(first, BASE, access="private", content_type="application/json")
-        _WRITTEN[place] = ST.write_sorted(rows, state_path(spark, "objects"))
+        _WRITTEN[place] = ST.KeyRanges.write(rows, state_path(spark, "objects"))
     return _WRITTEN[place]
 
 
+def _objects(spark, sf):
+    return _ranges(spark, sf).read()
+
+
 def put_if_absent(spark, sf):
     accepted = ST.accept_new(_stored(spark, sf), _incoming(spark, sf), order="p_partkey")
     return ST.object_rows(accepted, BASE).select("pathname", "p_partkey", "etag")
@@ -85,11 +89,17 @@ def list_by_prefix(spark, sf):
 
 
 def list_page(spark, sf):
-    return ST.list_objects(_objects(spark, sf), limit=params.LIST_LIMIT).select("pathname", "has_more", "next_cursor")
+    return _ranges(spark, sf).page(limit=params.LIST_LIMIT).select("pathname", "has_more", "next_cursor")
 
 
 def list_next_page(spark, sf):
-    page = ST.list_objects(_objects(spark, sf), limit=params.LIST_LIMIT, cursor=params.LIST_CURSOR)
+    page = _ranges(spark, sf).page(limit=params.LIST_LIMIT, cursor=params.LIST_CURSOR)
+    return page.select("pathname", "has_more", "next_cursor")
+
+
+def list_prefix_page(spark, sf):
+    """A page within a prefix, from its middle."""
+    page = _ranges(spark, sf).page(params.LIST_PREFIX, params.LIST_LIMIT, params.LIST_PREFIX + "3")
     return page.select("pathname", "has_more", "next_cursor")
 
 
@@ -134,6 +144,7 @@ QUERIES = {
     "list_by_prefix": list_by_prefix,
     "list_page": list_page,
     "list_next_page": list_next_page,
+    "list_prefix_page": list_prefix_page,
     "delete_objects": delete_objects,
     "listing_explode": listing_explode,
 }
@@ -170,8 +181,8 @@ def _with(body: str) -> str:
     return f"WITH {STORE_CTE}\n{body}"
 
 
-def _page(cursor: str) -> str:
-    where = f"WHERE pathname > '{cursor}'" if cursor else ""
+def _page(cursor: str, prefix: str = "") -> str:
+    where = f"WHERE pathname > '{cursor}' AND starts_with(pathname, '{prefix}')"
     n = params.LIST_LIMIT
     return _with(
         f"SELECT pathname, has_more, CASE WHEN has_more THEN max(pathname) OVER () ELSE '' END AS next_cursor FROM ("
@@ -209,6 +220,7 @@ ORACLES = {
     "list_by_prefix": _with(f"SELECT pathname, size, etag FROM objects WHERE starts_with(pathname, '{params.LIST_PREFIX}')"),
     "list_page": _page(""),
     "list_next_page": _page(params.LIST_CURSOR),
+    "list_prefix_page": _page(params.LIST_PREFIX + "3", params.LIST_PREFIX),
     "delete_objects": _with(
         "SELECT pathname, etag FROM objects WHERE pathname NOT IN (SELECT pathname FROM stored) "
         "AND pathname NOT IN (SELECT 'event-' || CAST(c_custkey * 3 AS VARCHAR) || '.json' FROM customer)"

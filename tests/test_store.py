@@ -219,3 +219,41 @@ def test_checkpoint_folder_is_asked_for_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         session.ensure_checkpoint_dir(Session())
+
+
+def _ranges(spark, path, n=1000, files=20):
+    rows = spark.range(n).select(F.format_string("k%04d", "id").alias("pathname"), F.col("id").alias("size"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(files))
+    try:
+        return ST.KeyRanges.write(rows, path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_a_page_opens_the_files_it_needs(spark, tmp_path):
+    store = _ranges(spark, str(tmp_path / "objects"))
+    assert len(store.read().inputFiles()) > 10 and store.read().count() == 1000
+    page = store.page(limit=5, cursor="k0500")
+    assert [r.pathname for r in page.orderBy("pathname").collect()] == [f"k{i:04d}" for i in range(501, 506)]
+    assert len(store.files(limit=5, cursor="k0500")) <= 2
+    assert len(store.files(limit=5)) == 1
+    assert store.files(cursor="k0999") == [] and store.page(cursor="k0999").collect() == []
+    assert store.files("x") == [] and store.files("a") == []
+
+
+@pytest.mark.parametrize("limit", [1, 7, 60, 400, 2000])
+@pytest.mark.parametrize(("prefix", "cursor"), [("", ""), ("k03", ""), ("k03", "k0377"), ("k", "k0098"), ("", "k0998"), ("k03", "k1"), ("k0999", ""), ("k03", "a")])
+def test_pages_of_key_ranges_equal_pages_of_the_whole(spark, tmp_path_factory, limit, prefix, cursor):
+    if not hasattr(spark, "_key_ranges"):
+        spark._key_ranges = _ranges(spark, str(tmp_path_factory.mktemp("ranges") / "objects"))
+    store = spark._key_ranges
+    whole = ST.list_objects(store.read(), prefix, limit, cursor)
+    assert sorted(store.page(prefix, limit, cursor).collect()) == sorted(whole.collect())
+
+
+def test_key_ranges_of_nothing(spark, tmp_path):
+    store = ST.KeyRanges.write(spark.createDataFrame([], "pathname string, size long"), str(tmp_path / "none"))
+    assert store.files() == [] and store.page().collect() == [] and store.read().collect() == []
