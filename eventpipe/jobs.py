@@ -98,6 +98,29 @@ def scrape_all(
     return out.select("venue", "url", "seq", "delay_s", "deliver_at", jsontext.encode(F.struct("venue", "url")).alias("body")), errors
 
 
+def scrape_to_log(
+    pages: DataFrame,
+    registry: DataFrame,
+    link_specs: list[LinkSpec],
+    run_ts: str,
+    visited: crawl.VisitedTable,
+    topic: str,
+    log_path: str,
+    publish_scope: str = "all",
+    max_depth: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``scrape_all`` past the visited table, published to the log; then the run's URLs are added to the table.
+
+    A run lost in between publishes its messages again, and none is lost: whoever takes them stores each event once.
+    """
+    seen = visited.read().select("url") if visited.buckets() is not None else None
+    messages, errors = scrape_all(pages, registry, link_specs, run_ts, seen, publish_scope, max_depth)
+    messages = messages.checkpoint()
+    publish(messages, topic, log_path)
+    visited.add(messages)
+    return messages, errors
+
+
 def scrape(
     pages: DataFrame,
     spec: VenueSpec,

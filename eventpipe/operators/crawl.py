@@ -6,7 +6,7 @@ aggregation, never on the host alone, so one large host does not skew it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -36,6 +36,54 @@ def drop_visited(found: DataFrame, visited: DataFrame, on: list[str]) -> DataFra
     return found.join(visited.select(*on).distinct(), on, "left_anti")
 
 
+class VisitedTable:
+    """URLs of earlier runs (J4) as a table bucketed and sorted by ``url``, which grows by one delta a run.
+
+    ``unseen`` joins a run's URLs to it on the buckets, so that only the run is shuffled and
+    the visited URLs, by far the larger side, are read where they lie. A bucket holds about
+    64 MB of the first run's URLs unless their number is given; ``rebucket`` writes a grown table anew.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
+        self.spark, self.name, self.wanted = spark, name, buckets
+
+    def buckets(self) -> int | None:
+        """The table's number of buckets; None before the first run."""
+        if not self.spark.catalog.tableExists(self.name):
+            return None
+        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").where("col_name = 'Num Buckets'").collect()
+        return int(rows[0]["data_type"])
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def unseen(self, found: DataFrame, url_col: str = "url") -> DataFrame:
+        """The rows of ``found`` whose URL no earlier run has; a null URL was never visited."""
+        if self.buckets() is None:
+            return found
+        # merge: the planner may else broadcast either side; repeated URLs of the table do not multiply an anti join
+        return found.join(self.read().select(F.col("url").alias("_visited")).hint("merge"), F.col(url_col) == F.col("_visited"), "left_anti")
+
+    def add(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
+        """Append the run's URLs that the table lacks, each once, and return them; a repeated run appends nothing."""
+        ensure_checkpoint_dir(self.spark)
+        new = self.unseen(urls.select(F.col(url_col).alias("url")).where(F.col("url").isNotNull()).distinct()).checkpoint()
+        n = self.buckets()
+        if n is None:
+            size = new.agg(F.sum(F.octet_length("url").cast("long"))).first()[0] or 0
+            n = self.wanted or max(1, -(-size // (64 << 20)))
+        elif new.isEmpty():
+            return new
+        new.repartition(n, "url").write.mode("append").bucketBy(n, "url").sortBy("url").format("parquet").saveAsTable(self.name)
+        return new
+
+    def rebucket(self, name: str, buckets: int) -> VisitedTable:
+        """The same URLs as a new table with another number of buckets."""
+        other = VisitedTable(self.spark, name, buckets)
+        other.add(self.read())
+        return other
+
+
 def follow(
     edges: DataFrame,
     seeds: DataFrame,

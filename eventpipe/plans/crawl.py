@@ -1,11 +1,16 @@
-"""Follow (J3) to the last new node over a link graph from ``lineitem``: supplier -> part and back."""
+"""Follow (J3) to the last new node over a link graph from ``lineitem``: supplier -> part and back; URLs of earlier runs."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import crawl
+from ..functions import urls as U
+from ..operators import crawl, links
 from ..sources.tables import table
+from . import pages as P
+from . import sql as S
 
 
 def _edges(spark, sf):
@@ -20,7 +25,19 @@ def crawl_reach(spark, sf):
     return crawl.follow(_edges(spark, sf), seeds, max_depth=None)
 
 
-QUERIES = {"crawl_reach": crawl_reach}
+def visited_runs(spark, sf):
+    """Three runs over one visited table: the URLs of the pages themselves, the links found on them, and the same links again, which add none."""
+    pages = P.read_pages(spark, sf)
+    found = links.followable(links.resolve_links(links.extract_links(pages))).select(F.col("abs_url").alias("url")).checkpoint()
+    visited = crawl.VisitedTable(spark, f"visited_{uuid.uuid4().hex}")
+    runs = [pages.select(U.without_fragment(F.col("url")).alias("url")), found, found]
+    new = [visited.add(urls).select(F.lit(k).alias("run"), "url") for k, urls in enumerate(runs, 1)]
+    counted = visited.read().groupBy("url").agg(F.count("*").alias("n_stored")).checkpoint()
+    spark.sql(f"DROP TABLE {visited.name}")  # of this query alone
+    return new[0].unionByName(new[1]).unionByName(new[2]).join(counted, "url", "full")
+
+
+QUERIES = {"crawl_reach": crawl_reach, "visited_runs": visited_runs}
 
 ORACLES = {
     "crawl_reach": """WITH RECURSIVE edges AS (
@@ -32,5 +49,9 @@ walk(node, depth) USING KEY (node) AS (
   UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON w.node = e.src
     LEFT JOIN recurring.walk r ON r.node = e.dst WHERE r.node IS NULL
 )
-SELECT node, depth FROM walk"""
+SELECT node, depth FROM walk""",
+    "visited_runs": P._with(
+        f"SELECT url, CAST(min(run) AS INTEGER) AS run, CAST(1 AS BIGINT) AS n_stored FROM (SELECT {S.without_fragment('url')} AS url, 1 AS run FROM pages "
+        "UNION ALL SELECT abs_url, 2 FROM ok) WHERE url IS NOT NULL GROUP BY url"
+    ),
 }

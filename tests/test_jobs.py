@@ -1,11 +1,13 @@
 """Venue specs as the extension surface: scrape and extract runs."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from eventpipe import jobs
+from eventpipe.operators import crawl
 from eventpipe.specs import DEFAULT_VENUES, find_venue
 
 SITE = {
@@ -64,6 +66,17 @@ def test_visited_pages_are_neither_published_nor_followed(spark, pages):
     assert sorted(m.url for m in got) == ["https://tickets.example.com/t", "https://vega.dk/event/b"]
 
 
+def test_a_second_run_publishes_only_new_urls(spark, pages, tmp_path):
+    vega = find_venue("vega")
+    registry = spark.createDataFrame([(vega.name, vega.host, vega.seed_url, 0)], jobs.REGISTRY_SCHEMA)
+    seen = crawl.VisitedTable(spark, f"visited_{uuid.uuid4().hex}")
+    run = lambda snapshots: jobs.scrape_to_log(snapshots, registry, [vega.links], "2026-01-01 00:00:00", seen, "event-extract", str(tmp_path))[0]
+    first = sorted(r.url for r in run(pages).collect())
+    assert first and run(pages).collect() == []
+    log = spark.read.parquet(str(tmp_path))
+    assert sorted(r.url for r in log.collect()) == first == sorted(r.url for r in seen.read().collect())
+
+
 def test_stub_venue_yields_nothing(spark, pages):
     assert jobs.scrape(pages, find_venue("richter"), "2026-01-01 00:00:00").count() == 0
 

@@ -1,5 +1,7 @@
 """Sequence numbers without a one-task window, the schedule, dedup and the follow loop."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from eventpipe.operators import crawl, sequencing
@@ -62,3 +64,31 @@ def test_small_inputs_have_no_window_of_one_task_either(spark):
     a = sorted(tuple(r) for r in numbered.collect())
     b = sorted(tuple(r) for r in sequencing.row_number_within(df, ["k"], ["o"]).collect())
     assert a == b
+
+
+def _urls(spark, names):
+    return spark.createDataFrame([(n,) for n in names], "url string")
+
+
+def test_visited_table_grows_by_what_is_new(spark):
+    seen = crawl.VisitedTable(spark, f"visited_{uuid.uuid4().hex}", buckets=4)
+    assert seen.buckets() is None and seen.unseen(_urls(spark, ["a"])).count() == 1
+    assert sorted(r.url for r in seen.add(_urls(spark, ["a", "b", "a", None])).collect()) == ["a", "b"]
+    assert seen.buckets() == 4
+    again = crawl.VisitedTable(spark, seen.name)  # a later session's run
+    assert sorted(r.url for r in again.add(_urls(spark, ["b", "c", "c"])).collect()) == ["c"]
+    files = set(again.read().inputFiles())
+    assert again.add(_urls(spark, ["a", "b", "c"])).collect() == [] and set(again.read().inputFiles()) == files
+    assert sorted(r.url for r in again.read().collect()) == ["a", "b", "c"]
+    other = again.rebucket(f"{seen.name}_more", 7)
+    assert other.buckets() == 7 and sorted(r.url for r in other.read().collect()) == ["a", "b", "c"]
+
+
+def test_visited_urls_are_not_shuffled(spark):
+    seen = crawl.VisitedTable(spark, f"visited_{uuid.uuid4().hex}", buckets=8)
+    seen.add(spark.range(1000).select(F.col("id").cast("string").alias("url")))
+    seen.add(spark.range(500, 2000).select(F.col("id").cast("string").alias("url")))
+    left = seen.unseen(spark.range(1990, 2010).select(F.col("id").cast("string").alias("url"), F.lit("x").alias("venue")))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "Broadcast" not in plan
+    assert left.count() == 10
