@@ -7,6 +7,8 @@ how often the corpus has them, and only the rarest is joined. Its offset in the
 window fixes where the window would start; starts before the first word or
 windows past the last word are dropped (positional and length bounds). What is
 left is compared word by word with the document's slice of the window's size.
+Candidates carry a window alone; the items that hold it are joined to the windows that
+do occur, after the comparison.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower
 case. The join key is the word in full Unicode lower case, with the one letter
@@ -30,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small
+from .common import broadcast_if_small, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: All that is no word character once A-Z are lower case, so A-Z stay in.
@@ -53,12 +55,12 @@ def joined(text: Column) -> Column:
 
 
 def windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """Distinct windows ``words`` with the ids of the items that hold them."""
+    """(item, words): the distinct windows of each item."""
     w = items.select(F.col(id_col).cast("string").alias("item"), F.transform(words(F.col(text_col)), fold).alias("all"))
     w = w.where(F.size("all") > 0)
     last = F.greatest(F.size("all") - window, F.lit(0))
     starts = F.transform(F.sequence(F.lit(1), last + 1), lambda s: F.slice("all", s, window))
-    return w.select("item", F.explode(F.array_distinct(starts)).alias("words")).groupBy("words").agg(F.collect_set("item").alias("items"))
+    return w.select("item", F.explode(F.array_distinct(starts)).alias("words"))
 
 
 def rarest(found: DataFrame, texts: DataFrame) -> DataFrame:
@@ -66,7 +68,8 @@ def rarest(found: DataFrame, texts: DataFrame) -> DataFrame:
     vocabulary = broadcast_if_small(found.select(F.explode("words").alias("word")).select(joined(F.col("word")).alias("word")).distinct())
     # explode_outer: for explode, the planner would split every text a second time to drop empty arrays
     seen = texts.select(F.explode_outer(words(joined(F.col("text")))).alias("word")).join(vocabulary, "word", "left_semi")
-    seen = seen.groupBy("word").agg(F.count("*").alias("n"))
+    # counted and stored first: a word of many windows then does not share its task with the count
+    seen = broadcast_if_small(stored(seen.groupBy("word").agg(F.count("*").alias("n")), "word-counts"))
     each = found.select("words", F.posexplode("words").alias("offset", "w")).select("words", "offset", joined(F.col("w")).alias("word"))
     # A word that the corpus lacks is the rarest: its windows then join nothing.
     ranked = each.join(seen, "word", "left").groupBy("words").agg(
@@ -76,13 +79,12 @@ def rarest(found: DataFrame, texts: DataFrame) -> DataFrame:
     return ranked.where(F.col("r.n") > 0).select(F.col("r.word").alias("token"), F.col("r.offset").alias("offset"), "words")
 
 
-def judge(docs: DataFrame, items: DataFrame, text_col: str, item_id_col: str, item_text_col: str, window: int, hits_per_word: int) -> DataFrame:
-    """``row`` (all columns of a document, as a struct, so that no name can clash) and the verdict's columns."""
+def judge(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """``row`` (all columns of a document, as a struct, so that no name can clash), ``n_words``, ``n_hit`` and ``hits``, the distinct ``words`` of ``found`` that occur."""
     key = F.xxhash64(F.col(text_col))  # equal texts have equal windows; a clash only adds candidates, which are compared
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = windows(items, item_id_col, item_text_col, window)
-    prefixes = broadcast_if_small(rarest(found, texts).join(found, "words"))
+    prefixes = broadcast_if_small(rarest(found.select("words").distinct(), texts))
     split = texts.select("key", words(joined(F.col("text"))).alias("w")).select("key", "w", F.size("w").alias("n"))
     tokens = split.select("key", "n", F.posexplode_outer("w").alias("pos", "token"))
     start = F.col("pos") - F.col("offset")
@@ -90,30 +92,26 @@ def judge(docs: DataFrame, items: DataFrame, text_col: str, item_id_col: str, it
         tokens.join(prefixes, "token")
         .where((start >= 0) & (start + F.size("words") <= F.col("n")))
         .groupBy("key")
-        .agg(F.collect_set(F.struct(start.alias("start"), "words", "items")).alias("found"))
+        .agg(F.collect_set(F.struct(start.alias("start"), "words")).alias("found"))
     )
 
     def verdict(w: Column, hits: Column) -> Column:
         hit = F.array_distinct(F.flatten(F.transform(hits, lambda c: F.sequence(c["start"], c["start"] + F.size(c["words"]) - 1))))
-        items_hit = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda c: c["items"]))))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.coalesce(F.size(hit), F.lit(0)).cast("long").alias("n_hit"),
-            F.coalesce(items_hit, F.array().cast("array<string>")).alias("items"),
+            F.array_distinct(F.transform(hits, lambda c: c["words"])).alias("hits"),
         )
 
     def same(w: Column) -> Column:
         return F.when(F.col("found").isNotNull(), F.filter("found", lambda c: F.transform(F.slice(w, c["start"] + 1, F.size(c["words"])), fold) == c["words"]))
 
     judged = bind(words(F.col("text")), lambda w: bind(same(w), lambda hits: verdict(w, hits)))
-    return rows.join(candidates, "key", "left").select("row", judged.alias("v")).select(
-        "row",
-        "v.n_words",
-        "v.n_hit",
-        F.size("v.items").cast("long").alias("n_items"),
-        "v.items",
-        ((F.col("v.n_hit") > 0) & (F.col("v.n_hit") * hits_per_word >= F.col("v.n_words"))).alias("contaminated"),
-    )
+    return rows.join(candidates, "key", "left").select("row", judged.alias("v")).select("row", "v.*")
+
+
+def contaminated(hits_per_word: int) -> Column:
+    return (F.col("n_hit") > 0) & (F.col("n_hit") * hits_per_word >= F.col("n_words"))
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -135,10 +133,20 @@ def decontaminate(
     A document is contaminated if it is hit and ``hits_per_word * n_hit >= n_words``.
     """
     kept = [c for c in docs.columns if c.lower() not in ADDED]
-    judged = judge(docs, items, text_col, item_id_col, item_text_col, window, hits_per_word)
-    return judged.select(*[F.col(f"row.`{c}`") for c in kept], *ADDED)
+    found = windows(items, item_id_col, item_text_col, window)
+    judged = stored(judge(docs, found, text_col).withColumn("hit_set", F.xxhash64("hits")), "judged")
+    # The items of windows that do occur, once for each set of windows and not for each document that holds it.
+    sets = judged.where("n_hit > 0").select("hit_set", "hits").distinct()
+    named = sets.select("hit_set", "hits", F.explode("hits").alias("words")).join(found.distinct(), "words")
+    named = named.groupBy("hit_set", "hits").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rest = judged.where("n_hit = 0").select("row", "n_words", "n_hit", F.array().cast("array<string>").alias("items"))
+    hit = judged.where("n_hit > 0").join(named, ["hit_set", "hits"], "left")
+    hit = hit.select("row", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = rest.unionByName(hit).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", contaminated(hits_per_word))
+    return out.select(*[F.col(f"row.`{c}`") for c in kept], *ADDED)
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, hits_per_word: int = 20) -> DataFrame:
     """The documents that are not contaminated, with exactly their own columns."""
-    return judge(docs, items, text_col, item_id_col, item_text_col, window, hits_per_word).where(~F.col("contaminated")).select("row.*")
+    judged = judge(docs, windows(items, item_id_col, item_text_col, window), text_col)
+    return judged.where(~contaminated(hits_per_word)).select("row.*")
