@@ -321,8 +321,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts_of(docs, id_col, text_col)
     every = stored(sketches(texts, width), "sketches")
     sets = every.where("doc_id is not null and n_shingles > 0")
-    one = sets.groupBy("n_shingles", "fp_sum", "fp_xor").agg(F.min("doc_id").alias("doc"))
-    members_of = sets.select("doc_id", "n_shingles", "fp_sum", "fp_xor").join(one, ["n_shingles", "fp_sum", "fp_xor"]).select("doc_id", "doc")
+    # stored apart from the sets, so that the join's exchange is its own and a class of many copies can be split
+    one = stored(sets.groupBy("n_shingles", "fp_sum", "fp_xor").agg(F.min("doc_id").alias("doc")), "sets")
+    members_of = sets.select("doc_id", "n_shingles", "fp_sum", "fp_xor").join(one, ["n_shingles", "fp_sum", "fp_xor"])
+    members_of = stored(members_of.select("doc_id", "doc"), "copies")
     first = members_of.where("doc_id = doc").select("doc").distinct()
     classes = stored(
         sets.join(first, sets["doc_id"] == first["doc"], "left_semi").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch").distinct(),
