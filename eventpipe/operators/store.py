@@ -29,13 +29,21 @@ SUFFIX_LENGTH = 16
 CONTENT_TYPES = {".json": "application/json", ".html": "text/html", ".txt": "text/plain", ".xml": "application/xml", ".csv": "text/csv"}
 
 
+def _located(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = _located(spark, path)
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _located(spark, path)
+    return fs.getFileStatus(p).isDirectory()
+
+
 def key_bucket(key_col: str, buckets: int):
     """Bucket of a key: ``pmod(xxhash64(key), buckets)`` (stable across runs and engines' retries)."""
     return F.pmod(F.xxhash64(F.col(key_col)), F.lit(buckets)).cast("int")

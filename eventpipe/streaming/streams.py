@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import crawl, sequencing
 from ..operators import store as ST
-from ..operators.store import key_bucket, path_exists, store_buckets  # noqa: F401 - the streams' users choose buckets too
+from ..operators.store import is_folder, key_bucket, path_exists, store_buckets  # noqa: F401 - the streams' users choose buckets too
 from ..session import ensure_checkpoint_dir
 
 
@@ -29,7 +29,11 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = Non
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
+    """A streaming scan of a table, which is one Parquet file or a folder of them. A stream cannot start at a file's own path, so a file is picked by name from the folder it lies in."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    if is_folder(spark, path):
+        return file_stream(spark, path, schema, max_files=max_files)
     return file_stream(spark, sf_dir, schema, glob=f"{name}.parquet", max_files=max_files)
 
 

@@ -229,3 +229,29 @@ def test_bounded_dedup_drops_a_late_duplicate(spark):
 
 def test_store_buckets_follow_the_bytes():
     assert [ST.store_buckets(n, 100) for n in (0, 1, 100, 101, 200, 201, 10_000)] == [1, 1, 1, 2, 2, 4, 128]
+
+
+def test_table_stream_reads_a_file_and_a_folder_of_files(spark):
+    """A table of several files lies in a folder of the table's name, beside tables that are one file."""
+    import glob
+    import shutil
+
+    root = tempfile.mkdtemp(prefix="table-stream-")
+    rows = spark.createDataFrame([(i, f"u{i}") for i in range(6)], "page_id long, url string")
+    rows.repartition(3).write.parquet(os.path.join(root, "many.parquet"))
+    rows.coalesce(1).write.parquet(os.path.join(root, "one"))
+    shutil.copy(glob.glob(os.path.join(root, "one", "part-*.parquet"))[0], os.path.join(root, "one.parquet"))
+    for name in ("one", "many"):
+        out = os.path.join(root, f"out-{name}")
+        ST.run_to_files(ST.table_stream(spark, root, name), out, os.path.join(root, f"ck-{name}"))
+        assert sorted(r.page_id for r in spark.read.parquet(out).collect()) == list(range(6))
+
+
+def test_stream_extract_of_a_folder_of_pages(spark):
+    from eventpipe.plans.streams import stream_extract
+
+    root = tempfile.mkdtemp(prefix="page-folder-")
+    pages = [(1, "https://v/1", '<a href="/2">x</a><a href="/3">y</a>'), (2, "https://v/2", '<a href="/3">z</a>'), (3, "https://w/1", '<a href="https://v/1">x</a>')]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(os.path.join(root, "pages.parquet"))
+    got = sorted((r.venue, r.url, r.outcome) for r in stream_extract(spark, root).collect())
+    assert got == [("v", "https://v/3", "not_fetched"), ("w", "https://v/1", "fetched")]
