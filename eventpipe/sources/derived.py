@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsontext
+from .tables import spread
 
 # The derivation rules (mirrored in the oracle SQL).
 FIRST_DAY = "2026-01-01"
@@ -55,6 +56,10 @@ def _date_text(hour_shift: int) -> Column:
     )
 
 
+#: The columns that event pages are written from; together they tell parts of a repeated or null key apart.
+PAGE_COLUMNS = ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"]
+
+
 def part_event_data(part: DataFrame, keep: tuple = ()) -> DataFrame:
     """``p_partkey, url, title, slug, price, first_date, last_date`` for each part."""
     return part.select(
@@ -73,9 +78,10 @@ def part_event_pages(part: DataFrame) -> DataFrame:
     """Event pages ``page_id, url, html`` with the event JSON in a ``__NEXT_DATA__`` script.
 
     Each page also has an unrelated script before it, a commented-out copy and a
-    link marked ``data-theme='secondary'``, so selection is exercised.
+    link marked ``data-theme='secondary'``, so selection is exercised. A page is many times
+    as long as its part, so the parts are dealt over tasks first.
     """
-    d = part_event_data(part)
+    d = part_event_data(spread(part, PAGE_COLUMNS))
     data = F.struct(
         F.col("title"), F.col("slug"), F.col("price"), F.col("first_date").alias("firstDate"), F.col("last_date").alias("lastDate")
     )

@@ -9,6 +9,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+SPREAD_ROWS = 8_192
+
+
+def spread(df: DataFrame, by: list[str], rows: int = SPREAD_ROWS) -> DataFrame:
+    """``df`` dealt over partitions of about ``rows`` rows by a hash of ``by``, ahead of work that is heavy for each row.
+
+    A table of short rows is one file of one row group, and so one task, however much is made of each row. The
+    rows are shuffled while they are short, without a sort. ``by`` should tell the rows apart.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), *by)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved page snapshots ``page_id, url, html`` (the live fetch, re-aimed as a scan)."""
     return table(spark, sf_dir, "pages")

@@ -200,3 +200,31 @@ def test_hostile_markup(spark):
     ).first()
     assert row.links == ["/one", "/right", "?a=1&b=2"]
     assert row.texts == ['{"t":"a <!-- b --> c"}']
+
+
+def _parts(spark, n):
+    one = spark.range(n).coalesce(1)
+    return one.select(
+        F.when(F.col("id") % 10 > 0, F.col("id")).alias("p_partkey"), F.concat(F.lit("name "), F.col("id").cast("string")).alias("p_name"), F.lit("Brand#1").alias("p_brand"),
+        (F.col("id") % 50).cast("int").alias("p_size"), F.lit(12.5).alias("p_retailprice"),
+    )
+
+
+def test_event_pages_of_one_file_are_written_and_decoded_by_many_tasks(spark):
+    """A part is a few bytes and its page many: one file of parts must not be one task; null keys do not gather in one."""
+    from eventpipe.sources import derived
+    from eventpipe.sources.tables import SPREAD_ROWS
+
+    n = 4 * SPREAD_ROWS
+    decoded = X.decode_event_data(X.embedded_json(derived.part_event_pages(_parts(spark, n))))
+    sizes = [r["count"] for r in decoded.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and len(sizes) == 4 and max(sizes) < 1.2 * SPREAD_ROWS
+
+
+def test_spread_keeps_every_row(spark):
+    from eventpipe.sources.tables import spread
+
+    rows = [(1, "a"), (1, "a"), (None, "a"), (None, None), (2, "b")]
+    for given in (rows, []):
+        df = spark.createDataFrame(given, "k long, v string")
+        assert sorted(map(str, spread(df, ["k", "v"], 2).collect())) == sorted(map(str, df.collect()))
