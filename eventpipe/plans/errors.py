@@ -12,7 +12,7 @@ from ..operators import routing as R
 from ..operators import store as ST
 from ..sources import derived
 from ..sources.tables import pages as read_pages
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..specs import JsonSpec, ScriptSpec, VenueSpec
 from . import extraction, messages
 from . import pages as P
@@ -64,7 +64,7 @@ SHAPES = (
 
 def extract_shapes(spark, sf):
     """Every part as an event page of one of three shapes, extracted in one scan by three specs."""
-    d = derived.part_event_data(table(spark, sf, "part"))
+    d = derived.part_event_data(spread(table(spark, sf, "part"), derived.PAGE_COLUMNS))
     shape = (F.col("p_partkey") % 3).cast("string")
     page = []
     for spec in SHAPES:
