@@ -76,7 +76,7 @@ def extract_by_spec(messages: DataFrame, pages: DataFrame, specs: list[VenueSpec
         texts = F.when(F.col("_which").isin(own), H.select_text(F.col("html"), script.tag, script.attr, script.value)).otherwise(texts)
     for i, s in enumerate(known):
         currency = F.when(F.col("_which") == i, F.lit(s.currency)).otherwise(currency)
-    page = (pages if one_each else newest_snapshot(pages, snapshot_order)).select(F.col("url").alias("_purl"), "html")
+    page = _page_side(pages if one_each else newest_snapshot(pages, snapshot_order))
     found = messages.withColumn("_which", which).join(page, F.col("url") == F.col("_purl"), "left").withColumn("_fetched", F.col("_purl").isNotNull())
     rows = found.select(*messages.columns, "_which", "_fetched", F.posexplode_outer(F.when(F.col("_fetched"), texts)).alias("pos0", "json_text"))
     shapes = [(s.data.path, dict(s.data.fields)) for s in known] or [((), {})]
@@ -164,6 +164,12 @@ def newest_snapshot(pages: DataFrame, order: str | None = None) -> DataFrame:
     return pages.groupBy("url").agg(F.max_by("html", F.struct(*by, F.xxhash64("html"))).alias("html"))
 
 
+def _page_side(newest: DataFrame) -> DataFrame:
+    """The pages as a join's side. The hint keeps a planner that goes by file sizes from broadcasting them: text compresses well,
+    and pages written from short rows have no size of their own, so a gigabyte of HTML can pass for a few megabytes."""
+    return newest.select(F.col("url").alias("_purl"), "html").hint("merge")
+
+
 def extract_events(
     messages: DataFrame, pages: DataFrame, spec: ScriptSpec = ScriptSpec(), keep_empty: bool = False, currency: str = "DKK",
     snapshot_order: str | None = None, one_each: bool = False,
@@ -172,14 +178,13 @@ def extract_events(
 
     Pages are joined on ``url`` (left: a missing page is ``not_fetched``). The
     join is a shuffle on the URL, never on the host, so a large venue does not
-    skew it; AQE turns it into a broadcast when the page side is small. With
+    skew it, and it is never a broadcast of the pages (``_page_side``). With
     ``one_each`` the pages are known to hold one snapshot of a URL: nothing is grouped,
     and a table bucketed on ``url`` is not shuffled.
     """
     m = messages.alias("m")
     newest = pages if one_each else newest_snapshot(pages, snapshot_order)
-    page = newest.select(F.col("url").alias("_purl"), "html")
-    joined = m.join(page, F.col("m.url") == F.col("_purl"), "left")
+    joined = m.join(_page_side(newest), F.col("m.url") == F.col("_purl"), "left")
     found = joined.withColumn("_fetched", F.col("_purl").isNotNull())
     texts = H.select_text(F.col("html"), spec.tag, spec.attr, spec.value)
     exploded = found.select(

@@ -205,7 +205,7 @@ def test_hostile_markup(spark):
 def _parts(spark, n):
     one = spark.range(n).coalesce(1)
     return one.select(
-        F.when(F.col("id") % 10 > 0, F.col("id")).alias("p_partkey"), F.concat(F.lit("name "), F.col("id").cast("string")).alias("p_name"), F.lit("Brand#1").alias("p_brand"),
+        F.when(F.col("id") % 10 > 0, F.col("id")).alias("p_partkey"), F.concat(F.lit("name "), F.col("id").cast("string")).alias("p_name"), F.concat(F.lit("Brand#"), (F.col("id") % 3).cast("string")).alias("p_brand"),
         (F.col("id") % 50).cast("int").alias("p_size"), F.lit(12.5).alias("p_retailprice"),
     )
 
@@ -228,3 +228,15 @@ def test_spread_keeps_every_row(spark):
     for given in (rows, []):
         df = spark.createDataFrame(given, "k long, v string")
         assert sorted(map(str, spread(df, ["k", "v"], 2).collect())) == sorted(map(str, df.collect()))
+
+
+def test_pages_are_never_broadcast(spark):
+    """Parts are so short that the planner takes the pages written from them for a small table."""
+    from eventpipe.plans.errors import SHAPES
+    from eventpipe.sources import derived
+
+    part = _parts(spark, 50)
+    messages, pages = derived.part_extract_messages(part), derived.part_snapshots(part)
+    for out in (X.extract_events(messages, pages, snapshot_order="fetched_at"), X.extract_by_spec(messages, pages, list(SHAPES), "fetched_at")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
