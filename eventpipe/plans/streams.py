@@ -68,10 +68,12 @@ def stream_schedule(spark, sf):
     staged, log = f"{base}/pages", f"{base}/log"
     pages = read_pages(spark, sf)
     visited = _visited(pages)
-    ranged = pages.repartitionByRange(SLICES, "url").withColumn("slice", F.spark_partition_id())  # whole URLs: a page's links keep their order
+    fine = _store_buckets_of(pages, "html")  # ranges of a slice, so that a slice is not one task
+    ranged = pages.repartitionByRange(SLICES * fine, "url")  # whole URLs: a page's links keep their order
+    ranged = ranged.withColumn("slice", F.floor(F.spark_partition_id() / fine).cast("int"))
     ranged.write.partitionBy("slice").parquet(f"{base}/ranged")
     for k in range(SLICES):
-        spark.read.schema(ranged.schema).parquet(f"{base}/ranged").where(F.col("slice") == k).drop("slice").coalesce(1).write.parquet(f"{staged}/{k}")
+        ST.arrive(spark.read.schema(ranged.schema).parquet(f"{base}/ranged").where(F.col("slice") == k).drop("slice"), f"{staged}/{k}")
         if k in (1, SLICES - 1):
             stream = ST.file_stream(spark, f"{staged}/*", pages.schema, max_files=1)
             _scrape(stream, visited, log, f"{base}/ck", "scrape")

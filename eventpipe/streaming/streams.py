@@ -37,6 +37,15 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return file_stream(spark, sf_dir, schema, glob=f"{name}.parquet", max_files=max_files)
 
 
+ARRIVAL_GROUP_BYTES = 8 << 20
+
+
+def arrive(rows: DataFrame, folder: str) -> None:
+    """Rows that arrive at a stream together, as one file. Its row groups are small, as a row group is read by one task: at the
+    writer's default of 128 MB a file is one task up to that size, and its micro-batch with it."""
+    rows.coalesce(1).write.option("parquet.block.size", ARRIVAL_GROUP_BYTES).parquet(folder)
+
+
 def run_to_files(stream: DataFrame, out: str, checkpoint: str, partition_by=None, mode: str = "append") -> None:
     """Run once over everything available, into Parquet files; returns when done."""
     w = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode(mode)

@@ -255,3 +255,19 @@ def test_stream_extract_of_a_folder_of_pages(spark):
     spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(os.path.join(root, "pages.parquet"))
     got = sorted((r.venue, r.url, r.outcome) for r in stream_extract(spark, root).collect())
     assert got == [("v", "https://v/3", "not_fetched"), ("w", "https://v/1", "fetched")]
+
+
+def test_a_file_that_arrives_is_read_by_several_tasks(spark):
+    """One file, so one micro-batch, but not one row group, which one task would have to read."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    folder = os.path.join(tempfile.mkdtemp(prefix="arrive-"), "in")
+    text = F.concat_ws("", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{i}")), 512) for i in range(16)])  # does not compress to nothing
+    rows = spark.range(20_000).select(F.col("id").alias("page_id"), text.alias("html"))
+    ST.arrive(rows, folder)
+    (file,) = glob.glob(os.path.join(folder, "*.parquet"))
+    assert pq.ParquetFile(file).num_row_groups >= 4
+    read = spark.read.parquet(folder).groupBy(F.spark_partition_id()).count().collect()
+    assert len(read) >= 3 and sum(r["count"] for r in read) == 20_000
