@@ -154,9 +154,9 @@ def extract(messages: DataFrame, pages: DataFrame, spec: VenueSpec, keep_empty:
     return spec.post(out) if spec.post is not None else out
 
 
-def extract_all(messages: DataFrame, pages: DataFrame, specs: list[VenueSpec], snapshot_order: str | None = None) -> DataFrame:
+def extract_all(messages: DataFrame, pages: DataFrame, specs: list[VenueSpec], snapshot_order: str | None = None, partitions: int | None = None) -> DataFrame:
     """``extract`` for the messages of all venues in one scan of the pages, each venue by its own spec (``post`` steps are for ``extract``)."""
-    return X.extract_by_spec(messages, pages, specs, snapshot_order)
+    return X.extract_by_spec(messages, pages, specs, snapshot_order, partitions=partitions)
 
 
 def route(messages: DataFrame, specs: list[VenueSpec], path: str, body_col: str = "body") -> dict[tuple[str, str], int]:

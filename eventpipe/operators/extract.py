@@ -60,7 +60,9 @@ def decode_event_data(df: DataFrame, text_col: str = "json_text") -> DataFrame:
 EVENT_KINDS = {"title": "string", "slug": "string", "price": "int", "firstDate": "time", "lastDate": "time"}
 
 
-def extract_by_spec(messages: DataFrame, pages: DataFrame, specs: list[VenueSpec], snapshot_order: str | None = None, one_each: bool = False) -> DataFrame:
+def extract_by_spec(
+    messages: DataFrame, pages: DataFrame, specs: list[VenueSpec], snapshot_order: str | None = None, one_each: bool = False, partitions: int | None = None,
+) -> DataFrame:
     """The extract stage for all venues in one scan: each message by its venue's script selector, JSON path, field map and currency.
 
     Rows are as by ``extract_events``; a message whose venue has no spec, or one without a
@@ -76,7 +78,7 @@ def extract_by_spec(messages: DataFrame, pages: DataFrame, specs: list[VenueSpec
         texts = F.when(F.col("_which").isin(own), H.select_text(F.col("html"), script.tag, script.attr, script.value)).otherwise(texts)
     for i, s in enumerate(known):
         currency = F.when(F.col("_which") == i, F.lit(s.currency)).otherwise(currency)
-    page = _page_side(pages if one_each else newest_snapshot(pages, snapshot_order))
+    page = _page_side(pages if one_each else newest_snapshot(pages, snapshot_order, partitions))
     found = messages.withColumn("_which", which).join(page, F.col("url") == F.col("_purl"), "left").withColumn("_fetched", F.col("_purl").isNotNull())
     rows = found.select(*messages.columns, "_which", "_fetched", F.posexplode_outer(F.when(F.col("_fetched"), texts)).alias("pos0", "json_text"))
     shapes = [(s.data.path, dict(s.data.fields)) for s in known] or [((), {})]
@@ -155,13 +157,22 @@ def with_document(df: DataFrame) -> DataFrame:
     )
 
 
-def newest_snapshot(pages: DataFrame, order: str | None = None) -> DataFrame:
+def newest_snapshot(pages: DataFrame, order: str | None = None, partitions: int | None = None) -> DataFrame:
     """``url, html`` of each URL's newest snapshot: the greatest ``order`` column, then ``page_id``, then text.
 
-    A partial aggregate, so a URL saved a million times is one row per map task.
+    A partial aggregate, so a URL saved a million times is one row per map task. A task sorts and joins the
+    text of its partition: with ``partitions`` (``tables.text_partitions``, from the measured text) there are that many of the URL,
+    whatever the session's shuffles have. The snapshots are then dealt by URL and the task that made them first, which
+    stands for the partial aggregate. Without it, pages that lie bucketed on ``url`` are not shuffled.
     """
     by = [c for c in (order, "page_id") if c and c in pages.columns]
-    return pages.groupBy("url").agg(F.max_by("html", F.struct(*by, F.xxhash64("html"))).alias("html"))
+    if not partitions:
+        return pages.groupBy("url").agg(F.max_by("html", F.struct(*by, F.xxhash64("html"))).alias("html"))
+    row = F.struct(*by, F.xxhash64("html").alias("_hash"), "html").alias("_row")
+    newest = F.max("_row").alias("_row")
+    made = pages.select("url", row, F.spark_partition_id().alias("_task"))
+    local = made.repartition(partitions, "url", "_task").groupBy("url", "_task").agg(newest)
+    return local.repartition(partitions, "url").groupBy("url").agg(newest).select("url", F.col("_row.html").alias("html"))
 
 
 def _page_side(newest: DataFrame) -> DataFrame:
@@ -172,7 +183,7 @@ def _page_side(newest: DataFrame) -> DataFrame:
 
 def extract_events(
     messages: DataFrame, pages: DataFrame, spec: ScriptSpec = ScriptSpec(), keep_empty: bool = False, currency: str = "DKK",
-    snapshot_order: str | None = None, one_each: bool = False,
+    snapshot_order: str | None = None, one_each: bool = False, partitions: int | None = None,
 ) -> DataFrame:
     """Messages ``venue, url`` -> one row per message and script of the newest snapshot, with ``outcome``.
 
@@ -180,10 +191,10 @@ def extract_events(
     join is a shuffle on the URL, never on the host, so a large venue does not
     skew it, and it is never a broadcast of the pages (``_page_side``). With
     ``one_each`` the pages are known to hold one snapshot of a URL: nothing is grouped,
-    and a table bucketed on ``url`` is not shuffled.
+    and a table bucketed on ``url`` is not shuffled. ``partitions`` is as in ``newest_snapshot``.
     """
     m = messages.alias("m")
-    newest = pages if one_each else newest_snapshot(pages, snapshot_order)
+    newest = pages if one_each else newest_snapshot(pages, snapshot_order, partitions)
     joined = m.join(_page_side(newest), F.col("m.url") == F.col("_purl"), "left")
     found = joined.withColumn("_fetched", F.col("_purl").isNotNull())
     texts = H.select_text(F.col("html"), spec.tag, spec.attr, spec.value)

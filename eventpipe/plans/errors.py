@@ -12,7 +12,7 @@ from ..operators import routing as R
 from ..operators import store as ST
 from ..sources import derived
 from ..sources.tables import pages as read_pages
-from ..sources.tables import spread, table
+from ..sources.tables import spread, table, text_partitions
 from ..specs import JsonSpec, ScriptSpec, VenueSpec
 from . import extraction, messages
 from . import pages as P
@@ -25,7 +25,9 @@ def run_errors(spark, sf):
     resolved = links.resolve_links(links.extract_links(read_pages(spark, sf)))
     decoded = messages._decoded(spark, sf)
     attempts = decoded.select(day_text(F.col("ts")).alias("run_id"), F.col("sent_venue").alias("venue"), (~F.col("decode_ok")).alias("failed"))
-    extracted = X.extract_events(derived.part_extract_messages(part), derived.part_snapshots(part), snapshot_order="fetched_at")
+    snapshots = derived.part_snapshots(part)
+    partitions = text_partitions(snapshots, "html")
+    extracted = X.extract_events(derived.part_extract_messages(part), snapshots, snapshot_order="fetched_at", partitions=partitions)
     responses = store_plans._responses(spark, sf).withColumn("first", F.regexp_extract("response", '"pathname":"([^"]*)"', 1))
     cut = F.col("first").rlike("50\\.json$")
     responses = responses.withColumn("response", F.when(cut, F.substring("response", 1, 40)).otherwise(F.col("response")))
@@ -76,7 +78,7 @@ def extract_shapes(spark, sf):
         page.append(F.concat(F.lit(f'<script {spec.script.attr}="{spec.script.value}">'), F.to_json(body), F.lit("</script>")))
     html = F.when(shape == "0", page[0]).when(shape == "1", page[1]).otherwise(page[2])
     rows = d.select(F.concat(F.lit("shape-"), shape).alias("venue"), "url", F.col("p_partkey").alias("page_id"), html.alias("html"))
-    out = jobs.extract_all(rows.select("venue", "url"), rows.select("page_id", "url", "html"), list(SHAPES))
+    out = jobs.extract_all(rows.select("venue", "url"), rows.select("page_id", "url", "html"), list(SHAPES), partitions=text_partitions(rows, "html"))
     return out.select("venue", "url", "outcome", "pathname", "body")
 
 

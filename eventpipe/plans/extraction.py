@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..operators import extract as X
 from ..sources import derived
-from ..sources.tables import table
+from ..sources.tables import table, text_partitions
 from . import sql as S
 
 
@@ -49,7 +49,9 @@ def event_documents(spark, sf):
 def extract_outcomes(spark, sf):
     """The extract stage as a whole: messages to the newest page snapshots, each with its outcome and, if extracted, its document."""
     part = table(spark, sf, "part")
-    out = X.extract_events(derived.part_extract_messages(part), derived.part_snapshots(part), snapshot_order="fetched_at")
+    snapshots = derived.part_snapshots(part)
+    partitions = text_partitions(snapshots, "html")
+    out = X.extract_events(derived.part_extract_messages(part), snapshots, snapshot_order="fetched_at", partitions=partitions)
     done = F.col("outcome") == "extracted"
     return out.select("venue", "url", "outcome", F.when(done, F.col("pathname")).alias("pathname"), F.when(done, F.col("body")).alias("body"))
 

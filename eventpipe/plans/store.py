@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import store as ST
 from ..session import state_path
 from ..sources import derived
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import params
 from .extraction import PART_EVENTS_CTE, START_DATE_SQL, document_sql
 
@@ -47,7 +47,8 @@ def put_if_absent(spark, sf):
 
 
 def put_rejected(spark, sf):
-    rejected = ST.rejected_puts(_stored(spark, sf), _incoming(spark, sf).select("pathname", "p_partkey"), order="p_partkey")
+    incoming = derived.part_documents(spread(table(spark, sf, "part"), ["p_partkey"])).select("pathname", "p_partkey")
+    rejected = ST.rejected_puts(_stored(spark, sf), incoming, order="p_partkey")
     return rejected.select("pathname", "p_partkey", "reason")
 
 
@@ -113,14 +114,17 @@ def delete_objects(spark, sf):
 
 
 def _responses(spark, sf):
-    """List responses of the provider's shape, 100 part keys per page (bounded groups)."""
-    rows = ST.object_rows(_incoming(spark, sf), BASE)
+    """List responses of the provider's shape, 100 part keys per page (bounded groups).
+
+    The parts of a page meet while they are short: a task writes the documents of its own pages only.
+    """
+    part = table(spark, sf, "part").withColumn("page", (F.col("p_partkey") / 100).cast("long"))
+    rows = ST.object_rows(derived.part_documents(spread(part, ["page"]), keep=("page",)), BASE)
     blob = F.struct(
         F.col("url"), F.col("download_url").alias("downloadUrl"), F.col("pathname"), F.col("size"),
         F.col("uploaded_at").alias("uploadedAt"), F.col("etag"),
     )
-    page = (F.col("p_partkey") / 100).cast("long")
-    grouped = rows.groupBy(page.alias("page")).agg(
+    grouped = rows.groupBy("page").agg(
         F.array_sort(F.collect_list(F.struct(F.col("p_partkey"), blob.alias("b")))).alias("items"),
         F.max("pathname").alias("cursor"),
     )

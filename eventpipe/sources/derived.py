@@ -130,11 +130,11 @@ def part_snapshots(part: DataFrame) -> DataFrame:
     return both.withColumn("url", F.when(key % 73 == 0, F.concat(F.col("url"), F.lit("/moved"))).otherwise(F.col("url")))
 
 
-def part_documents(part: DataFrame) -> DataFrame:
+def part_documents(part: DataFrame, keep: tuple = ()) -> DataFrame:
     """Store input: ``p_partkey, pathname (shared by a key pair), body, uploaded_at`` for each part."""
     from ..operators.extract import music_event
 
-    d = part_event_data(part, keep=(part_object_key().alias("_key"), "p_size"))
+    d = part_event_data(part, keep=(part_object_key().alias("_key"), "p_size", *keep))
     ev = music_event(F.col("title"), F.col("first_date"), F.col("price"), F.col("url"), F.lit("DKK"))
     from ..functions.zones import ntz_text
 
@@ -147,6 +147,7 @@ def part_documents(part: DataFrame) -> DataFrame:
         F.concat(F.col("_key"), F.lit(".json")).alias("pathname"),
         jsontext.encode(ev).alias("body"),
         F.when(F.col("p_size") % 17 == 0, F.lit("not-a-time")).otherwise(uploaded).alias("uploaded_at"),
+        *keep,
     )
 
 

@@ -21,6 +21,20 @@ def spread(df: DataFrame, by: list[str], rows: int = SPREAD_ROWS) -> DataFrame:
     return df.repartition(max(1, -(-df.count() // rows)), *by)
 
 
+TEXT_PARTITION_BYTES = 32 << 20
+
+
+def text_partitions(df: DataFrame, col: str) -> int:
+    """How many partitions hold ``TEXT_PARTITION_BYTES`` of a text column each; never fewer than shuffles have.
+
+    The column is measured as it is in memory: text that repeats is compressed many times over in files and shuffles, so their sizes say little.
+    """
+    from pyspark.sql import functions as F
+
+    held = df.agg(F.sum(F.octet_length(col).cast("long"))).first()[0] or 0
+    return max(-(-held // TEXT_PARTITION_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved page snapshots ``page_id, url, html`` (the live fetch, re-aimed as a scan)."""
     return table(spark, sf_dir, "pages")

@@ -240,3 +240,32 @@ def test_pages_are_never_broadcast(spark):
     for out in (X.extract_events(messages, pages, snapshot_order="fetched_at"), X.extract_by_spec(messages, pages, list(SHAPES), "fetched_at")):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
+
+
+def test_newest_snapshots_lie_in_as_many_partitions_as_their_text_asks_for(spark, monkeypatch):
+    """Not in as many as the session's shuffles have, and a URL that holds most rows is cut down by each task before its rows meet."""
+    from eventpipe.sources import tables
+
+    hot = [(i, "hot", f"text {i}" if i % 7 else None, i % 5) for i in range(400)] + [(399, "hot", "text 399", 4)]
+    rest = [(i, f"u{i % 60}", f"text {i}", None if i % 3 else i % 4) for i in range(200)]
+    pages = spark.createDataFrame(hot + rest, "page_id long, url string, html string, fetched_at int").repartition(6)
+    monkeypatch.setattr(tables, "TEXT_PARTITION_BYTES", 200)
+    n = tables.text_partitions(pages, "html")
+    assert n == -(-sum(len(r.html or "") for r in pages.collect()) // 200) > 8
+    for order in ("fetched_at", None):
+        got = X.newest_snapshot(pages, order, n)
+        assert got.rdd.getNumPartitions() == n
+        assert sorted(map(str, got.collect())) == sorted(map(str, X.newest_snapshot(pages, order).collect()))
+    out = X.extract_events(pages.select("url").distinct().withColumn("venue", F.lit("v")), pages, partitions=n)
+    assert f", {n})" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_list_responses_are_written_where_their_parts_lie(spark, tmp_path):
+    """A page's parts meet before documents are made of them: the documents are not shuffled, and no one task makes them all."""
+    from eventpipe.plans import store as plans
+
+    _parts(spark, 500).write.parquet(str(tmp_path / "part.parquet"))
+    out = plans._responses(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan, plan
+    assert out.count() == 6  # of 100 keys each, and one of the null keys
