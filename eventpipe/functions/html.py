@@ -23,7 +23,7 @@ ATTR_NAME_RE = r"(?:=[^\s/>=]*+|[^\s/>=]++)"
 ATTR_RE = ATTR_NAME_RE + r"(?:\s*+=\s*+" + VALUE_RE + r")?+"
 TAG_REST_RE = r"(?:[\s/]++|" + ATTR_RE + r")*+"
 TAG_END_RE = r"(?=[\s/>])"
-COMMENT_RE = r"<!--(?:-?>|.*?(?:--!?>|\z))"
+COMMENT_RE = r"<!--(?:-?>|(?:[^-]++|-(?!-!?>))*+(?:--!?>|\z))"
 #: Elements whose content is text up to their own end tag.
 RAW_TEXT = ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp")
 
@@ -33,12 +33,19 @@ _BARE = {n: chr(c) for c, n in codepoint2name.items() if c < 256} | {"AMP": "&",
 _C1 = {c: bytes([c]).decode("cp1252") for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
-_RAW_RE = r"<(" + "|".join(RAW_TEXT) + r")" + TAG_END_RE + TAG_REST_RE + r"(?:>.*?(?:(?=</\2" + TAG_END_RE + r")|\z)|\z)"
+def _text_re(tag: str) -> str:
+    """Raw text up to the end tag of this name, or all the rest: runs without ``<`` are taken whole."""
+    return r"(?:[^<]++|<(?!/" + tag + TAG_END_RE + r"))*+"
+
+
+_RAW_RE = r"<(" + "|".join(RAW_TEXT) + r")" + TAG_END_RE + TAG_REST_RE + r"(?:>" + _text_re(r"\2") + r"|\z)"
 _ANY_RE = r"</?[a-z][^\s/>]*+" + TAG_REST_RE + r"(?:>|\z)"
 
 
-def _tokens_re(wanted: str) -> str:
-    """A page's tokens; group 1 is what is wanted where a token begins with it, and empty elsewhere."""
+def _tokens_re(wanted: str, whole: bool = False) -> str:
+    """A page's tokens; group 1 is what is wanted where a token begins with it (or is it, if ``whole``), and empty elsewhere."""
+    if whole:
+        return r"(?is)" + COMMENT_RE + r"|(" + wanted + r")|" + _RAW_RE + r"|" + _ANY_RE
     return r"(?is)" + COMMENT_RE + r"|(?:(?=(" + wanted + r"))|)(?:" + _RAW_RE + r"|" + _ANY_RE + r")"
 
 
@@ -49,7 +56,7 @@ def tags_re(tag: str) -> str:
 
 def elements_re(tag: str) -> str:
     """Tokens with the raw-text elements of this name, from the opening tag up to the end tag, which must be there."""
-    return _tokens_re(r"<" + tag + TAG_END_RE + TAG_REST_RE + r">.*?(?=</" + tag + TAG_END_RE + r")")
+    return _tokens_re(r"<" + tag + TAG_END_RE + TAG_REST_RE + r">" + _text_re(tag) + r"(?=<)", whole=tag.lower() in RAW_TEXT)
 
 
 def open_re(tag: str) -> str:
@@ -101,17 +108,22 @@ def decode_references(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
+def _of(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda each mention of a column is computed anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unquote(raw: Column) -> Column:
     """Attribute value without its quotes, with character references decoded and outer space trimmed."""
     quoted = raw.startswith('"') | raw.startswith("'")
     inner = F.when(quoted, raw.substr(F.lit(2), F.length(raw) - F.lit(2))).otherwise(raw)
-    return F.trim(decode_references(inner))
+    return F.trim(_of(inner, decode_references))
 
 
 def attr_value(tag: Column, name: str) -> Column:
     """Value of attribute ``name`` in an opening tag (empty if it has none); null when the attribute is absent."""
     pattern = attr_re(name)
-    return F.when(tag.rlike(pattern), unquote(F.regexp_extract(tag, pattern, 1)))
+    return F.when(tag.rlike(pattern), _of(F.regexp_extract(tag, pattern, 1), unquote))
 
 
 def select_tags(html: Column, tag: str, attr: str | None = None, value: str | None = None) -> Column:
@@ -133,7 +145,7 @@ def select_text(html: Column, tag: str, attr: str | None = None, value: str | No
     if attr is not None:
         elements = F.filter(
             elements,
-            lambda e: F.coalesce(attr_value(F.regexp_extract(e, open_re(tag), 0), attr) == F.lit(value), F.lit(False)),
+            lambda e: _of(F.regexp_extract(e, open_re(tag), 0), lambda t: F.coalesce(attr_value(t, attr) == F.lit(value), F.lit(False))),
         )
     body = lambda e: F.substr(e, F.length(F.regexp_extract(e, open_re(tag), 0)) + 1)
     return F.transform(elements, body)

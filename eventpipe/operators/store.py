@@ -109,9 +109,14 @@ def last_wins(incoming: DataFrame, order: str, key: str = "pathname") -> DataFra
     return incoming.groupBy(key).agg(win).select(key, "_w.*")
 
 
+def not_stored(rows: DataFrame, stored: DataFrame, key: str = "pathname") -> DataFrame:
+    """The rows whose key is not stored."""
+    return rows.join(stored.select(key).distinct(), key, "left_anti")
+
+
 def accept_new(stored: DataFrame, incoming: DataFrame, order: str, key: str = "pathname") -> DataFrame:
     """The incoming rows that a put-if-absent writes: the first row of each key that is not stored."""
-    return first_wins(incoming, order, key).join(stored.select(key).distinct(), key, "left_anti")
+    return not_stored(first_wins(incoming, order, key), stored, key)
 
 
 def rejected_puts(stored: DataFrame, incoming: DataFrame, order: str, key: str = "pathname") -> DataFrame:

@@ -81,13 +81,16 @@ def stream_schedule(spark, sf):
     return spark.read.schema(ST.LOG_SCHEMA).parquet(log).select("venue", "url", "seq", "delay_s", "deliver_at")
 
 
+SNAPSHOT_BUCKET_BYTES = 8 << 20
+
+
 def stream_to_store(spark, sf):
     """T1 to the end: page stream -> scrape -> message log -> extract stream (fetch, decode, document) -> store.
 
     It is run, run again on the same checkpoints, and replayed from lost ones: the
     log's dedup state is bounded by a watermark, and put-if-absent keeps what a late
     duplicate or a replay would write twice. The newest snapshots are saved once, bucketed
-    on the URL; a micro-batch shuffles its messages only.
+    on the URL, one small file a bucket; a micro-batch shuffles its messages only and works on a bucket a task.
     """
     base = state_path(spark, "stream_to_store")
     staged, log, store = f"{base}/pages", f"{base}/log", f"{base}/store"
@@ -95,7 +98,8 @@ def stream_to_store(spark, sf):
     pages = spark.read.parquet(staged)
     size = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
     name = f"snapshots_{uuid.uuid4().hex}"
-    newest = write_bucketed_pages(X.newest_snapshot(pages).withColumn("page_id", F.lit(0)), name, ST.store_buckets(size))
+    buckets = ST.store_buckets(size, SNAPSHOT_BUCKET_BYTES)
+    newest = write_bucketed_pages(X.newest_snapshot(pages, partitions=buckets).withColumn("page_id", F.lit(0)), name, buckets)
     for checkpoint in ("ck", "ck", "ck_lost"):
         stream = ST.file_stream(spark, staged, pages.schema)
         found = links.followable(links.resolve_links(links.extract_links(stream, EVENT_LINKS)))

@@ -79,7 +79,9 @@ def put_if_absent_sink(
     batches all leave the table as it was: their keys are there already. The store
     is partitioned by ``bucket`` when ``buckets`` is set (choose it from the size of
     the store); the check then reads only the buckets the batch's keys hash to, a
-    list of at most ``buckets`` ids. ``writer`` and ``batch_id`` are kept with each
+    list of at most ``buckets`` ids. The batch's first row of each key is checkpointed, so
+    that the work behind the batch is done once, and not again to list its buckets.
+    ``writer`` and ``batch_id`` are kept with each
     row. Writers must not commit at the same moment (Parquet has no compare-and-set).
     """
     parts = ["bucket"] if buckets else []
@@ -87,19 +89,21 @@ def put_if_absent_sink(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ensure_checkpoint_dir(spark)
+        first = ST.first_wins(batch, order, key)
         if buckets:
-            batch = batch.withColumn("bucket", key_bucket(key, buckets))
+            first = first.withColumn("bucket", key_bucket(key, buckets))
+        first = first.checkpoint()
         if path_exists(spark, store_path):
             stored = spark.read.parquet(store_path)
             if buckets:
-                touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most `buckets` ids
+                touched = [r[0] for r in first.select("bucket").distinct().collect()]  # at most `buckets` ids
                 stored = stored.where(F.col("bucket").isin(touched))
             others = stored.select(key)
         else:
             others = spark.createDataFrame([], f"{key} string")
-        rows = ST.object_rows(ST.accept_new(others, batch, order=order, key=key), base_url, **put_options)
+        rows = ST.object_rows(ST.not_stored(first, others, key), base_url, **put_options)
         rows = rows.withColumn("writer", F.lit(writer)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        rows.checkpoint().write.mode("append").partitionBy(*parts).parquet(store_path)  # the store is read in full before it is added to
+        rows.write.mode("append").partitionBy(*parts).parquet(store_path)  # reads the files that were listed above, and adds others
 
     return write
 

@@ -271,3 +271,23 @@ def test_a_file_that_arrives_is_read_by_several_tasks(spark):
     assert pq.ParquetFile(file).num_row_groups >= 4
     read = spark.read.parquet(folder).groupBy(F.spark_partition_id()).count().collect()
     assert len(read) >= 3 and sum(r["count"] for r in read) == 20_000
+
+
+def test_sink_works_a_batch_out_once(spark, tmp_path):
+    """Also where the store exists: the buckets to read are listed from the rows that are added, not by a second run of what made them."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def body(k):
+        made.add(1)
+        return f"b{k}"
+
+    store = str(tmp_path / "store")
+    sink = ST.put_if_absent_sink(store, writer="w", order="seq", base_url=BASE, buckets=4)
+    for batch_id, keys in enumerate((range(10), range(5, 20))):
+        rows = spark.createDataFrame([(f"{k}.json", k) for k in keys], "pathname string, seq long")
+        before = made.value
+        sink(rows.withColumn("body", body.asNondeterministic()("seq")), batch_id)
+        assert made.value - before == len(keys)
+    got = sorted((r.seq, r.body, r.batch_id) for r in spark.read.parquet(store).collect())
+    assert got == [(k, f"b{k}", int(k >= 10)) for k in range(20)]
