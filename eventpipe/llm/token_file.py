@@ -19,8 +19,9 @@ alone. Blocks are in ascending order of the document id over the whole file:
 ``first_id`` and ``last_id`` let a reader skip all other blocks by pushed filters.
 
 Texts are encoded word by word: the tokenizer drops white space and never merges
-across it, so a distinct word is encoded once for each block, and mostly once for
-each worker.
+across it, so a distinct word is encoded once for each block, and a word that comes
+again and again once for each worker. Blocks, what a worker remembers and row groups
+are bounded, so memory does not grow with the table (a longer text is a block alone).
 
 Defined results: a null or empty text has only the end id; null document ids
 come first; rows of one id are in the order of their text's hash and text, and
@@ -45,19 +46,23 @@ from .common import broadcast_if_small, partitions, ready, texts_of
 from .text import blocks, buffers, word_bounds, word_codes
 
 MAGIC = b"TKB1"
-BLOCK_BYTES = 8 << 20
-MOST_CACHED = 400_000
+BLOCK_BYTES = 2 << 20
+MOST_CACHED = 150_000  # in each of two generations
+#: By default the writer looks at its size after 100 rows at the earliest, and a row is a block; readers load a row group at once.
+GROUPS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 BLOCK_SCHEMA = "part int, block long, first_id long, last_id long, n_docs long, n_tokens long, body binary"
-_TRAILING = b".,;:!?"
+#: ASCII signs that make one token with the signs beside them; not ', which may begin one with letters, nor < | > of special tokens.
+_TRAILING = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _CLOSES, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _CLOSES[list(_TRAILING)] = True
 _LETTER[65:91] = _LETTER[97:123] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+MOST_SIGNS = 8  # cut off a word
 _LATIN = "\u024f"  # up to here lower case is one rule for all libraries
 #: Fixed rule of byte-level tokenizers: a printable byte is its own symbol, the n-th other one is code point 256 + n.
 _BYTE_SYMBOLS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
-_PROBES = [w.encode() for w in ("The", "end.", "Straße,", "don't", "it's!?", "a1b2", "ÉTÉ...", "x", "co-op;", "<|endoftext|>", "é", "naïve!!")]
+_PROBES = [w.encode() for w in ("The", "end.", "Straße,", "don't", "it's!?", "rest***", "naïf.&&&", "a)-b])", "-", "a1b2", "ÉTÉ...", "x", "co-op;", "<|endoftext|>", "é", "naïve!!")]
 
 
 # --- bits -------------------------------------------------------------------
@@ -128,9 +133,12 @@ def pack_block(doc_ids: np.ndarray, nulls: np.ndarray, ids: np.ndarray, offsets:
 
 
 class WordEncoder:
-    """Ids of single words, remembered up to ``MOST_CACHED`` of them.
+    """Ids of single words, remembered in two generations of at most ``MOST_CACHED`` each.
 
-    Letters with closing punctuation are two tokens for the pre-tokenizer, so
+    A full generation becomes the older one, and the one before it is dropped: words that
+    come again move to the recent one and stay, words that came once are forgotten.
+
+    Letters with closing signs are two tokens for the pre-tokenizer, so
     their ids are joined from two shorter entries; that this holds for a given
     tokenizer is tried on probes when it is loaded, and given up if it does not.
     """
@@ -140,9 +148,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.cache: dict[bytes, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.split = True
-        self.split = all(self._whole(p) == self._word(p) for p in _PROBES)
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]  # of these none may lose its end
+        self.split = all(self._whole(p) == self._word(p) for p in _PROBES) and not any(t[-1:] in _TRAILING for t in special if t)
         words = self.tokenizer.encode(b" \t".join(_PROBES).decode() + "\n", add_special_tokens=False).ids
         if array("I", words).tobytes() != b"".join(map(self._whole, _PROBES)):
             raise ValueError("the tokenizer does not drop white space; words cannot be encoded alone")
@@ -152,12 +162,8 @@ class WordEncoder:
 
     def _token(self, word: bytes) -> bytes:
         """Ids of one token of the pre-tokenizer, already in its normal form: the model alone is asked."""
-        key = b" " + word  # no word has a space, so these entries are apart from those of words
-        ids = self.cache.get(key)
-        if ids is None:
-            symbols = word.decode() if word.isascii() else word.decode("latin-1").translate(_BYTE_SYMBOLS)
-            ids = self.cache[key] = array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
-        return ids
+        symbols = word.decode() if word.isascii() else word.decode("latin-1").translate(_BYTE_SYMBOLS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         core = word.rstrip(_TRAILING)
@@ -178,12 +184,15 @@ class WordEncoder:
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as unsigned 32-bit integers."""
-        if len(self.cache) > MOST_CACHED:
-            self.cache.clear()
-        out = list(map(self.cache.get, words))
+        out = list(map(self.recent.get, words))
         for i, ids in enumerate(out):
             if ids is None:
-                out[i] = self.cache[words[i]] = self._word(words[i])
+                word = words[i]
+                ids = self.older.pop(word, None)
+                out[i] = ids = self._word(word) if ids is None else ids
+                if len(self.recent) >= MOST_CACHED:
+                    self.older, self.recent = self.recent, {}
+                self.recent[word] = ids
         return out
 
 
@@ -198,9 +207,14 @@ def encode_texts(column: pa.Array, words: WordEncoder, end_id: int | None) -> tu
     if b"<|" not in data.tobytes():  # special tokens are told by their case; all else is put in lower case anyway
         data = _LOWER[data]
     starts, ends, _ = word_bounds(data, offsets)
-    if words.split:  # a closing sign after a letter is a token of its own: fewer distinct words
-        closed = np.flatnonzero(_CLOSES[data[ends - 1]] & _LETTER[data[np.maximum(ends - 2, 0)]] & (ends - starts > 1))
-        cut = ends[closed] - 1
+    if words.split:  # closing signs after a letter are a token of their own: fewer distinct words
+        cut = ends.copy()
+        closed = np.flatnonzero(_CLOSES[data[cut - 1]])
+        for _ in range(MOST_SIGNS):  # back over the signs of the words that still end on one; words with more stay whole
+            cut[closed] -= 1
+            closed = closed[cut[closed] > starts[closed]]
+            closed = closed[_CLOSES[data[cut[closed] - 1]]]
+        cut = cut[(cut < ends) & (cut > starts) & _LETTER[data[np.maximum(cut - 1, 0)]]]
         starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
     bounds = np.searchsorted(starts, offsets)
     codes, distinct = word_codes(data, starts, ends)
@@ -242,7 +256,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
 
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(run, BLOCK_SCHEMA).write.options(**GROUPS).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

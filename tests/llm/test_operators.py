@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -575,6 +577,48 @@ def test_token_file(spark, tmp_path, empty):
         assert len(token_file.lookup(blocks, 502)) == 2 and token_file.lookup(blocks, 9999) == []
 
 
+def test_words_with_signs_are_encoded_as_the_library_does():
+    tokenizer = Tokenizer.from_file(WORDS)
+    rng = random.Random(9)
+    bits = [*map(chr, range(33, 127)), *"aZ"*12, "'s", "'ll", "don't", "é", "ñ", "ß", "Σ", "İ", "ſ", "中", "\u0301", "\u0338", "\u0345", "…", "。", "٣", " ", " ", "\n", "\xa0", "***", "." * 8, "!?" * 6, "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 25))) for _ in range(4000)]
+    ids, offsets = token_file.encode_texts(pa.array(texts), token_file.WordEncoder(WORDS), 2)
+    for k, text in enumerate(texts):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_word_encoder_stays_small_and_keeps_words_that_come_again(monkeypatch):
+    monkeypatch.setattr(token_file, "MOST_CACHED", 60)
+    words = token_file.WordEncoder(WORDS)
+    whole, asked = words._word, Counter()
+    monkeypatch.setattr(words, "_word", lambda w: asked.update([w]) or whole(w))
+    for block in range(50):
+        common = [b"the", b"of", b"na\xc3\xafve"]
+        new = [b"rare" + bytes([97 + block % 26, 97 + block // 26, 97 + i]) for i in range(25)]
+        assert words.encode(common + new) == [words._whole(w) for w in common + new]
+        assert len(words.recent) <= 60 and len(words.older) <= 60
+    assert all(asked[w] == 1 for w in common)
+
+
+def test_token_file_has_small_blocks_in_small_row_groups(spark, tmp_path):
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    text = " ".join(rng.choices(names, k=300_000))  # 2 MB
+    path, before = str(tmp_path / "tokens"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        token_file.write(frame(spark, [(i, text) for i in range(12)]), path, WORDS)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "tokens").glob("*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 6
+    assert max(g.total_byte_size for g in groups) < 16 << 20
+    got = token_file.summaries(token_file.read(spark, path)).orderBy("doc_id").collect()
+    n = len(Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids) + 1
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(i, i * n, n) for i in range(12)] and len({r.ids_crc32 for r in got}) == 1
+
+
 def test_token_file_puts_null_ids_first(spark, tmp_path):
     path = str(tmp_path / "tokens")
     token_file.write(frame(spark, [(3, "c"), (None, "n"), (1, "a")]), path, WORDS)
